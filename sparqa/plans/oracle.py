@@ -194,3 +194,186 @@ def curate_union() -> str:
         f"SELECT * FROM ({_fourcol_select(sample_sql(four_src, 'c_custkey', 10000), True)})",
     ]
     return "\nUNION ALL\n".join(parts)
+
+
+# ----------------------------------------------------------------- sampling
+
+def sample_exact() -> str:
+    return ("SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
+            f"ORDER BY {md5_order('o_orderkey')}, o_orderkey LIMIT 10000")
+
+
+def shuffle_rank() -> str:
+    return (f"SELECT o_orderkey, row_number() OVER (ORDER BY {md5_order('o_orderkey')}, o_orderkey) - 1"
+            " AS pos FROM orders")
+
+
+def split_95() -> str:
+    return f"""WITH p AS (SELECT o_orderkey,
+    row_number() OVER (ORDER BY {md5_order('o_orderkey')}, o_orderkey) - 1 AS pos,
+    count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN pos < (n * 19) // 20 THEN 'train' ELSE 'test' END AS split FROM p"""
+
+
+def shard_contiguous() -> str:
+    return """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,
+    count(*) OVER () AS n FROM orders),
+s AS (SELECT *, n // 10 AS q, n % 10 AS r FROM p)
+SELECT o_orderkey, CASE WHEN pos < r * (q + 1) THEN pos // (q + 1)
+                        ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END AS shard FROM s"""
+
+
+# --------------------------------------------------------------- formatting
+
+EOS = "<|endoftext|>"
+CHOICE_RE2 = r"(?m)^([A-E]):" + WS + r"*(.*)$"
+
+
+def _formatted_ctes(cu_sql: str) -> str:
+    """CTEs ending in ``fr(row_id, source, text, prompt_length_chars)`` and ``fr2`` (parsed)."""
+    return f"""cu AS ({cu_sql}),
+fr0 AS (SELECT row_id, source, answer, reasoning, {strip('question')} AS q FROM cu),
+fr1 AS (SELECT *, regexp_extract_all(q, '{CHOICE_RE2}', 1) AS ls, regexp_extract_all(q, '{CHOICE_RE2}', 2) AS ts,
+               {strip("string_split_regex(q, '[A-E]:')[1]")} AS body FROM fr0),
+fr2 AS (SELECT *, list_transform(range(len(ls)), lambda i: ls[i + 1] || '. ' || {strip('ts[i + 1]')}) AS choices FROM fr1),
+fr3 AS (SELECT *, body || {NL} || array_to_string(choices, {NL}) || {NL} || 'Answer:' AS prompt,
+               {strip('answer')} AS a, {strip("coalesce(reasoning, '')")} AS support FROM fr2),
+fr4 AS (SELECT *, CASE WHEN regexp_matches(a, '^[A-Z]') THEN substr(a, 1, 1)
+                       WHEN length(upper(a)) > 1 AND ends_with(upper(a), '.') THEN substr(upper(a), 1, 1)
+                       ELSE upper(a) END AS g FROM fr3),
+fr AS (SELECT row_id, source,
+         prompt || CASE WHEN support = '' THEN ' ' || g || '{EOS}'
+                        ELSE ' ' || g || {NL} || 'Reasoning: ' || support || '{EOS}' END AS text,
+         CAST(length(prompt) AS INT) AS prompt_length_chars FROM fr4)"""
+
+
+def format_answer_only() -> str:
+    return f"""WITH cf AS ({curate_fourcol()})
+SELECT row_id, source, question || {NL} || answer AS text,
+       CAST(length(question) + 1 AS INT) AS prompt_length_chars FROM cf"""
+
+
+def parse_choices() -> str:
+    return f"WITH {_formatted_ctes(curate_union())}\nSELECT row_id, body, choices FROM fr2"
+
+
+def format_rationale() -> str:
+    return f"WITH {_formatted_ctes(curate_union())}\nSELECT row_id, source, text, prompt_length_chars FROM fr"
+
+
+def length_profile() -> str:
+    return f"""WITH {_formatted_ctes(curate_union())}
+SELECT source, count(*) AS rows,
+       CAST(quantile_disc(length(text), 0.5) AS INT) AS median_len,
+       CAST(floor(quantile_cont(length(text), 0.9)) AS INT) AS p90_len,
+       CAST(max(length(text)) AS INT) AS max_len
+FROM fr GROUP BY ROLLUP (source)"""
+
+
+# ------------------------------------------------------------------- tokens
+
+def _piece_re2() -> str:
+    from ..functions.tokens import piece_pattern
+    return piece_pattern(EOS)
+
+
+def _tokenised_ctes(max_len: int = 1024) -> str:
+    piece = _piece_re2()
+    return f"""{_formatted_ctes(curate_union())},
+tk0 AS (SELECT row_id, text, prompt_length_chars, regexp_extract_all(text, '{piece}') AS pcs FROM fr),
+tk1 AS (SELECT *, list_transform(pcs[1:{max_len}], lambda p: CASE WHEN p = '{EOS}' THEN 1
+                   ELSE CAST(('0x' || substr(md5(p), 1, 7)) AS INT) + 2 END) AS input_ids,
+               len(regexp_extract_all(substr(text, 1, prompt_length_chars), '{piece}')) AS n_prompt FROM tk0),
+tk2 AS (SELECT *, CAST(len(input_ids) AS INT) AS n_tokens FROM tk1),
+tk3 AS (SELECT *, CAST(CASE WHEN n_prompt < n_tokens THEN n_prompt ELSE 0 END AS INT) AS response_start,
+               n_prompt >= n_tokens AS boundary_lost FROM tk2),
+tk AS (SELECT *, list_transform(input_ids, lambda x, i: CASE WHEN i - 1 < response_start OR x = 1
+                                                          THEN -100 ELSE x END) AS labels FROM tk3)"""
+
+
+def tokenise_default() -> str:
+    return f"WITH {_tokenised_ctes()}\nSELECT row_id, input_ids, n_tokens FROM tk"
+
+
+def mask_labels() -> str:
+    return f"WITH {_tokenised_ctes()}\nSELECT row_id, response_start, labels, boundary_lost FROM tk"
+
+
+def label_filter() -> str:
+    return (f"WITH {_tokenised_ctes()}\nSELECT row_id, n_tokens FROM tk "
+            "WHERE len(list_filter(labels, lambda x: x <> -100)) > 0")
+
+
+# --------------------------------------------------------------------- chat
+
+def chat_render() -> str:
+    return f"""SELECT conv_id, turn,
+  '<|im_start|>user' || {NL} || prompt || '<|im_end|>' || {NL} ||
+  '<|im_start|>assistant' || {NL} || target || '<|im_end|>' || {NL} AS text
+FROM ({FX_SFT})"""
+
+
+# --------------------------------------------------------------- evaluation
+
+EVAL_TOPIC = "knowledge and skills in advanced master-level STEM courses"
+
+
+def _eval_gold(x: str) -> str:
+    g = f"upper({strip(x)})"
+    return f"CASE WHEN ends_with({g}, '.') THEN substr({g}, 1, length({g}) - 1) ELSE {g} END"
+
+
+def eval_prompt() -> str:
+    header = f"'The following are multiple choice questions (with answers) about {EVAL_TOPIC}.' || {NL} || {NL}"
+    return f"""WITH e AS (SELECT o_orderkey AS example_id, question,
+    list_transform(options, lambda o: substr(o, instr(o, ')') + 1)) AS choices, correct AS answer
+  FROM ({FX_OPTLIST}))
+SELECT example_id,
+  {header} || {strip('question')} || {NL}
+    || array_to_string(list_transform(choices[1:26], lambda c, i: chr(CAST(64 + i AS INT)) || '. ' || {strip('c')} || {NL}), '')
+    || 'Answer:' AS prompt,
+  list_transform(choices[1:26], lambda c, i: ' ' || chr(CAST(64 + i AS INT))) AS continuations,
+  {_eval_gold('answer')} AS gold,
+  CAST(len(choices) AS INT) AS n_choices
+FROM e"""
+
+
+def choice_scores() -> str:
+    return f"SELECT example_id, choice_idx, sum(logprob) AS score FROM ({FX_TOKENS}) GROUP BY example_id, choice_idx"
+
+
+def mcq_predict() -> str:
+    return f"""WITH s AS ({choice_scores()}),
+b AS (SELECT example_id, choice_idx AS pred_idx FROM
+        (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, choice_idx) AS rn FROM s)
+      WHERE rn = 1),
+g AS (SELECT example_id, {_eval_gold('answer')} AS gold FROM ({FX_GOLD})),
+p AS (SELECT g.example_id, coalesce(chr(CAST(65 + b.pred_idx AS INT)), 'NONE') AS pred, gold
+      FROM g LEFT JOIN b ON g.example_id = b.example_id)
+SELECT example_id, pred, gold, pred = gold AS correct, {strip('pred')} = {strip('gold')} AS correct_norm FROM p"""
+
+
+def mcq_accuracy() -> str:
+    return f"""WITH p AS ({mcq_predict()})
+SELECT count(*) AS total, coalesce(sum(CAST(correct AS BIGINT)), 0) AS correct,
+       coalesce(sum(CAST(correct_norm AS BIGINT)), 0) AS correct_norm,
+       coalesce(sum(CAST(correct AS BIGINT)) / count(*), 0.0) AS accuracy,
+       coalesce(sum(CAST(correct_norm AS BIGINT)) / count(*), 0.0) AS accuracy_norm FROM p"""
+
+
+def token_logprob_gather() -> str:
+    return """WITH e AS (SELECT vec_id, label, embedding, CAST(list_max(embedding) AS DOUBLE) AS m FROM embeddings)
+SELECT vec_id, label,
+  round(CAST(embedding[label + 1] AS DOUBLE)
+        - (m + ln(list_sum(list_transform(embedding, lambda q: exp(CAST(q AS DOUBLE) - m))))), 6) AS logprob
+FROM e"""
+
+
+def preference_accuracy() -> str:
+    return f"""WITH p AS ({FX_PAIRS}), m AS (SELECT unnest(['none', 'sum', 'avg']) AS mode)
+SELECT mode, source, count(*) AS pairs,
+  avg(CAST(CASE mode
+        WHEN 'none' THEN (chosen_logp - ref_chosen_logp) > (rejected_logp - ref_rejected_logp)
+        WHEN 'sum' THEN chosen_logp > rejected_logp
+        WHEN 'avg' THEN chosen_logp / chosen_len > rejected_logp / rejected_len END AS DOUBLE)) AS accuracy
+FROM p, m GROUP BY mode, source"""

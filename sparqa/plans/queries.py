@@ -11,8 +11,13 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import curate
+from pyspark.sql import functions as F
+
+from ..functions import formatting as fmt
+from ..functions.text import bind_column, strip
+from ..operators import curate, evaluation, profile, sampling, tokenise
 from ..sources import fixtures
+from ..sources.tables import table
 from . import curation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,21 +43,143 @@ def curate_union(spark: SparkSession, root: str) -> DataFrame:
     return curation.curated_union(spark, root)
 
 
+# ------------------------------------------------------------- sampling
+
+def _orders(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def sample_exact(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.sample_exact(_orders(spark, root), "o_orderkey", curation.FOURCOL_SAMPLE,
+                                 curation.SEED)
+
+
+def shuffle_rank(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.with_position(_orders(spark, root).select("o_orderkey"), "o_orderkey",
+                                  "pos", order="hash", seed=curation.SEED)
+
+
+def split_95(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.split_train_test(_orders(spark, root).select("o_orderkey"), "o_orderkey",
+                                     curation.TRAIN_FRACTION, seed=curation.SEED)
+
+
+# Evaluation shard layout (first of ten contiguous shards).
+NUM_SHARDS = 10
+
+
+def shard_contiguous(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.shard_index(_orders(spark, root).select("o_orderkey"), "o_orderkey",
+                                NUM_SHARDS, order="key")
+
+
+# ------------------------------------------------------- formatting
+
+def format_answer_only(spark: SparkSession, root: str) -> DataFrame:
+    return tokenise.format_rows(curate_fourcol(spark, root), mode="answer_only")
+
+
+def parse_choices(spark: SparkSession, root: str) -> DataFrame:
+    """G2 + G3 over the curated union: question body and lettered choices."""
+    d = bind_column(curate_union(spark, root), strip("question"), "__q")
+    return d.select("row_id", fmt.question_body("__q").alias("body"),
+                    fmt.parse_choices("__q").alias("choices"))
+
+
+def format_rationale(spark: SparkSession, root: str) -> DataFrame:
+    return tokenise.format_rows(curate_union(spark, root), mode="rationale")
+
+
+def length_profile(spark: SparkSession, root: str) -> DataFrame:
+    return profile.length_profile(format_rationale(spark, root), "text", by="source")
+
+
+# ------------------------------------------------------------ tokens
+
+def _tokenised(spark: SparkSession, root: str) -> DataFrame:
+    return tokenise.tokenise(format_rationale(spark, root), tokenise.MAX_LEN_RATIONALE)
+
+
+def tokenise_default(spark: SparkSession, root: str) -> DataFrame:
+    return _tokenised(spark, root).select("row_id", "input_ids", "n_tokens")
+
+
+def mask_labels(spark: SparkSession, root: str) -> DataFrame:
+    return _tokenised(spark, root).select("row_id", "response_start", "labels", "boundary_lost")
+
+
+def label_filter(spark: SparkSession, root: str) -> DataFrame:
+    return tokenise.label_filter(_tokenised(spark, root)).select("row_id", "n_tokens")
+
+
+# ------------------------------------------------------------------- chat
+
+def chat_render(spark: SparkSession, root: str) -> DataFrame:
+    sft = fixtures.sft_pairs(spark, root)
+    text = fmt.render_chat([("user", F.col("prompt")), ("assistant", F.col("target"))])
+    return sft.select("conv_id", "turn", text.alias("text"))
+
+
+# ------------------------------------------------- evaluation
+
+def eval_prompt(spark: SparkSession, root: str) -> DataFrame:
+    e = fixtures.eval_questions(spark, root)
+    return e.select("example_id", fmt.eval_prompt("question", "choices").alias("prompt"),
+                    fmt.eval_continuations("choices").alias("continuations"),
+                    fmt.eval_gold("answer").alias("gold"),
+                    F.size("choices").alias("n_choices"))
+
+
+def choice_scores(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.choice_scores(fixtures.token_logprobs(spark, root))
+
+
+def mcq_predict(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.predictions(choice_scores(spark, root), fixtures.gold_answers(spark, root))
+
+
+def mcq_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.accuracy(mcq_predict(spark, root))
+
+
+def token_logprob_gather(spark: SparkSession, root: str) -> DataFrame:
+    """K5: each embedding read as a logit vector, scored at its label."""
+    e = table(spark, root, "embeddings")
+    d = evaluation.token_logprob(e, "embedding", "label")
+    return d.select("vec_id", "label", F.round("logprob", 6).alias("logprob"))
+
+
+def preference_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.preference_accuracy(fixtures.preference_pairs(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "curate_boxed": curate_boxed,
     "curate_distractor": curate_distractor,
     "curate_optlist": curate_optlist,
     "curate_fourcol": curate_fourcol,
     "curate_union": curate_union,
+    "sample_exact": sample_exact,
+    "shuffle_rank": shuffle_rank,
+    "split_95": split_95,
+    "shard_contiguous": shard_contiguous,
+    "format_answer_only": format_answer_only,
+    "parse_choices": parse_choices,
+    "format_rationale": format_rationale,
+    "length_profile": length_profile,
+    "tokenise_default": tokenise_default,
+    "mask_labels": mask_labels,
+    "label_filter": label_filter,
+    "chat_render": chat_render,
+    "eval_prompt": eval_prompt,
+    "choice_scores": choice_scores,
+    "mcq_predict": mcq_predict,
+    "mcq_accuracy": mcq_accuracy,
+    "token_logprob_gather": token_logprob_gather,
+    "preference_accuracy": preference_accuracy,
 }
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracle
-    return {
-        "curate_boxed": oracle.curate_boxed(),
-        "curate_distractor": oracle.curate_distractor(),
-        "curate_optlist": oracle.curate_optlist(),
-        "curate_fourcol": oracle.curate_fourcol(),
-        "curate_union": oracle.curate_union(),
-    }
+    return {name: getattr(oracle, name)() for name in QUERIES if hasattr(oracle, name)}
