@@ -377,3 +377,46 @@ SELECT mode, source, count(*) AS pairs,
         WHEN 'sum' THEN chosen_logp > rejected_logp
         WHEN 'avg' THEN chosen_logp / chosen_len > rejected_logp / rejected_len END AS DOUBLE)) AS accuracy
 FROM p, m GROUP BY mode, source"""
+
+
+# ---------------------------------------------------------------- retrieval
+
+WORD_RE2 = r"[\p{L}\p{Nd}_]+"
+
+
+def chunk_documents(max_chunks: int = 100000, size: int = 512) -> str:
+    return f"""WITH d AS (SELECT doc_id, {strip('text')} AS s FROM documents),
+w AS (SELECT doc_id, CASE WHEN s = '' THEN []::VARCHAR[] ELSE string_split_regex(s, '{WS}+') END AS words FROM d),
+c AS (SELECT doc_id, words, unnest(range(CAST(ceil(len(words) / {size}) AS BIGINT))) AS i FROM w)
+SELECT doc_id, CAST(i AS INT) AS chunk_idx,
+       CAST(len(words[i * {size} + 1 : i * {size} + {size}]) AS INT) AS n_words,
+       array_to_string(words[i * {size} + 1 : i * {size} + {size}], ' ') AS text
+FROM c ORDER BY doc_id, chunk_idx LIMIT {max_chunks}"""
+
+
+def _vector_topk(fn: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
+    round({fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, similarity FROM r WHERE rank <= 2"""
+
+
+def retrieve_cosine() -> str:
+    return _vector_topk("list_cosine_similarity")
+
+
+def retrieve_dot() -> str:
+    return _vector_topk("list_inner_product")
+
+
+def retrieve_jaccard() -> str:
+    return f"""WITH ch AS ({chunk_documents()}),
+ct AS (SELECT doc_id, chunk_idx, list_distinct(regexp_extract_all(lower(text), '{WORD_RE2}')) AS toks FROM ch),
+qt AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD_RE2}')) AS toks FROM benchmark),
+s AS (SELECT qt.item_id AS query_id, ct.doc_id, ct.chunk_idx,
+             len(list_intersect(qt.toks, ct.toks)) AS inter, len(qt.toks) AS qn, len(ct.toks) AS cn
+      FROM qt, ct),
+j AS (SELECT query_id, doc_id, chunk_idx, round(inter / (qn + cn - inter), 6) AS similarity FROM s WHERE inter > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_idx) AS rank FROM j)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_idx, similarity FROM r WHERE rank <= 2"""

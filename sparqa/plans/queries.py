@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..functions.text import bind_column, strip
-from ..operators import curate, evaluation, profile, sampling, tokenise
+from ..operators import curate, evaluation, profile, retrieval, sampling, tokenise
 from ..sources import fixtures
 from ..sources.tables import table
 from . import curation
@@ -153,6 +153,37 @@ def preference_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return evaluation.preference_accuracy(fixtures.preference_pairs(spark, root))
 
 
+# -------------------------------------------------------- retrieval
+
+def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
+    return retrieval.chunk_documents(table(spark, root, "documents"))
+
+
+def _embeddings(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "embeddings").select("vec_id", "embedding")
+
+
+def retrieve_cosine(spark: SparkSession, root: str) -> DataFrame:
+    """Nearest two other vectors of every vector by cosine similarity."""
+    e = _embeddings(spark, root)
+    return retrieval.retrieve_vectors(e, e, sim="cosine", exclude_self=True) \
+        .withColumnRenamed("vec_id", "doc_id")
+
+
+def retrieve_dot(spark: SparkSession, root: str) -> DataFrame:
+    """Nearest two other vectors of every vector by inner product."""
+    e = _embeddings(spark, root)
+    return retrieval.retrieve_vectors(e, e, sim="dot_product", exclude_self=True) \
+        .withColumnRenamed("vec_id", "doc_id")
+
+
+def retrieve_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    """Top two document chunks of every benchmark item by token-set Jaccard."""
+    chunks = chunk_documents(spark, root)
+    items = table(spark, root, "benchmark")
+    return retrieval.retrieve_text(items, chunks, "item_id", "text", ["doc_id", "chunk_idx"], "text")
+
+
 QUERIES: dict[str, Query] = {
     "curate_boxed": curate_boxed,
     "curate_distractor": curate_distractor,
@@ -177,6 +208,10 @@ QUERIES: dict[str, Query] = {
     "mcq_accuracy": mcq_accuracy,
     "token_logprob_gather": token_logprob_gather,
     "preference_accuracy": preference_accuracy,
+    "chunk_documents": chunk_documents,
+    "retrieve_cosine": retrieve_cosine,
+    "retrieve_dot": retrieve_dot,
+    "retrieve_jaccard": retrieve_jaccard,
 }
 
 

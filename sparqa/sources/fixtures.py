@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 BS = "\\"  # a single backslash
 
@@ -28,7 +28,7 @@ def boxed_source(spark: SparkSession, root: str) -> DataFrame:
     The whole document text is part of both problem and solution, so every
     extraction pattern scans complete texts.
     """
-    d = table(spark, root, "documents")
+    d = spread(table(spark, root, "documents").select("doc_id", "text", "source"))
     k = F.col("doc_id") % 8
     tail = (F.when(k == 0, F.lit(f"So ${BS}boxed{{{BS}text{{B}}}}$ holds"))
              .when(k == 1, F.lit("step\nconclusion: C"))
