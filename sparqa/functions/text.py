@@ -23,8 +23,18 @@ LINE_BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def _class(chars: str) -> str:
-    """A regex character class listing ``chars`` as ``\\x{h}`` escapes (Java and RE2)."""
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """A regex character class for ``chars`` as ``\\x{h}`` escapes and ranges
+    (valid in Java and RE2; ranges keep Java's per-character test short)."""
+    codes = sorted(set(ord(c) for c in chars))
+    parts, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        lo = f"\\x{{{codes[i]:x}}}"
+        parts.append(lo if j == i else f"{lo}-\\x{{{codes[j]:x}}}")
+        i = j + 1
+    return "[" + "".join(parts) + "]"
 
 
 WS = _class(WS_CHARS)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, col, let, strip
+from ..functions.text import WS, bind_column, col, let, strip
 
 # Retrieval defaults of the reference configuration.
 TOP_K = 2
@@ -47,24 +47,34 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``(doc_id, chunk_idx, n_words, text)``; with ``max_chunks`` only the first
     chunks in (doc_id, chunk_idx) order are kept.
 
-    The cap is decided on (doc_id, chunk count) keys alone: at most
-    ``max_chunks`` documents can contribute, so the ordered head that decides
-    it has at most ``max_chunks`` small rows however large the corpus is, and
-    the resulting allow-list is a size-bounded broadcast.
+    Every non-empty document yields at least one chunk, so only the first
+    ``max_chunks`` non-empty doc ids can contribute. Those ids (a top-n of at
+    most ``max_chunks`` longs, found with a cheap emptiness test) are the only
+    documents whose words are counted; the resulting allow-list is a
+    size-bounded broadcast, and its largest id becomes a ``doc_id <= bound``
+    filter that Parquet can apply with row-group statistics.
     """
-    d = docs.select(doc_id, words(text).alias("__w"))
-    d = d.withColumn("__n", F.ceil(F.size("__w") / F.lit(chunk_tokens)).cast("int"))
+    docs = docs.select(doc_id, text)
     if max_chunks is not None:
-        head = (d.where(F.col("__n") > 0).select(doc_id, "__n")
-                 .orderBy(doc_id).limit(max_chunks))
+        first_ids = (docs.where(strip(text) != "").select(doc_id)
+                         .orderBy(doc_id).limit(max_chunks))
+        counts = (docs.join(F.broadcast(first_ids), doc_id)
+                      .select(doc_id, F.ceil(F.size(words(text)) / F.lit(chunk_tokens)).alias("__n")))
         before = F.coalesce(F.sum("__n").over(
             Window.orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        allow = (head.select(doc_id, F.least(F.col("__n"), F.lit(max_chunks) - before).alias("__keep"))
-                     .where(F.col("__keep") > 0))
-        d = d.join(F.broadcast(allow), doc_id)
-        d = d.withColumn("__n", F.col("__keep")).drop("__keep")
-    idx = F.when(F.col("__n") > 0, F.sequence(F.lit(0), F.col("__n") - 1)).otherwise(
-        F.array().cast("array<int>"))
+        allow = (counts.select(doc_id, F.least(F.col("__n"), F.lit(max_chunks) - before).alias("__keep"))
+                       .where(F.col("__keep") > 0))
+        bound = allow.agg(F.max(doc_id)).first()[0]
+        if bound is None:
+            docs = docs.where(F.lit(False))
+        else:
+            docs = docs.where(F.col(doc_id) <= F.lit(bound))
+        docs = docs.join(F.broadcast(allow), doc_id)
+    d = bind_column(docs, words(text), "__w")
+    n = F.ceil(F.size("__w") / F.lit(chunk_tokens)).cast("int")
+    if max_chunks is not None:
+        n = F.least(n, F.col("__keep").cast("int"))
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     chunks = F.transform(idx, lambda i: F.struct(
         i.alias("chunk_idx"),
         F.slice("__w", i * chunk_tokens + 1, chunk_tokens).alias("__cw")))

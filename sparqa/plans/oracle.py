@@ -420,3 +420,13 @@ s AS (SELECT qt.item_id AS query_id, ct.doc_id, ct.chunk_idx,
 j AS (SELECT query_id, doc_id, chunk_idx, round(inter / (qn + cn - inter), 6) AS similarity FROM s WHERE inter > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_idx) AS rank FROM j)
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_idx, similarity FROM r WHERE rank <= 2"""
+
+
+# -------------------------------------------------------------------- sinks
+
+def write_read_roundtrip() -> str:
+    return f"""WITH u AS ({curate_union()}),
+p AS (SELECT *, row_number() OVER (ORDER BY {md5_order('row_id')}, row_id) - 1 AS pos,
+             count(*) OVER () AS n FROM u)
+SELECT row_id, question, reasoning, answer, source,
+       CASE WHEN pos < (n * 19) // 20 THEN 'train' ELSE 'test' END AS split FROM p"""

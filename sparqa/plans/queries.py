@@ -17,7 +17,7 @@ from ..functions import formatting as fmt
 from ..functions.text import bind_column, strip
 from ..operators import curate, evaluation, profile, retrieval, sampling, tokenise
 from ..sources import fixtures
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import curation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def curate_union(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------- sampling
 
 def _orders(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return spread(table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
 def sample_exact(spark: SparkSession, root: str) -> DataFrame:
@@ -144,7 +144,7 @@ def mcq_accuracy(spark: SparkSession, root: str) -> DataFrame:
 
 def token_logprob_gather(spark: SparkSession, root: str) -> DataFrame:
     """K5: each embedding read as a logit vector, scored at its label."""
-    e = table(spark, root, "embeddings")
+    e = spread(table(spark, root, "embeddings"))
     d = evaluation.token_logprob(e, "embedding", "label")
     return d.select("vec_id", "label", F.round("logprob", 6).alias("logprob"))
 
@@ -156,11 +156,11 @@ def preference_accuracy(spark: SparkSession, root: str) -> DataFrame:
 # -------------------------------------------------------- retrieval
 
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
-    return retrieval.chunk_documents(table(spark, root, "documents"))
+    return retrieval.chunk_documents(spread(table(spark, root, "documents")))
 
 
 def _embeddings(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "embeddings").select("vec_id", "embedding")
+    return spread(table(spark, root, "embeddings").select("vec_id", "embedding"))
 
 
 def retrieve_cosine(spark: SparkSession, root: str) -> DataFrame:
@@ -184,6 +184,14 @@ def retrieve_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.retrieve_text(items, chunks, "item_id", "text", ["doc_id", "chunk_idx"], "text")
 
 
+# ----------------------------------------------------------- sinks
+
+def write_read_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """The curated, shuffled, split table written once as Parquet and read back."""
+    return curation.materialised_dataset(spark, root).select(
+        "row_id", "question", "reasoning", "answer", "source", "split")
+
+
 QUERIES: dict[str, Query] = {
     "curate_boxed": curate_boxed,
     "curate_distractor": curate_distractor,
@@ -212,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "retrieve_cosine": retrieve_cosine,
     "retrieve_dot": retrieve_dot,
     "retrieve_jaccard": retrieve_jaccard,
+    "write_read_roundtrip": write_read_roundtrip,
 }
 
 

@@ -42,19 +42,26 @@ def get_session(master: str | None = None, app: str = "sparqa",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset on a local
-    master (tests, laptop runs) is a fresh scratch folder registered; on a
-    cluster an unset value is an error, never a machine-local folder.
+    The cluster's setting always wins (``DataFrame.checkpoint`` then writes to
+    a per-application folder below it, and written tables such as build-once
+    caches go directly below it so later sessions can reuse them). Only when it
+    is unset on a local master (tests, laptop runs) is a fresh scratch folder
+    registered; on a cluster an unset value is an error, never a machine-local
+    folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not (sc.master or "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="sparqa-ckpt-",
-                                   dir=os.environ.get("TMPDIR", "/tmp"))
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
+        return configured
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not (sc.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    current = tempfile.mkdtemp(prefix="sparqa-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(current)
+    return current

@@ -49,7 +49,7 @@ def boxed_source(spark: SparkSession, root: str) -> DataFrame:
 def distractor_source(spark: SparkSession, root: str) -> DataFrame:
     """question, three distractors, correct answer, support (every 50th row has a
     distractor equal to the answer, every 10th an empty support)."""
-    p = table(spark, root, "part")
+    p = spread(table(spark, root, "part"))
     key = F.col("p_partkey")
     return p.select(
         key,
@@ -64,7 +64,7 @@ def distractor_source(spark: SparkSession, root: str) -> DataFrame:
 
 def optlist_source(spark: SparkSession, root: str) -> DataFrame:
     """question, option list ``"A)..."`` (with ``)`` inside a value and blanks), rationale, letter."""
-    o = table(spark, root, "orders")
+    o = spread(table(spark, root, "orders"))
     key = F.col("o_orderkey")
     return o.select(
         key,
@@ -81,7 +81,7 @@ def optlist_source(spark: SparkSession, root: str) -> DataFrame:
 def fourcol_source(spark: SparkSession, root: str) -> DataFrame:
     """question, four option columns, answer index, explanation (some null),
     choice type (some multi)."""
-    c = table(spark, root, "customer")
+    c = spread(table(spark, root, "customer"))
     key = F.col("c_custkey")
     return c.select(
         key,
@@ -98,7 +98,7 @@ def token_logprobs(spark: SparkSession, root: str) -> DataFrame:
     """Per (example, choice, token) log-probabilities: exact binary fractions, so
     sums do not depend on order; scores tie for some examples. Generated with
     ``explode`` (no join)."""
-    o = table(spark, root, "orders").select("o_orderkey")
+    o = spread(table(spark, root, "orders").select("o_orderkey"))
     key = F.col("o_orderkey")
     g = (o.withColumn("choice_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
           .withColumn("token_pos", F.explode(F.sequence(F.lit(0), F.lit(1)))))
@@ -109,7 +109,7 @@ def token_logprobs(spark: SparkSession, root: str) -> DataFrame:
 
 def gold_answers(spark: SparkSession, root: str) -> DataFrame:
     """Gold answer per example; every third as lower case with a blank and a dot."""
-    o = table(spark, root, "orders")
+    o = spread(table(spark, root, "orders").select("o_orderkey"))
     key = F.col("o_orderkey")
     L = F.substring(F.lit("ABCD"), (key % 4 + 1).cast("int"), 1)
     return o.select(key.alias("example_id"),
@@ -119,7 +119,7 @@ def gold_answers(spark: SparkSession, root: str) -> DataFrame:
 
 def preference_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Chosen/rejected log-probabilities with reference-model values and lengths."""
-    d = table(spark, root, "documents")
+    d = spread(table(spark, root, "documents").select("doc_id", "source"))
     k = F.col("doc_id")
     return d.select(
         k.alias("pair_id"), "source",
@@ -141,7 +141,7 @@ def sft_pairs(spark: SparkSession, root: str) -> DataFrame:
     Equi-join on the unique (conv_id, turn) key, so a very long conversation
     cannot skew one task.
     """
-    c = table(spark, root, "conversations")
+    c = spread(table(spark, root, "conversations"))
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))

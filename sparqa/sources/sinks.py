@@ -33,7 +33,8 @@ def options_key(options: dict) -> str:
 
 
 def materialise_once(spark: SparkSession, base: str, build: Callable[[], DataFrame],
-                     options: dict | None = None) -> DataFrame:
+                     options: dict | None = None,
+                     partition_by: list[str] | None = None) -> DataFrame:
     """Read ``base/<options-hash>`` if it was completely written, else build,
     write and read it back.
 
@@ -44,7 +45,7 @@ def materialise_once(spark: SparkSession, base: str, build: Callable[[], DataFra
     """
     path = f"{base.rstrip('/')}/{options_key(options or {})}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        write_table(build(), path)
+        write_table(build(), path, partition_by=partition_by)
     return spark.read.parquet(path)
 
 
