@@ -49,7 +49,7 @@ def curate_boxed(df: DataFrame, key: str = "doc_id", problem: str = "problem",
                  observation: Observation | None = None) -> DataFrame:
     """Free-form solutions: extract the answer (X1-X6) and drop rows without one."""
     d = bind_column(df, extract_answer(solution, problem), "__ans")
-    bad = F.col("__ans").isNull() | F.col(problem).isNull() | F.col(solution).isNull()
+    bad = F.col("__ans").isNull()    # a null problem or solution already yields a null answer
     d = _observe(d, observation, bad)
     return d.where(~bad).select(*_canonical(F.col(problem), F.col(solution), F.col("__ans"),
                                             F.col(source), row_id(key, "boxed")))
