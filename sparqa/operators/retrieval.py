@@ -176,11 +176,16 @@ def _topk_partition(batches: Iterator[pd.DataFrame], queries: dict, sim: str, k:
         yield best[["query_id", *cid_cols, "similarity"]]
 
 
-def _query_blocks(queries: DataFrame, q_id: str, value: Column, row_bytes: int,
+def _query_blocks(queries: DataFrame, q_id: str, value: Column,
                   max_bytes: int) -> list[DataFrame]:
-    n = queries.count()
-    blocks = max(1, math.ceil(n * row_bytes / max_bytes))
+    """Split the query side into blocks whose broadcast payload is at most
+    ``max_bytes``; the payload size is measured (ids + 8 bytes per element),
+    not guessed."""
     q = queries.select(F.col(q_id).alias("__qid"), value.alias("__qv"))
+    stats = q.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.sum(F.size("__qv")), F.lit(0)).alias("elems")).first()
+    payload = 8 * (int(stats["n"]) + int(stats["elems"]))
+    blocks = max(1, math.ceil(payload / max_bytes))
     if blocks == 1:
         return [q]
     b = F.pmod(F.xxhash64(F.col("__qid")), F.lit(blocks))
@@ -189,8 +194,7 @@ def _query_blocks(queries: DataFrame, q_id: str, value: Column, row_bytes: int,
 
 def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
           c_ids: list[str], c_value: Column, sim: str = "cosine", k: int = TOP_K,
-          exclude_self: bool = False, row_bytes: int = 1024,
-          max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+          exclude_self: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """J1 + R7: for every query, the ``k`` most similar corpus rows.
 
     Output ``(query_id, rank, c_ids..., similarity)``; similarity is rounded
@@ -205,7 +209,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
                        + ["similarity double"])
     c = corpus.select(*c_ids, c_value.alias("__cv"))
     parts = []
-    for block in _query_blocks(queries, q_id, q_value, row_bytes, max_broadcast_bytes):
+    for block in _query_blocks(queries, q_id, q_value, max_broadcast_bytes):
         pdf = block.toPandas()
         payload = {"ids": pdf["__qid"].to_numpy(dtype=np.int64),
                    "values": ([np.unique(np.asarray(v, dtype=np.int64)) for v in pdf["__qv"]] if sim == "jaccard"
@@ -229,13 +233,10 @@ def retrieve_vectors(queries: DataFrame, corpus: DataFrame, q_id: str = "vec_id"
                      c_id: str = "vec_id", vector: str = "embedding", sim: str = "cosine",
                      k: int = TOP_K, exclude_self: bool = False) -> DataFrame:
     """J1-J3 over vector columns."""
-    dim_bytes = 8 * 1024  # per-row bound used for the broadcast size check
-    return top_k(queries, corpus, q_id, F.col(vector), [c_id], F.col(vector), sim, k,
-                 exclude_self, row_bytes=dim_bytes)
+    return top_k(queries, corpus, q_id, F.col(vector), [c_id], F.col(vector), sim, k, exclude_self)
 
 
 def retrieve_text(queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str,
                   c_ids: list[str], c_text: str, k: int = TOP_K) -> DataFrame:
     """Token-set Jaccard retrieval between two text tables."""
-    return top_k(queries, corpus, q_id, token_hashes(q_text), c_ids, token_hashes(c_text),
-                 "jaccard", k, row_bytes=4096)
+    return top_k(queries, corpus, q_id, token_hashes(q_text), c_ids, token_hashes(c_text), "jaccard", k)

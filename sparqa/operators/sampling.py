@@ -19,14 +19,16 @@ ranked with a window. So a 95/5 split of N rows shuffles about N/65536 rows.
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
-HASH_DIGITS = 4            # 16**4 = 65 536 buckets for seeded orders
-KEY_BUCKETS = 4096         # quantile buckets for the natural key order
+HASH_DIGITS = 4            # finest seeded bucket: 16**4 = 65 536 md5 prefixes
+BUCKET_ROWS = 250_000      # target rows per bucket (bounds a straddling bucket's rank)
+KEY_BUCKETS_MIN, KEY_BUCKETS_MAX = 16, 65536
 
 _B, _LO, _CNT, _N, _POS, _H = "__b", "__lo", "__cnt", "__n", "__pos", "__h"
 
@@ -39,17 +41,52 @@ def seeded_hash(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def _hash_ordered(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, list[Column]]:
-    d = df.withColumn(_H, seeded_hash(key, seed))
-    d = d.withColumn(_B, F.conv(F.substring(_H, 1, HASH_DIGITS), 16, 10).cast("int"))
-    return d, [F.col(_H), F.col(key)]
+def _local_stats(spark, pdf, bucket_type: str) -> DataFrame:
+    """(bucket, count, first position, total) from per-bucket counts, as a
+    local relation (at most one row per bucket)."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(_B, kind="mergesort").reset_index(drop=True)
+    cnt = pdf[_CNT].astype("int64")
+    out = pd.DataFrame({_B: pdf[_B], _CNT: cnt, _LO: cnt.cumsum() - cnt,
+                        _N: pd.Series([int(cnt.sum())] * len(pdf), dtype="int64")})
+    return spark.createDataFrame(out, f"{_B} {bucket_type}, {_CNT} long, {_LO} long, {_N} long")
 
 
-def _key_ordered(df: DataFrame, key: str, buckets: int = KEY_BUCKETS) -> tuple[DataFrame, list[Column]]:
-    """Buckets from approximate quantiles of ``key``; exactness comes from the
-    in-bucket rank, the quantiles only balance the buckets."""
+def _hash_ordered(df: DataFrame, key: str, seed: int):
+    """Seeded order ``(md5(seed|key), key)``; buckets are md5 prefixes.
+
+    Counts are taken once at the finest prefix length (distributed, partial
+    aggregation; at most 65 536 result rows). The driver then picks the
+    shortest prefix whose largest bucket holds at most ``BUCKET_ROWS`` rows,
+    so small inputs get few buckets and huge inputs still have bounded ones.
+    """
+    d = df.withColumn(_H, seeded_hash(key, seed))
+    fine = (d.groupBy(F.substring(_H, 1, HASH_DIGITS).alias(_B))
+             .agg(F.count(F.lit(1)).alias(_CNT)).toPandas())
+    digits = HASH_DIGITS
+    for dd in range(1, HASH_DIGITS):
+        if len(fine) == 0 or fine.groupby(fine[_B].str[:dd])[_CNT].sum().max() <= BUCKET_ROWS:
+            digits = dd
+            break
+    coarse = (fine.assign(**{_B: fine[_B].str[:digits]})
+                  .groupby(_B, as_index=False)[_CNT].sum())
+    stats = _local_stats(df.sparkSession, coarse, "string")
+    return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
+
+
+def _key_ordered(df: DataFrame, key: str):
+    """Natural order of ``key``; buckets from approximate quantiles (exactness
+    comes from the in-bucket rank, the quantiles only balance the buckets).
+
+    The bucket count follows the row count (about ``BUCKET_ROWS`` rows per
+    bucket), so a straddling bucket stays bounded at any scale; the driver
+    receives only the bounds and the per-bucket counts.
+    """
     from pyspark.ml.feature import Bucketizer
 
+    n = df.count()
+    buckets = int(min(KEY_BUCKETS_MAX, max(KEY_BUCKETS_MIN, math.ceil(n / BUCKET_ROWS))))
     probs = [i / buckets for i in range(1, buckets)]
     row = df.select(F.percentile_approx(F.col(key).cast("double"), probs, 10 * buckets)
                     .alias("q")).first()
@@ -58,7 +95,8 @@ def _key_ordered(df: DataFrame, key: str, buckets: int = KEY_BUCKETS) -> tuple[D
     d = df.withColumn("__kd", F.col(key).cast("double"))
     d = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd").transform(d)
     d = d.withColumn(_B, F.col("__bd").cast("int")).drop("__kd", "__bd")
-    return d, [F.col(key)]
+    counts = d.groupBy(_B).agg(F.count(F.lit(1)).alias(_CNT)).toPandas()
+    return d, [F.col(key)], _local_stats(df.sparkSession, counts, "int")
 
 
 def _ordered(df: DataFrame, key: str, order: str, seed: int):
@@ -69,16 +107,6 @@ def _ordered(df: DataFrame, key: str, order: str, seed: int):
     raise ValueError(f"order must be 'hash' or 'key', not {order!r}")
 
 
-def _bucket_stats(d: DataFrame) -> DataFrame:
-    """(bucket, count, first position, total rows). Bounded by the bucket count."""
-    counts = d.groupBy(_B).agg(F.count(F.lit(1)).alias(_CNT))
-    running = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    return counts.select(_B, _CNT,
-                         F.coalesce(F.sum(_CNT).over(running), F.lit(0)).alias(_LO),
-                         F.sum(_CNT).over(whole).alias(_N))
-
-
 # ------------------------------------------------------------------ R1 / R3
 
 def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash",
@@ -89,10 +117,9 @@ def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash"
     shuffle, R3); ``order="key"`` is the natural order of ``key``. ``key`` must
     be unique.
     """
-    d, order_cols = _ordered(df, key, order, seed)
-    stats = F.broadcast(_bucket_stats(d).select(_B, _LO))
+    d, order_cols, stats = _ordered(df, key, order, seed)
     w = Window.partitionBy(_B).orderBy(*order_cols)
-    return (d.join(stats, _B)
+    return (d.join(F.broadcast(stats.select(_B, _LO)), _B)
              .withColumn(out, F.col(_LO) + F.row_number().over(w) - 1)
              .drop(_B, _LO, _H))
 
@@ -104,19 +131,18 @@ def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Colum
     Buckets whose first and last positions fall in the same segment are
     assigned directly; only straddling buckets are ranked.
     """
-    d, order_cols = _ordered(df, key, order, seed)
-    stats = _bucket_stats(d)
+    d, order_cols, stats = _ordered(df, key, order, seed)
     lo, n = F.col(_LO), F.col(_N)
-    stats = stats.select(_B, _LO, _N,
+    stats = stats.select(_B, _LO, _N, segment(lo, n).alias("__seg"),
                          (segment(lo, n) == segment(lo + F.col(_CNT) - 1, n)).alias("__pure"))
     j = d.join(F.broadcast(stats), _B)
-    pure = j.where(F.col("__pure")).withColumn(out, segment(lo, n))
+    pure = j.where(F.col("__pure")).withColumn(out, F.col("__seg"))
     w = Window.partitionBy(_B).orderBy(*order_cols)
     mixed = (j.where(~F.col("__pure"))
               .withColumn(_POS, lo + F.row_number().over(w) - 1)
               .withColumn(out, segment(F.col(_POS), n))
               .drop(_POS))
-    return pure.unionByName(mixed).drop(_B, _LO, _N, _H, "__pure")
+    return pure.unionByName(mixed).drop(_B, _LO, _N, _H, "__pure", "__seg")
 
 
 # ------------------------------------------------------------------- R2, R4

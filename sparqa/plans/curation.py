@@ -37,12 +37,19 @@ def curated_union(spark: SparkSession, root: str,
 
 
 def shuffled_split(curated: DataFrame, seed: int = SEED,
-                   train_fraction: float = TRAIN_FRACTION) -> DataFrame:
+                   train_fraction: float = TRAIN_FRACTION, materialise: bool = True) -> DataFrame:
     """R3 + R4: seeded shuffle of the union, first ``int(0.95 N)`` rows are train.
 
     The split follows the shuffled order over the whole union (not stratified
-    by source).
+    by source). The split reads its input more than once (bucket counts, then
+    the rows), so the curated table is first checkpointed to the shared
+    checkpoint folder: the regex extraction runs once, and a lost executor
+    re-reads the checkpoint instead of recomputing the curation.
     """
+    if materialise:
+        from ..session import checkpoint_dir
+        checkpoint_dir(curated.sparkSession)
+        curated = curated.checkpoint(eager=True)
     return sampling.split_train_test(curated, "row_id", train_fraction, seed=seed)
 
 

@@ -23,7 +23,7 @@ def test_query_blocks_give_same_result(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     one = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3)
     many = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3,
-                           row_bytes=1024, max_broadcast_bytes=1024 * 7)
+                           max_broadcast_bytes=8 * 5 * 7)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
