@@ -44,7 +44,11 @@ def piece_id(p: Column, eos: str = EOS) -> Column:
 
 def token_ids(text: Column | str, max_len: int, eos: str = EOS) -> Column:
     """K1: ids of the first ``max_len`` pieces (right truncation)."""
-    return F.transform(F.slice(pieces(text, eos), 1, max_len), lambda p: piece_id(p, eos))
+    return ids_of(F.slice(pieces(text, eos), 1, max_len), eos)
+
+
+def ids_of(piece_list: Column, eos: str = EOS) -> Column:
+    return F.transform(piece_list, lambda p: piece_id(p, eos))
 
 
 def prompt_tokens(text: Column | str, prompt_chars: Column | str, eos: str = EOS) -> Column:
@@ -53,6 +57,17 @@ def prompt_tokens(text: Column | str, prompt_chars: Column | str, eos: str = EOS
     return F.size(pieces(col(text).substr(F.lit(1), col(prompt_chars)), eos))
 
 
+def starts_before(piece_list: Column, limit: Column) -> Column:
+    """How many pieces start before character ``limit`` (start offsets are the
+    running sum of piece lengths; one linear pass, no offset array built)."""
+    init = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("cnt"))
+    return F.aggregate(piece_list, init,
+                       lambda acc, p: F.struct((acc["pos"] + F.length(p)).alias("pos"),
+                                               (acc["cnt"] + F.when(acc["pos"] < limit, 1).otherwise(0))
+                                               .alias("cnt")),
+                       lambda acc: acc["cnt"])
+
+
 def response_start(n_prompt: Column, n_tokens: Column) -> Column:
     """K2: index of the first token starting at or after the prompt; 0 when
     truncation removed every such token (the whole row then stays unmasked)."""

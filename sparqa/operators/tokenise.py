@@ -39,17 +39,22 @@ def tokenise(df: DataFrame, max_len: int = MAX_LEN_RATIONALE, text: str = "text"
     which keeps shuffles and files small. ``boundary_lost`` marks rows whose
     response was truncated away (they keep an unmasked prompt).
     """
-    def per_row(ids: Column) -> Column:
-        def with_prompt(n_prompt: Column) -> Column:
-            n = F.size(ids)
-            start = tk.response_start(n_prompt, n)
-            return F.struct(ids.alias("input_ids"), n.alias("n_tokens"),
-                            start.alias("response_start"),
-                            tk.mask_labels(ids, start, pad_id).alias("labels"),
-                            (n_prompt >= n).alias("boundary_lost"))
-        return let(tk.prompt_tokens(text, prompt_chars, eos), with_prompt)
-
-    d = bind_column(df, let(tk.token_ids(text, max_len, eos), per_row), "__tok")
+    def per_row(kept: Column) -> Column:
+        n = F.size(kept)
+
+        def with_ids(ids: Column) -> Column:
+            def with_prompt(n_prompt: Column) -> Column:
+                start = tk.response_start(n_prompt, n)
+                return F.struct(ids.alias("input_ids"), n.alias("n_tokens"),
+                                start.alias("response_start"),
+                                tk.mask_labels(ids, start, pad_id).alias("labels"),
+                                (n_prompt >= n).alias("boundary_lost"))
+            return let(tk.starts_before(kept, F.col(prompt_chars)), with_prompt)
+
+        return let(tk.ids_of(kept, eos), with_ids)
+
+    kept = F.slice(tk.pieces(text, eos), 1, max_len)
+    d = bind_column(df, let(kept, per_row), "__tok")
     out = d.select(*[c for c in df.columns], "__tok.*")
     if pad:
         pad_value = tk.EOS_ID if pad_id is None else pad_id

@@ -430,3 +430,7 @@ p AS (SELECT *, row_number() OVER (ORDER BY {md5_order('row_id')}, row_id) - 1 A
              count(*) OVER () AS n FROM u)
 SELECT row_id, question, reasoning, answer, source,
        CASE WHEN pos < (n * 19) // 20 THEN 'train' ELSE 'test' END AS split FROM p"""
+
+
+def source_counts() -> str:
+    return f"SELECT source, count(*) AS rows FROM ({curate_union()}) GROUP BY source"

@@ -43,6 +43,11 @@ def curate_union(spark: SparkSession, root: str) -> DataFrame:
     return curation.curated_union(spark, root)
 
 
+def source_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Curated rows per source."""
+    return profile.counts_by(curate_union(spark, root), "source")
+
+
 # ------------------------------------------------------------- sampling
 
 def _orders(spark: SparkSession, root: str) -> DataFrame:
@@ -198,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "curate_optlist": curate_optlist,
     "curate_fourcol": curate_fourcol,
     "curate_union": curate_union,
+    "source_counts": source_counts,
     "sample_exact": sample_exact,
     "shuffle_rank": shuffle_rank,
     "split_95": split_95,

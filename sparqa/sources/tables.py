@@ -17,6 +17,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+_SCAN_PARTITIONS: dict[tuple, int] = {}
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the scan yields fewer partitions than
     there are task slots (e.g. one small file with a single row group).
@@ -24,12 +27,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     CPU-heavy per-row work (regexes over whole documents, tokenisation) then
     uses every core. On a large input the scan already has many splits and
     this is a no-op, so no shuffle of the data is added at scale. The decision
-    uses planning metadata only.
+    uses planning metadata only (memoised per set of input files).
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     try:
-        have = df.rdd.getNumPartitions()
+        files = tuple(sorted(df.inputFiles()))
+        have = _SCAN_PARTITIONS.get(files)
+        if have is None:
+            have = df.rdd.getNumPartitions()
+            if files:
+                _SCAN_PARTITIONS[files] = have
     except Exception:  # no RDD view (e.g. a remote session): leave as is
         return df
     return df.repartition(want) if have < want else df
