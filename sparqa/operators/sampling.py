@@ -56,22 +56,30 @@ def _local_stats(spark, pdf, bucket_type: str) -> DataFrame:
 def _hash_ordered(df: DataFrame, key: str, seed: int):
     """Seeded order ``(md5(seed|key), key)``; buckets are md5 prefixes.
 
-    Counts are taken once at the finest prefix length (distributed, partial
-    aggregation; at most 65 536 result rows). The driver then picks the
-    shortest prefix whose largest bucket holds at most ``BUCKET_ROWS`` rows,
-    so small inputs get few buckets and huge inputs still have bounded ones.
+    Counts are first taken per 2-hex-digit prefix (at most 256 result rows,
+    distributed with partial aggregation). Only when one of those buckets
+    holds more than ``BUCKET_ROWS`` rows (inputs beyond ~64 M rows) are they
+    recounted per 4-digit prefix (at most 65 536 rows). The driver then picks
+    the shortest prefix whose largest bucket stays under ``BUCKET_ROWS``.
     """
     d = df.withColumn(_H, seeded_hash(key, seed))
-    fine = (d.groupBy(F.substring(_H, 1, HASH_DIGITS).alias(_B))
-             .agg(F.count(F.lit(1)).alias(_CNT)).toPandas())
-    digits = HASH_DIGITS
-    for dd in range(1, HASH_DIGITS):
-        if len(fine) == 0 or fine.groupby(fine[_B].str[:dd])[_CNT].sum().max() <= BUCKET_ROWS:
+
+    def counts(digits: int):
+        return (d.groupBy(F.substring(_H, 1, digits).alias(_B))
+                 .agg(F.count(F.lit(1)).alias(_CNT)).toPandas())
+
+    def level(fine, dd: int):
+        return fine.assign(**{_B: fine[_B].str[:dd]}).groupby(_B, as_index=False)[_CNT].sum()
+
+    fine, fine_digits = counts(2), 2
+    if len(fine) and fine[_CNT].max() > BUCKET_ROWS:
+        fine, fine_digits = counts(HASH_DIGITS), HASH_DIGITS
+    digits = fine_digits
+    for dd in range(1, fine_digits):
+        if len(fine) == 0 or level(fine, dd)[_CNT].max() <= BUCKET_ROWS:
             digits = dd
             break
-    coarse = (fine.assign(**{_B: fine[_B].str[:digits]})
-                  .groupby(_B, as_index=False)[_CNT].sum())
-    stats = _local_stats(df.sparkSession, coarse, "string")
+    stats = _local_stats(df.sparkSession, level(fine, digits), "string")
     return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
 
 

@@ -26,7 +26,9 @@ def format_rows(df: DataFrame, mode: str = "rationale", eos: str = fmt.EOS,
     else:
         raise ValueError(f"unknown format mode {mode!r}")
     cols = [c for c in keep if c in df.columns]
-    return df.select(*cols, s.alias("__f")).select(*cols, "__f.text", "__f.prompt_length_chars")
+    # bound once: selecting both struct fields must not copy the formatter into each
+    d = bind_column(df.select(*cols, "question", "answer", "reasoning"), s, "__f")
+    return d.select(*cols, "__f.text", "__f.prompt_length_chars")
 
 
 def tokenise(df: DataFrame, max_len: int = MAX_LEN_RATIONALE, text: str = "text",

@@ -62,3 +62,15 @@ def test_shards_are_contiguous_with_hf_sizes(spark, ids):
 def test_split_only_ranks_boundary_buckets(spark, ids):
     plan = sampling.split_train_test(ids, "k", 0.95)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_fine_buckets_path_is_exact(spark, ids, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 3)   # forces 4-digit md5 prefixes
+    got = _positions(sampling.with_position(ids, "k", "pos", order="hash", seed=42))
+    ref = ids.withColumn("h", sampling.seeded_hash("k", 42)).orderBy("h", "k").collect()
+    assert got == {r.k: i for i, r in enumerate(ref)}
+    split = {r.k: r.split for r in sampling.split_train_test(ids, "k", 0.95).collect()}
+    assert sum(v == "train" for v in split.values()) == int(0.95 * 5003)
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 40)   # key order: many quantile buckets
+    got = _positions(sampling.with_position(ids, "k", "pos", order="key"))
+    assert got == {k: k for k in range(5003)}
