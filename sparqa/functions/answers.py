@@ -59,9 +59,20 @@ def raw_answer(solution: Column | str) -> Column:
             .when(F.position(F.lit(MARKER), s) > 0, before_marker(s)))
 
 
-def letter_key(text: Column | str) -> Column:
-    """All ``A``-``D`` characters of the text, or null when it has none."""
+# Option ``strict_letter``: the whole answer is one letter, optionally in
+# parentheses or followed by ".", ")" or ":".
+STRICT_LETTER = r"^\(?([A-D])[.):]?$"
+
+
+def letter_key(text: Column | str, strict: bool = False) -> Column:
+    """All ``A``-``D`` characters of the text, or null when it has none.
+
+    ``strict=True`` (quirk Q2 off) keeps only answers that are a single letter,
+    so capitals inside words no longer form keys such as ``AB``.
+    """
     t = col(text)
+    if strict:
+        return F.when(t.rlike(STRICT_LETTER), F.regexp_extract(t, STRICT_LETTER, 1))
     return F.when(t.rlike(ANSWER_LETTERS), F.regexp_replace(t, "[^A-D]", ""))
 
 
@@ -86,8 +97,9 @@ def lookup_option(question: Column | str, key: Column | str) -> Column:
     return let(col(key), found)
 
 
-def extract_answer(solution: Column | str, question: Column | str) -> Column:
+def extract_answer(solution: Column | str, question: Column | str,
+                   strict_letter: bool = False) -> Column:
     """The extracted ``"KEY. option text"``, or null when nothing usable
     was found. Every stage is bound once, so each regex runs once per row."""
-    return let(raw_answer(solution), lambda raw: let(letter_key(raw),
+    return let(raw_answer(solution), lambda raw: let(letter_key(raw, strict_letter),
                                                      lambda k: lookup_option(question, k)))

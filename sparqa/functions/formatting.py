@@ -18,8 +18,12 @@ CHAT_TEMPLATE = "<|im_start|>{role}\n{content}<|im_end|>\n"
 
 # A choice starts at any "A:".."E:"; it ends before "\nX:", "\n" + lower-case
 # letter, "\n" + digit, or trailing whitespace at the end of the text.
-CHOICE = (r"(?s)([A-E]):" + WS + r"*(.*?)(?=\n[A-E]:|\n[a-z]|\n\p{Nd}|" + WS + r"*\z)")
+_CHOICE_BODY = r"([A-E]):" + WS + r"*(.*?)(?=\n[A-E]:|\n[a-z]|\n\p{Nd}|" + WS + r"*\z)"
+CHOICE = r"(?s)" + _CHOICE_BODY
 CHOICE_START = r"[A-E]:"
+# Option ``anchored`` (quirk Q8 off): a choice must start a line.
+CHOICE_ANCHORED = r"(?s)(?<![^\n])" + _CHOICE_BODY
+CHOICE_START_ANCHORED = r"(?m)^[A-E]:"
 
 
 # --------------------------------------------------------------- G1
@@ -33,18 +37,23 @@ def format_answer_only(question: Column | str, answer: Column | str) -> Column:
 
 # ----------------------------------------------------------- G2-G7
 
-def parse_choices(question: Column | str) -> Column:
-    """``["A. text", ...]`` for every lettered choice in the (stripped) question."""
+def parse_choices(question: Column | str, anchored: bool = False) -> Column:
+    """``["A. text", ...]`` for every lettered choice in the (stripped) question.
+
+    ``anchored=True`` only accepts choices at the start of a line.
+    """
+    pattern = CHOICE_ANCHORED if anchored else CHOICE
+
     def parse(q: Column) -> Column:
-        letters = F.regexp_extract_all(q, F.lit(CHOICE), 1)
-        texts = F.regexp_extract_all(q, F.lit(CHOICE), 2)
+        letters = F.regexp_extract_all(q, F.lit(pattern), 1)
+        texts = F.regexp_extract_all(q, F.lit(pattern), 2)
         return F.zip_with(letters, texts, lambda L, t: F.concat(L, F.lit(". "), strip(t)))
     return parse(col(question))
 
 
-def question_body(question: Column | str) -> Column:
+def question_body(question: Column | str, anchored: bool = False) -> Column:
     """Text before the first choice, stripped (the whole text without choices)."""
-    return strip(F.split(col(question), CHOICE_START, 2)[0])
+    return strip(F.split(col(question), CHOICE_START_ANCHORED if anchored else CHOICE_START, 2)[0])
 
 
 def build_prompt(body: Column, choices: Column) -> Column:
@@ -72,13 +81,13 @@ def build_response(gold: Column, reasoning: Column | str, eos: str = EOS) -> Col
 
 
 def format_with_rationale(question: Column | str, answer: Column | str,
-                          reasoning: Column | str, eos: str = EOS) -> Column:
+                          reasoning: Column | str, eos: str = EOS, anchored: bool = False) -> Column:
     """struct(text, prompt_length_chars) = prompt(G2-G4) + response(G5-G6)."""
     def fmt(q: Column) -> Column:
         def with_prompt(prompt: Column) -> Column:
             return F.struct(F.concat(prompt, build_response(gold_letter(answer), reasoning, eos)).alias("text"),
                             F.length(prompt).cast("int").alias("prompt_length_chars"))
-        return let(build_prompt(question_body(q), parse_choices(q)), with_prompt)
+        return let(build_prompt(question_body(q, anchored), parse_choices(q, anchored)), with_prompt)
     return let(strip(question), fmt)
 
 
@@ -109,6 +118,12 @@ def eval_continuations(choices: Column | str) -> Column:
                        lambda c, i: F.concat(F.lit(" "), letter(i)))
 
 
-def eval_gold(answer: Column | str) -> Column:
-    """Strip, upper-case, drop one trailing ``.``."""
+def eval_gold(answer: Column | str, mode: str = "text") -> Column:
+    """Strip, upper-case, drop one trailing ``.``.
+
+    ``mode="letter"`` (quirk Q15 off) reduces the gold to its letter with G5,
+    so ``"A: red"`` can match a predicted ``A``.
+    """
+    if mode == "letter":
+        return gold_letter(answer)
     return drop_trailing_dot(F.upper(strip(answer)))

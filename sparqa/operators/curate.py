@@ -46,9 +46,9 @@ def _canonical(question: Column, reasoning: Column, answer: Column, source: Colu
 
 def curate_boxed(df: DataFrame, key: str = "doc_id", problem: str = "problem",
                  solution: str = "solution", source: str = "source",
-                 observation: Observation | None = None) -> DataFrame:
+                 observation: Observation | None = None, strict_letter: bool = False) -> DataFrame:
     """Free-form solutions: extract the answer (X1-X6) and drop rows without one."""
-    d = bind_column(df, extract_answer(solution, problem), "__ans")
+    d = bind_column(df, extract_answer(solution, problem, strict_letter), "__ans")
     bad = F.col("__ans").isNull()    # a null problem or solution already yields a null answer
     d = _observe(d, observation, bad)
     return d.where(~bad).select(*_canonical(F.col(problem), F.col(solution), F.col("__ans"),

@@ -47,11 +47,11 @@ def predict(scores: DataFrame, example: str = "example_id", choice: str = "choic
 
 
 def predictions(scores: DataFrame, gold: DataFrame, example: str = "example_id",
-                answer: str = "answer") -> DataFrame:
+                answer: str = "answer", gold_mode: str = "text") -> DataFrame:
     """Per gold example: predicted letter (``NONE`` without choices), normalised
-    gold (G10) and both match flags."""
+    gold (G10; ``gold_mode="letter"`` reduces it to a letter) and both match flags."""
     p = predict(scores, example)
-    g = gold.select(example, fmt.eval_gold(answer).alias("gold"))
+    g = gold.select(example, fmt.eval_gold(answer, gold_mode).alias("gold"))
     pred = F.coalesce(letter(F.col("pred_idx")), F.lit(NO_PREDICTION))
     return (g.join(p, example, "left")
              .select(example, pred.alias("pred"), "gold",

@@ -41,35 +41,51 @@ def seeded_hash(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def _local_stats(spark, pdf, bucket_type: str) -> DataFrame:
-    """(bucket, count, first position, total) from per-bucket counts, as a
-    local relation (at most one row per bucket)."""
+def _local_stats(spark, pdf, schema: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., bucket, count, first position, total) from per-bucket counts, as
+    a local relation (at most one row per stratum and bucket). Positions and
+    totals restart in every stratum."""
     import pandas as pd
 
-    pdf = pdf.sort_values(_B, kind="mergesort").reset_index(drop=True)
+    keys = [*by, _B]
+    pdf = pdf.sort_values(keys, kind="mergesort").reset_index(drop=True)
     cnt = pdf[_CNT].astype("int64")
-    out = pd.DataFrame({_B: pdf[_B], _CNT: cnt, _LO: cnt.cumsum() - cnt,
-                        _N: pd.Series([int(cnt.sum())] * len(pdf), dtype="int64")})
-    return spark.createDataFrame(out, f"{_B} {bucket_type}, {_CNT} long, {_LO} long, {_N} long")
+    if by:
+        grp = pdf.groupby(list(by), sort=False, dropna=False)[_CNT]
+        lo = grp.cumsum().astype("int64") - cnt
+        n = grp.transform("sum").astype("int64")
+    else:
+        lo = cnt.cumsum() - cnt
+        n = pd.Series([int(cnt.sum())] * len(pdf), dtype="int64")
+    out = pdf[keys].assign(**{_CNT: cnt, _LO: lo, _N: n})
+    return spark.createDataFrame(out, schema)
 
 
-def _hash_ordered(df: DataFrame, key: str, seed: int):
+def _stats_schema(df: DataFrame, by: tuple[str, ...], bucket_type: str) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cols = [f"{c} {types[c]}" for c in by] + [f"{_B} {bucket_type}", f"{_CNT} long", f"{_LO} long",
+                                               f"{_N} long"]
+    return ", ".join(cols)
+
+
+def _hash_ordered(df: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()):
     """Seeded order ``(md5(seed|key), key)``; buckets are md5 prefixes.
 
-    Counts are first taken per 2-hex-digit prefix (at most 256 result rows,
-    distributed with partial aggregation). Only when one of those buckets
-    holds more than ``BUCKET_ROWS`` rows (inputs beyond ~64 M rows) are they
-    recounted per 4-digit prefix (at most 65 536 rows). The driver then picks
-    the shortest prefix whose largest bucket stays under ``BUCKET_ROWS``.
+    Counts are first taken per 2-hex-digit prefix (at most 256 result rows per
+    stratum, distributed with partial aggregation). Only when one of those
+    buckets holds more than ``BUCKET_ROWS`` rows (inputs beyond ~64 M rows) are
+    they recounted per 4-digit prefix. The driver then picks the shortest
+    prefix whose largest bucket stays under ``BUCKET_ROWS``.
     """
     d = df.withColumn(_H, seeded_hash(key, seed))
 
     def counts(digits: int):
-        return (d.groupBy(F.substring(_H, 1, digits).alias(_B))
+        return (d.groupBy(*by, F.substring(_H, 1, digits).alias(_B))
                  .agg(F.count(F.lit(1)).alias(_CNT)).toPandas())
 
     def level(fine, dd: int):
-        return fine.assign(**{_B: fine[_B].str[:dd]}).groupby(_B, as_index=False)[_CNT].sum()
+        return (fine.assign(**{_B: fine[_B].str[:dd]})
+                    .groupby([*by, _B], as_index=False, dropna=False)[_CNT].sum())
 
     fine, fine_digits = counts(2), 2
     if len(fine) and fine[_CNT].max() > BUCKET_ROWS:
@@ -79,11 +95,11 @@ def _hash_ordered(df: DataFrame, key: str, seed: int):
         if len(fine) == 0 or level(fine, dd)[_CNT].max() <= BUCKET_ROWS:
             digits = dd
             break
-    stats = _local_stats(df.sparkSession, level(fine, digits), "string")
+    stats = _local_stats(df.sparkSession, level(fine, digits), _stats_schema(df, by, "string"), by)
     return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
 
 
-def _key_ordered(df: DataFrame, key: str):
+def _key_ordered(df: DataFrame, key: str, by: tuple[str, ...] = ()):
     """Natural order of ``key``; buckets from approximate quantiles (exactness
     comes from the in-bucket rank, the quantiles only balance the buckets).
 
@@ -103,49 +119,54 @@ def _key_ordered(df: DataFrame, key: str):
     d = df.withColumn("__kd", F.col(key).cast("double"))
     d = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd").transform(d)
     d = d.withColumn(_B, F.col("__bd").cast("int")).drop("__kd", "__bd")
-    counts = d.groupBy(_B).agg(F.count(F.lit(1)).alias(_CNT)).toPandas()
-    return d, [F.col(key)], _local_stats(df.sparkSession, counts, "int")
+    counts = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias(_CNT)).toPandas()
+    return d, [F.col(key)], _local_stats(df.sparkSession, counts, _stats_schema(df, by, "int"), by)
 
 
-def _ordered(df: DataFrame, key: str, order: str, seed: int):
+def _ordered(df: DataFrame, key: str, order: str, seed: int, by: tuple[str, ...] = ()):
     if order == "hash":
-        return _hash_ordered(df, key, seed)
+        return _hash_ordered(df, key, seed, by)
     if order == "key":
-        return _key_ordered(df, key)
+        return _key_ordered(df, key, by)
     raise ValueError(f"order must be 'hash' or 'key', not {order!r}")
 
 
 # ------------------------------------------------------------------ R1 / R3
 
 def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash",
-                  seed: int = DEFAULT_SEED) -> DataFrame:
-    """Add the exact 0-based global position of every row.
+                  seed: int = DEFAULT_SEED, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add the exact 0-based position of every row (within its ``by``
+    stratum, if given; strata must not be null).
 
     ``order="hash"`` is the seeded random order ``(md5(seed|key), key)`` (a full
     shuffle, R3); ``order="key"`` is the natural order of ``key``. ``key`` must
     be unique.
     """
-    d, order_cols, stats = _ordered(df, key, order, seed)
-    w = Window.partitionBy(_B).orderBy(*order_cols)
-    return (d.join(F.broadcast(stats.select(_B, _LO)), _B)
+    by = tuple(by)
+    d, order_cols, stats = _ordered(df, key, order, seed, by)
+    w = Window.partitionBy(*by, _B).orderBy(*order_cols)
+    return (d.join(F.broadcast(stats.select(*by, _B, _LO)), [*by, _B])
              .withColumn(out, F.col(_LO) + F.row_number().over(w) - 1)
              .drop(_B, _LO, _H))
 
 
 def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Column], Column],
-                       out: str, order: str = "hash", seed: int = DEFAULT_SEED) -> DataFrame:
-    """Add ``out = segment(position, n_rows)`` for a non-decreasing step function.
+                       out: str, order: str = "hash", seed: int = DEFAULT_SEED,
+                       by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``out = segment(position, n_rows)`` for a non-decreasing step function
+    (positions and row counts per ``by`` stratum when given).
 
     Buckets whose first and last positions fall in the same segment are
     assigned directly; only straddling buckets are ranked.
     """
-    d, order_cols, stats = _ordered(df, key, order, seed)
+    by = tuple(by)
+    d, order_cols, stats = _ordered(df, key, order, seed, by)
     lo, n = F.col(_LO), F.col(_N)
-    stats = stats.select(_B, _LO, _N, segment(lo, n).alias("__seg"),
+    stats = stats.select(*by, _B, _LO, _N, segment(lo, n).alias("__seg"),
                          (segment(lo, n) == segment(lo + F.col(_CNT) - 1, n)).alias("__pure"))
-    j = d.join(F.broadcast(stats), _B)
+    j = d.join(F.broadcast(stats), [*by, _B])
     pure = j.where(F.col("__pure")).withColumn(out, F.col("__seg"))
-    w = Window.partitionBy(_B).orderBy(*order_cols)
+    w = Window.partitionBy(*by, _B).orderBy(*order_cols)
     mixed = (j.where(~F.col("__pure"))
               .withColumn(_POS, lo + F.row_number().over(w) - 1)
               .withColumn(out, segment(F.col(_POS), n))
@@ -171,7 +192,7 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED,
 
 def split_train_test(df: DataFrame, key: str, train_fraction: float = 0.95,
                      seed: int = DEFAULT_SEED, order: str = "hash",
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", stratify: tuple[str, ...] = ()) -> DataFrame:
     """The first ``int(train_fraction * N)`` positions are ``train``, the rest ``test``.
 
     The cut is exact integer arithmetic, ``N * num div den`` for the fraction
@@ -187,7 +208,7 @@ def split_train_test(df: DataFrame, key: str, train_fraction: float = 0.95,
         cut = _idiv(n * F.lit(num), F.lit(den))
         return F.when(p < cut, F.lit("train")).otherwise(F.lit("test"))
 
-    return assign_by_position(df, key, seg, out, order, seed)
+    return assign_by_position(df, key, seg, out, order, seed, tuple(stratify))
 
 
 def _idiv(x: Column, y: Column) -> Column:

@@ -68,9 +68,16 @@ def tokenise(df: DataFrame, max_len: int = MAX_LEN_RATIONALE, text: str = "text"
 
 
 def label_filter(df: DataFrame, labels: str = "labels",
-                 observation: Observation | None = None) -> DataFrame:
-    """keep rows with at least one unmasked label; count the removed ones."""
+                 observation: Observation | None = None,
+                 drop_boundary_lost: bool = False) -> DataFrame:
+    """keep rows with at least one unmasked label; count the removed ones.
+
+    ``drop_boundary_lost=True`` (quirk Q9 off) also removes rows whose response
+    was truncated away, which otherwise survive with an unmasked prompt.
+    """
     keep = tk.has_target(F.col(labels))
+    if drop_boundary_lost:
+        keep = keep & ~F.col("boundary_lost")
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows_in"),
                         F.sum(F.when(keep, 0).otherwise(1)).alias("rows_removed"))

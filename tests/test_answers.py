@@ -63,3 +63,10 @@ def test_fuzz_against_spec(spark):
 def test_deep_box_does_not_overflow(spark):
     big = "\\boxed{" + ("ab" * 20000) + "A}"
     assert _run(spark, [(big, "A: ok")]) == ["A. ok"]
+
+
+def test_strict_letter_option(spark):
+    df = spark.createDataFrame([("Conclusion - the Answer is B", Q), (r"\boxed{(C)}", Q), (r"\boxed{C.}", Q)],
+                               "s string, q string")
+    got = [r.a for r in df.select(extract_answer("s", "q", strict_letter=True).alias("a")).collect()]
+    assert got == [None, "C. tan", "C. tan"]

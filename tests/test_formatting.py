@@ -70,3 +70,15 @@ def test_chat_render(spark):
     df = spark.createDataFrame([("hi", "yo")], "p string, t string")
     text = df.select(fmt.render_chat([("user", F.col("p")), ("assistant", F.col("t"))])).first()[0]
     assert text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+
+
+def test_anchored_option(spark):
+    df = spark.createDataFrame([("In DNA: x?\nB: y", "B", "")], "q string, a string, r string")
+    r = df.select(fmt.format_with_rationale("q", "a", "r", EOS, anchored=True).alias("f")).first().f
+    assert r.text == "In DNA: x?\nB. y\nAnswer: B<eos>"
+
+
+def test_gold_letter_option(spark):
+    df = spark.createDataFrame([("A: red",), (" b. ",)], "a string")
+    got = [r.g for r in df.select(fmt.eval_gold("a", mode="letter").alias("g")).collect()]
+    assert got == ["A", "B"]

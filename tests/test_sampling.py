@@ -74,3 +74,19 @@ def test_fine_buckets_path_is_exact(spark, ids, monkeypatch):
     monkeypatch.setattr(sampling, "BUCKET_ROWS", 40)   # key order: many quantile buckets
     got = _positions(sampling.with_position(ids, "k", "pos", order="key"))
     assert got == {k: k for k in range(5003)}
+
+
+def test_stratified_split(spark, ids):
+    df = ids.withColumn("g", (F.col("k") % 3).cast("string"))
+    got = sampling.split_train_test(df, "k", 0.95, stratify=("g",)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append(r)
+    for g, rows in by.items():
+        n = len(rows)
+        assert sum(r.split == "train" for r in rows) == int(0.95 * n)
+    assert len(got) == 5003
+    pos = sampling.with_position(df, "k", "pos", by=("g",)).collect()
+    for g in ("0", "1", "2"):
+        ps = sorted(r.pos for r in pos if r.g == g)
+        assert ps == list(range(len(ps)))

@@ -65,3 +65,10 @@ def test_log_softmax(spark):
     got = df.select(tk.log_softmax_at("v", F.col("t"))).first()[0]
     want = 3.0 - math.log(math.exp(1) + math.exp(2) + math.exp(3))
     assert abs(got - want) < 1e-12
+
+
+def test_drop_boundary_lost_option(spark):
+    df = spark.createDataFrame([([1], [5], True), ([2], [6], False)],
+                               "input_ids array<int>, labels array<int>, boundary_lost boolean")
+    assert tokenise.label_filter(df).count() == 2
+    assert tokenise.label_filter(df, drop_boundary_lost=True).count() == 1
