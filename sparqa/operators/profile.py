@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def length_profile(df: DataFrame, text: str = "text", by: str | None = "source") -> DataFrame:
+def length_profile(df: DataFrame, text: str = "text", by: str | None = "source",
+                   exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Lower median, 90th percentile (linear, truncated) and maximum of
     the character length, per group and overall (group null = all rows).
 
-    Exact percentiles keep one counter per distinct length, which stays small
-    because lengths are integers in a narrow range.
+    Exact percentiles keep one counter per distinct length (partial
+    aggregation merges them map-side), which stays small because lengths are
+    integers in a bounded range. ``exact=False`` uses ``percentile_approx``
+    (fixed-size sketches) for very wide length ranges.
     """
     n = F.length(text)
+    if exact:
+        median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY length({text}))")
+        p90 = F.percentile(n, F.lit(0.9))
+    else:
+        median = F.percentile_approx(n, 0.5, accuracy)
+        p90 = F.percentile_approx(n, 0.9, accuracy)
     aggs = [F.count(F.lit(1)).alias("rows"),
-            F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY length({text}))")
-             .cast("int").alias("median_len"),
-            F.percentile(n, F.lit(0.9)).cast("int").alias("p90_len"),
+            median.cast("int").alias("median_len"),
+            p90.cast("int").alias("p90_len"),
             F.max(n).cast("int").alias("max_len")]
     if by is None:
         return df.agg(*aggs)

@@ -48,3 +48,12 @@ def test_boxed_extraction_is_evaluated_once(spark):
     p = _plan(E.queries()["curate_boxed"](spark, SF_SMALL))
     assert p.count("(?:[^{}]++") == 2        # rlike + extract, inside one bound expression
     assert "isnotnull(concat" not in p
+
+
+def test_length_profile_approx_close_to_exact(spark):
+    from sparqa.operators import profile
+    df = spark.range(1, 2001).selectExpr("repeat('x', CAST(id AS INT)) AS text", "'s' AS source")
+    ex = profile.length_profile(df, by=None).first()
+    ap = profile.length_profile(df, by=None, exact=False).first()
+    assert ex.median_len == 1000 and ex.p90_len == 1800 and ex.max_len == 2000
+    assert abs(ap.median_len - ex.median_len) <= 2 and abs(ap.p90_len - ex.p90_len) <= 2

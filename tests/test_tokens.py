@@ -72,3 +72,45 @@ def test_drop_boundary_lost_option(spark):
                                "input_ids array<int>, labels array<int>, boundary_lost boolean")
     assert tokenise.label_filter(df).count() == 2
     assert tokenise.label_filter(df, drop_boundary_lost=True).count() == 1
+
+
+def test_external_tokenizer_path_matches_jvm_path(spark):
+    # defined inside the test so it is shipped to the Python workers by value
+    def _python_piece_encoder():
+        """The default piece tokenizer restated with Python's re (for the
+        external-tokenizer path): returns ids and start offsets."""
+        import hashlib
+        import re
+
+        from sparqa.functions.text import WS_CHARS
+        ws = "".join(WS_CHARS)
+        blank = "[" + re.escape(ws.replace("\n", "")) + "]"
+        word = "[^" + re.escape(ws) + "<]"
+        pat = re.compile(re.escape("<|endoftext|>") + r"|\n|" + blank + "*" + word + "+|" + blank + "*<|" + blank + "+")
+
+        def encode(texts):
+            out = []
+            for t in texts:
+                ids, starts = [], []
+                for m in pat.finditer(t):
+                    p = m.group(0)
+                    ids.append(1 if p == "<|endoftext|>" else int(hashlib.md5(p.encode()).hexdigest()[:7], 16) + 2)
+                    starts.append(m.start())
+                out.append((ids, starts))
+            return out
+        return encode
+
+    rows = [("Q one two\nAnswer: A<|endoftext|>", 17), ("x  y\tz <a> é", 3), ("", 0),
+            ("p " * 40 + "\nAnswer: B<|endoftext|>", 30)]
+    df = spark.createDataFrame(rows, "text string, prompt_length_chars int")
+    jvm = {r.text: (r.input_ids, r.response_start, r.labels, r.boundary_lost)
+           for r in tokenise.tokenise(df, max_len=16).collect()}
+    ext = {r.text: (r.input_ids, r.response_start, r.labels, r.boundary_lost)
+           for r in tokenise.tokenise_with(df, _python_piece_encoder, max_len=16, pad_id=1).collect()}
+    assert jvm == ext
+
+
+def test_choice_slice(spark):
+    df = spark.createDataFrame([([5, 6, 7, 8], 2), ([5], 3)], "ids array<int>, n int")
+    got = [r.s for r in df.select(tk.choice_slice(F.col("ids"), F.col("n")).alias("s")).collect()]
+    assert got == [[7, 8], []]
