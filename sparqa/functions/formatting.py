@@ -43,12 +43,11 @@ def parse_choices(question: Column | str, anchored: bool = False) -> Column:
     ``anchored=True`` only accepts choices at the start of a line.
     """
     pattern = CHOICE_ANCHORED if anchored else CHOICE
-
-    def parse(q: Column) -> Column:
-        letters = F.regexp_extract_all(q, F.lit(pattern), 1)
-        texts = F.regexp_extract_all(q, F.lit(pattern), 2)
-        return F.zip_with(letters, texts, lambda L, t: F.concat(L, F.lit(". "), strip(t)))
-    return parse(col(question))
+    # One pass: each whole match is "L:" + blanks + text, so the letter is its
+    # first character and the stripped remainder is the choice text.
+    matches = F.regexp_extract_all(col(question), F.lit(pattern), 0)
+    return F.transform(matches, lambda m: F.concat(m.substr(1, 1), F.lit(". "),
+                                                   strip(m.substr(F.lit(3), F.lit(2**31 - 1)))))
 
 
 def question_body(question: Column | str, anchored: bool = False) -> Column:
