@@ -25,7 +25,7 @@ def test_key_order_positions(spark, ids):
     assert [got[k] for k in keys] == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("parts", [1, 4, 200])
 def test_split_is_exact_and_partition_independent(spark, ids, parts):
     base = {r.k: r.split for r in sampling.split_train_test(ids, "k", 0.95).collect()}
     again = {r.k: r.split for r in sampling.split_train_test(ids.repartition(parts), "k", 0.95).collect()}
@@ -90,3 +90,21 @@ def test_stratified_split(spark, ids):
     for g in ("0", "1", "2"):
         ps = sorted(r.pos for r in pos if r.g == g)
         assert ps == list(range(len(ps)))
+
+
+def test_split_covers_input_exactly_once(spark, ids):
+    s = sampling.split_train_test(ids, "k", 0.95)
+    train = {r.k for r in s.where("split = 'train'").collect()}
+    test = {r.k for r in s.where("split = 'test'").collect()}
+    assert not (train & test) and train | test == set(range(5003))
+
+
+@pytest.mark.parametrize("fn", [
+    lambda d: sampling.split_train_test(d, "k", 0.95),
+    lambda d: sampling.with_position(d, "k", "pos"),
+    lambda d: sampling.sample_exact(d, "k", 100),
+    lambda d: sampling.shard_index(d, "k", 10),
+])
+def test_no_single_partition_exchange_over_data(spark, ids, fn):
+    plan = fn(ids)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
