@@ -355,8 +355,8 @@ SELECT example_id, pred, gold, pred = gold AS correct, {strip('pred')} = {strip(
 
 def mcq_accuracy() -> str:
     return f"""WITH p AS ({mcq_predict()})
-SELECT count(*) AS total, coalesce(sum(CAST(correct AS BIGINT)), 0) AS correct,
-       coalesce(sum(CAST(correct_norm AS BIGINT)), 0) AS correct_norm,
+SELECT count(*) AS total, CAST(coalesce(sum(CAST(correct AS BIGINT)), 0) AS BIGINT) AS correct,
+       CAST(coalesce(sum(CAST(correct_norm AS BIGINT)), 0) AS BIGINT) AS correct_norm,
        coalesce(sum(CAST(correct AS BIGINT)) / count(*), 0.0) AS accuracy,
        coalesce(sum(CAST(correct_norm AS BIGINT)) / count(*), 0.0) AS accuracy_norm FROM p"""
 
