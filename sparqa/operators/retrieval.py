@@ -204,6 +204,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
     if sim not in SIMILARITIES:
         raise ValueError(f"similarity must be one of {SIMILARITIES}")
     spark = corpus.sparkSession
+    from ..session import ship_package
+    ship_package(spark)
     cid_types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields if f.name in c_ids}
     schema = ", ".join(["query_id bigint"] + [f"{c} {cid_types[c]}" for c in c_ids]
                        + ["similarity double"])

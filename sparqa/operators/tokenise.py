@@ -96,6 +96,8 @@ def tokenise_with(df: DataFrame, make_encoder: Callable[[], Callable], max_len:
     """
     import pandas as pd
 
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     schema = (df.schema.simpleString()[len("struct<"):-1] +
               ",input_ids:array<int>,n_tokens:int,response_start:int,labels:array<int>,boundary_lost:boolean")
 

@@ -65,3 +65,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = tempfile.mkdtemp(prefix="sparqa-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
     return current
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparqa`` importable in Python workers (``mapInPandas`` operators).
+
+    The package's ``.py`` files are zipped once per SparkContext and added with
+    ``addPyFile``, which distributes them to every executor; workers then do
+    not depend on the driver's working directory or on a preinstalled copy.
+    """
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = pathlib.Path(__file__).resolve().parent
+    out = pathlib.Path(tempfile.mkdtemp(prefix="sparqa-pkg-")) / "sparqa.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)
