@@ -36,9 +36,10 @@ _B, _LO, _CNT, _N, _POS, _H = "__b", "__lo", "__cnt", "__n", "__pos", "__h"
 # ---------------------------------------------------------------- order keys
 
 def seeded_hash(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
-    """``md5(seed|key)``: the random order used for sampling and shuffling."""
+    """``md5(seed|key)``: the random order used for sampling and shuffling
+    (a null key hashes like the empty string, so its row is kept)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(k.cast("string"), F.lit(""))))
 
 
 def _local_stats(spark, pdf, schema: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -118,7 +119,8 @@ def _key_ordered(df: DataFrame, key: str, by: tuple[str, ...] = ()):
     splits = [float("-inf")] + bounds + [float("inf")]
     d = df.withColumn("__kd", F.col(key).cast("double"))
     d = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd").transform(d)
-    d = d.withColumn(_B, F.col("__bd").cast("int")).drop("__kd", "__bd")
+    # a null key gets bucket -1, ahead of every other bucket (nulls sort first)
+    d = d.withColumn(_B, F.coalesce(F.col("__bd").cast("int"), F.lit(-1))).drop("__kd", "__bd")
     counts = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias(_CNT)).toPandas()
     return d, [F.col(key)], _local_stats(df.sparkSession, counts, _stats_schema(df, by, "int"), by)
 
@@ -145,11 +147,23 @@ def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash"
     by = tuple(by)
     d, order_cols, stats = _ordered(df, key, order, seed, by)
     w = Window.partitionBy(*by, _B).orderBy(*order_cols)
-    return (d.join(F.broadcast(stats.select(*by, _B, _LO)), [*by, _B])
+    return (_join_stats(d, stats.select(*by, _B, _LO), by)
              .withColumn(out, F.col(_LO) + F.row_number().over(w) - 1)
              .drop(_B, _LO, _H))
 
 
+def _join_stats(d: DataFrame, stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Broadcast join of rows to their bucket statistics; strata compare
+    null-safely so rows with a null stratum are kept."""
+    if not by:
+        return d.join(F.broadcast(stats), _B)
+    renamed = stats.select(*[F.col(c).alias(f"__s_{c}") for c in by],
+                           *[c for c in stats.columns if c not in by])
+    cond = [d[c].eqNullSafe(renamed[f"__s_{c}"]) for c in by]
+    return d.join(F.broadcast(renamed), [*cond, d[_B] == renamed[_B]]) \
+            .drop(renamed[_B]).drop(*[f"__s_{c}" for c in by])
+
+
 def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Column], Column],
                        out: str, order: str = "hash", seed: int = DEFAULT_SEED,
                        by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,7 +178,7 @@ def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Colum
     lo, n = F.col(_LO), F.col(_N)
     stats = stats.select(*by, _B, _LO, _N, segment(lo, n).alias("__seg"),
                          (segment(lo, n) == segment(lo + F.col(_CNT) - 1, n)).alias("__pure"))
-    j = d.join(F.broadcast(stats), [*by, _B])
+    j = _join_stats(d, stats, by)
     pure = j.where(F.col("__pure")).withColumn(out, F.col("__seg"))
     w = Window.partitionBy(*by, _B).orderBy(*order_cols)
     mixed = (j.where(~F.col("__pure"))

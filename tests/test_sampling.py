@@ -108,3 +108,12 @@ def test_split_covers_input_exactly_once(spark, ids):
 def test_no_single_partition_exchange_over_data(spark, ids, fn):
     plan = fn(ids)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_null_keys_and_strata_are_kept(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (4, None), (5, "b")], "k long, g string")
+    assert sampling.split_train_test(df, "k", 0.5).count() == 5
+    assert sampling.split_train_test(df, "k", 0.5, stratify=("g",)).count() == 5
+    pos = sampling.with_position(df, "k", "pos", order="key").collect()
+    assert sorted(r.pos for r in pos) == list(range(5))
+    assert [r.k for r in sorted(pos, key=lambda r: r.pos)][0] is None
