@@ -209,7 +209,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
     cid_types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields if f.name in c_ids}
     schema = ", ".join(["query_id bigint"] + [f"{c} {cid_types[c]}" for c in c_ids]
                        + ["similarity double"])
-    c = corpus.select(*c_ids, c_value.alias("__cv"))
+    # rows without a vector / text have no similarity to anything
+    c = corpus.select(*c_ids, c_value.alias("__cv")).where(F.col("__cv").isNotNull())
+    queries = queries.where(q_value.isNotNull())
     parts = []
     for block in _query_blocks(queries, q_id, q_value, max_broadcast_bytes):
         pdf = block.toPandas()
