@@ -334,7 +334,8 @@ SELECT example_id,
     || 'Answer:' AS prompt,
   list_transform(choices[1:26], lambda c, i: ' ' || chr(CAST(64 + i AS INT))) AS continuations,
   {_eval_gold('answer')} AS gold,
-  CAST(len(choices) AS INT) AS n_choices
+  CAST(len(choices) AS INT) AS n_choices,
+  len(choices) > 26 AS overflow
 FROM e"""
 
 

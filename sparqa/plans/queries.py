@@ -132,7 +132,8 @@ def eval_prompt(spark: SparkSession, root: str) -> DataFrame:
     return e.select("example_id", fmt.eval_prompt("question", "choices").alias("prompt"),
                     fmt.eval_continuations("choices").alias("continuations"),
                     fmt.eval_gold("answer").alias("gold"),
-                    F.size("choices").alias("n_choices"))
+                    F.size("choices").alias("n_choices"),
+                    (F.size("choices") > fmt.MAX_LETTERS).alias("overflow"))
 
 
 def choice_scores(spark: SparkSession, root: str) -> DataFrame:

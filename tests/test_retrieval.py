@@ -38,3 +38,16 @@ def test_jaccard_and_chunks(spark):
            for r in retrieval.retrieve_text(q, corpus, "item_id", "text", ["doc_id", "chunk_idx"], "text")
            .orderBy("query_id", "rank").collect()]
     assert got == [(10, 1, 1, 0, 1.0), (10, 2, 4, 0, 1.0)]
+
+
+def test_pair_similarity_functions(spark):
+    from pyspark.sql import functions as F
+
+    from sparqa.functions import similarity as sim
+    df = spark.createDataFrame([([1.0, 2.0, 2.0], [2.0, 0.0, 1.0], ["a", "b"], ["b", "c", "c"]),
+                                ([0.0, 0.0], [1.0, 1.0], [], [])],
+                               "a array<double>, b array<double>, s array<string>, t array<string>")
+    r = df.select(sim.dot("a", "b").alias("d"), sim.cosine("a", "b").alias("c"),
+                  sim.jaccard("s", "t").alias("j")).collect()
+    assert r[0].d == 4.0 and abs(r[0].c - 4.0 / (3.0 * 5 ** 0.5)) < 1e-12 and abs(r[0].j - 1 / 3) < 1e-12
+    assert r[1].c is None and r[1].j == 0.0
