@@ -277,9 +277,9 @@ def _piece_re2() -> str:
     return piece_pattern(EOS)
 
 
-def _tokenised_ctes(max_len: int = 1024) -> str:
+def _tokenised_ctes(max_len: int = 1024, cu_sql: str | None = None) -> str:
     piece = _piece_re2()
-    return f"""{_formatted_ctes(curate_union())},
+    return f"""{_formatted_ctes(cu_sql or curate_union())},
 tk0 AS (SELECT row_id, text, prompt_length_chars, regexp_extract_all(text, '{piece}') AS pcs FROM fr),
 tk1 AS (SELECT *, list_transform(pcs[1:{max_len}], lambda p: CASE WHEN p = '{EOS}' THEN 1
                    ELSE CAST(('0x' || substr(md5(p), 1, 7)) AS INT) + 2 END) AS input_ids,
@@ -435,3 +435,9 @@ SELECT row_id, question, reasoning, answer, source,
 
 def source_counts() -> str:
     return f"SELECT source, count(*) AS rows FROM ({curate_union()}) GROUP BY source"
+
+
+def training_rows() -> str:
+    train = f"SELECT row_id, question, reasoning, answer, source FROM ({write_read_roundtrip()}) WHERE split = 'train'"
+    return (f"WITH {_tokenised_ctes(1024, train)}\nSELECT row_id, input_ids, labels, n_tokens FROM tk "
+            "WHERE len(list_filter(labels, lambda x: x <> -100)) > 0")

@@ -18,7 +18,7 @@ from ..functions.text import bind_column, strip
 from ..operators import curate, evaluation, profile, retrieval, sampling, tokenise
 from ..sources import fixtures
 from ..sources.tables import spread, table
-from . import curation
+from . import curation, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,6 +198,13 @@ def write_read_roundtrip(spark: SparkSession, root: str) -> DataFrame:
         "row_id", "question", "reasoning", "answer", "source", "split")
 
 
+def training_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Entry point B end to end: train split, rationale format, token ids,
+    masked labels, rows with a target; built once into the shared folder."""
+    return training.training_rows(spark, root, "train", "rationale").select(
+        "row_id", "input_ids", "labels", "n_tokens")
+
+
 QUERIES: dict[str, Query] = {
     "curate_boxed": curate_boxed,
     "curate_distractor": curate_distractor,
@@ -228,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "retrieve_dot": retrieve_dot,
     "retrieve_jaccard": retrieve_jaccard,
     "write_read_roundtrip": write_read_roundtrip,
+    "training_rows": training_rows,
 }
 
 

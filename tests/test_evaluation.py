@@ -45,3 +45,14 @@ def test_preference_modes(spark):
     assert got == {"sum": 1.0, "avg": 0.0, "none": 1.0}
     with pytest.raises(ValueError):
         ev.preference_accuracy(pairs, modes=("norm",))
+
+
+def test_evaluate_plan_and_requests(spark):
+    from conftest import SF_SMALL
+    from sparqa.plans import evaluation as plan
+    from sparqa.sources import fixtures
+    acc = plan.evaluate(fixtures.token_logprobs(spark, SF_SMALL), fixtures.gold_answers(spark, SF_SMALL)).first()
+    assert acc.total > 0 and 0.0 <= acc.accuracy <= acc.accuracy_norm <= 1.0
+    req = plan.eval_requests(fixtures.eval_questions(spark, SF_SMALL))
+    r = req.where("choice_idx = 4").first()
+    assert r.continuation == " E" and r.prompt.endswith("Answer:")
