@@ -32,6 +32,6 @@ def training_rows(spark: SparkSession, root: str, split: str = "train", mode: st
     if not cache:
         return build()
     opts = {"root": root, "split": split, "mode": mode, "max_len": max_len,
-            "code": curation._code_fingerprint()}
+            "code": curation._code_fingerprint(), "namespace": curation.cache_namespace(spark)}
     base = f"{checkpoint_dir(spark).rstrip('/')}/sparqa-training"
     return materialise_once(spark, base, build, opts)
