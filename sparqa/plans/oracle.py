@@ -8,7 +8,7 @@ from the same definitions, so both engines start from identical rows.
 from __future__ import annotations
 
 from ..functions.answers import ANSWER_LETTERS
-from ..functions.text import LINE_BREAK, LINE_BREAK_CHARS, WS, WS_CHARS, sql_chars
+from ..functions.text import LINE_BREAK, WS, WS_CHARS, sql_chars
 from ..operators.curate import TAG_DISTRACTOR, TAG_FOURCOL, TAG_OPTLIST
 
 WS_SQL = sql_chars(WS_CHARS)

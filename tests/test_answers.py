@@ -1,8 +1,5 @@
 import random
 
-import pytest
-from pyspark.sql import functions as F
-
 from sparqa.functions.answers import extract_answer
 from spec import extract as spec_extract
 

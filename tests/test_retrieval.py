@@ -41,8 +41,6 @@ def test_jaccard_and_chunks(spark):
 
 
 def test_pair_similarity_functions(spark):
-    from pyspark.sql import functions as F
-
     from sparqa.functions import similarity as sim
     df = spark.createDataFrame([([1.0, 2.0, 2.0], [2.0, 0.0, 1.0], ["a", "b"], ["b", "c", "c"]),
                                 ([0.0, 0.0], [1.0, 1.0], [], [])],
