@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .options import MAX_LETTERS
-from .text import WS, col, drop_trailing_dot, let, letter, strip
+from .text import WS_J, col, drop_trailing_dot, let, letter, strip
 
 # The default end-of-sequence text (a tokenizer property; override per model).
 EOS = "<|endoftext|>"
@@ -18,7 +18,7 @@ CHAT_TEMPLATE = "<|im_start|>{role}\n{content}<|im_end|>\n"
 
 # A choice starts at any "A:".."E:"; it ends before "\nX:", "\n" + lower-case
 # letter, "\n" + digit, or trailing whitespace at the end of the text.
-_CHOICE_BODY = r"([A-E]):" + WS + r"*(.*?)(?=\n[A-E]:|\n[a-z]|\n\p{Nd}|" + WS + r"*\z)"
+_CHOICE_BODY = r"([A-E]):" + WS_J + r"*(.*?)(?=\n[A-E]:|\n[a-z]|\n\p{Nd}|" + WS_J + r"*\z)"
 CHOICE = r"(?s)" + _CHOICE_BODY
 CHOICE_START = r"[A-E]:"
 # Option ``anchored`` (quirk Q8 off): a choice must start a line.

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .formatting import EOS
-from .text import WS_CHARS, _class, col, let
+from .text import BLANK_J, NOT_WS_J, WS_CHARS, _class, col, let
 
 IGNORE = -100            # label value that the loss ignores
 EOS_ID = 1               # id of the end-of-sequence piece
@@ -24,17 +24,21 @@ UNKNOWN_PAD = None       # no pad id: reuse end-of-sequence (then real ends are
 
 _BLANK = _class(WS_CHARS.replace("\n", ""))                  # whitespace except newline
 _WORD = "[^" + _class(WS_CHARS)[1:-1] + "<]"                  # neither whitespace nor "<"
+_WORD_J = NOT_WS_J[:-1] + "<]"
 
 
-def piece_pattern(eos: str = EOS) -> str:
-    """The piece regex (valid in Java and RE2)."""
+def piece_pattern(eos: str = EOS, java: bool = False) -> str:
+    """The piece regex. The portable form (Java and RE2) lists the whitespace
+    code points; ``java=True`` gives the same language with Java's faster
+    character classes (used on Spark)."""
+    blank, word = (BLANK_J, _WORD_J) if java else (_BLANK, _WORD)
     return (re.escape(eos).replace("\\<", "<").replace("\\>", ">")
-            + r"|\n|" + _BLANK + "*" + _WORD + "+|" + _BLANK + "*<|" + _BLANK + "+")
+            + r"|\n|" + blank + "*" + word + "+|" + blank + "*<|" + blank + "+")
 
 
 def pieces(text: Column | str, eos: str = EOS) -> Column:
     """K1 step 1: the list of pieces (their concatenation is the text)."""
-    return F.regexp_extract_all(col(text), F.lit(piece_pattern(eos)), 0)
+    return F.regexp_extract_all(col(text), F.lit(piece_pattern(eos, java=True)), 0)
 
 
 def piece_id(p: Column, eos: str = EOS) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, bind_column, col, let, strip
+from ..functions.text import WS_J, bind_column, col, let, strip
 
 # Retrieval defaults of the reference configuration.
 TOP_K = 2
@@ -38,7 +38,7 @@ ROUND = 6                              # similarities are rounded before ranking
 def words(text: Column | str) -> Column:
     """Whitespace-separated words (``str.split()``); empty text -> empty array."""
     return let(strip(text), lambda s: F.when(s == "", F.array().cast("array<string>"))
-               .otherwise(F.split(s, WS + "+")))
+               .otherwise(F.split(s, WS_J + "+")))
 
 
 def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
