@@ -64,7 +64,11 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             Window.orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         allow = (counts.select(doc_id, F.least(F.col("__n"), F.lit(max_chunks) - before).alias("__keep"))
                        .where(F.col("__keep") > 0))
-        bound = allow.agg(F.max(doc_id)).first()[0]
+        # at most max_chunks (id, count) pairs: fetched once, reused as a local relation
+        spark = docs.sparkSession
+        allow_pdf = allow.toPandas()
+        allow = spark.createDataFrame(allow_pdf, allow.schema)
+        bound = None if allow_pdf.empty else allow_pdf[doc_id].max().item()
         if bound is None:
             docs = docs.where(F.lit(False))
         else:
