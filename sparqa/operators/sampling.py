@@ -69,6 +69,40 @@ def _stats_schema(df: DataFrame, by: tuple[str, ...], bucket_type: str) -> str:
     return ", ".join(cols)
 
 
+def _hash_counts(frames: list[DataFrame], digits: int, by: tuple[str, ...] = ()) -> list:
+    """Per-prefix counts of several hashed inputs in ONE job: the small
+    per-input aggregations are tagged and unioned before collecting (at most
+    ``16**digits`` rows per input and stratum)."""
+    parts = [f.groupBy(*by, F.substring(_H, 1, digits).alias(_B))
+              .agg(F.count(F.lit(1)).alias(_CNT)).withColumn("__item", F.lit(i))
+             for i, f in enumerate(frames)]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    pdf = union.toPandas()
+    return [pdf[pdf["__item"] == i].drop(columns="__item").reset_index(drop=True)
+            for i in range(len(frames))]
+
+
+def _hash_finish(df: DataFrame, d: DataFrame, key: str, fine, fine_digits: int,
+                 by: tuple[str, ...] = ()):
+    """Pick the shortest md5 prefix whose largest bucket stays under
+    ``BUCKET_ROWS`` (refining to 4 digits when a 2-digit bucket is too big)."""
+    def level(counts, dd: int):
+        return (counts.assign(**{_B: counts[_B].str[:dd]})
+                      .groupby([*by, _B], as_index=False, dropna=False)[_CNT].sum())
+
+    if len(fine) and fine[_CNT].max() > BUCKET_ROWS and fine_digits < HASH_DIGITS:
+        fine, fine_digits = _hash_counts([d], HASH_DIGITS, by)[0], HASH_DIGITS
+    digits = fine_digits
+    for dd in range(1, fine_digits):
+        if len(fine) == 0 or level(fine, dd)[_CNT].max() <= BUCKET_ROWS:
+            digits = dd
+            break
+    stats = _local_stats(df.sparkSession, level(fine, digits), _stats_schema(df, by, "string"), by)
+    return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
+
+
 def _hash_ordered(df: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()):
     """Seeded order ``(md5(seed|key), key)``; buckets are md5 prefixes.
 
@@ -79,25 +113,7 @@ def _hash_ordered(df: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()):
     prefix whose largest bucket stays under ``BUCKET_ROWS``.
     """
     d = df.withColumn(_H, seeded_hash(key, seed))
-
-    def counts(digits: int):
-        return (d.groupBy(*by, F.substring(_H, 1, digits).alias(_B))
-                 .agg(F.count(F.lit(1)).alias(_CNT)).toPandas())
-
-    def level(fine, dd: int):
-        return (fine.assign(**{_B: fine[_B].str[:dd]})
-                    .groupby([*by, _B], as_index=False, dropna=False)[_CNT].sum())
-
-    fine, fine_digits = counts(2), 2
-    if len(fine) and fine[_CNT].max() > BUCKET_ROWS:
-        fine, fine_digits = counts(HASH_DIGITS), HASH_DIGITS
-    digits = fine_digits
-    for dd in range(1, fine_digits):
-        if len(fine) == 0 or level(fine, dd)[_CNT].max() <= BUCKET_ROWS:
-            digits = dd
-            break
-    stats = _local_stats(df.sparkSession, level(fine, digits), _stats_schema(df, by, "string"), by)
-    return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
+    return _hash_finish(df, d, key, _hash_counts([d], 2, by)[0], 2, by)
 
 
 def _key_ordered(df: DataFrame, key: str, by: tuple[str, ...] = ()):
@@ -175,6 +191,12 @@ def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Colum
     """
     by = tuple(by)
     d, order_cols, stats = _ordered(df, key, order, seed, by)
+    return _assign(d, order_cols, stats, segment, out, by)
+
+
+def _assign(d: DataFrame, order_cols: list[Column], stats: DataFrame,
+            segment: Callable[[Column, Column], Column], out: str,
+            by: tuple[str, ...]) -> DataFrame:
     lo, n = F.col(_LO), F.col(_N)
     stats = stats.select(*by, _B, _LO, _N, segment(lo, n).alias("__seg"),
                          (segment(lo, n) == segment(lo + F.col(_CNT) - 1, n)).alias("__pure"))
@@ -204,6 +226,19 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED,
     return kept.where("__keep").drop("__keep")
 
 
+def sample_exact_many(items: list[tuple[DataFrame, str, int]], seed: int = DEFAULT_SEED) -> list[DataFrame]:
+    """R2 for several inputs at once: ``[(df, key, n), ...]`` -> samples, with
+    the bucket counts of all inputs gathered by a single job."""
+    hashed = [df.withColumn(_H, seeded_hash(key, seed)) for df, key, _ in items]
+    fines = _hash_counts(hashed, 2)
+    out = []
+    for (df, key, n), d, fine in zip(items, hashed, fines):
+        d2, order_cols, stats = _hash_finish(df, d, key, fine, 2)
+        kept = _assign(d2, order_cols, stats, lambda p, _n, n=n: p < F.lit(n), "__keep", ())
+        out.append(kept.where("__keep").drop("__keep"))
+    return out
+
+
 def split_train_test(df: DataFrame, key: str, train_fraction: float = 0.95,
                      seed: int = DEFAULT_SEED, order: str = "hash",
                      out: str = "split", stratify: tuple[str, ...] = ()) -> DataFrame:

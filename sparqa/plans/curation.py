@@ -21,11 +21,11 @@ def curated_sources(spark: SparkSession, root: str,
     boxed = curate.curate_boxed(fixtures.boxed_source(spark, root), observation=obs.get("boxed"))
     distr = curate.curate_distractor(fixtures.distractor_source(spark, root), seed=SEED,
                                      observation=obs.get("distractor"))
-    optl = sampling.sample_exact(fixtures.optlist_source(spark, root), "o_orderkey",
-                                 OPTLIST_SAMPLE, SEED)
+    optl, four = sampling.sample_exact_many(
+        [(fixtures.optlist_source(spark, root), "o_orderkey", OPTLIST_SAMPLE),
+         (curate.fourcol_prefilter(fixtures.fourcol_source(spark, root)), "c_custkey", FOURCOL_SAMPLE)],
+        SEED)
     optl = curate.curate_optlist(optl, observation=obs.get("optlist"))
-    four = curate.fourcol_prefilter(fixtures.fourcol_source(spark, root))
-    four = sampling.sample_exact(four, "c_custkey", FOURCOL_SAMPLE, SEED)
     four = curate.curate_fourcol(four, prefiltered=True, observation=obs.get("fourcol"))
     return [boxed, distr, optl, four]
 

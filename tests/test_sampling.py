@@ -117,3 +117,10 @@ def test_null_keys_and_strata_are_kept(spark):
     pos = sampling.with_position(df, "k", "pos", order="key").collect()
     assert sorted(r.pos for r in pos) == list(range(5))
     assert [r.k for r in sorted(pos, key=lambda r: r.pos)][0] is None
+
+
+def test_sample_exact_many_equals_single(spark, ids):
+    other = spark.range(100, 900).withColumnRenamed("id", "j")
+    a, b = sampling.sample_exact_many([(ids, "k", 300), (other, "j", 50)])
+    assert sorted(r.k for r in a.collect()) == sorted(r.k for r in sampling.sample_exact(ids, "k", 300).collect())
+    assert sorted(r.j for r in b.collect()) == sorted(r.j for r in sampling.sample_exact(other, "j", 50).collect())
