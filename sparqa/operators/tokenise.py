@@ -120,3 +120,22 @@ def tokenise_with(df: DataFrame, make_encoder: Callable[[], Callable], max_len:
                            labels=lab_col, boundary_lost=lost_col)
 
     return df.mapInPandas(run, schema)
+
+
+def hf_encoder(spark, tokenizer_json: str, add_special_tokens: bool = False) -> Callable[[], Callable]:
+    """An encoder factory for ``tokenise_with`` from a Hugging Face
+    ``tokenizer.json`` (its text). The JSON is broadcast once; every task
+    builds the tokenizer and encodes whole Arrow batches with
+    ``encode_batch``, returning ids and character start offsets."""
+    bc = spark.sparkContext.broadcast(tokenizer_json)
+
+    def make() -> Callable:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(bc.value)
+
+        def encode(texts: list[str]):
+            encs = tok.encode_batch(texts, add_special_tokens=add_special_tokens)
+            return [(e.ids, [start for start, _ in e.offsets]) for e in encs]
+        return encode
+    return make

@@ -114,3 +114,21 @@ def test_choice_slice(spark):
     df = spark.createDataFrame([([5, 6, 7, 8], 2), ([5], 3)], "ids array<int>, n int")
     got = [r.s for r in df.select(tk.choice_slice(F.col("ids"), F.col("n")).alias("s")).collect()]
     assert got == [[7, 8], []]
+
+
+def test_hf_tokenizer_path(spark):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    vocab = {"[PAD]": 0, "[UNK]": 1, "Q": 2, "one": 3, "two": 4, "Answer:": 5, "A": 6}
+    tok = Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
+    tok.pre_tokenizer = WhitespaceSplit()
+    df = spark.createDataFrame([("Q one two\nAnswer: A", len("Q one two\nAnswer:")), ("Q zzz", 1)],
+                               "text string, prompt_length_chars int")
+    make = tokenise.hf_encoder(spark, tok.to_str())
+    rows = {r.text: r for r in tokenise.tokenise_with(df, make, max_len=8, pad_id=0).collect()}
+    r = rows["Q one two\nAnswer: A"]
+    assert r.input_ids == [2, 3, 4, 5, 6] and r.response_start == 4
+    assert r.labels == [-100, -100, -100, -100, 6] and not r.boundary_lost
+    assert rows["Q zzz"].input_ids == [2, 1] and rows["Q zzz"].response_start == 1
