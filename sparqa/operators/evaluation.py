@@ -101,17 +101,12 @@ def rewards(pairs: DataFrame, mode: str) -> tuple:
 def preference_accuracy(pairs: DataFrame, modes: tuple[str, ...] = REWARD_MODES,
                         by: tuple[str, ...] = ("source",)) -> DataFrame:
     """Share of pairs whose chosen reward beats the rejected one, per mode
-    and group, from one scan of the pairs."""
+    and group. One aggregation computes every mode's win rate (partial
+    aggregation, one pass); the small result is unpivoted to one row per mode."""
+    wins = []
     for m in modes:
-        rewards(pairs, m)  # validate early
-    mode = F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
-    d = pairs.select(*by, "chosen_logp", "rejected_logp", "ref_chosen_logp", "ref_rejected_logp",
-                     "chosen_len", "rejected_len", mode)
-    win = None
-    for m in modes:
-        c, r = rewards(d, m)
-        cond = F.col("mode") == m
-        win = F.when(cond, c > r) if win is None else win.when(cond, c > r)
-    return (d.groupBy("mode", *by)
-             .agg(F.count(F.lit(1)).alias("pairs"),
-                  F.avg(win.cast("double")).alias("accuracy")))
+        c, r = rewards(pairs, m)
+        wins.append(F.avg((c > r).cast("double")).alias(f"__acc_{m}"))
+    agg = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *wins)
+    long = agg.unpivot([*by, "pairs"], [f"__acc_{m}" for m in modes], "mode", "accuracy")
+    return long.select(F.regexp_replace("mode", "^__acc_", "").alias("mode"), *by, "pairs", "accuracy")
