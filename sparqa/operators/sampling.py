@@ -126,11 +126,16 @@ def _key_ordered(df: DataFrame, key: str, by: tuple[str, ...] = ()):
     """
     from pyspark.ml.feature import Bucketizer
 
-    n = df.count()
-    buckets = int(min(KEY_BUCKETS_MAX, max(KEY_BUCKETS_MIN, math.ceil(n / BUCKET_ROWS))))
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(F.col(key).cast("double"), probs, 10 * buckets)
-                    .alias("q")).first()
+    def quantiles(buckets: int) -> Column:
+        probs = [i / buckets for i in range(1, buckets)]
+        return F.percentile_approx(F.col(key).cast("double"), probs, 10 * buckets).alias("q")
+
+    # one pass gives the row count and the coarsest bounds; finer bounds only
+    # when the input is larger than KEY_BUCKETS_MIN full buckets
+    row = df.select(F.count(F.lit(1)).alias("n"), quantiles(KEY_BUCKETS_MIN)).first()
+    buckets = int(min(KEY_BUCKETS_MAX, max(KEY_BUCKETS_MIN, math.ceil(row["n"] / BUCKET_ROWS))))
+    if buckets > KEY_BUCKETS_MIN:
+        row = df.select(quantiles(buckets)).first()
     bounds = sorted(set(v for v in (row["q"] or []) if v is not None))
     splits = [float("-inf")] + bounds + [float("inf")]
     d = df.withColumn("__kd", F.col(key).cast("double"))
