@@ -56,3 +56,13 @@ def test_evaluate_plan_and_requests(spark):
     req = plan.eval_requests(fixtures.eval_questions(spark, SF_SMALL))
     r = req.where("choice_idx = 4").first()
     assert r.continuation == " E" and r.prompt.endswith("Answer:")
+
+
+def test_avg_normalisation_changes_the_winner(spark):
+    # Q16: summed scores favour short choices; per-token averages do not
+    toks = spark.createDataFrame([(1, 0, 0, -2.0), (1, 1, 0, -1.5), (1, 1, 1, -1.5), (1, 1, 2, -1.5)],
+                                 "example_id long, choice_idx int, token_pos int, logprob double")
+    gold = spark.createDataFrame([(1, "B")], "example_id long, answer string")
+    by_sum = ev.predictions(ev.choice_scores(toks), gold).first()
+    by_avg = ev.predictions(ev.choice_scores(toks, normalise="avg"), gold).first()
+    assert (by_sum.pred, by_avg.pred) == ("A", "B") and by_avg.correct
