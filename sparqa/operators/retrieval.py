@@ -216,8 +216,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
     # rows without a vector / text have no similarity to anything
     c = corpus.select(*c_ids, c_value.alias("__cv")).where(F.col("__cv").isNotNull())
     queries = queries.where(q_value.isNotNull())
-    parts = []
-    for block in _query_blocks(queries, q_id, q_value, max_broadcast_bytes):
+    blocks = _query_blocks(queries, q_id, q_value, max_broadcast_bytes)
+
+    def candidates(block: DataFrame):
         pdf = block.toPandas()
         payload = {"ids": pdf["__qid"].to_numpy(dtype=np.int64),
                    "values": ([np.unique(np.asarray(v, dtype=np.int64)) for v in pdf["__qv"]] if sim == "jaccard"
@@ -228,10 +229,23 @@ def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
         def run(it, bc=bc):
             return _topk_partition(it, bc.value, sim, k, c_ids, "__cv", exclude_self)
 
-        parts.append(c.mapInPandas(run, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        return c.mapInPandas(run, schema), bc
+
+    if len(blocks) == 1:
+        cand, _ = candidates(blocks[0])
+    else:
+        # One block at a time: its candidates are written to the shared
+        # checkpoint folder before the next block is broadcast, so the driver
+        # never holds more than one bounded block.
+        import uuid
+
+        from ..session import checkpoint_dir
+        base = f"{checkpoint_dir(spark).rstrip('/')}/sparqa-topk/{uuid.uuid4().hex}"
+        for i, block in enumerate(blocks):
+            part, bc = candidates(block)
+            part.write.mode("overwrite").parquet(f"{base}/block={i}")
+            bc.destroy()   # candidates are on storage; free the driver copy too
+        cand = spark.read.parquet(base).drop("block")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), *[F.col(x) for x in c_ids])
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", *c_ids, "similarity")
