@@ -189,7 +189,8 @@ def _query_blocks(queries: DataFrame, q_id: str, value: Column,
     stats = q.agg(F.count(F.lit(1)).alias("n"),
                   F.coalesce(F.sum(F.size("__qv")), F.lit(0)).alias("elems")).first()
     payload = 8 * (int(stats["n"]) + int(stats["elems"]))
-    blocks = max(1, math.ceil(payload / max_bytes))
+    # hash-assigned blocks vary around their mean: aim at half the bound each
+    blocks = 1 if payload <= max_bytes else math.ceil(2 * payload / max_bytes)
     if blocks == 1:
         return [q]
     b = F.pmod(F.xxhash64(F.col("__qid")), F.lit(blocks))
