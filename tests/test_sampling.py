@@ -124,3 +124,15 @@ def test_sample_exact_many_equals_single(spark, ids):
     a, b = sampling.sample_exact_many([(ids, "k", 300), (other, "j", 50)])
     assert sorted(r.k for r in a.collect()) == sorted(r.k for r in sampling.sample_exact(ids, "k", 300).collect())
     assert sorted(r.j for r in b.collect()) == sorted(r.j for r in sampling.sample_exact(other, "j", 50).collect())
+
+
+def test_split_cut_is_pythons_float_product(spark):
+    fracs = [0.95, 0.29, 0.7, 0.1, 0.333, 0.5, 0.9]
+    ns = list(range(0, 3000, 7)) + [10**6 + 1, 1999999]
+    df = spark.createDataFrame([(f, n) for f in fracs for n in ns], "f double, n long")
+    got = {(r.f, r.n): r.cut for r in df.select("f", "n", F.floor(F.col("n").cast("double") * F.col("f"))
+                                                 .cast("long").alias("cut")).collect()}
+    assert got == {(f, n): int(f * n) for f in fracs for n in ns}
+    assert all(int(0.95 * n) == n * 19 // 20 for n in range(0, 2_000_000, 997))
+    s = sampling.split_train_test(spark.range(100).withColumnRenamed("id", "k"), "k", 0.29)
+    assert s.where("split = 'train'").count() == int(0.29 * 100) == 28
