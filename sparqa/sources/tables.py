@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,7 +19,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-_SCAN_PARTITIONS: dict[tuple, int] = {}
+_SCAN_PARTITIONS: dict[str, int] = {}
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -32,12 +34,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     try:
-        files = tuple(sorted(df.inputFiles()))
-        have = _SCAN_PARTITIONS.get(files)
+        files = sorted(df.inputFiles())
+        key = hashlib.sha1("\n".join(files).encode()).hexdigest() if files else None
+        have = _SCAN_PARTITIONS.get(key) if key else None
         if have is None:
             have = df.rdd.getNumPartitions()
-            if files:
-                _SCAN_PARTITIONS[files] = have
+            if key:
+                _SCAN_PARTITIONS[key] = have
     except Exception:  # no RDD view (e.g. a remote session): leave as is
         return df
     return df.repartition(want) if have < want else df
