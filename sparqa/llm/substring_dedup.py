@@ -13,9 +13,10 @@ into groups:
    the names of two shorter ones (exact, on words; no hash decides). A node at
    depth ``WINDOW`` with two leaves or more is deep: its windows are repeats,
    and runs of such windows are the maximal repeats;
-3. the prefix of a more frequent anchor is lengthened to the whole window. Such
-   a group is one deep node, so its leaves are only counted, with partial sums
-   before the shuffle; any number of copies of a passage is dealt out evenly.
+3. the prefix of a more frequent anchor is lengthened to all words of the
+   windows it heads, then to each window. Such a group is one deep node, so its
+   leaves are only counted, with partial sums before the shuffle; any number of
+   copies of a passage is dealt out evenly.
 
 Each task holds words of a bounded number of suffixes at a time.
 """
@@ -142,23 +143,53 @@ def _suffixes(texts: DataFrame, window: int) -> DataFrame:
                      ["doc_id", "h", "text", "firsts"])
 
 
-def _whole_windows(texts: DataFrame, window: int) -> DataFrame:
-    """The windows that the listed anchors head, one by one, as 128-bit digests of their words."""
+def _whole_segments(texts: DataFrame, window: int) -> DataFrame:
+    """The words of the windows that the listed anchors head, one row each, with their 128-bit digest."""
     def kernel(ids: list, hs: list, texts: list, firsts: list) -> dict:
-        out: dict[str, list] = {"digest": [], "doc_id": [], "h": [], "first": []}
+        out: dict[str, list] = {"seg": [], "doc_id": [], "h": [], "first": [], "windows": [], "words": []}
         for i, h, text, listed in zip(ids, hs, texts, firsts):
             words = _words(text)
             _, _, first, end = anchors(words, window)
             wanted = set(listed)
             for a, b in zip(first.tolist(), end.tolist()):
                 if a in wanted:
-                    out["digest"] += [hashlib.blake2b(b" ".join(words[w:w + window]), digest_size=16).digest() for w in range(a, b)]
-                    out["first"] += range(a, b)
-                    out["doc_id"] += [i] * (b - a)
-                    out["h"] += [h] * (b - a)
+                    line = b" ".join(words[a:b + window - 1])
+                    for name, x in zip(out, (_digest(line), i, h, a, b - a, line)):
+                        out[name].append(x)
+        return out
+
+    return arrow_map(texts, kernel, "seg binary, doc_id bigint, h bigint, first int, windows int, words binary",
+                     ["doc_id", "h", "text", "firsts"])
+
+
+def _digest(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+def _frequent(texts: DataFrame, window: int) -> DataFrame:
+    """Repeated runs among the windows of frequent anchors, whose prefix is lengthened as far as they go.
+
+    Equal segments (all windows of an anchor) are one leaf count. Only one of each kind is cut into
+    windows, which are counted once more; the windows of segments that occur once are looked up there.
+    """
+    segs = saved(_whole_segments(texts, window), "segments")
+    kinds = saved(segs.groupBy("seg").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "first", "words"))), "kinds")
+    equal = segs.join(kinds.where("n > 1").select("seg"), "seg").select("doc_id", "h", "first", (F.col("first") + F.col("windows")).alias("last"))
+
+    def kernel(ns: list, ids: list, hs: list, firsts: list, lines: list) -> dict:
+        out: dict[str, list] = {"digest": [], "alone": [], "doc_id": [], "h": [], "first": []}
+        for n, i, h, first, line in zip(ns, ids, hs, firsts, lines):
+            words = line.split()
+            for k in range(len(words) - window + 1):
+                for name, x in zip(out, (_digest(b" ".join(words[k:k + window])), n == 1, i, h, first + k)):
+                    out[name].append(x)
         return out
 
-    return arrow_map(texts, kernel, "digest binary, doc_id bigint, h bigint, first int", ["doc_id", "h", "text", "firsts"])
+    cut = saved(arrow_map(kinds, kernel, "digest binary, alone boolean, doc_id bigint, h bigint, first int",
+                          ["n", "doc_id", "h", "first", "words"]), "windows")
+    again = cut.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    single = cut.where("alone").join(saved(again, "again"), "digest").select("doc_id", "h", "first", (F.col("first") + 1).alias("last"))
+    return equal.unionByName(single)
 
 
 def deep_windows(segments: list[list[bytes]], window: int = WINDOW) -> list[np.ndarray]:
@@ -243,9 +274,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     if counts.where(F.col("n") > group).isEmpty():
         every = trees
     else:
-        whole = saved(_whole_windows(listed(F.col("n") > group), window), "whole")
-        again = saved(whole.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "windows")
-        every = trees.unionByName(whole.join(again, "digest").select("doc_id", "h", "first", (F.col("first") + 1).alias("last")))
+        every = trees.unionByName(_frequent(listed(F.col("n") > group), window))
     return every.groupBy("h").agg(F.collect_set(F.struct("doc_id", "first", "last")).alias("runs"))
 
 
