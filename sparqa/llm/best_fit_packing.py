@@ -35,7 +35,7 @@ FAN = 8
 CARRY = 4096
 SLACK = 32
 #: Distinct words whose ids a task keeps.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 700_000
 #: A special token of the vocabulary; put between words that are encoded in one call.
 DIVIDER = "<|startoftext|>"
 
@@ -73,15 +73,15 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         split = [(t or b"").split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = list(set().union(*split).difference(known))
         fresh: dict[bytes, bytes] = {}
         for at in range(0, len(new), 2000):
             fresh.update(self._encode(new[at:at + 2000]))
-        room = WORDS_KEPT - len(known)
-        known.update((w, fresh[w]) for w in new[:max(room, 0)])
-        if room >= len(new):
+        if len(known) + len(new) <= WORDS_KEPT:
+            known.update(fresh)
             return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in split]
+        look = known.get
+        return [b"".join([look(w) or fresh.get(w, b"") for w in words]) for words in split]
 
 
 _CODERS: dict[str, WordIds] = {}
