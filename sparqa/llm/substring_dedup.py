@@ -18,6 +18,9 @@ into groups:
    leaves are only counted, with partial sums before the shuffle; any number of
    copies of a passage is dealt out evenly.
 
+Rows with the same text are repeats of each other throughout; one of them
+stands for all in the groups.
+
 Each task holds words of a bounded number of suffixes at a time.
 """
 
@@ -109,57 +112,49 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, text): ``h`` hashes doc_id and text, so only repeated rows share both keys."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"),
-                       F.col("text").cast("binary").alias("text"))
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, h, text and more): ``h`` is the 128-bit digest of the text, so equal texts share it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id"), F.unhex(F.md5(text)).alias("h"), F.col("text").cast("binary").alias("text"), *more)
 
 
 def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
     def kernel(hs: list, texts: list) -> dict:
         found = [anchors(_words(t), window) for t in texts]
         return {"gram": np.concatenate([f[0].view(np.int64) for f in found]),
-                "h": np.repeat(np.array(hs, np.int64), [len(f[0]) for f in found]),
+                "h": [h for h, f in zip(hs, found) for _ in range(len(f[0]))],
                 "first": np.concatenate([f[2].astype(np.int32) for f in found])}
 
-    return arrow_map(_keyed(docs), kernel, "gram bigint, h bigint, first int", ["h", "text"])
-
-
-def _suffixes(texts: DataFrame, window: int) -> DataFrame:
-    """The words of the windows that the listed anchors head, by their prefix."""
-    def kernel(ids: list, hs: list, texts: list, firsts: list) -> dict:
-        out: dict[str, list] = {"gram": [], "doc_id": [], "h": [], "first": [], "words": []}
-        for i, h, text, listed in zip(ids, hs, texts, firsts):
-            words = _words(text)
-            gram = anchors(words, window)
-            wanted = set(listed)
-            for g, a, b in zip(gram[0].view(np.int64).tolist(), gram[2].tolist(), gram[3].tolist()):
-                if a in wanted:
-                    for name, x in zip(out, (g, i, h, a, b" ".join(words[a:b + window - 1]))):
-                        out[name].append(x)
-        return out
+    return arrow_map(_keyed(docs), kernel, "gram bigint, h binary, first int", ["h", "text"])
 
-    return arrow_map(texts, kernel, "gram bigint, doc_id bigint, h bigint, first int, words binary",
-                     ["doc_id", "h", "text", "firsts"])
 
+def _listed(texts: DataFrame, window: int, name: str, made) -> DataFrame:
+    """One row for each listed anchor of each text: ``name`` (of the prefix hash and the words), h, first, windows, words.
 
-def _whole_segments(texts: DataFrame, window: int) -> DataFrame:
-    """The words of the windows that the listed anchors head, one row each, with their 128-bit digest."""
-    def kernel(ids: list, hs: list, texts: list, firsts: list) -> dict:
-        out: dict[str, list] = {"seg": [], "doc_id": [], "h": [], "first": [], "windows": [], "words": []}
-        for i, h, text, listed in zip(ids, hs, texts, firsts):
+    Copies of a text stand together in a partition, and only the first of them is taken: they are
+    known to be repeats of each other, and one is enough to find its windows elsewhere. A copy that
+    is dealt to another task does no harm.
+    """
+    last: list = [None]
+
+    def kernel(hs: list, texts: list, firsts: list) -> dict:
+        out: dict[str, list] = {name: [], "h": [], "first": [], "windows": [], "words": []}
+        for h, text, listed in zip(hs, texts, firsts):
+            if h == last[0]:
+                continue
+            last[0] = h
             words = _words(text)
-            _, _, first, end = anchors(words, window)
+            gram, _, first, end = anchors(words, window)
             wanted = set(listed)
-            for a, b in zip(first.tolist(), end.tolist()):
+            for g, a, b in zip(gram.view(np.int64).tolist(), first.tolist(), end.tolist()):
                 if a in wanted:
                     line = b" ".join(words[a:b + window - 1])
-                    for name, x in zip(out, (_digest(line), i, h, a, b - a, line)):
-                        out[name].append(x)
+                    for n, x in zip(out, (made(g, line), h, a, b - a, line)):
+                        out[n].append(x)
         return out
 
-    return arrow_map(texts, kernel, "seg binary, doc_id bigint, h bigint, first int, windows int, words binary",
-                     ["doc_id", "h", "text", "firsts"])
+    kind = "bigint" if name == "gram" else "binary"
+    return arrow_map(texts, kernel, f"{name} {kind}, h binary, first int, windows int, words binary", ["h", "text", "firsts"])
 
 
 def _digest(line: bytes) -> bytes:
@@ -172,23 +167,22 @@ def _frequent(texts: DataFrame, window: int) -> DataFrame:
     Equal segments (all windows of an anchor) are one leaf count. Only one of each kind is cut into
     windows, which are counted once more; the windows of segments that occur once are looked up there.
     """
-    segs = saved(_whole_segments(texts, window), "segments")
-    kinds = saved(segs.groupBy("seg").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "first", "words"))), "kinds")
-    equal = segs.join(kinds.where("n > 1").select("seg"), "seg").select("doc_id", "h", "first", (F.col("first") + F.col("windows")).alias("last"))
+    segs = saved(_listed(texts, window, "seg", lambda _, line: _digest(line)), "segments")
+    kinds = saved(segs.groupBy("seg").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", "first", "words"))), "kinds")
+    equal = segs.join(kinds.where("n > 1").select("seg"), "seg").select("h", "first", (F.col("first") + F.col("windows")).alias("last"))
 
-    def kernel(ns: list, ids: list, hs: list, firsts: list, lines: list) -> dict:
-        out: dict[str, list] = {"digest": [], "alone": [], "doc_id": [], "h": [], "first": []}
-        for n, i, h, first, line in zip(ns, ids, hs, firsts, lines):
+    def kernel(ns: list, hs: list, firsts: list, lines: list) -> dict:
+        out: dict[str, list] = {"digest": [], "alone": [], "h": [], "first": []}
+        for n, h, first, line in zip(ns, hs, firsts, lines):
             words = line.split()
             for k in range(len(words) - window + 1):
-                for name, x in zip(out, (_digest(b" ".join(words[k:k + window])), n == 1, i, h, first + k)):
+                for name, x in zip(out, (_digest(b" ".join(words[k:k + window])), n == 1, h, first + k)):
                     out[name].append(x)
         return out
 
-    cut = saved(arrow_map(kinds, kernel, "digest binary, alone boolean, doc_id bigint, h bigint, first int",
-                          ["n", "doc_id", "h", "first", "words"]), "windows")
+    cut = saved(arrow_map(kinds, kernel, "digest binary, alone boolean, h binary, first int", ["n", "h", "first", "words"]), "windows")
     again = cut.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    single = cut.where("alone").join(saved(again, "again"), "digest").select("doc_id", "h", "first", (F.col("first") + 1).alias("last"))
+    single = cut.where("alone").join(saved(again, "again"), "digest").select("h", "first", (F.col("first") + 1).alias("last"))
     return equal.unionByName(single)
 
 
@@ -241,57 +235,58 @@ def _trees(grouped: DataFrame, window: int) -> DataFrame:
         words = 0
 
         def build(rows: list[tuple]) -> pd.DataFrame:
-            marks = deep_windows([r[4] for r in rows], window)
-            made = [(r[1], r[2], r[3] + a, r[3] + b) for r, m in zip(rows, marks) for a, b in _runs(m)]
-            return pd.DataFrame(made, columns=["doc_id", "h", "first", "last"]).astype({"doc_id": "Int64"})
+            marks = deep_windows([r[3] for r in rows], window)
+            made = [(r[1], r[2] + a, r[2] + b) for r, m in zip(rows, marks) for a, b in _runs(m)]
+            return pd.DataFrame(made, columns=["h", "first", "last"])
 
         for frame in frames:
-            ids = frame["doc_id"].astype("Int64")
-            for g, i, h, first, text in zip(frame["gram"], ids, frame["h"], frame["first"], frame["words"]):
+            for g, h, first, text in zip(frame["gram"], frame["h"], frame["first"], frame["words"]):
                 if words >= TASK_WORDS and held[-1][0] != g:
                     yield build(held)
                     held, words = [], 0
-                held.append((g, i, h, first, text.split()))
-                words += len(held[-1][4])
+                held.append((g, h, first, text.split()))
+                words += len(held[-1][3])
         if held:
             yield build(held)
 
-    return grouped.mapInPandas(run, "doc_id bigint, h bigint, first int, last int")
+    return grouped.mapInPandas(run, "h binary, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(h, runs of (doc_id, first, last)): runs of window starts whose window starts elsewhere too, last exclusive."""
+    """(h, copies, runs of (first, last)) of each text: how many rows have it, and its runs of window starts
+    (last exclusive) whose window starts in another text or elsewhere in this one."""
     found = saved(_anchor_table(docs, window), "anchors")
     counts = saved(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
     ship_package(docs.sparkSession)
 
     def listed(which) -> DataFrame:
         anchors_of = found.join(counts.where(which), "gram").groupBy("h").agg(F.collect_set("first").alias("firsts"))
-        return _keyed(docs).join(anchors_of, "h")
+        return _keyed(docs).join(anchors_of, "h").sortWithinPartitions("h")
 
-    small = _suffixes(listed(F.col("n") <= group), window)
-    trees = _trees(small.repartition("gram").sortWithinPartitions("gram"), window)
-    if counts.where(F.col("n") > group).isEmpty():
-        every = trees
-    else:
-        every = trees.unionByName(_frequent(listed(F.col("n") > group), window))
-    return every.groupBy("h").agg(F.collect_set(F.struct("doc_id", "first", "last")).alias("runs"))
+    small = _listed(listed(F.col("n") <= group), window, "gram", lambda g, _: g).drop("windows")
+    every = _trees(small.repartition("gram").sortWithinPartitions("gram"), window)
+    if not counts.where(F.col("n") > group).isEmpty():
+        every = every.unionByName(_frequent(listed(F.col("n") > group), window))
+    runs = every.groupBy("h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    copies = _keyed(docs).groupBy("h").agg(F.count("*").alias("copies"))
+    return copies.join(runs, "h", "left").where((F.col("copies") > 1) | F.col("runs").isNotNull())
 
 
 def _cleaned(docs: DataFrame, keyed: DataFrame, window: int, group: int, carry: list[str]) -> DataFrame:
-    """``carry`` of ``keyed`` (h, doc_id, text and more), with n_words, n_removed and kept (UTF-8 bytes)."""
+    """``carry`` of ``keyed`` (h, text and more), with n_words, n_removed and kept (UTF-8 bytes)."""
     marked = keyed.join(repeated_runs(docs, window, group), "h", "left").select(
-        *keyed.columns, *(F.col(f"runs.{c}").alias(f"_{c}") for c in ("doc_id", "first", "last")))
+        *keyed.columns, F.col("copies").alias("_copies"), F.col("runs.first").alias("_first"), F.col("runs.last").alias("_last"))
 
-    def kernel(ids: list, texts: list, owners: list, firsts: list, lasts: list) -> dict:
+    def kernel(texts: list, copies: list, firsts: list, lasts: list) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        for i, text, of, a, b in zip(ids, texts, owners, firsts, lasts):
+        for text, n, a, b in zip(texts, copies, firsts, lasts):
             words = _words(text)
+            if (n or 0) > 1 and len(words) >= window:
+                a, b = [0], [len(words) - window + 1]
             gone = np.zeros(len(words) + 1, np.int64)
-            for owner, first, last in zip(of or (), a or (), b or ()):
-                if owner == i:
-                    gone[first] += 1
-                    gone[last + window - 1] -= 1
+            for first, last in zip(a or (), b or ()):
+                gone[first] += 1
+                gone[last + window - 1] -= 1
             left = (np.cumsum(gone[:-1]) == 0).tolist()
             kept = [w for w, k in zip(words, left) if k]
             out["n_words"].append(len(words))
@@ -299,8 +294,7 @@ def _cleaned(docs: DataFrame, keyed: DataFrame, window: int, group: int, carry:
             out["kept"].append(b" ".join(kept))
         return out
 
-    return arrow_map(marked, kernel, "n_words bigint, n_removed bigint, kept binary",
-                     ["doc_id", "text", "_doc_id", "_first", "_last"], carry)
+    return arrow_map(marked, kernel, "n_words bigint, n_removed bigint, kept binary", ["text", "_copies", "_first", "_last"], carry)
 
 
 def repeat_report(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -321,8 +315,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     null text stays null. Every row and all other columns stay.
     """
     rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"),
-                        F.col("text").cast("binary").alias("text"), rest.alias("_rest"))
+    keyed = _keyed(docs, rest.alias("_rest"))
     done = _cleaned(docs, keyed, window, group, ["_rest", "text"])
     text = F.when(F.col("n_removed") == 0, F.col("text").cast("string")).otherwise(F.col("kept").cast("string"))
     out = done.select("_rest", text.alias("text"), "n_removed")
