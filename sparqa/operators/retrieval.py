@@ -24,7 +24,6 @@ from ..functions.text import WS_J, bind_column, col, let, strip
 # Retrieval defaults of the reference configuration.
 TOP_K = 2
 CHUNK_TOKENS = 512
-MAX_CHUNKS = 100000
 SIMILARITIES = ("cosine", "dot_product", "max_inner_product", "jaccard")
 
 WORD = r"[\p{L}\p{Nd}_]+"             # token of a set-similarity bag (same in Java and RE2)
@@ -42,10 +41,10 @@ def words(text: Column | str) -> Column:
 
 
 def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    chunk_tokens: int = CHUNK_TOKENS, max_chunks: int | None = MAX_CHUNKS) -> DataFrame:
+                    chunk_tokens: int = CHUNK_TOKENS, max_chunks: int | None = None) -> DataFrame:
     """J5 + J6: consecutive chunks of ``chunk_tokens`` words per document,
-    ``(doc_id, chunk_idx, n_words, text)``; with ``max_chunks`` only the first
-    chunks in (doc_id, chunk_idx) order are kept.
+    ``(doc_id, chunk_idx, n_words, text)``. All chunks by default (a pure map);
+    with ``max_chunks`` only the first ones in (doc_id, chunk_idx) order.
 
     Every non-empty document yields at least one chunk, so only the first
     ``max_chunks`` non-empty doc ids can contribute. Those ids (a top-n of at
@@ -156,8 +155,6 @@ def _topk_partition(batches: Iterator[pd.DataFrame], queries: dict, sim: str, k:
                 s = _score_dense(q_vals, cv, sim)
             s = np.round(s, ROUND)
             valid = np.isfinite(s)
-            if sim == "jaccard":
-                valid &= s > 0
             if exclude_self:
                 valid &= q_ids[:, None] != part[cid_cols[0]].to_numpy()[None, :]
             scored = np.where(valid, s, -np.inf)

@@ -31,11 +31,13 @@ def format_rows(df: DataFrame, mode: str = "rationale", eos: str = fmt.EOS,
     return d.select(*cols, "__f.text", "__f.prompt_length_chars")
 
 
-def tokenise(df: DataFrame, max_len: int = MAX_LEN_RATIONALE, text: str = "text",
+def tokenise(df: DataFrame, max_len: int | None = None, text: str = "text",
              prompt_chars: str = "prompt_length_chars", eos: str = fmt.EOS,
              pad_id: int | None = tk.UNKNOWN_PAD, pad: bool = False) -> DataFrame:
     """K1-K3: add ``input_ids, n_tokens, response_start, labels, boundary_lost``.
 
+    Whole texts by default; ``max_len`` cuts longer ones on demand.
+
     Arrays are stored unpadded unless ``pad=True`` (then ``input_ids`` and
     ``labels`` are padded to ``max_len`` and ``attention_mask`` is added),
     which keeps shuffles and files small. ``boundary_lost`` marks rows whose
@@ -55,7 +57,10 @@ def tokenise(df: DataFrame, max_len: int = MAX_LEN_RATIONALE, text: str = "text"
 
         return let(tk.ids_of(kept, eos), with_ids)
 
-    kept = F.slice(tk.pieces(text, eos), 1, max_len)
+    if pad and max_len is None:
+        raise ValueError("pad needs max_len")
+    every = tk.pieces(text, eos)
+    kept = every if max_len is None else F.slice(every, 1, max_len)
     d = bind_column(df, let(kept, per_row), "__tok")
     out = d.select(*[c for c in df.columns], "__tok.*")
     if pad:

@@ -7,24 +7,27 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from ..operators import curate, sampling
 from ..sources import fixtures
 
-# Sample sizes and seed the curation uses for two of the sources.
-OPTLIST_SAMPLE = 20000
-FOURCOL_SAMPLE = 10000
+# Fixed value: seed of the curation.
 SEED = 42
 TRAIN_FRACTION = 0.95
 
 
 def curated_sources(spark: SparkSession, root: str,
-                    observations: dict[str, Observation] | None = None) -> list[DataFrame]:
-    """The four canonical tables, with the reference's pre-filters and samples."""
+                    observations: dict[str, Observation] | None = None,
+                    samples: tuple[int, int] | None = None) -> list[DataFrame]:
+    """The four canonical tables after their pre-filters.
+
+    All rows by default; ``samples`` draws that many of the option-list and
+    four-column sources first.
+    """
     obs = observations or {}
     boxed = curate.curate_boxed(fixtures.boxed_source(spark, root), observation=obs.get("boxed"))
     distr = curate.curate_distractor(fixtures.distractor_source(spark, root), seed=SEED,
                                      observation=obs.get("distractor"))
-    optl, four = sampling.sample_exact_many(
-        [(fixtures.optlist_source(spark, root), "o_orderkey", OPTLIST_SAMPLE),
-         (curate.fourcol_prefilter(fixtures.fourcol_source(spark, root)), "c_custkey", FOURCOL_SAMPLE)],
-        SEED)
+    optl = fixtures.optlist_source(spark, root)
+    four = curate.fourcol_prefilter(fixtures.fourcol_source(spark, root))
+    if samples:
+        optl, four = sampling.sample_exact_many([(optl, "o_orderkey", samples[0]), (four, "c_custkey", samples[1])], SEED)
     optl = curate.curate_optlist(optl, observation=obs.get("optlist"))
     four = curate.curate_fourcol(four, prefiltered=True, observation=obs.get("fourcol"))
     return [boxed, distr, optl, four]
@@ -88,17 +91,17 @@ def materialised_dataset(spark: SparkSession, root: str) -> DataFrame:
     """S4 + S5 + S2: build the shuffled train/test table once into the shared
     checkpoint folder (one Parquet folder per split) and read it back.
 
-    The cache path is keyed by the input root, the parameters and the code, so
-    a changed option or library version never picks up an old build; readers
+    The cache path is keyed by the input files, the parameters and the code, so
+    changed data, a changed option or library version never picks up an old build; readers
     only see it after ``_SUCCESS`` exists. Reading it back cuts the lineage of
     the curation plan.
     """
     from ..session import checkpoint_dir
-    from ..sources.sinks import materialise_once, options_key, write_table
+    from ..sources.sinks import input_fingerprint, materialise_once, options_key
     from ..sources.tables import load_split
 
     opts = {"root": root, "seed": SEED, "train_fraction": TRAIN_FRACTION,
-            "samples": [OPTLIST_SAMPLE, FOURCOL_SAMPLE], "code": _code_fingerprint(),
+            "input": input_fingerprint(spark, root), "code": _code_fingerprint(),
             "namespace": cache_namespace(spark)}
     base = f"{checkpoint_dir(spark).rstrip('/')}/sparqa-datasets"
 

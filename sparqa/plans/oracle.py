@@ -190,8 +190,8 @@ def curate_union() -> str:
     parts = [
         f"SELECT * FROM (WITH {_boxed_pipeline(FX_BOXED)}\n{BOXED_SELECT})",
         f"SELECT * FROM ({_distractor_select(FX_DISTRACTOR)})",
-        f"SELECT * FROM ({_optlist_select(sample_sql(FX_OPTLIST, 'o_orderkey', 20000))})",
-        f"SELECT * FROM ({_fourcol_select(sample_sql(four_src, 'c_custkey', 10000), True)})",
+        f"SELECT * FROM ({_optlist_select(FX_OPTLIST)})",
+        f"SELECT * FROM ({_fourcol_select(four_src, True)})",
     ]
     return "\nUNION ALL\n".join(parts)
 
@@ -277,11 +277,11 @@ def _piece_re2() -> str:
     return piece_pattern(EOS)
 
 
-def _tokenised_ctes(max_len: int = 1024, cu_sql: str | None = None) -> str:
+def _tokenised_ctes(cu_sql: str | None = None) -> str:
     piece = _piece_re2()
     return f"""{_formatted_ctes(cu_sql or curate_union())},
 tk0 AS (SELECT row_id, text, prompt_length_chars, regexp_extract_all(text, '{piece}') AS pcs FROM fr),
-tk1 AS (SELECT *, list_transform(pcs[1:{max_len}], lambda p: CASE WHEN p = '{EOS}' THEN 1
+tk1 AS (SELECT *, list_transform(pcs, lambda p: CASE WHEN p = '{EOS}' THEN 1
                    ELSE CAST(('0x' || substr(md5(p), 1, 7)) AS INT) + 2 END) AS input_ids,
                len(regexp_extract_all(substr(text, 1, prompt_length_chars), '{piece}')) AS n_prompt FROM tk0),
 tk2 AS (SELECT *, CAST(len(input_ids) AS INT) AS n_tokens FROM tk1),
@@ -385,14 +385,14 @@ FROM p, m GROUP BY mode, source"""
 WORD_RE2 = r"[\p{L}\p{Nd}_]+"
 
 
-def chunk_documents(max_chunks: int = 100000, size: int = 512) -> str:
+def chunk_documents(size: int = 512) -> str:
     return f"""WITH d AS (SELECT doc_id, {strip('text')} AS s FROM documents),
 w AS (SELECT doc_id, CASE WHEN s = '' THEN []::VARCHAR[] ELSE string_split_regex(s, '{WS}+') END AS words FROM d),
 c AS (SELECT doc_id, words, unnest(range(CAST(ceil(len(words) / {size}) AS BIGINT))) AS i FROM w)
 SELECT doc_id, CAST(i AS INT) AS chunk_idx,
        CAST(len(words[i * {size} + 1 : i * {size} + {size}]) AS INT) AS n_words,
        array_to_string(words[i * {size} + 1 : i * {size} + {size}], ' ') AS text
-FROM c ORDER BY doc_id, chunk_idx LIMIT {max_chunks}"""
+FROM c"""
 
 
 def _vector_topk(fn: str) -> str:
@@ -418,7 +418,7 @@ qt AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD_RE2}
 s AS (SELECT qt.item_id AS query_id, ct.doc_id, ct.chunk_idx,
              len(list_intersect(qt.toks, ct.toks)) AS inter, len(qt.toks) AS qn, len(ct.toks) AS cn
       FROM qt, ct),
-j AS (SELECT query_id, doc_id, chunk_idx, round(inter / (qn + cn - inter), 6) AS similarity FROM s WHERE inter > 0),
+j AS (SELECT query_id, doc_id, chunk_idx, round(inter / (qn + cn - inter), 6) AS similarity FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_idx) AS rank FROM j)
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_idx, similarity FROM r WHERE rank <= 2"""
 
@@ -439,5 +439,5 @@ def source_counts() -> str:
 
 def training_rows() -> str:
     train = f"SELECT row_id, question, reasoning, answer, source FROM ({write_read_roundtrip()}) WHERE split = 'train'"
-    return (f"WITH {_tokenised_ctes(1024, train)}\nSELECT row_id, input_ids, labels, n_tokens FROM tk "
+    return (f"WITH {_tokenised_ctes(train)}\nSELECT row_id, input_ids, labels, n_tokens FROM tk "
             "WHERE len(list_filter(labels, lambda x: x <> -100)) > 0")

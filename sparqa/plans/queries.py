@@ -22,6 +22,9 @@ from . import curation, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Rows of the exact sample, which is its feature.
+SAMPLE_ROWS = 10000
+
 
 def curate_boxed(spark: SparkSession, root: str) -> DataFrame:
     return curate.curate_boxed(fixtures.boxed_source(spark, root))
@@ -55,7 +58,7 @@ def _orders(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sample_exact(spark: SparkSession, root: str) -> DataFrame:
-    return sampling.sample_exact(_orders(spark, root), "o_orderkey", curation.FOURCOL_SAMPLE,
+    return sampling.sample_exact(_orders(spark, root), "o_orderkey", SAMPLE_ROWS,
                                  curation.SEED)
 
 
@@ -102,7 +105,7 @@ def length_profile(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------ tokens
 
 def _tokenised(spark: SparkSession, root: str) -> DataFrame:
-    return tokenise.tokenise(format_rationale(spark, root), tokenise.MAX_LEN_RATIONALE)
+    return tokenise.tokenise(format_rationale(spark, root))
 
 
 def tokenise_default(spark: SparkSession, root: str) -> DataFrame:

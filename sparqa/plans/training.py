@@ -13,15 +13,13 @@ def training_rows(spark: SparkSession, root: str, split: str = "train", mode: st
                   observation: Observation | None = None) -> DataFrame:
     """Curated split -> formatted text -> token ids and masked labels -> rows
     with a target (F4), built once and read back from the shared checkpoint
-    folder (S5; keyed by root, split, format, length and code).
+    folder (S5; keyed by input files, split, format, length and code). Whole texts
+    unless ``max_len`` is given.
 
     ``observation`` (only when the table is built) reports the rows removed by F4.
     """
     from ..session import checkpoint_dir
-    from ..sources.sinks import materialise_once
-
-    if max_len is None:
-        max_len = tokenise.MAX_LEN_RATIONALE if mode == "rationale" else tokenise.MAX_LEN_ANSWER_ONLY
+    from ..sources.sinks import input_fingerprint, materialise_once
 
     def build() -> DataFrame:
         data = curation.materialised_dataset(spark, root).where(f"split = '{split}'")
@@ -32,6 +30,6 @@ def training_rows(spark: SparkSession, root: str, split: str = "train", mode: st
     if not cache:
         return build()
     opts = {"root": root, "split": split, "mode": mode, "max_len": max_len,
-            "code": curation._code_fingerprint(), "namespace": curation.cache_namespace(spark)}
+            "input": input_fingerprint(spark, root), "code": curation._code_fingerprint(), "namespace": curation.cache_namespace(spark)}
     base = f"{checkpoint_dir(spark).rstrip('/')}/sparqa-training"
     return materialise_once(spark, base, build, opts)

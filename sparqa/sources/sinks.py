@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,25 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    fs, p = _place(spark, path)
+    return fs.exists(p)
+
+
+def input_fingerprint(spark: SparkSession, root: str) -> str:
+    """A hash over names, lengths and times of change of all files below ``root``."""
+    fs, p = _place(spark, root)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
 
 
 def options_key(options: dict) -> str:
@@ -39,13 +54,20 @@ def materialise_once(spark: SparkSession, base: str, build: Callable[[], DataFra
     write and read it back.
 
     The path includes a hash of the options so a changed option never reuses a
-    stale cache, and the ``_SUCCESS`` marker guards against a half-written one.
+    stale cache; it is written beside its place and renamed when complete, so
+    nobody sees half of it and two builders do not overwrite each other.
     The result is read from storage, so later stages do not recompute (and do
     not depend on) the build's lineage.
     """
     path = f"{base.rstrip('/')}/{options_key(options or {})}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        write_table(build(), path, partition_by=partition_by)
+        part = f"{path}.{uuid.uuid4().hex}"
+        write_table(build(), part, partition_by=partition_by)
+        fs, at = _place(spark, path)
+        _, new = _place(spark, part)
+        # whoever is first wins; a second builder drops its own copy
+        if fs.exists(at) or not fs.rename(new, at):
+            fs.delete(new, True)
     return spark.read.parquet(path)
 
 

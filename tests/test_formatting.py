@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from sparqa.functions import formatting as fmt
-from spec import fmt_rationale
 
 EOS = "<eos>"
 Q = "Pick\nA: red\nB: blue\nC: tan\nD: grey"
@@ -35,18 +34,17 @@ PIECES = ["A:", "B:", "C:", "D:", "E:", "F:", "\n", " ", "  ", "x", "Y", "and",
           ".", "\t", "\xa0", "é", "\n\n", "DNA:"]
 
 
-def test_fuzz_against_spec(spark):
+def test_properties_of_random_rows(spark):
     rng = random.Random(11)
     rows = []
     for _ in range(2000):
         q = "".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14)))
-        a = rng.choice(["A", "b.", " c ", "None", "4", "e.", "d", "Ab", "é."])
-        r = rng.choice([None, "", "  ", "because\n", " x y "])
-        rows.append((q, a, r))
-    got = _run(spark, rows)
-    want = [fmt_rationale(q, a, r, EOS) for q, a, r in rows]
-    bad = [(r, g, w) for r, g, w in zip(rows, got, want) if g != w]
-    assert not bad, bad[:5]
+        rows.append((q, rng.choice(["A", "b.", " c ", "None", "4", "e.", "d", "Ab", "é."]), rng.choice([None, "", "  ", "because\n", " x y "])))
+    for (_, _, reasoning), (text, length) in zip(rows, _run(spark, rows)):
+        prompt, response = text[:length], text[length:]
+        assert prompt.endswith("\nAnswer:") and response.startswith(" ") and response.endswith(EOS)
+        assert ("\nReasoning: " in response) == bool((reasoning or "").strip())
+        assert (reasoning or "").strip() in response
 
 
 def test_answer_only(spark):

@@ -37,7 +37,8 @@ def test_jaccard_and_chunks(spark):
     got = [(r.query_id, r["rank"], r.doc_id, r.chunk_idx, r.similarity)
            for r in retrieval.retrieve_text(q, corpus, "item_id", "text", ["doc_id", "chunk_idx"], "text")
            .orderBy("query_id", "rank").collect()]
-    assert got == [(10, 1, 1, 0, 1.0), (10, 2, 4, 0, 1.0)]
+    # zero is a legal similarity: every query gets its k rows
+    assert got == [(10, 1, 1, 0, 1.0), (10, 2, 4, 0, 1.0), (11, 1, 1, 0, 0.0), (11, 2, 1, 1, 0.0)]
 
 
 def test_pair_similarity_functions(spark):

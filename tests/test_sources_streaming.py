@@ -73,3 +73,17 @@ def test_stream_resumes_from_checkpoint_without_duplicates(spark):
     got = sorted(r.row_id for r in spark.read.parquet(f"{d}/out").collect())
     want = sorted(r.row_id for r in curate.curate_fourcol(src).collect())
     assert got == want
+
+
+def test_build_once_follows_its_input(spark, tmp_path):
+    from sparqa.sources.sinks import input_fingerprint, materialise_once
+
+    root, base = str(tmp_path / "in"), str(tmp_path / "cache")
+
+    def built():
+        return materialise_once(spark, base, lambda: spark.read.parquet(root), {"input": input_fingerprint(spark, root)}).count()
+
+    spark.range(10).write.parquet(root)
+    assert built() == 10
+    spark.range(7).write.mode("overwrite").parquet(root)
+    assert built() == 7
