@@ -128,8 +128,8 @@ def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return arrow_map(_keyed(docs), kernel, "gram bigint, h binary, first int", ["h", "text"])
 
 
-def _listed(texts: DataFrame, window: int, name: str, made) -> DataFrame:
-    """One row for each listed anchor of each text: ``name`` (of the prefix hash and the words), h, first, windows, words.
+def _wanted(window: int):
+    """(prefix hash, h, first, windows, words) of each listed anchor of each text, as a kernel over lists.
 
     Copies of a text stand together in a partition, and only the first of them is taken: they are
     known to be repeats of each other, and one is enough to find its windows elsewhere. A copy that
@@ -137,8 +137,7 @@ def _listed(texts: DataFrame, window: int, name: str, made) -> DataFrame:
     """
     last: list = [None]
 
-    def kernel(hs: list, texts: list, firsts: list) -> dict:
-        out: dict[str, list] = {name: [], "h": [], "first": [], "windows": [], "words": []}
+    def found(hs: list, texts: list, firsts: list) -> Iterator[tuple]:
         for h, text, listed in zip(hs, texts, firsts):
             if h == last[0]:
                 continue
@@ -148,13 +147,44 @@ def _listed(texts: DataFrame, window: int, name: str, made) -> DataFrame:
             wanted = set(listed)
             for g, a, b in zip(gram.view(np.int64).tolist(), first.tolist(), end.tolist()):
                 if a in wanted:
-                    line = b" ".join(words[a:b + window - 1])
-                    for n, x in zip(out, (made(g, line), h, a, b - a, line)):
-                        out[n].append(x)
+                    yield g, h, a, b - a, b" ".join(words[a:b + window - 1])
+
+    return found
+
+
+def _listed(texts: DataFrame, window: int) -> DataFrame:
+    """One row for each listed anchor of each text: gram, h, first, words."""
+    found = _wanted(window)
+
+    def kernel(hs: list, texts: list, firsts: list) -> dict:
+        out: dict[str, list] = {"gram": [], "h": [], "first": [], "words": []}
+        for g, h, first, _, line in found(hs, texts, firsts):
+            for name, x in zip(out, (g, h, first, line)):
+                out[name].append(x)
         return out
 
-    kind = "bigint" if name == "gram" else "binary"
-    return arrow_map(texts, kernel, f"{name} {kind}, h binary, first int, windows int, words binary", ["h", "text", "firsts"])
+    return arrow_map(texts, kernel, "gram bigint, h binary, first int, words binary", ["h", "text", "firsts"])
+
+
+def _segments(texts: DataFrame, window: int) -> DataFrame:
+    """Digest, words and windows of the distinct segments of each slice of texts, and where they stand (hs, firsts).
+
+    Equal segments of a slice are one row before anything is shuffled, so a passage that many texts
+    share gives a row per slice and not one per copy.
+    """
+    found = _wanted(window)
+
+    def kernel(hs: list, texts: list, firsts: list) -> dict:
+        places: dict[bytes, tuple[int, list, list]] = {}
+        for _, h, first, windows, line in found(hs, texts, firsts):
+            _, those, at = places.setdefault(line, (windows, [], []))
+            those.append(h)
+            at.append(first)
+        rows = list(places.values())
+        return {"seg": [_digest(line) for line in places], "words": list(places), "windows": [r[0] for r in rows],
+                "hs": [r[1] for r in rows], "firsts": [r[2] for r in rows]}
+
+    return arrow_map(texts, kernel, "seg binary, words binary, windows int, hs array<binary>, firsts array<int>", ["h", "text", "firsts"])
 
 
 def _digest(line: bytes) -> bytes:
@@ -167,9 +197,11 @@ def _frequent(texts: DataFrame, window: int) -> DataFrame:
     Equal segments (all windows of an anchor) are one leaf count. Only one of each kind is cut into
     windows, which are counted once more; the windows of segments that occur once are looked up there.
     """
-    segs = saved(_listed(texts, window, "seg", lambda _, line: _digest(line)), "segments")
-    kinds = saved(segs.groupBy("seg").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", "first", "words"))), "kinds")
-    equal = segs.join(kinds.where("n > 1").select("seg"), "seg").select("h", "first", (F.col("first") + F.col("windows")).alias("last"))
+    segs = saved(_segments(texts, window), "segments")
+    one = segs.select("seg", "words", F.size("hs").alias("n"), F.col("hs")[0].alias("h"), F.col("firsts")[0].alias("first"))
+    kinds = saved(one.groupBy("seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("h", "first", "words"))), "kinds")
+    met = segs.join(kinds.where("n > 1").select("seg"), "seg").select("windows", F.explode(F.arrays_zip("hs", "firsts")).alias("at"))
+    equal = met.select(F.col("at.hs").alias("h"), F.col("at.firsts").alias("first"), (F.col("at.firsts") + F.col("windows")).alias("last"))
 
     def kernel(ns: list, hs: list, firsts: list, lines: list) -> dict:
         out: dict[str, list] = {"digest": [], "alone": [], "h": [], "first": []}
@@ -263,7 +295,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
         anchors_of = found.join(counts.where(which), "gram").groupBy("h").agg(F.collect_set("first").alias("firsts"))
         return _keyed(docs).join(anchors_of, "h").sortWithinPartitions("h")
 
-    small = _listed(listed(F.col("n") <= group), window, "gram", lambda g, _: g).drop("windows")
+    small = _listed(listed(F.col("n") <= group), window)
     every = _trees(small.repartition("gram").sortWithinPartitions("gram"), window)
     if not counts.where(F.col("n") > group).isEmpty():
         every = every.unionByName(_frequent(listed(F.col("n") > group), window))
