@@ -27,6 +27,7 @@ Each task holds words of a bounded number of suffixes at a time.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,80 +129,66 @@ def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return arrow_map(_keyed(docs), kernel, "gram bigint, h binary, first int", ["h", "text"])
 
 
-def _wanted(window: int):
-    """(prefix hash, h, first, windows, words) of each listed anchor of each text, as a kernel over lists.
+def _listed(texts: DataFrame, window: int) -> DataFrame:
+    """The listed anchors of each text: those in ``few`` one row each (gram, words, hs and firsts of one entry);
+    for those in ``many`` the distinct segments of a slice of texts (slice, seg, windows, words) and where they stand.
+
+    Equal segments of a slice are one row before anything is shuffled, so a passage that many texts
+    share gives a row per slice and not one per copy. The slice's name is random; the table is saved
+    before the name is used.
 
     Copies of a text stand together in a partition, and only the first of them is taken: they are
     known to be repeats of each other, and one is enough to find its windows elsewhere. A copy that
     is dealt to another task does no harm.
     """
     last: list = [None]
+    columns = ("gram", "slice", "seg", "windows", "words", "hs", "firsts")
 
-    def found(hs: list, texts: list, firsts: list) -> Iterator[tuple]:
-        for h, text, listed in zip(hs, texts, firsts):
+    def kernel(hs: list, texts: list, few: list, many: list) -> dict:
+        out: dict[str, list] = {c: [] for c in columns}
+        places: dict[bytes, tuple[int, list, list]] = {}
+        for h, text, single, shared in zip(hs, texts, few, many):
             if h == last[0]:
                 continue
             last[0] = h
             words = _words(text)
             gram, _, first, end = anchors(words, window)
-            wanted = set(listed)
+            single, shared = set(single), set(shared)
             for g, a, b in zip(gram.view(np.int64).tolist(), first.tolist(), end.tolist()):
-                if a in wanted:
-                    yield g, h, a, b - a, b" ".join(words[a:b + window - 1])
-
-    return found
-
-
-def _listed(texts: DataFrame, window: int) -> DataFrame:
-    """One row for each listed anchor of each text: gram, h, first, words."""
-    found = _wanted(window)
-
-    def kernel(hs: list, texts: list, firsts: list) -> dict:
-        out: dict[str, list] = {"gram": [], "h": [], "first": [], "words": []}
-        for g, h, first, _, line in found(hs, texts, firsts):
-            for name, x in zip(out, (g, h, first, line)):
+                if a not in single and a not in shared:
+                    continue
+                line = b" ".join(words[a:b + window - 1])
+                if a in single:
+                    for name, x in zip(columns, (g, None, None, None, line, [h], [a])):
+                        out[name].append(x)
+                else:
+                    _, those, at = places.setdefault(line, (b - a, [], []))
+                    those.append(h)
+                    at.append(a)
+        slice_name = uuid.uuid4().bytes
+        for line, (windows, those, at) in places.items():
+            for name, x in zip(columns, (None, slice_name, _digest(line), windows, line, those, at)):
                 out[name].append(x)
         return out
 
-    return arrow_map(texts, kernel, "gram bigint, h binary, first int, words binary", ["h", "text", "firsts"])
-
-
-def _segments(texts: DataFrame, window: int) -> DataFrame:
-    """Digest, words and windows of the distinct segments of each slice of texts, and where they stand (hs, firsts).
-
-    Equal segments of a slice are one row before anything is shuffled, so a passage that many texts
-    share gives a row per slice and not one per copy.
-    """
-    found = _wanted(window)
-
-    def kernel(hs: list, texts: list, firsts: list) -> dict:
-        places: dict[bytes, tuple[int, list, list]] = {}
-        for _, h, first, windows, line in found(hs, texts, firsts):
-            _, those, at = places.setdefault(line, (windows, [], []))
-            those.append(h)
-            at.append(first)
-        rows = list(places.values())
-        return {"seg": [_digest(line) for line in places], "words": list(places), "windows": [r[0] for r in rows],
-                "hs": [r[1] for r in rows], "firsts": [r[2] for r in rows]}
-
-    return arrow_map(texts, kernel, "seg binary, words binary, windows int, hs array<binary>, firsts array<int>", ["h", "text", "firsts"])
+    schema = "gram bigint, slice binary, seg binary, windows int, words binary, hs array<binary>, firsts array<int>"
+    return arrow_map(texts, kernel, schema, ["h", "text", "few", "many"])
 
 
 def _digest(line: bytes) -> bytes:
     return hashlib.blake2b(line, digest_size=16).digest()
 
 
-def _frequent(texts: DataFrame, window: int) -> DataFrame:
-    """Repeated runs among the windows of frequent anchors, whose prefix is lengthened as far as they go.
+def _frequent(segs: DataFrame, window: int) -> DataFrame:
+    """(h, runs): repeated runs among the windows of frequent anchors, whose prefix is lengthened as far as they go.
 
     Equal segments (all windows of an anchor) are one leaf count. Only one of each kind is cut into
     windows, which are counted once more; the windows of segments that occur once are looked up there.
     """
-    segs = saved(_segments(texts, window), "segments")
     one = segs.select("seg", "words", F.size("hs").alias("n"), F.col("hs")[0].alias("h"), F.col("firsts")[0].alias("first"))
     kinds = saved(one.groupBy("seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("h", "first", "words"))), "kinds")
-    met = segs.join(kinds.where("n > 1").select("seg"), "seg").select("windows", F.explode(F.arrays_zip("hs", "firsts")).alias("at"))
-    equal = met.select(F.col("at.hs").alias("h"), F.col("at.firsts").alias("first"), (F.col("at.firsts") + F.col("windows")).alias("last"))
+    met = segs.join(kinds.where("n > 1").select("seg"), "seg").groupBy("slice").agg(F.collect_list(F.struct("windows", "hs", "firsts")).alias("met"))
+    equal = arrow_map(met, _joined, "h binary, first array<int>, last array<int>", ["met"]).select("h", F.arrays_zip("first", "last").alias("runs"))
 
     def kernel(ns: list, hs: list, firsts: list, lines: list) -> dict:
         out: dict[str, list] = {"digest": [], "alone": [], "h": [], "first": []}
@@ -215,7 +202,32 @@ def _frequent(texts: DataFrame, window: int) -> DataFrame:
     cut = saved(arrow_map(kinds, kernel, "digest binary, alone boolean, h binary, first int", ["n", "h", "first", "words"]), "windows")
     again = cut.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     single = cut.where("alone").join(saved(again, "again"), "digest").select("h", "first", (F.col("first") + 1).alias("last"))
-    return equal.unionByName(single)
+    return equal.unionByName(_as_runs(single))
+
+
+def _as_runs(spans: DataFrame) -> DataFrame:
+    return spans.select("h", F.array(F.struct("first", "last")).alias("runs"))
+
+
+def _joined(slices: list) -> dict:
+    """The runs of each text of each slice, from its repeated segments; those that meet are joined."""
+    out: dict[str, list] = {"h": [], "first": [], "last": []}
+    for met in slices:
+        spans: dict[bytes, list[tuple[int, int]]] = {}
+        for seg in met:
+            for h, first in zip(seg["hs"], seg["firsts"]):
+                spans.setdefault(h, []).append((first, first + seg["windows"]))
+        for h, found in spans.items():
+            firsts, lasts = [], []
+            for first, last in sorted(found):
+                if lasts and first <= lasts[-1]:
+                    lasts[-1] = max(lasts[-1], last)
+                else:
+                    firsts.append(first)
+                    lasts.append(last)
+            for name, x in zip(out, (h, firsts, lasts)):
+                out[name].append(x)
+    return out
 
 
 def deep_windows(segments: list[list[bytes]], window: int = WINDOW) -> list[np.ndarray]:
@@ -291,15 +303,14 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     counts = saved(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
     ship_package(docs.sparkSession)
 
-    def listed(which) -> DataFrame:
-        anchors_of = found.join(counts.where(which), "gram").groupBy("h").agg(F.collect_set("first").alias("firsts"))
-        return _keyed(docs).join(anchors_of, "h").sortWithinPartitions("h")
-
-    small = _listed(listed(F.col("n") <= group), window)
-    every = _trees(small.repartition("gram").sortWithinPartitions("gram"), window)
+    starts = lambda which: F.collect_set(F.when(which, F.col("first")))
+    anchors_of = found.join(counts, "gram").groupBy("h").agg(starts(F.col("n") <= group).alias("few"), starts(F.col("n") > group).alias("many"))
+    listed = saved(_listed(_keyed(docs).join(anchors_of, "h").sortWithinPartitions("h"), window), "listed")
+    small = listed.where("gram IS NOT NULL").select("gram", F.col("hs")[0].alias("h"), F.col("firsts")[0].alias("first"), "words")
+    every = _as_runs(_trees(small.repartition("gram").sortWithinPartitions("gram"), window))
     if not counts.where(F.col("n") > group).isEmpty():
-        every = every.unionByName(_frequent(listed(F.col("n") > group), window))
-    runs = every.groupBy("h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+        every = every.unionByName(_frequent(listed.where("gram IS NULL").drop("gram"), window))
+    runs = every.groupBy("h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     copies = _keyed(docs).groupBy("h").agg(F.count("*").alias("copies"))
     return copies.join(runs, "h", "left").where((F.col("copies") > 1) | F.col("runs").isNotNull())
 
