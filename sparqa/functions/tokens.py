@@ -105,10 +105,10 @@ def choice_slice(ids: Column, prompt_len: Column) -> Column:
 
 
 def log_softmax_at(logits: Column, target: Column) -> Column:
-    """K5: ``logits[target] - logsumexp(logits)`` (stable: subtract the max first)."""
+    """K5: ``logits[target] - logsumexp(logits)`` (stable: subtract the max first); null for a target outside the vector."""
     def at(v: Column) -> Column:
         def with_max(m: Column) -> Column:
             total = F.aggregate(F.transform(v, lambda q: F.exp(q - m)), F.lit(0.0), lambda a, b: a + b)
-            return F.element_at(v, target + 1) - (m + F.log(total))
+            return F.when(target >= 0, F.try_element_at(v, target + 1)) - (m + F.log(total))
         return let(F.array_max(v), with_max)
     return let(F.transform(col(logits), lambda x: x.cast("double")), at)

@@ -93,8 +93,8 @@ def rewards(pairs: DataFrame, mode: str) -> tuple:
     if mode == "sum":
         return F.col("chosen_logp"), F.col("rejected_logp")
     if mode == "avg":
-        return (F.col("chosen_logp") / F.col("chosen_len"),
-                F.col("rejected_logp") / F.col("rejected_len"))
+        return (F.try_divide("chosen_logp", "chosen_len"),  # null for a length of 0
+                F.try_divide("rejected_logp", "rejected_len"))
     raise ValueError(f"unsupported reward normalisation {mode!r}")
 
 
@@ -102,7 +102,8 @@ def preference_accuracy(pairs: DataFrame, modes: tuple[str, ...] = REWARD_MODES,
                         by: tuple[str, ...] = ("source",)) -> DataFrame:
     """Share of pairs whose chosen reward beats the rejected one, per mode
     and group. One aggregation computes every mode's win rate (partial
-    aggregation, one pass); the small result is unpivoted to one row per mode."""
+    aggregation, one pass); the small result is unpivoted to one row per mode.
+    A pair without a reward in a mode (length 0) counts in ``pairs`` but not in the mode's share."""
     wins = []
     for m in modes:
         c, r = rewards(pairs, m)
