@@ -7,9 +7,10 @@ each place. Read backwards from the end, that score is the exact rest of a
 path, so A-star search yields the segmentations in order of score.
 
 No piece of the vocabulary runs from a letter into the next blank, so every
-path passes the place before each run of blanks. The lattice between two such
-places is searched once per distinct chunk, and the N best of a text are
-combined from the N best of its chunks.
+path passes the place before each run of blanks; if none joins a Latin letter
+and another sign, it passes the places between those too. The lattice between
+two such places is searched once per distinct chunk, and the N best of a text
+are combined from the N best of its chunks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import heapq
 import re
 import zlib
 from array import array
+from bisect import insort
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +30,15 @@ from .common import arrow_map
 
 #: Segmentations wanted, and distinct chunks whose segmentations a task keeps.
 N_BEST = 3
-CHUNKS_KEPT = 100_000
+CHUNKS_KEPT = 300_000
 BLANK = "▁"
 #: Score of a byte edge: below that of every piece, so bytes serve only where no piece does.
 BYTE_SCORE = -1e6
 
+_LETTER = "A-Za-zÀ-ɏ"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_FINE_CHUNK = re.compile(f"{BLANK}*[{_LETTER}]+|{BLANK}*[^{_LETTER}{BLANK}]+|{BLANK}+")
+_JOINT = re.compile(f"[{_LETTER}][^{_LETTER}]|[^{_LETTER}{BLANK}][{_LETTER}]")
 
 
 class Pieces:
@@ -51,72 +58,92 @@ class Pieces:
         crossing = [p for p in self.id if BLANK in p.lstrip(BLANK)]
         if crossing:
             raise ValueError(f"pieces that run into the next word: {crossing[:3]}")
+        self.chunks = (_CHUNK if any(map(_JOINT.search, self.id)) else _FINE_CHUNK).findall
         self.longest = max(map(len, self.id))
-        self.name = {i: p for p, i in self.id.items()}
-        self.value = {i: b for b, i in self.byte.items()}
-        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        # What a beginning of a piece gives by itself: score and ids, or None if it is no piece.
+        self.begins = dict.fromkeys(p[:k] for p in self.id for k in range(1, len(p))) | {p: (self.score[p], (i,)) for p, i in self.id.items()}
+        self.raw = {i: p.replace(BLANK, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        self.known: dict[str, list[tuple[float, bytes]]] = {}
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the edges that end there: (start, score, ids)."""
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
+        begins, end = self.begins, len(text)
         for a, ch in enumerate(text):
-            for b in range(a + 1, min(a + self.longest, len(text)) + 1):
+            for b in range(a + 1, min(a + self.longest, end) + 1):
                 p = text[a:b]
-                i = self.id.get(p)
-                if i is not None:
-                    into[b].append((a, self.score[p], (i,)))
+                if p not in begins:
+                    break
+                if (piece := begins[p]) is not None:
+                    into[b].append((a, *piece))
             if ch not in self.id:
                 raw = ESCAPE.get(ch, ch).encode()
                 into[a + 1].append((a, BYTE_SCORE * len(raw), tuple(self.byte[x] for x in raw)))
         return into
 
-    def chunk(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best (score, ids) of a chunk; of equal scores the one found first."""
+    def chunk(self, text: str) -> list[tuple[float, bytes]]:
+        """The N best (score, ids as unsigned 32-bit numbers) of a chunk; of equal scores the one found first."""
         if text in self.known:
             return self.known[text]
         into = self.edges(text)
-        best = [0.0] * (len(text) + 1)
-        for b in range(1, len(text) + 1):
-            best[b] = max(best[a] + s for a, s, _ in into[b])
-        found: list[tuple[float, tuple[int, ...]]] = []
+        best = [0.0]
+        for edges in into[1:]:
+            best.append(max([best[a] + s for a, s, _ in edges]) if len(edges) > 1 else best[edges[0][0]] + edges[0][1])
+        found: list[tuple[float, bytes]] = []
+        # Every open path has a completion that scores as promised, so as many as are still wanted suffice.
+        wanted = self.n
         count = 0
-        heap: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
-        while heap and len(found) < self.n:
-            _, at, _, done, path = heapq.heappop(heap)
+        open_: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
+        while open_ and wanted:
+            _, at, _, done, path = open_.pop(0)
             if at == 0:
-                ids: list[int] = []
+                ids = array("I")
                 while path is not None:
-                    ids += path[0]
+                    ids.extend(path[0])
                     path = path[1]
-                found.append((done, tuple(ids)))
+                found.append((done, ids.tobytes()))
+                wanted -= 1
                 continue
             for a, s, i in into[at]:
+                promised = -(best[a] + s + done)
+                if len(open_) >= wanted:
+                    last = open_[-1]
+                    if promised > last[0] or promised == last[0] and a >= last[1]:
+                        continue
+                    open_.pop()
                 count += 1
-                heapq.heappush(heap, (-(best[a] + s + done), a, count, s + done, (i, path)))
+                insort(open_, (promised, a, count, s + done, (i, path)))
         if len(self.known) < CHUNKS_KEPT:
             self.known[text] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[float, list[int]]]:
-        """The N best (score, ids) of a text, best first.
+    def encode(self, text: str) -> list[tuple[float, bytes]]:
+        """The N best (score, ids as unsigned 32-bit numbers) of a text, best first.
 
         One that leaves the best path in some chunk scores no more than the
         one that leaves it there alone, so only the N - 1 chunks with the least
         loss can matter.
         """
-        parts = [self.chunk(c) for c in _CHUNK.findall(escaped(text))]
-        total = sum(p[0][0] for p in parts)
-        open_ = heapq.nsmallest(self.n - 1, ((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1))
+        known = self.known
+        parts = [known.get(c) or self.chunk(c) for c in self.chunks(escaped(text))]
+        best = [p[0][1] for p in parts]
+        total = sum([p[0][0] for p in parts])
+        open_ = heapq.nsmallest(self.n - 1, [(p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1])
         ways: list[tuple[float, dict[int, int]]] = [(0.0, {})]
         for _, k in sorted(open_, key=lambda x: x[1]):
             more = [(loss + parts[k][0][0] - s, use | {k: j}) for loss, use in ways for j, (s, _) in enumerate(parts[k])]
             ways = heapq.nsmallest(self.n, more, key=lambda x: x[0])
-        return [(total - loss, [i for k, p in enumerate(parts) for i in p[use.get(k, 0)][1]]) for loss, use in ways]
+        out = []
+        for loss, use in ways:
+            ids = list(best)
+            for k, j in use.items():
+                ids[k] = parts[k][j][1]
+            out.append((total - loss, b"".join(ids)))
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: pieces joined, runs of byte pieces as UTF-8, blanks as spaces."""
-        raw = b"".join(bytes([self.value[i]]) if i in self.value else self.name[i].replace(BLANK, " ").encode() for i in ids)
-        text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -153,9 +180,10 @@ def encode_table(rows: DataFrame, model: str, keys: list[str], n: int = N_BEST)
         out: dict[str, list] = {c: [] for c in ("ids", "scores", "n_pieces", "ids_crc32", "n_best", "second_crc32", "round_trip")}
         for text in texts:
             ways = coder.encode(text or "")
-            crc = [zlib.crc32(array("I", ids).tobytes()) for _, ids in ways]
-            row = (ways[0][1], [s for s, _ in ways], len(ways[0][1]), crc[0], len(ways), crc[1] if len(ways) > 1 else None,
-                   all(coder.decode(ids) == (text or "") for _, ids in ways))
+            lists = [np.frombuffer(raw, "<u4") for _, raw in ways]
+            crc = [zlib.crc32(raw) for _, raw in ways]
+            row = (lists[0].astype(np.int32), [s for s, _ in ways], len(lists[0]), crc[0], len(ways), crc[1] if len(ways) > 1 else None,
+                   all(coder.decode(ids.tolist()) == (text or "") for ids in lists))
             for name, x in zip(out, row):
                 out[name].append(x)
         return out
