@@ -14,6 +14,8 @@ Only lengths and numbers are moved; texts are tokenised where they are read.
 from __future__ import annotations
 
 import math
+import threading
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +36,9 @@ PARTITION_PIECES = 50_000
 FAN = 8
 CARRY = 4096
 SLACK = 32
-#: Distinct words whose ids a task keeps.
+#: Distinct words whose ids a task keeps, and seconds without use after which a worker gives them up.
 WORDS_KEPT = 700_000
+IDLE_S = 5.0
 #: A special token of the vocabulary; put between words that are encoded in one call.
 DIVIDER = "<|startoftext|>"
 
@@ -54,6 +57,15 @@ class WordIds:
         self.coder = Tokenizer.from_file(path)
         self.divider = self.coder.token_to_id(DIVIDER)
         self.known: dict[bytes, bytes] = {}
+        self.used = time.monotonic()
+        threading.Thread(target=self._release, daemon=True).start()
+
+    def _release(self) -> None:
+        """Give the words up while the worker waits for another stage; a call under way keeps its own hold of them."""
+        while True:
+            time.sleep(IDLE_S / 2)
+            if self.known and time.monotonic() - self.used > IDLE_S:
+                self.known = {}
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         plain = [w for w in words if DIVIDER.encode() not in w]
@@ -72,7 +84,7 @@ class WordIds:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         split = [(t or b"").split() for t in texts]
-        known = self.known
+        known, self.used = self.known, time.monotonic()
         new = list(set().union(*split).difference(known))
         fresh: dict[bytes, bytes] = {}
         for at in range(0, len(new), 2000):
