@@ -23,7 +23,7 @@ def test_query_blocks_give_same_result(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     one = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3)
     many = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3,
-                           max_broadcast_bytes=8 * 5 * 7)
+                           block_bytes=8 * 5 * 7)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
@@ -41,6 +41,35 @@ def test_jaccard_and_chunks(spark):
     assert got == [(10, 1, 1, 0, 1.0), (10, 2, 4, 0, 1.0), (11, 1, 1, 0, 0.0), (11, 2, 1, 1, 0.0)]
 
 
+def test_string_ids_and_small_jaccard_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, 1 + i % 9)) for i in range(50)]
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts[:20])], "item_id string, text string")
+    c = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in retrieval.top_k(
+        q, c, "item_id", retrieval.token_hashes("text"), ["doc_id"], retrieval.token_hashes("text"), "jaccard", 3, block_bytes=400).collect()}
+    sets = [set(t.split()) for t in texts]
+    for i in range(20):
+        order = sorted((-round(len(sets[i] & s) / len(sets[i] | s), 6), j) for j, s in enumerate(sets))[:3]
+        assert [got[f"q{i}", rank] for rank in (1, 2, 3)] == [(j, -neg) for neg, j in order]
+    monkeypatch.setattr(retrieval, "PAIR_BLOCK", 7)
+    arrays = [np.unique(rng.integers(0, 30, n)) for n in (0, 3, 8, 1, 12, 5)]
+    found = np.concatenate([s for _, s in retrieval._Postings(arrays[:4]).jaccard(arrays)], axis=1)
+    want = [[len({*a} & {*b}) / len({*a} | {*b}) if {*a} & {*b} else 0.0 for b in arrays] for a in arrays[:4]]
+    assert np.allclose(found, want)
+
+
+def test_no_query_row_reaches_the_driver(spark, monkeypatch):
+    df = spark.range(30).selectExpr("id AS vec_id", "array(cast(id AS double), 1D) AS embedding")
+    seen = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(out := collect(self)) or out)
+    monkeypatch.setattr(type(df), "toPandas", lambda self: seen.append(out := collect(self)) or out)
+    plan = retrieval.retrieve_vectors(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+    assert all(len(rows) == 1 and "vec_id" not in rows[0] for rows in seen)  # only the measured sizes
+
+
 def test_pair_similarity_functions(spark):
     from sparqa.functions import similarity as sim
     df = spark.createDataFrame([([1.0, 2.0, 2.0], [2.0, 0.0, 1.0], ["a", "b"], ["b", "c", "c"]),
