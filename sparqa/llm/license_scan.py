@@ -76,6 +76,8 @@ OTHERS = [
     "You may use this file.", "Copyright of the authors, see the source for the terms.",
 ]
 NONE = "none"
+#: Words of templates that many paragraphs hold.
+COMMON = frozenset("a and any as by file following for free in is it later may met not of or person program project provided public source terms that the this to under use version with without work you".split())
 
 
 def tokens(text: Column) -> Column:
@@ -161,21 +163,36 @@ def _template_share(words: Column, family: Column) -> Column:
     return F.coalesce(*(F.when(family == f, F.greatest(*(share(t) for t in texts), F.lit(0.0))) for f, texts in TEMPLATES.items()), F.lit(0.0))
 
 
+def _template_tokens(text: str) -> list[str]:
+    """The distinct ``tokens`` of a template, in Python."""
+    plain = re.sub(r"[.]+(?=[^a-z0-9]|$)", " ", text.lower())
+    return list(dict.fromkeys(w for w in re.split(r"[^a-z0-9.\-]+", plain) if w))
+
+
+def _may_lack(words: int) -> int:
+    """The most of a template's words that a confirmed paragraph may lack."""
+    return words - next(k for k in range(words + 1) if k / words >= CONFIRM)
+
+
 def _needed_words() -> list[str]:
     """Words of which every paragraph that can be confirmed has one.
 
-    A paragraph may lack a fifth of a template's words, so it has at least one of any larger number of
-    them; the longest are taken.
+    Of each template one word more than a paragraph may lack; the longest
+    that aren't common are taken.
     """
     out = set()
     for texts in TEMPLATES.values():
         for t in texts:
-            own = sorted(set(re.findall(r"[a-z0-9-]+", t.lower())), key=lambda w: (-len(w), w))
-            dotted = len({w for w in re.findall(r"[a-z0-9.-]+", t.lower())})
-            out.update(own[: int((1 - CONFIRM) * dotted) + 1])
+            own = sorted(_template_tokens(t), key=lambda w: (w in COMMON, -len(w), w))
+            out.update(own[: _may_lack(len(own)) + 1])
     return sorted(out)
 
 
+def _needed_re() -> str:
+    """Pattern of the needed words in a lower-case text. What ends a token is no letter or digit, but may be ``_``."""
+    return "(?<![a-z0-9])(?:" + "|".join(map(re.escape, _needed_words())) + ")(?![a-z0-9])"
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """doc_id, paragraph, family, probability, template_share of every paragraph that names a licence, confirmed.
 
@@ -184,7 +201,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     other than doc_id and text are not looked at.
     """
     fitted = model or fit(docs.select("doc_id", "text"))
-    may = F.lower("text").rlike(r"\b(?:" + "|".join(_needed_words()) + ")")
+    may = F.lower("text").rlike(_needed_re())
     scored = fitted.score(paragraphs(docs.select("doc_id", "text")).where(may)).where(F.col("family") != NONE)
     return scored.withColumn("template_share", _template_share(F.col("_words"), F.col("family"))) \
         .where(F.col("template_share") >= CONFIRM) \

@@ -1,6 +1,7 @@
 """Every operator against brute force on small tables with nulls, empty texts, repeats and clashing columns."""
 
 import collections
+import itertools
 import re
 import struct
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparqa.llm import (best_fit_packing, dual_tree_search, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
                         quotation_linking, simhash_dedup, substring_dedup)
@@ -251,6 +253,26 @@ def test_licences(spark):
     assert got == {(100, 1, "apache-2.0"), (101, 0, "mit"), (102, 0, "gpl-3.0"), (103, 2, "cc-by-nc-4.0")}
 
 
+def test_licence_prefilter_loses_no_confirmed_paragraph(spark, monkeypatch):
+    families = [(t, f) for f, texts in license_scan.TEMPLATES.items() for t in texts]
+    own = [r[0] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(families)], "i int, t string").orderBy("i")
+           .select(F.array_distinct(license_scan.tokens(F.col("t")))).collect()]
+    needed, pattern = set(license_scan._needed_words()), re.compile(license_scan._needed_re())
+    left = []
+    for words in own:
+        lacking = max(k for k in range(len(words)) if (len(words) - k) / len(words) >= license_scan.CONFIRM)
+        assert len(needed & set(words)) > lacking  # so no allowed set of missing words holds them all
+        sets = list(itertools.islice(itertools.combinations(range(len(words)), lacking), 5000))
+        left += [" ".join(w for k, w in enumerate(words) if k not in gone) for gone in sets]
+    assert all(map(pattern.search, left))
+    texts = ["Text available under CC BY 4.0.", "Data shared under CC BY-NC 4.0.", "_Licensed under CC BY 4.0_", *left[::500]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = license_scan.fit(docs.limit(0))
+    got = {tuple(r) for r in license_scan.scan(docs, model).collect()}
+    monkeypatch.setattr(license_scan, "_needed_re", lambda: "")
+    assert got == {tuple(r) for r in license_scan.scan(docs, model).collect()} and {0, 1, 2} & {r[0] for r in got}
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> how   are you?\nFine."),
             (1, 2, "user", "On Monday X wrote:\n> Fine.\n>> How are you?\nGood\n\n> nothing known\nok"), (1, 3, "user", None),
