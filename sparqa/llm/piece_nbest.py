@@ -1,6 +1,11 @@
-"""N-best encoding over a piece lattice, and decoding.
+"""Encoding with a piece vocabulary, the N best ways through its lattice, and decoding.
 
-A text becomes pieces whose scores add up; the lattice has an edge for every
+The encoding is the model's own: of all neighbours that join to a piece, those
+with the highest score (merge rank) are joined first, the leftmost of equals.
+
+The N best ways stand beside it. Scores of a merge model are ranks, not
+log-probabilities, so the way of the highest sum is in general not the
+encoding. A text becomes pieces whose scores add up; the lattice has an edge for every
 piece that matches at a place and a byte edge for every byte of a character
 without a piece. A forward Viterbi pass gives the best score from the start to
 each place. Read backwards from the end, that score is the exact rest of a
@@ -55,6 +60,7 @@ class Pieces:
         usable = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score = {names[i]: float(model.get_score(i)) if model.get_score(i) > -1e8 else 0.0 for i in usable}
         self.id = {names[i]: i for i in usable}
+        self.rank = {names[i]: float(model.get_score(i)) for i in usable}
         crossing = [p for p in self.id if BLANK in p.lstrip(BLANK)]
         if crossing:
             raise ValueError(f"pieces that run into the next word: {crossing[:3]}")
@@ -64,6 +70,43 @@ class Pieces:
         self.begins = dict.fromkeys(p[:k] for p in self.id for k in range(1, len(p))) | {p: (self.score[p], (i,)) for p, i in self.id.items()}
         self.raw = {i: p.replace(BLANK, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.known: dict[str, list[tuple[float, bytes]]] = {}
+        self.merged: dict[str, bytes] = {}
+
+    def merge(self, text: str) -> bytes:
+        """Ids (unsigned 32-bit numbers) of a chunk by merges."""
+        if text in self.merged:
+            return self.merged[text]
+        rank, end = self.rank, len(text)
+        parts = list(text)  # a piece stands at its first place, its other places are empty
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+        open_ = [(-rank[text[a:a + 2]], a, a + 1, 2) for a in range(end - 1) if text[a:a + 2] in rank]
+        heapq.heapify(open_)
+        while open_:
+            _, a, b, size = heapq.heappop(open_)
+            if not parts[a] or not parts[b] or len(parts[a]) + len(parts[b]) != size:
+                continue  # one of the two has been joined since
+            parts[a] += parts[b]
+            parts[b] = ""
+            after[a] = c = after[b]
+            if c < end:
+                before[c] = a
+            for x, y in ((before[a], a), (a, c)):
+                if x >= 0 and y < end and (r := rank.get(parts[x] + parts[y])) is not None:
+                    heapq.heappush(open_, (-r, x, y, len(parts[x]) + len(parts[y])))
+        ids = array("I")
+        for p in filter(None, parts):
+            if p in self.id:
+                ids.append(self.id[p])
+            else:
+                ids.extend(self.byte[x] for x in ESCAPE.get(p, p).encode())
+        if len(self.merged) < CHUNKS_KEPT:
+            self.merged[text] = ids.tobytes()
+        return ids.tobytes()
+
+    def model_ids(self, text: str) -> bytes:
+        """The encoding of a text; no piece crosses chunks, so each is merged by itself."""
+        merged = self.merged
+        return b"".join([merged.get(c) or self.merge(c) for c in self.chunks(escaped(text))])
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the edges that end there: (start, score, ids)."""
@@ -168,27 +211,27 @@ def _model(path: str, n: int) -> Pieces:
 
 
 def encode_table(rows: DataFrame, model: str, keys: list[str], n: int = N_BEST) -> DataFrame:
-    """``keys`` of every row, with ids (the best), scores of the N best, n_pieces, ids_crc32, n_best, second_crc32, round_trip.
+    """``keys`` of every row, with ids, n_pieces and ids_crc32 of the encoding, scores of the N best, n_best, best_crc32, second_crc32, round_trip.
 
-    ``round_trip`` tells whether decoding gives the text again. A null or
-    empty text has no pieces and one segmentation, the empty one. Repeated
-    rows each get a row; an empty table gives no rows. Other columns are not
-    looked at.
+    ``round_trip`` tells whether decoding the encoding and each of the N best
+    gives the text again. A null or empty text has no pieces and one
+    segmentation, the empty one. Repeated rows each get a row; an empty table
+    gives no rows. Other columns are not looked at.
     """
     def kernel(texts: list) -> dict:
         coder = _model(model, n)
-        out: dict[str, list] = {c: [] for c in ("ids", "scores", "n_pieces", "ids_crc32", "n_best", "second_crc32", "round_trip")}
+        out: dict[str, list] = {c: [] for c in ("ids", "n_pieces", "ids_crc32", "scores", "n_best", "best_crc32", "second_crc32", "round_trip")}
         for text in texts:
-            ways = coder.encode(text or "")
-            lists = [np.frombuffer(raw, "<u4") for _, raw in ways]
+            own, ways = coder.model_ids(text or ""), coder.encode(text or "")
+            lists = [np.frombuffer(raw, "<u4") for raw in dict.fromkeys([own, *(raw for _, raw in ways)])]
             crc = [zlib.crc32(raw) for _, raw in ways]
-            row = (lists[0].astype(np.int32), [s for s, _ in ways], len(lists[0]), crc[0], len(ways), crc[1] if len(ways) > 1 else None,
+            row = (lists[0].astype(np.int32), len(lists[0]), zlib.crc32(own), [s for s, _ in ways], len(ways), crc[0], crc[1] if len(ways) > 1 else None,
                    all(coder.decode(ids.tolist()) == (text or "") for ids in lists))
             for name, x in zip(out, row):
                 out[name].append(x)
         return out
 
-    schema = "ids array<int>, scores array<double>, n_pieces bigint, ids_crc32 bigint, n_best int, second_crc32 bigint, round_trip boolean"
+    schema = "ids array<int>, n_pieces bigint, ids_crc32 bigint, scores array<double>, n_best int, best_crc32 bigint, second_crc32 bigint, round_trip boolean"
     return arrow_map(rows.select(*keys, F.col("text").cast("string").alias("text")), kernel, schema, ["text"], keys)
 
 

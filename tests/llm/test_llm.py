@@ -312,6 +312,20 @@ def test_pieces(spark):
     assert {r["conv_id"]: r["decoded"] for r in back} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_pieces_are_those_of_the_model(spark):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    model, coder = sentencepiece.SentencePieceProcessor(model_file=path), piece_nbest.Pieces(path)
+    texts = ["hello world distributed data processing", "  two  blanks\n\tx ", "a.b, (é) 2.0 ü😀 梦 <0x41>", "", "a" * 3000, " " * 9 + "aaabab" * 50]
+    texts += [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(300).collect()]
+    for t in texts:
+        if "▁" not in t:  # which the model takes for a space
+            assert np.frombuffer(coder.model_ids(t), "<u4").tolist() == model.encode(t)
+    got = piece_nbest.encode_table(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string"), path, ["doc_id"]).first()
+    assert got["ids"] == model.encode(texts[0]) and got["n_pieces"] == 6
+
+
 def test_resharding(docs, empty, spark, tmp_path):
     rows = flow_resharding.reshard(docs, shards=3, old_shards=4).collect()
     want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in _rows(docs))
