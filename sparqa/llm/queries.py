@@ -49,8 +49,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chat message: its best segmentation and the scores of the three best."""
-    return piece_nbest.encode_table(table(spark, sf_dir, "conversations"), vocabulary("piece_bpe_32k.model"), ["conv_id", "turn"])
+    """Every document: the model's encoding and the scores of the three best segmentations."""
+    return piece_nbest.encode_table(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

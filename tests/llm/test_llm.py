@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparqa.llm import (best_fit_packing, dual_tree_search, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
+from sparqa.llm import (best_fit_packing, dual_tree_search, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules, queries,
                         quotation_linking, simhash_dedup, substring_dedup)
 from sparqa.llm.components import connected_components
 from sparqa.llm.queries import vocabulary
@@ -326,6 +326,13 @@ def test_pieces_are_those_of_the_model(spark):
     assert got["ids"] == model.encode(texts[0]) and got["n_pieces"] == 6
 
 
+def test_pieces_of_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    got = queries.op8_piece_nbest(spark, folder).select("doc_id", "round_trip").collect()
+    want = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in want) and all(r["round_trip"] for r in got)
+
+
 def test_resharding(docs, empty, spark, tmp_path):
     rows = flow_resharding.reshard(docs, shards=3, old_shards=4).collect()
     want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in _rows(docs))
