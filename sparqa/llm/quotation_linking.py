@@ -3,8 +3,11 @@
 A message's lines that begin with ``>`` marks are quotes; their number is the
 level. Consecutive lines of one level form a passage, which is normalised
 (lower case, one space between words) and hashed. A passage refers to the
-earliest message of the conversation that has it as its whole own text or as
-one of its own paragraphs; only references to earlier turns count. A message
+earliest message of the conversation that has it as its whole own text, as one
+of its lines or blocks (lines between blank ones), or as a run of consecutive
+lines or blocks; only references to earlier turns count. Runs are as long as
+the passages of the same conversation, in lines or in blocks, so a quote may
+be wrapped anew as long as one of the two counts stays. A message
 answers the latest message that its level-one passages refer to, else the
 message before it. Conversations come out without quotes, every message after
 the one it answers.
@@ -26,6 +29,8 @@ from .common import arrow_map, saved
 
 #: Turns of a span.
 SPAN = 1024
+#: Parts into which a conversation's messages are dealt to have their runs hashed.
+SALTS = 64
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _INTRO = re.compile(r"^\s*(?:on|am|le|el|il)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\b[^:\n]{0,80}:\s*$", re.I)
@@ -69,10 +74,36 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return body, [(d, "\n".join(p)) for d, p in passages if normal("\n".join(p))]
 
 
+def units(text: str) -> tuple[list[str], list[str]]:
+    """The lines of a text that aren't blank, and its blocks of lines between blank ones."""
+    blocks: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if line.strip():
+            blocks[-1].append(line)
+        elif blocks[-1]:
+            blocks.append([])
+    return [x for b in blocks for x in b], ["\n".join(b) for b in blocks if b]
+
+
+def sizes(passage: str) -> list[int]:
+    """Lengths of the runs that a passage may be, one left out."""
+    return sorted({len(u) for u in units(passage)} - {0, 1})
+
+
 def originals(text: str) -> list[str]:
-    """Hashes of a message's own text and of its paragraphs."""
-    parts = [text, *text.split("\n")]
-    return list(dict.fromkeys(digest(p) for p in parts if normal(p)))
+    """Hashes of a message's own text, of its lines and of its blocks."""
+    lines, blocks = units(text)
+    return list(dict.fromkeys(digest(p) for p in (text, *lines, *blocks) if normal(p)))
+
+
+def runs(text: str, lengths: list[int]) -> list[str]:
+    """Hashes of the runs of consecutive lines and of consecutive blocks of the given lengths."""
+    found: dict[str, None] = {}
+    for unit in units(text):
+        for n in lengths:
+            for i in range(len(unit) - n + 1):
+                found[digest("\n".join(unit[i:i + n]))] = None
+    return list(found)
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -85,24 +116,33 @@ def link(messages: DataFrame) -> DataFrame:
     rows. Other columns are not looked at.
     """
     def kernel(convs: list, turns: list, roles: list, texts: list) -> dict:
-        out: dict[str, list] = {n: [] for n in ("conv_id", "turn", "role", "text", "levels", "hashes", "own")}
+        out: dict[str, list] = {n: [] for n in ("conv_id", "turn", "role", "text", "levels", "hashes", "own", "sizes")}
         for conv, turn, role, text in zip(convs, turns, roles, texts):
             body, quotes = parse(text)
-            row = (conv, turn, role, body, [d for d, _ in quotes], [digest(q) for _, q in quotes], originals(body))
+            row = (conv, turn, role, body, [d for d, _ in quotes], [digest(q) for _, q in quotes], originals(body),
+                   sorted({n for _, q in quotes for n in sizes(q)}))
             for name, x in zip(out, row):
                 out[name].append(x)
         return out
 
     base = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                            F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = arrow_map(base, kernel, "conv_id bigint, turn bigint, role string, text string, levels array<int>, hashes array<string>, own array<string>",
+    parsed = arrow_map(base, kernel, "conv_id bigint, turn bigint, role string, text string, levels array<int>, hashes array<string>, own array<string>, sizes array<int>",
                        ["conv_id", "turn", "role", "text"])
     rows = saved(parsed.withColumn("key", F.coalesce("conv_id", F.lit(-1 << 62))).withColumn("at", F.coalesce("turn", F.lit(-1 << 62)))
                  .withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", "hashes")), "parsed")
     quoted = rows.where(F.size("hashes") > 0).select("key", "at", "mid", F.posexplode(F.arrays_zip("levels", "hashes")).alias("no", "q")) \
         .select("key", "at", "mid", "no", F.col("q.levels").alias("level"), F.col("q.hashes").alias("hash")).distinct()
     asked = quoted.select(F.col("key").alias("k"), F.col("hash").alias("x")).distinct()
-    known = rows.select("key", "at", F.explode("own").alias("hash")).groupBy("key", "hash").agg(F.min("at").alias("source")) \
+    held = rows.select("key", "at", F.explode("own").alias("hash"))
+    lengths = rows.select(F.col("key").alias("k"), F.explode("sizes").alias("size")).groupBy("k").agg(F.collect_set("size").alias("lengths"))
+    if not lengths.isEmpty():  # a long conversation's messages meet one of SALTS copies of its lengths
+        salted = rows.select("key", "at", "text", F.pmod("mid", F.lit(SALTS)).alias("salt"))
+        copies = lengths.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = salted.join(copies, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s"))).select("key", "at", "text", "lengths")
+        cut = arrow_map(met, lambda texts, wanted: {"run": [runs(t, n) for t, n in zip(texts, wanted)]}, "run array<string>", ["text", "lengths"], ["key", "at"])
+        held = held.unionByName(cut.select("key", "at", F.explode("run").alias("hash")))
+    known = held.groupBy("key", "hash").agg(F.min("at").alias("source")) \
         .join(asked, (F.col("key") == F.col("k")) & (F.col("hash") == F.col("x")), "left_semi")
     met = quoted.join(known, ["key", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("at"), F.col("source")))
     links = met.groupBy("key", "at", "mid").agg(

@@ -287,6 +287,16 @@ def test_quotes(spark):
     assert quotation_linking.link(df.limit(0)).count() == 0
 
 
+def test_quotes_of_several_lines(spark):
+    said = "First paragraph\nhard wrapped here.\n\nSecond one.\n\nThird one,\nalso wrapped."
+    quotes = ["> First paragraph\n> hard wrapped here.\n>\n> Second one.\nyes", "> Third one,\n> also wrapped.\nyes", "> hard wrapped here.\n> Second one.\nyes",
+              "> First paragraph hard\n> wrapped\n> here.\n>\n> Second one.\nyes", "> Second one.\n> First paragraph\nno"]
+    rows = [(1, 0, "user", said), (1, 1, "assistant", "Between."), *((1, 2 + i, "user", q) for i, q in enumerate(quotes)), (2, 0, "user", "Third one,\nalso wrapped.")]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["quoted_turns"])
+           for r in quotation_linking.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [got[1, 2 + i] for i in range(len(quotes))] == [*[(0, [0])] * 4, (5, [-1])] and len(got) == len(rows)
+
+
 def _segmentations(coder, text):
     text = piece_nbest.escaped(text)
     into = coder.edges(text)
