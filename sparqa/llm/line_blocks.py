@@ -6,7 +6,8 @@ count as empty. The block length of a line is the text length of the window of
 ``WINDOW`` lines from it. A surge is a rise of the block lengths from nothing to
 ``SURGE`` or more, a dive where the window has no text left. The lines between
 the beginning of a surge and its dive are kept; if no rise is that large, those
-of the largest.
+of the largest. Lines of an article or main element are kept whatever their
+block length.
 """
 
 from __future__ import annotations
@@ -31,11 +32,17 @@ RAW = "script|style|textarea|title|xmp|noembed|noframes"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id or role that mark a place outside the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|alert|popup|modal|overlay|newsletter"
-    r"|subscribe|signup|login|sidebar|side|widget|related|recommended|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|toc|pagination|pager"
-    r"|header|masthead|footer|copyright|legal|comments?|replies|reply|respond|disqus|tags?|hidden|search)(?:$|[\s_-])", re.I)
+#: Words of class, id or role that mark a place outside the article: a whole name of theirs, or the
+#: first part of a name whose other parts are such words or say no more than what kind of box it is.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal overlay"
+    " newsletter subscribe signup login sidebar side widget related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs"
+    " toc pagination pager header masthead footer copyright legal tag tags hidden search".split())
+COMMENTS = frozenset("comment comments replies reply respond disqus".split())
+BOXES = frozenset("area bar block box button buttons container form icons item items link links list media posts section slot text thread unit wrapper".split())
+PLACES = frozenset("site global main".split())
+#: Share of the page's text from which an element that is marked by a name is a wrapper of the page, not a part beside the article.
+WIDE = 0.75
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
@@ -44,20 +51,27 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The page's text lines in order, each with whether it lies outside the article."""
-    out: list[tuple[str, bool]] = []
+#: Why an element is outside: not by itself, by its kind, as comments; from NAMED on the number of one marked by a name.
+INNER, KIND, COMMENT, NAMED = range(4)
+
+
+def lines(page: str) -> list[tuple[str, bool, bool]]:
+    """The page's text lines in order, each with whether it lies outside the article and whether in an article or main element."""
+    out: list[tuple[str, tuple[int, ...], bool]] = []
     parts: list[str] = []
-    skip: list[str] = []  # open elements from the outermost that is outside the article
+    skip: list[tuple[str, int, int]] = []  # open elements from the outermost that is outside the article: name, why, token
+    inside: list[str] = []  # open article and main elements
+    closed: set[int] | None = None
+    named = NAMED
 
     def end() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((text, bool(skip)))
+            out.append((text, tuple(why for _, why, _ in skip if why), bool(inside)))
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    for k, token in enumerate(_TOKEN.finditer(page)):
         parts.append(page[at:token.start()])
         at = token.end()
         name = token[3].lower() if token[3] else None
@@ -67,37 +81,87 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         end()
         if token[2]:
-            if name in skip:
-                while skip.pop() != name:
+            if any(name == n for n, _, _ in skip):
+                while skip.pop()[0] != name:
+                    pass
+            elif name in inside:
+                while inside.pop() != name:
                     pass
         elif name in ("article", "main", "body"):
+            comments = [i for _, why, i in skip if why == COMMENT]
+            if comments and name != "body" and closed is None:
+                closed = _closed(page)
+            if name != "body" and any(i in closed for i in comments):
+                skip.append((name, INNER, k))
+                continue
             skip.clear()  # an unclosed element before it does not reach into it
+            if name == "article" and _why(name, token[4]) == COMMENT:
+                skip.append((name, COMMENT, k))
+            elif name != "body":
+                inside.append(name)
         elif name not in VOID and not token[4].endswith("/"):
-            if skip or name in OUTSIDE or _outside(token[4]):
-                skip.append(name)
+            why = _why(name, token[4])
+            if why == NAMED:
+                why, named = named, named + 1
+            if skip or why:
+                skip.append((name, why, k))
     parts.append(page[at:])
     end()
-    return out
-
-
-def _outside(attributes: str) -> bool:
+    held = dict.fromkeys(range(NAMED, named), 0)
+    for text, whys, _ in out:
+        for why in set(whys) & held.keys():
+            held[why] += len(text)
+    total = sum(len(text) for text, _, _ in out)
+    wide = {why for why, n in held.items() if n > WIDE * total}
+    return [(text, not wide.issuperset(whys), within) for text, whys, within in out]
+
+
+def _closed(page: str) -> set[int]:
+    """The numbers of the start tags that have an end tag."""
+    done: set[int] = set()
+    open_: list[tuple[str, int]] = []
+    for k, token in enumerate(_TOKEN.finditer(page)):
+        name = token[3].lower() if token[3] else None
+        if name is None or name in INLINE or name in VOID:
+            continue
+        if not token[2]:
+            if not token[4].endswith("/"):
+                open_.append((name, k))
+        elif any(name == n for n, _ in open_):
+            while open_[-1][0] != name:
+                open_.pop()
+            done.add(open_.pop()[1])
+    return done
+
+
+def _why(name: str, attributes: str) -> int:
+    found = KIND if name in OUTSIDE else INNER
     if not attributes.strip():
-        return False
-    return any(MARKED.search(a or b or c or "") for a, b, c in _MARK.findall(attributes)) or bool(_HIDDEN.search(attributes))
+        return found
+    for a, b, c in _MARK.findall(attributes):
+        for word in (a or b or c or "").lower().split():
+            first, *rest = [x for x in re.split("[_-]+", word) if x] or [""]
+            if first in PLACES and rest:
+                first, *rest = rest
+            if (first in MARKS or first in COMMENTS) and all(x in MARKS or x in COMMENTS or x in BOXES for x in rest):
+                if first in COMMENTS:
+                    return COMMENT
+                found = found or NAMED
+    return KIND if _HIDDEN.search(attributes) else found
 
 
 def main_text(page: str | None) -> str:
     """The kept lines, one to a row."""
     found = lines(page or "")
-    length = [0 if outside else len(text) for text, outside in found]
+    length = [0 if outside else len(text) for text, outside, _ in found]
     blocks = [sum(length[i:i + WINDOW]) for i in range(len(length))]
     surge = min(SURGE, max(blocks, default=0))
     kept: list[str] = []
     rise = 0  # where the blocks last rose from nothing
     for i in range(len(blocks) + 1):
         if i == len(blocks) or not blocks[i]:  # a dive
-            if max(blocks[rise:i], default=0) >= surge:
-                kept += [found[j][0] for j in range(rise, i) if length[j]]
+            large = max(blocks[rise:i], default=0) >= surge
+            kept += [found[j][0] for j in range(rise, i) if length[j] and (large or found[j][2])]
             rise = i + 1
     return "\n".join(kept)
 

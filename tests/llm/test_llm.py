@@ -243,6 +243,21 @@ def test_pages(spark):
     assert line_blocks.extract(df.limit(0)).count() == 0
 
 
+def test_pages_lose_no_article_text():
+    share = "<ul class=share><li>one</li><li>two</li><li>three</li></ul>"
+    long = "<p>A paragraph of the article that is long enough.</p>"
+    text = "A paragraph of the article that is long enough."
+    assert line_blocks.main_text(f"<article><h1>Short</h1>{share}{long}<form><p>a</p><p>b</p><p>c</p></form><p>The end.</p></article>") == f"Short\n{text}\nThe end."
+    for name in ("has-sidebar", "right-sidebar", "page has-header"):
+        assert line_blocks.main_text(f"<body><div class='{name}'>{long}</div><div class=sidebar>other words beside it</div></body>") == text
+    assert line_blocks.main_text(f"<div class=overlay>{long}{long}<div class=share-buttons>some long share line</div></div>") == f"{text}\n{text}"
+    assert line_blocks.main_text(f"<div class='article-header'><h1>A heading of some length</h1></div>{long}") == f"A heading of some length\n{text}"
+    reader = "<article class=comment><p>a reader's comment, quite long</p></article>"
+    assert line_blocks.main_text(f"<main>{long}</main><section id=comments>{reader}<article><p>another reader's long comment</p></article></section>") == text
+    assert line_blocks.main_text(f"<div class=comments><article>{long}</article>") == text  # left unclosed
+    assert line_blocks.main_text(f"<main>{long}{reader}</main>") == text
+
+
 def test_licences(spark):
     plain = [(i, f"some line number {i} of words\nanother one follows here {i}") for i in range(60)]
     named = [(100, "intro\nLicensed under the Apache License, Version 2.0."), (101, "Released under the MIT License.\nmore"),
