@@ -5,7 +5,8 @@ transformed statistics. For each group (language and source) the minimum
 covariance determinant estimate of location and scatter is found by
 concentration steps: distances under the present estimate, the share ``H`` of
 rows nearest to the centre, mean and covariance of those rows, again. Texts
-whose squared Mahalanobis distance passes ``MAX_DISTANCE2`` are rejected.
+whose squared Mahalanobis distance passes the chi-square quantile of ``LEVEL``
+are rejected. Steps are repeated until the estimates settle.
 
 Group sums are ordinary partial aggregations and the quantile of the distances
 is read from counts in a fixed number of bins, so a group with a third of all
@@ -36,12 +37,13 @@ NO_BLANK_RE = "[^\\x20\\x09-\\x0D]"
 PRIOR_WORDS = 20
 PRIOR_WORD_CHARS = 5.0
 #: Smallest standard deviation of each coordinate (mean word length, symbols, repeated lines, repeated words).
-FLOORS = (0.06, 0.06, 0.06, 0.12)
-#: Share of a group that a concentration step keeps, and the number of steps.
+FLOORS = (0.04, 0.04, 0.04, 0.08)
+#: Share of a group that a concentration step keeps; steps go on until no entry moves by SETTLED, STEPS of them at most.
 H = 0.75
-STEPS = 3
-#: Largest squared distance of a kept text (the chi-square law with four degrees puts 3e-7 beyond 36).
-MAX_DISTANCE2 = 36.0
+STEPS = 20
+SETTLED = 1e-3
+#: Share of a normal law that is kept.
+LEVEL = 0.999
 #: Groups with fewer rows use their language's estimate, then that of all rows.
 MIN_GROUP = 50
 #: Bins of the counts from which medians and quantiles are read.
@@ -151,14 +153,26 @@ def _start(rows: DataFrame) -> DataFrame:
     return mid.select(*_KEYS, *(f"m{i}" for i in _DIMS), *factor)
 
 
-def _consistency(p: int, h: float) -> float:
-    """Factor that makes the covariance of the nearest share ``h`` of a normal law unbiased (even ``p``)."""
-    law = lambda k, x: 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
+def _law(p: int, x: float) -> float:
+    """Chi-square distribution function for even ``p``."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(p // 2))
+
+
+def _quantile(p: int, h: float) -> float:
     lo, hi = 0.0, 100.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if law(p, mid) < h else (lo, mid)
-    return h / law(p + 2, lo)
+        lo, hi = (mid, hi) if _law(p, mid) < h else (lo, mid)
+    return lo
+
+
+def _consistency(p: int, h: float) -> float:
+    """Factor that makes the covariance of the nearest share ``h`` of a normal law unbiased (even ``p``)."""
+    return h / _law(p + 2, _quantile(p, h))
+
+
+#: Largest squared distance of a kept text: 18.47.
+MAX_DISTANCE2 = _quantile(len(FLOORS), LEVEL)
 
 
 def _step(rows: DataFrame, groups: DataFrame, last: bool) -> DataFrame:
@@ -181,6 +195,13 @@ def _step(rows: DataFrame, groups: DataFrame, last: bool) -> DataFrame:
     return sums.select(*_KEYS, *(f"m{i}" for i in _DIMS), *(f"l{i}{j}" for i, j in _LOWER))
 
 
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """The largest change of an entry of any group's estimate."""
+    names = [*(f"m{i}" for i in _DIMS), *(f"l{i}{j}" for i, j in _LOWER)]
+    met = _join(after, before.withColumnsRenamed({c: f"_{c}" for c in names}))
+    return met.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"_{c}")) for c in names)))).first()[0] or 0.0
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """One row per (lang, source) of ``vectors`` (lang, source, base_failed, x0..x3) with ``m_i`` and ``l_ij``.
 
@@ -194,8 +215,11 @@ def estimates(vectors: DataFrame) -> DataFrame:
     rows = ok.select(F.explode(F.array(level(0, lang, source), level(1, lang, none), level(2, none, none))).alias("g"), *_X) \
         .select("g.*", *_X)
     groups = saved(_start(rows), "mcd-start")
-    for k in range(STEPS):
-        groups = saved(_step(rows, groups, k == STEPS - 1), f"mcd-{k}")
+    for k in range(STEPS - 1):
+        before, groups = groups, saved(_step(rows, groups, False), f"mcd-{k}")
+        if _moved(before, groups) < SETTLED:
+            break
+    groups = saved(_step(rows, groups, True), "mcd-last")
     n = rows.groupBy(*_KEYS).agg(F.count("*").alias("n_group"))
     sized = _join(groups, n)
     best = [f"m{i}" for i in _DIMS] + [f"l{i}{j}" for i, j in _LOWER]

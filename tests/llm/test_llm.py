@@ -76,6 +76,22 @@ def test_quality_rejects_symbol_texts_and_keeps_clean_ones(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_quality_rejects_moderately_bad_documents(spark):
+    rng = np.random.default_rng(5)
+    words = ["plain", "words", "of", "some", "text", "here", "there", "and", "then", "longer", "a"]
+
+    def text(n, every=0):
+        return " ".join(f"{rng.choice(words)}{k}" + ("#" if every and k % every == 0 else "") for k in range(n))
+
+    clean = [(i, text(int(rng.integers(60, 200))), "en", "s") for i in range(200)]
+    bad = [(1000, text(200, 10), "en", "s"), (1001, text(200, 20), "en", "s"), (1002, text(400, 12), "en", "s"),
+           (1003, "\n".join([text(4)] * 4 + [text(4)] * 4 + [text(30)]), "en", "s"), (1004, "\n".join(f"{text(9)}\n-" for _ in range(20)), "en", "s")]
+    df = spark.createDataFrame(clean + bad, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(df).collect()}
+    assert sum(got[i] for i in range(200)) >= 199 and not any(got[i] for i, *_ in bad)
+    assert abs(quality_rules.MAX_DISTANCE2 - 18.467) < 0.001
+
+
 def _fingerprint(text):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     parts = [" ".join(w[i:i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
