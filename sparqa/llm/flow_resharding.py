@@ -1,12 +1,13 @@
 """Resharding by minimum-cost flow.
 
 Rows belong to blocks (hash of their text; a block with far more than its
-share, such as one large group of copies, is cut again by doc_id). From the
+share of the bytes or of the rows, such as one large group of copies, is cut
+again by doc_id). From the
 block sizes, which are few, come the old shard sizes. A flow from old shards to
 new capacities, where a byte costs nothing if it stays and one if it moves,
 gives the bytes each pair of shards has to transfer. Whole blocks are chosen to
 fill the transfers, largest first, and only files of shards that give or get
-blocks are written again. Blocks number at most twice ``BLOCKS``, whatever the
+blocks are written again. Blocks number at most four times ``BLOCKS``, whatever the
 input, so their table may be collected and broadcast.
 """
 
@@ -99,13 +100,14 @@ def _sized(docs: DataFrame) -> DataFrame:
                        F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int").alias("bucket"))
 
 
-def _blocked(rows: DataFrame, total: int, shards: int) -> DataFrame:
+def _blocked(rows: DataFrame, total: int, count: int, shards: int) -> DataFrame:
     """``rows`` plus ``block``: the bucket, cut by doc_id into near equal parts where it is large."""
-    limit = total / shards * CUT_SHARE
-    fine = max(total / BLOCKS, 1.0)
-    large = rows.groupBy("bucket").agg(F.sum("size").alias("all")).where(F.col("all") > limit) \
-        .select(F.col("bucket").alias("_b"), F.ceil(F.col("all") / fine).cast("int").alias("parts"))
-    # at most shards / CUT_SHARE buckets are that large
+    share = CUT_SHARE / shards
+    fine, few = max(total / BLOCKS, 1.0), max(count / BLOCKS, 1.0)
+    large = rows.groupBy("bucket").agg(F.sum("size").alias("all"), F.count("*").alias("n")) \
+        .where((F.col("all") > total * share) | (F.col("n") > count * share)) \
+        .select(F.col("bucket").alias("_b"), F.greatest(F.ceil(F.col("all") / fine), F.ceil(F.col("n") / few)).cast("int").alias("parts"))
+    # at most 2 * shards / CUT_SHARE buckets are that large
     met = rows.join(F.broadcast(large), F.col("bucket") == F.col("_b"), "left")
     part = F.coalesce(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")), F.lit(0))
     return met.withColumn("block", F.col("bucket") + BLOCKS * part.cast("bigint")).drop("_b", "parts", "bucket")
@@ -122,8 +124,8 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS) ->
     """
     spark = docs.sparkSession
     rows = saved(_sized(docs), "sized")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    blocked = _blocked(rows, total, shards)
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    blocked = _blocked(rows, total, count, shards)
     table = blocked.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     blocks = sorted((r["block"], r["block"] % old_shards, r["size"], r["n"]) for r in table)
     moves = plan_moves([b[:3] for b in blocks], near_equal(total, shards))

@@ -385,6 +385,15 @@ def test_resharding(docs, empty, spark, tmp_path):
     assert flow_resharding.reshard(empty).count() == 0
 
 
+def test_a_block_of_many_small_rows_is_cut(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN repeat(cast(id AS string), 500) END AS text")
+    rows = flow_resharding._sized(df)
+    total, count = rows.selectExpr("sum(size)", "count(*)").first()
+    most = flow_resharding._blocked(rows, total, count, 8).groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert most < 50
+    assert flow_resharding.reshard(df).count() == 3000
+
+
 def test_flow_moves_the_fewest_bytes():
     assert flow_resharding.min_cost_flow([10, 2], [6, 6], [[0, 1], [1, 0]]) == [[6, 4], [0, 2]]
     blocks = [(b, b % 2 if b < 10 else 0, 100 + b) for b in range(40)]
