@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit_packing, dual_tree_search, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
+from . import (best_fit_packing, dual_tree_search, embedding_whitening, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
                quotation_linking, simhash_dedup, substring_dedup)
 from .common import table
 
@@ -63,10 +63,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's rows; a deviation past 64 bits, which takes some 10^8 rows, is null here and exact in ``whiten``."""
+    white = embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_dual_tree_search, op2_line_blocks, op3_license_scan, op4_substring_dedup, op5_quotation_linking, op6_simhash_dedup,
-        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules)
+        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules, op12_embedding_whitening)
 }
 
 OP1_SQL = """
