@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,12 +16,14 @@ from pyspark.sql.types import StructType
 from sparqa.session import checkpoint_dir, ship_package
 from sparqa.sources.tables import table
 
-__all__ = ["SPACE_RE", "arrow_map", "saved", "scratch_path", "split_words", "table"]
+__all__ = ["SPACE_RE", "arrow_map", "saved", "scratch_path", "split_words", "table", "text_slices"]
 
 #: What separates words (space and the controls 9 to 13), as a Java pattern.
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 #: Rows of one Arrow batch that a text kernel takes at a time.
 SLICE_ROWS = 512
+#: Bytes of text that such a kernel takes at a time, unless one text alone has more.
+SLICE_BYTES = 4 << 20
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -60,6 +63,18 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
+def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in order, cut after ``SLICE_ROWS`` rows or ``SLICE_BYTES`` of ``column`` (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    ends = sizes.astype("int64").cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = min(max(int(ends.searchsorted(done + SLICE_BYTES, "right")), at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def arrow_map(df: DataFrame, kernel: Callable[..., dict[str, object]], schema: str, columns: Iterable[str],
               carry: Iterable[str] = ()) -> DataFrame:
     """Apply ``kernel(*lists) -> {column: values}`` to small slices of each partition.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (best_fit_packing, dual_tree_search, embedding_whitening, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
-               quotation_linking, simhash_dedup, substring_dedup)
+               quotation_linking, simhash_dedup, substring_dedup, token_alignment)
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator's rows; a deviation past 64 bits, which takes some 10^8 rows, is null here and exact in ``whiten``."""
     white = embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -72,7 +76,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_dual_tree_search, op2_line_blocks, op3_license_scan, op4_substring_dedup, op5_quotation_linking, op6_simhash_dedup,
-        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules, op12_embedding_whitening)
+        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules, op11_token_alignment, op12_embedding_whitening)
 }
 
 OP1_SQL = """

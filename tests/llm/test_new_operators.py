@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparqa.llm import embedding_whitening, queries
+from sparqa.llm import embedding_whitening, queries, token_alignment
+from sparqa.llm.queries import vocabulary
 
 EMB = "vec_id bigint, embedding array<float>, label int, x string, w string, z string"
 
@@ -72,3 +73,82 @@ def test_whitening_without_variance(spark):
     got = embedding_whitening.whiten(line).collect()
     assert {r["component"] for r in got if r["whitened"] is None} == {2, 3}
     assert all(r["identity_error"] < 1e-9 for r in got)
+
+
+A_PATH, B_PATH = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+DOCS = "doc_id bigint, text string, lang string, pair string, n string, rid string, rep string"
+
+
+def _odd_texts(count=60):
+    rng = random.Random(5)
+    parts = ["word", "the", "Ünïcode", " ", "  ", "   ", "\n", "\n\n", " \n ", "\t", "\r\n", "日本語", "テキスト", "😀", "👩‍👩‍👧", "'s", "don't", "12345",
+             "3.14", "...", "!?", "<|endoftext|>", "<s>", "</s>", "<0x0A>", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "é", "ﬁ", "foo_bar", "{}[]", "\x00"]
+    return ["".join(rng.choice(parts) + (" " if rng.random() < .6 else "") for _ in range(rng.randrange(1, 40))) for _ in range(count)]
+
+
+def _alignment(texts):
+    """Whole-text tokenisations, byte ends, groups, links and corpus counts, one step after the other."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_coder, b_coder = Tokenizer.from_file(A_PATH), sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+    a_coder.encode_special_tokens = True
+    sign = token_alignment._byte_signs()
+    out = []
+    for text in texts:
+        raw = (" " + (text or "")).encode()
+        a = a_coder.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_coder.encode(text) if text else []
+        ends = []
+        for ids, own in ((a, lambda i: bytes(sign[c] for c in a_coder.id_to_token(i))),
+                         (b, lambda i: bytes([int(b_coder.id_to_piece(i)[3:5], 16)]) if b_coder.is_byte(i) else b_coder.id_to_piece(i).replace("\u2581", " ").encode())):
+            pieces = [own(i) for i in ids]
+            ends.append(np.cumsum([len(p) for p in pieces]).tolist() if b"".join(pieces) == raw else None)
+        if not text or None in ends:
+            out.append(None)
+            continue
+        shared = sorted(set(ends[0]) & set(ends[1]))
+        groups, low = [], 0
+        for s in shared:
+            groups.append(([i for i, e in zip(a, ends[0]) if low < e <= s], [i for i, e in zip(b, ends[1]) if low < e <= s]))
+            low = s
+        out.append((a, b, groups, [(x, y) for g, h in groups for x in g for y in h]))
+    docs = collections.Counter(p for r in out if r for p in set(r[3]))
+    most = collections.Counter()
+    for (x, _), c in docs.items():
+        most[x] = max(most[x], c)
+    rows = []
+    for r in out:
+        if r is None:
+            rows.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in r[2])
+        rows.append((len(r[0]), len(r[1]), len(r[2]), len(r[3]), sum(docs[p] == most[p[0]] for p in r[3]), sum(docs[p] for p in r[3]),
+                     hashlib.sha256(text.encode()).hexdigest()))
+    return rows
+
+
+COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 17])
+def test_alignment(spark, hot):
+    texts = [None, "", " ", "  ", "\n", "a", "a ", " a", "a \u2581 b", "x\u2581y", "long " + "wordé wörd " * 3000, "repeat me now", *_odd_texts()]
+    rows = [(i, t, "l", "p", "n", "r", "e") for i, t in enumerate(texts)] + [(11, "repeat me now", "", "", "", "", ""), (None, "no id here", "", "", "", "", "")]
+    got = token_alignment.align_table(spark.createDataFrame(rows, DOCS).repartition(3), A_PATH, B_PATH, hot_pairs=hot)
+    want = _alignment([r[1] for r in rows])
+    assert collections.Counter((r["doc_id"], *(r[c] for c in COLUMNS)) for r in got.collect()) == collections.Counter(
+        (r[0], *w) for r, w in zip(rows, want))
+
+
+def test_alignment_forgets_and_learns_again(monkeypatch):
+    coder = token_alignment._tokenizers(A_PATH, B_PATH)
+    monkeypatch.setattr(token_alignment, "CHUNKS_A_CALL", 3)
+    small, large = token_alignment.Aligner(coder, kept=2), token_alignment.Aligner(coder)
+    for text in _odd_texts(30):
+        a, b = small.encode([text, None])[0], large.encode([text])[0]
+        assert b";".join(small.text[w] for w in a) == b";".join(large.text[w] for w in b)
+
+
+def test_alignment_of_an_empty_table(spark):
+    assert token_alignment.align_table(spark.createDataFrame([], DOCS), A_PATH, B_PATH).count() == 0
