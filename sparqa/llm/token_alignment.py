@@ -40,6 +40,8 @@ CHUNKS_A_CALL = 4000
 HOT_PAIRS = 1 << 17
 
 BLANK = "▁"
+#: Stands between the two id tuples of a window; no id of either vocabulary.
+_BETWEEN = b"\xff\xff\xff\xff"
 #: A blank run or a line break and what follows up to the next; blanks after other white space belong to what stands before.
 _CHUNK = re.compile(r"(?: +|\n)[^ \n]*(?:(?<=\s)[ \n]+[^ \n]*)*")
 
@@ -94,12 +96,27 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _LOADED[a_path, b_path]
 
 
+class _Grown:
+    """A NumPy array that grows at its end."""
+
+    def __init__(self, width: int = 0) -> None:
+        self.rows = 0
+        self.held = np.zeros((1024, width) if width else 1024, np.int64)
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.rows + len(more)
+        if need > len(self.held):
+            self.held = np.concatenate([self.held[:self.rows], np.zeros((need, *self.held.shape[1:]), np.int64)])
+        self.held[self.rows:need] = more
+        self.rows = need
+
+
 class Aligner:
     """Chunks and windows that a task has met.
 
     A window's record: its digest text, its numbers of A tokens, B tokens, groups
-    and links, and its distinct id pairs with their links. Window 0 stands
-    for a chunk whose tokens do not give its bytes again.
+    and links, and its distinct id pairs with their links (a range of ``pairs``
+    and ``times``). Window 0 stands for a chunk whose tokens do not give its bytes again.
     """
 
     def __init__(self, coder: Tokenizers, kept: int = CHUNKS_KEPT) -> None:
@@ -112,49 +129,22 @@ class Aligner:
 
     def _clear(self) -> None:
         self.chunks: dict[str, bytes] = {}
-        self.windows: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[bytes] = [b""]
-        self.sizes: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
-        self.pairs: list[list[int]] = [[]]
-        self.times: list[list[int]] = [[]]
-
-    def _window(self, a: np.ndarray, b: np.ndarray) -> int:
-        """The number of the window with these ids; aligned if it is new."""
-        key = (a.tobytes(), b.tobytes())
-        if (known := self.windows.get(key)) is not None:
-            return known
-        x, y = a.tolist(), b.tolist()
-        if len(x) == 1 or len(y) == 1:
-            groups = [(x, y)]
-        else:
-            a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-            shared = np.intersect1d(a_end, b_end, assume_unique=True)
-            i = [0, *(np.searchsorted(a_end, shared) + 1).tolist()]
-            j = [0, *(np.searchsorted(b_end, shared) + 1).tolist()]
-            groups = [(x[p:q], y[r:s]) for p, q, r, s in zip(i, i[1:], j, j[1:])]
-        counts: dict[int, int] = {}
-        size, links = self.coder.b_size, 0
-        for g, h in groups:
-            links += len(g) * len(h)
-            for u in g:
-                for v in h:
-                    counts[u * size + v] = counts.get(u * size + v, 0) + 1
-        number = self.windows[key] = len(self.text)
-        self.text.append(b";".join([f"{','.join(map(str, g))}|{','.join(map(str, h))}".encode() for g, h in groups]))
-        self.sizes.append((len(x), len(y), len(groups), links))
-        self.pairs.append(list(counts))
-        self.times.append(list(counts.values()))
-        return number
+        self.windows: dict[bytes, int] = {}
+        self.text: list[str] = [""]
+        self.sizes, self.pair_range = _Grown(4), _Grown(2)
+        self.pairs, self.times = _Grown(), _Grown()
+        for table in (self.sizes, self.pair_range):
+            table.add(np.zeros((1, table.held.shape[1]), np.int64))
 
     def _align(self, chunks: list[str]) -> bool:
         """Tokenise chunks as one text and keep their windows; False if the tokens are not those of the bytes."""
         text = "".join(chunks)
         a, b = np.array(self.coder.a_ids(text), "<u4"), np.array(self.coder.b_ids(text), "<u4")
-        raw = text.encode()
-        if b"".join(map(self.coder.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.coder.b_bytes.__getitem__, b.tolist())) != raw:
+        x, y, raw = a.tolist(), b.tolist(), text.encode()
+        if b"".join(map(self.coder.a_bytes.__getitem__, x)) != raw or b"".join(map(self.coder.b_bytes.__getitem__, y)) != raw:
             return False
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        ends = np.cumsum([len(c.encode()) for c in chunks])
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
         shared, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
         if not np.isin(ends, shared, assume_unique=True).all():
             return False
@@ -163,18 +153,62 @@ class Aligner:
         anchor[:-1] = self.a_space[a[i[:-1] + 1]] & self.b_space[b[j[:-1] + 1]]
         of_chunk = np.isin(shared, ends, assume_unique=True)
         cut = np.flatnonzero(anchor | of_chunk)
-        i, j, last = (i[cut] + 1).tolist(), (j[cut] + 1).tolist(), of_chunk[cut].tolist()
-        p = r = k = 0
-        held: list[int] = []
-        for q, s, done in zip(i, j, last):
-            held.append(self._window(a[p:q], b[r:s]))
-            p, r = q, s
-            if done:
-                self.chunks[chunks[k]] = np.array(held, "<u4").tobytes()
-                held = []
-                k += 1
+        i, j = i + 1, j + 1  # of each group: the end of its tokens
+        numbers, new = self._numbers(a, b, i[cut], j[cut])
+        if new:
+            self._record(a, b, i, j, cut, np.array(new))
+        last = np.flatnonzero(of_chunk[cut]).tolist()
+        held = np.array(numbers, "<u4").tobytes()
+        at = 0
+        for c, k in zip(chunks, last):
+            self.chunks[c] = held[at:4 * k + 4]
+            at = 4 * k + 4
         return True
 
+    def _numbers(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[list[int], list[int]]:
+        """The number of each window by its two id tuples, and the places of those met for the first time."""
+        known, left, right = self.windows, a.tobytes(), b.tobytes()
+        numbers, new = [], []
+        p = r = 0
+        for k, (q, s) in enumerate(zip((4 * a_cut).tolist(), (4 * b_cut).tolist())):
+            key = left[p:q] + _BETWEEN + right[r:s]
+            number = known.get(key)
+            if number is None:
+                number = known[key] = len(known) + 1
+                new.append(k)
+            numbers.append(number)
+            p, r = q, s
+        return numbers, new
+
+    def _record(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, cut: np.ndarray, new: np.ndarray) -> None:
+        """Add the records of the windows ``new``; window k has the groups after ``cut[k - 1]`` up to ``cut[k]``."""
+        first = np.concatenate([[0], cut[:-1] + 1])[new]
+        count = cut[new] + 1 - first
+        start = np.cumsum(count) - count
+        group = np.repeat(first - start, count) + np.arange(int(count.sum()))  # the groups of the new windows in order
+        window = np.repeat(np.arange(len(new)), count)
+        i0, j0 = np.concatenate([[0], i[:-1]])[group], np.concatenate([[0], j[:-1]])[group]
+        wide, high = i[group] - i0, j[group] - j0
+        n = wide * high
+        total = lambda v: np.add.reduceat(v, start)
+        self.sizes.add(np.column_stack([total(wide), total(high), count, total(n)]))
+        # every link of the groups, then the distinct id pairs of a window
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(np.arange(len(group)), n)
+        pair = a[i0[of] + step // high[of]].astype(np.int64) * self.coder.b_size + b[j0[of] + step % high[of]]
+        owner = window[of]
+        order = np.lexsort((pair, owner))
+        owner, pair = owner[order], pair[order]
+        heads = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])]))
+        size = np.bincount(owner[heads], minlength=len(new))
+        self.pair_range.add(np.column_stack([self.pairs.rows + np.cumsum(size) - size, size]))
+        self.pairs.add(pair[heads])
+        self.times.add(np.diff([*heads, len(pair)]))
+        u, v = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        texts = [f"{u[p] if q - p == 1 else ','.join(u[p:q])}|{v[r] if s - r == 1 else ','.join(v[r:s])}"
+                 for p, q, r, s in zip(i0.tolist(), (i0 + wide).tolist(), j0.tolist(), (j0 + high).tolist())]
+        self.text += [texts[p] if n == 1 else ";".join(texts[p:p + n]) for p, n in zip(start.tolist(), count.tolist())]
+
     def _learn(self, chunks: Iterable[str]) -> None:
         plain = []
         for c in chunks:
@@ -226,20 +260,12 @@ def _digest(aligner: Aligner, part: pa.RecordBatch) -> pa.RecordBatch:
     rows, length = len(wins), np.array([*map(len, wins)], np.int64)
     flat = np.concatenate([*wins, np.zeros(0, np.uint32)]).astype(np.int64)
     row = np.repeat(np.arange(rows), length)
-    used, place, = np.unique(flat, return_inverse=True)
-    sizes = np.array([aligner.sizes[w] for w in used.tolist()], np.int64).reshape(-1, 4)
-    sums = [np.bincount(row, sizes[place, k], rows).astype(np.int64) for k in range(4)]
+    sums = [np.bincount(row, aligner.sizes.held[flat, k], rows).astype(np.int64) for k in range(4)]
     # distinct windows of a row, then distinct id pairs of a row
-    key, times = np.unique(row * max(len(used), 1) + place, return_counts=True)
-    lists = [aligner.pairs[w] for w in used.tolist()]
-    size = np.array([*map(len, lists)], np.int64)
-    start = np.cumsum(size) - size
-    pairs = np.array([p for x in lists for p in x], np.int64)
-    links = np.array([t for w in used.tolist() for t in aligner.times[w]], np.int64)
-    at, win = key // max(len(used), 1), key % max(len(used), 1)
-    n = size[win]
-    places = np.repeat(start[win] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    owner, pair, weight = np.repeat(at, n), pairs[places], links[places] * np.repeat(times, n)
+    key, times = np.unique(row * aligner.sizes.rows + flat, return_counts=True)
+    at, (start, n) = key // aligner.sizes.rows, aligner.pair_range.held[key % aligner.sizes.rows].T
+    places = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    owner, pair, weight = np.repeat(at, n), aligner.pairs.held[places], aligner.times.held[places] * np.repeat(times, n)
     order = np.lexsort((pair, owner))
     owner, pair, weight = owner[order], pair[order], weight[order]
     first = np.ones(len(pair), bool)
@@ -248,7 +274,7 @@ def _digest(aligner: Aligner, part: pa.RecordBatch) -> pa.RecordBatch:
     total = np.add.reduceat(weight, heads) if len(heads) else weight
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[heads], minlength=rows))]), pa.int32())
     text = aligner.text.__getitem__
-    digests = [hashlib.sha256(b";".join(map(text, w.tolist()))).hexdigest() if len(w) else "" for w in wins]
+    digests = [hashlib.sha256(";".join(map(text, w.tolist())).encode()).hexdigest() if len(w) else "" for w in wins]
     return pa.RecordBatch.from_arrays(
         [part.column(0), *(pa.array(s) for s in sums), pa.array(digests, pa.string()),
          pa.ListArray.from_arrays(offsets, pa.array(pair[heads])), pa.ListArray.from_arrays(offsets, pa.array(total))],
