@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from sparqa.session import checkpoint_dir, ship_package
 from sparqa.sources.tables import table
 
-__all__ = ["SPACE_RE", "arrow_map", "saved", "scratch_path", "split_words", "table", "text_slices"]
+__all__ = ["SPACE_RE", "arrow_map", "met_by_key", "saved", "scratch_path", "split_words", "table", "text_slices"]
 
 #: What separates words (space and the controls 9 to 13), as a Java pattern.
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
@@ -58,6 +58,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that more rows than this, and than such a share of all rows, hold go to all tasks; there are at most ``HOT_SHARE``.
+HOT_ROWS = 10_000
+HOT_SHARE = 1024
+
+
+def met_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each value of ``key`` and in ``count`` the rows that hold it.
+
+    The at most ``HOT_SHARE`` values that many rows hold are broadcast; no task
+    gets more than ``HOT_ROWS`` rows, or that share of all, of any other value. ``facts`` are read twice.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(HOT_ROWS, -(-int(total) // HOT_SHARE))
+    many = facts.where(hot)
+    if not many.take(1):
+        return rows.join(facts, key)
+    return rows.join(F.broadcast(many), key).unionByName(
+        rows.join(F.broadcast(many.select(key)), key, "left_anti").join(facts.where(~hot), key))
+
+
 def split_words(text: Column) -> Column:
     """The words of a text in order, as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")

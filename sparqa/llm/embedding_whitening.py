@@ -15,7 +15,6 @@ the mean, at most a half, is taken off afterwards.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +24,13 @@ from pyspark.sql import functions as F
 
 from sparqa.session import ship_package
 
-from .common import saved
+from .common import met_by_key, saved
 
 #: What turns a component into a whole number.
 SCALE = 1024
 SHIFT = 100_000
 #: Components that are returned at most.
 COMPONENTS = 8
-#: Vectors that more rows than this, and than a 1024th of all rows, hold are met without a shuffle; there are at most 1024.
-HOT_ROWS = 10_000
-HOT_SHARE = 1024
 #: An eigenvalue below this share of the largest, times the dimension, is no variance but rounding.
 RANK_EPS = 2.0 ** -50
 #: Whole vectors are kept within this bound, so that sums over 2^11 dimensions cannot pass 64 bits unseen.
@@ -191,26 +187,8 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, weights: str = "counts
     named = F.struct(*(F.struct(F.lit(k + 1).cast("int").alias("component"),
                                 (F.element_at("z", k + 1) if values[k] > 0 else F.lit(None).cast("double")).alias("whitened"),
                                 F.lit(share[k]).alias("explained")).alias(f"c{k}") for k in range(len(values))))
-    return _join_back(held, fitted, white).select(
+    facts = white.select("x", "deviation", "z").join(fitted.select("x", "occurrences"), "x")
+    return met_by_key(held, facts, "x", "occurrences").select(
         "vec_id", F.explode(F.array(*(named[f"c{k}"] for k in range(len(values))))).alias("c"), "deviation", "occurrences").select(
         "vec_id", "c.component", F.lit(n).cast("bigint").alias("n"), "deviation", "c.whitened", "c.explained",
         F.lit(error).cast("double").alias("identity_error"), "occurrences")
-
-
-def _join_back(held: DataFrame, fitted: DataFrame, white: DataFrame) -> DataFrame:
-    """vec_id, deviation, z and occurrences of every row.
-
-    The at most ``HOT_SHARE`` vectors that many rows hold go to all tasks; no
-    other vector has more than ``HOT_ROWS`` rows, or a ``HOT_SHARE``-th of all, in one task.
-    """
-    rows = int(fitted.agg(F.sum("occurrences")).first()[0])
-    hot = max(HOT_ROWS, math.ceil(rows / HOT_SHARE))
-    many = fitted.where(F.col("occurrences") > hot).select("x", "occurrences")
-    few = fitted.where(F.col("occurrences") <= hot).select("x", "occurrences")
-    if not many.take(1):
-        return held.join(white.join(few, "x"), "x")
-    near = F.broadcast(white.join(F.broadcast(many), "x").select(F.col("x").alias("hx"), "deviation", "z", "occurrences"))
-    met = held.join(near, F.col("x") == F.col("hx"), "left")
-    rest = held.join(F.broadcast(many.select("x")), "x", "left_anti").join(white.join(few, "x"), "x")
-    return met.where(F.col("hx").isNotNull()).select("vec_id", "deviation", "z", "occurrences").unionByName(
-        rest.select("vec_id", "deviation", "z", "occurrences"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (best_fit_packing, dual_tree_search, embedding_whitening, flow_resharding, license_scan, line_blocks, piece_nbest, quality_rules,
-               quotation_linking, simhash_dedup, substring_dedup, token_alignment)
+               quotation_linking, setsketch_dedup, simhash_dedup, substring_dedup, token_alignment)
 from .common import table
 
 
@@ -73,10 +73,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_dual_tree_search, op2_line_blocks, op3_license_scan, op4_substring_dedup, op5_quotation_linking, op6_simhash_dedup,
-        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules, op11_token_alignment, op12_embedding_whitening)
+        op7_best_fit_packing, op8_piece_nbest, op9_flow_resharding, op10_quality_rules, op11_token_alignment, op12_embedding_whitening,
+        op13_setsketch_dedup)
 }
 
 OP1_SQL = """
@@ -114,5 +119,28 @@ SELECT d.doc_id, count(m.i) AS n_words, count(m.hit) AS n_removed,
 FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d
+), u AS (
+  SELECT r, unnest(s) AS x FROM g
+), p AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN g x ON x.r = a JOIN g y ON y.r = b WHERE 100 * i >= 80 * (len(x.s) + len(y.s) - i)
+), c AS (
+  SELECT r, r AS t FROM g UNION SELECT c.r, l.b FROM c JOIN l ON c.t = l.a
+), m AS (
+  SELECT c.r, min(g.doc_id) AS component_id FROM c JOIN g ON g.r = c.t GROUP BY c.r
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM g JOIN m ON g.r = m.r
+"""
+
 #: SQL of the queries that it can express; the tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_dual_tree_search": OP1_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_dual_tree_search": OP1_SQL, "op4_substring_dedup": OP4_SQL,
+                              "op13_setsketch_dedup": OP13_SQL}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparqa.llm import embedding_whitening, queries, token_alignment
+from sparqa.llm import common, embedding_whitening, queries, setsketch_dedup, token_alignment
 from sparqa.llm.queries import vocabulary
 
 EMB = "vec_id bigint, embedding array<float>, label int, x string, w string, z string"
@@ -52,8 +52,8 @@ def test_whitening(spark, weights):
 
 
 def test_whitening_hot_vectors_and_large_values(spark, monkeypatch):
-    monkeypatch.setattr(embedding_whitening, "HOT_ROWS", 3)
-    monkeypatch.setattr(embedding_whitening, "HOT_SHARE", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
     vectors = [[2.0 ** 40, 1.0, -3.0]] * 20 + [[float(i % 7), float(i * i % 11), 2.0] for i in range(21)]
     rows = [(i, v, 0, "", "", "") for i, v in enumerate(vectors)]
     got = embedding_whitening.whiten(spark.createDataFrame(rows, EMB)).collect()
@@ -152,3 +152,93 @@ def test_alignment_forgets_and_learns_again(monkeypatch):
 
 def test_alignment_of_an_empty_table(spark):
     assert token_alignment.align_table(spark.createDataFrame([], DOCS), A_PATH, B_PATH).count() == 0
+
+
+def _shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w)} if 0 < len(w) < 4 else {b" ".join(w[i:i + 4]) for i in range(len(w) - 3)}
+
+
+def _near_components(rows):
+    sets = [_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return collections.Counter((d, len(sets[i]), least.get(root(i)), d == least.get(root(i))) for i, (d, _) in enumerate(rows))
+
+
+def _near_texts():
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}é"
+    texts = [None, "", " \t\n ", "one", "ONE", "one two three", "one two  three four", "Ünder ünder", "ünder ünder"]
+    for size in (6, 14, 40, 120, 400):
+        base = [word() for _ in range(size)]
+        texts.append(" ".join(base))
+        for _ in range(14):  # around the threshold, each copy made from the base or from the copy before
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(1, size // 24) + 1)):
+                copy[rng.randrange(size)] = word()
+            texts.append(" ".join(copy))
+            if rng.random() < .3:
+                base = copy
+    shared = " ".join(word() for _ in range(30))
+    texts += [" ".join(word() for _ in range(20)) + " " + shared for _ in range(30)]
+    texts += [" ".join(word() for _ in range(30)) for _ in range(20)] + ["same text in many rows of it"] * 60
+    return texts + ["long " + " ".join(word() for _ in range(30000))]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_components(spark, monkeypatch, block):
+    monkeypatch.setattr(setsketch_dedup, "BLOCK", block)
+    monkeypatch.setattr(setsketch_dedup, "PAIRS_A_TASK", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i, t) for i, t in enumerate(_near_texts())]
+    rows += [rows[20], (4, "another text under a number that is taken"), (None, rows[30][1]), (None, "nobody has this text here"), (None, "nobody has this text here"), (None, "")]
+    docs = spark.createDataFrame([(d, t, "l", "p", "n", "r", "e") for d, t in rows], DOCS)
+    got = setsketch_dedup.near_components(docs).collect()
+    assert collections.Counter(tuple(r) for r in got) == _near_components(rows)
+    assert [f.dataType.simpleString() for f in setsketch_dedup.near_components(docs.limit(0)).schema] == ["bigint", "bigint", "bigint", "boolean"]
+    assert setsketch_dedup.near_components(docs.where("false")).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    for size, overlap in ((2000, .5), (2000, .8), (300, .8), (60, .3)):
+        shared = int(2 * size * overlap / (1 + overlap))
+        a, b = np.sort(pool[:size]), np.sort(pool[size - shared:2 * size - shared])
+        x, y, union = setsketch_dedup.sketches([a, b, np.union1d(a, b)])
+        assert (setsketch_dedup.merged(x, y) == union).all()
+        true = shared / (2 * size - shared)
+        sizes = np.array([float(size)])
+        got = setsketch_dedup.most_likely(np.array([(x > y).sum()]), np.array([(x < y).sum()]), sizes, sizes)[0]
+        assert abs(got - true) < 5 * math.sqrt(true * (1 - true) / setsketch_dedup.REGISTERS)
+    one_by_one = [setsketch_dedup.sketches([s])[0] for s in (pool[:700], pool[:3], pool[:0])]
+    assert (np.array(one_by_one) == setsketch_dedup.sketches([pool[:700], pool[:3], pool[:0]])).all()
+    # every register of one element is an exponential variable of its own, so the sketch of n elements is that of its rate
+    levels = setsketch_dedup.sketches([pool[i:i + 1] for i in range(200)]).astype(float)
+    mean = (1 - levels.mean()) * math.log(setsketch_dedup.BASE)  # about E log of Exp(RATE) = -euler - log(RATE)
+    assert mean == pytest.approx(-0.5772 - math.log(setsketch_dedup.RATE), abs=.03)
+
+
+def test_open_pairs_meet_every_pair_of_two_labels():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(10_000, 50, replace=False).astype(np.uint64)) for _ in range(3)]
+    sketch = setsketch_dedup.sketches([sets[0]] * 5 + [sets[1]] * 4 + [sets[2]])
+    unit, size = np.array([0] * 6 + [1] * 4), np.full(10, 50)
+    block, label = np.array([0, 0, 1, 1, 1, 0, 2, 2, 2, 2]), np.array([0, 1, 2, 1, 4, 5, 6, 7, 7, 9])
+    got = {frozenset(p) for p in zip(*map(np.ndarray.tolist, setsketch_dedup.open_pairs(unit, block, label, sketch, size)))}
+    assert got == {frozenset(p) for p in ((0, 2), (0, 3), (0, 4), (1, 2), (1, 4), (6, 7), (6, 8))}
