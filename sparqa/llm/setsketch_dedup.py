@@ -16,8 +16,9 @@ their full sets. Two rounds keep the pairs few:
 1. A search through each bucket takes every set that looks linked to one
    already reached out of the bucket, so a bucket yields at most one pair per
    set. The pairs are verified, and the links found name components.
-2. Buckets whose sets are in one component are done. In the others, every
-   pair of two components that the likelihood cannot tell from a link is verified.
+2. Buckets whose sets are in one component are done. In the others, the sets in
+   a pair of two components that the likelihood cannot tell from a link come
+   together, in blocks, and are all held against each other inside their task.
 
 Exact copies of a set are one class and enter once.
 """
@@ -52,8 +53,11 @@ BANDS = 51
 BAND = 5
 #: How much less likely (natural log) an overlap of 0.8 may be than the most likely one below it: 4.5 standard errors.
 MARGIN = 10.0
-#: Sets of one bucket that are searched together in round 1, and that meet as blocks in round 2.
+#: Sets of one bucket that are searched together in round 1 and make a block in round 2, and elements of such a block.
 BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 20
+#: Columns that one step of the comparison of full sets takes.
+COLUMNS = 4096
 #: Rows of whole buckets that one step of a search takes.
 STEP_ROWS = 8192
 #: Pairs of one set that one task verifies at most, give or take.
@@ -189,64 +193,126 @@ def spanning_pairs(bucket: np.ndarray, sketch: np.ndarray, size: np.ndarray) ->
     return tuple(np.concatenate([*(f[k] for f in found), np.zeros(0, int)]) for k in (0, 1))
 
 
-def open_pairs(unit: np.ndarray, block: np.ndarray, label: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of the pairs of a unit that are in two components and not told from a link.
+def open_rows(unit: np.ndarray, block: np.ndarray, label: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which rows of a unit have a pair of two components that the likelihood does not tell from a link.
 
-    A unit is one block, all of whose pairs count, or two, of which pairs across count.
+    A unit is one block, all of whose pairs count, or two, of which pairs across
+    count. A pair of two rows that are found already is not looked at.
     """
-    left = np.ones(len(unit), bool)
-    low, high = (np.full(int(unit.max()) + 1, -1) for _ in range(2)) if len(unit) else (np.zeros(0, int),) * 2
-    np.maximum.at(high, unit, block)
-    low[:] = high
+    left, out = np.ones(len(unit), bool), np.zeros(len(unit), bool)
+    groups = int(unit.max()) + 1 if len(unit) else 0
+    low, high = np.full(groups, np.iinfo(np.int64).max), np.full(groups, -1)
     np.minimum.at(low, unit, block)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    while left.any():
-        first = np.full(len(low), -1)
+    np.maximum.at(high, unit, block)
+    while True:
         places = np.flatnonzero(left & (block == low[unit]))[::-1]
         if not len(places):
-            break
+            return out
+        first = np.full(groups, -1)
         first[unit[places]] = places
         left[first[first >= 0]] = False
         rest = np.flatnonzero(left & (first[unit] >= 0))
         pivot = first[unit[rest]]
-        apart = (label[pivot] != label[rest]) & ((block[pivot] != block[rest]) | (low[unit[rest]] == high[unit[rest]]))
+        apart = (label[pivot] != label[rest]) & ((block[pivot] != block[rest]) | (low[unit[rest]] == high[unit[rest]])) & ~(out[pivot] & out[rest])
         rest, pivot = rest[apart], pivot[apart]
-        for at in range(0, len(rest), STEP_ROWS):
-            r, p = rest[at:at + STEP_ROWS], pivot[at:at + STEP_ROWS]
-            _, open_ = judged(sketch[p], sketch[r], size[p], size[r])
-            found.append((p[open_], r[open_]))
-    return tuple(np.concatenate([*(f[k] for f in found), np.zeros(0, int)]) for k in (0, 1))
+        _, open_ = judged(sketch[pivot], sketch[rest], size[pivot], size[rest])
+        out[pivot[open_]] = out[rest[open_]] = True
+
+
+def full_links(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links between full sets (sorted), as few as join what links join."""
+    size = np.array([*map(len, sets)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count[column] > 1  # an element of one set alone is in no intersection
+    owner, column = owner[often], (np.cumsum(count > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(sets), int(column[b - 1]) - at + 1), np.float32)  # sums below 2^24, so exact
+        held[owner[a:b], column[a:b] - at] = 1
+        shared += held @ held.T
+    linked = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (shared > 0)
+    left = np.ones(len(sets), bool)
+    a, b = [], []
+    for start in range(len(sets)):
+        front, left[start] = [start] if left[start] else [], False
+        while front:
+            at = front.pop()
+            near = np.flatnonzero(linked[at] & left)
+            left[near] = False
+            a += [at] * len(near)
+            b += near.tolist()
+            front += near.tolist()
+    return np.array(a, int), np.array(b, int)
+
+
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition sorted by ``keys``, in steps of whole groups of at least ``rows`` rows together."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            held.append(frame.iloc[at:at + rows])
+            if sum(map(len, held)) >= rows:
+                every = pd.concat(held, ignore_index=True)
+                own = (every[keys] == every[keys].iloc[-1]).all(axis=1).to_numpy()  # the last group may go on
+                held = [every[own]]
+                if not own.all():
+                    yield every[~own]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group of ``keys`` a run of a partition, sorted by cid, so that every group's search starts at its least class."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cid")
+
+
+def _groups(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    return (frame[keys] != frame[keys].shift()).any(axis=1).cumsum().to_numpy(np.int64) - 1
+
+
+def _sketches_of(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
+
+
+def _likely(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct pairs (a, b) of cids, a < b, of the round 1 search in the groups of ``rows`` (keys, cid, n, registers)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _runs(frames, keys, STEP_ROWS):
+            cid = frame["cid"].to_numpy(np.int64)
+            a, b = spanning_pairs(_groups(frame, keys), _sketches_of(frame), frame["n"].to_numpy(np.int64))
+            yield pd.DataFrame({"a": np.minimum(cid[a], cid[b]), "b": np.maximum(cid[a], cid[b])})
 
+    return _dealt(rows, keys).mapInPandas(run, "a bigint, b bigint").distinct()
 
-def _search(rows: DataFrame, keys: list[str], spanning: bool) -> DataFrame:
-    """Pairs (a, b) of cids, a < b, of a search in the groups of ``rows`` (keys, cid, n, registers; round 2: block, label).
 
-    Rows are dealt by ``keys`` and sorted, so a group is a run of a partition; runs go through in steps of whole groups.
-    """
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        group = (frame[keys] != frame[keys].shift()).any(axis=1).cumsum().to_numpy(np.int64) - 1
-        sketch = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
-        size, cid = frame["n"].to_numpy(np.int64), frame["cid"].to_numpy(np.int64)
-        a, b = spanning_pairs(group, sketch, size) if spanning else open_pairs(
-            group, frame["block"].to_numpy(np.int64), frame["label"].to_numpy(np.int64), sketch, size)
-        return pd.DataFrame({"a": np.minimum(cid[a], cid[b]), "b": np.maximum(cid[a], cid[b])})
+def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` (keys, cid, n, registers, block, label) with an open pair in their unit: keys and cid."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _runs(frames, keys, STEP_ROWS):
+            found = open_rows(_groups(frame, keys), frame["block"].to_numpy(np.int64), frame["label"].to_numpy(np.int64),
+                              _sketches_of(frame), frame["n"].to_numpy(np.int64))
+            yield frame.loc[found, [*keys, "cid"]]
 
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return _dealt(rows, keys).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "cid")))
+
+
+def _full(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct links (a, b) between the full sets of each group of ``rows`` (keys, cid, members)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            for at in range(0, len(frame), STEP_ROWS):
-                held.append(frame.iloc[at:at + STEP_ROWS])
-                if sum(map(len, held)) >= STEP_ROWS:
-                    every = pd.concat(held, ignore_index=True)
-                    own = (every[keys] == every[keys].iloc[-1]).all(axis=1).to_numpy()  # the last group may go on
-                    held = [every[own]]
-                    if not own.all():
-                        yield pairs(every[~own])
-        if held and sum(map(len, held)) > 1:
-            yield pairs(pd.concat(held, ignore_index=True))
-
-    # sorted by cid too: a group's search starts at its least class, so that buckets yield the same pairs
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInPandas(run, "a bigint, b bigint").distinct()
+        for frame in _runs(frames, keys, 256):
+            cid, group = frame["cid"].to_numpy(np.int64), _groups(frame, keys)
+            for places in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(group)) + 1):
+                a, b = full_links([np.asarray(frame["members"].iat[k]) for k in places])
+                if len(a):
+                    x, y = cid[places[a]], cid[places[b]]
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return _dealt(rows, keys).mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 # --------------------------------------------------------------------- tables
@@ -341,19 +407,20 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     own = buckets.where("cid != first").select("key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), "cid")
     least = buckets.where("cid = first").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cid")
-    likely = saved(_search(own.unionByName(least).join(sketch, "cid"), ["key", "part"], True), "likely")
+    likely = saved(_likely(own.unionByName(least).join(sketch, "cid"), ["key", "part"]), "likely")
     links = saved(verified(likely, sets), "links")
     labels = saved(connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("label")), "labels")
-    # Round 2: buckets with several components, as blocks and pairs of blocks.
-    named = buckets.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = saved(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("rows").alias("size"))
-                  .where("low != high").select("key", "size"), "mixed-keys")
-    blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    units = met_by_key(named, mixed, "key", "size").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select(
-        "key", "cid", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    units = units.select("key", "cid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    unsure = saved(_search(units.join(sketch, "cid"), ["key", "i", "j"], False), "unsure")
-    return links.unionByName(saved(verified(unsure.join(likely, ["a", "b"], "left_anti"), sets), "more-links"))
+    # Round 2: buckets with several components, as blocks and pairs of blocks of bounded rows and elements.
+    named = saved(buckets.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(sketch, "cid"), "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("rows").alias("size"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("elements") / F.lit(BLOCK_ELEMENTS))).cast("int")
+    mixed = saved(mixed.where("low != high").select("key", "size", blocks.alias("blocks")), "mixed-keys")
+    units = met_by_key(named, mixed, "key", "size").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(
+        "key", "cid", "label", "n", "registers", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    keys = ["key", "i", "j"]
+    unsure = saved(_open(units, keys), "unsure")
+    return links.unionByName(saved(_full(unsure.join(sets, "cid"), keys), "more-links"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:

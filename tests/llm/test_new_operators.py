@@ -203,6 +203,7 @@ def _near_texts():
 @pytest.mark.parametrize("block", [4, 1024])
 def test_near_components(spark, monkeypatch, block):
     monkeypatch.setattr(setsketch_dedup, "BLOCK", block)
+    monkeypatch.setattr(setsketch_dedup, "BLOCK_ELEMENTS", 400 * block)
     monkeypatch.setattr(setsketch_dedup, "PAIRS_A_TASK", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     rows = [(i, t) for i, t in enumerate(_near_texts())]
@@ -234,11 +235,33 @@ def test_sketches_merge_and_estimate():
     assert mean == pytest.approx(-0.5772 - math.log(setsketch_dedup.RATE), abs=.03)
 
 
-def test_open_pairs_meet_every_pair_of_two_labels():
+def test_open_rows_of_every_pair_of_two_labels():
     rng = np.random.default_rng(4)
     sets = [np.sort(rng.choice(10_000, 50, replace=False).astype(np.uint64)) for _ in range(3)]
-    sketch = setsketch_dedup.sketches([sets[0]] * 5 + [sets[1]] * 4 + [sets[2]])
-    unit, size = np.array([0] * 6 + [1] * 4), np.full(10, 50)
-    block, label = np.array([0, 0, 1, 1, 1, 0, 2, 2, 2, 2]), np.array([0, 1, 2, 1, 4, 5, 6, 7, 7, 9])
-    got = {frozenset(p) for p in zip(*map(np.ndarray.tolist, setsketch_dedup.open_pairs(unit, block, label, sketch, size)))}
-    assert got == {frozenset(p) for p in ((0, 2), (0, 3), (0, 4), (1, 2), (1, 4), (6, 7), (6, 8))}
+    sketch = setsketch_dedup.sketches([sets[0]] * 6 + [sets[1]] * 4 + [sets[2]] * 3)
+    unit, size = np.array([0] * 6 + [1] * 4 + [2] * 3), np.full(13, 50)
+    block = np.array([0, 0, 1, 1, 1, 0, 2, 2, 2, 2, 0, 0, 1])
+    label = np.array([0, 0, 1, 0, 0, 1, 6, 7, 7, 7, 1, 2, 1])
+    got = setsketch_dedup.open_rows(unit, block, label, sketch, size)
+    pairs = [(a, b) for a in range(13) for b in range(a) if unit[a] == unit[b] and label[a] != label[b]
+             and (block[a] != block[b] or unit[a] == 1)]
+    assert got.tolist() == [any(k in p for p in pairs) for k in range(13)]
+    assert not got[10] and got[11] and got[12]
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_full_links(monkeypatch, columns):
+    monkeypatch.setattr(setsketch_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(8)
+    base = rng.choice(1000, 60, replace=False)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([.02, .2]), rng.integers(0, 10**6, 60), base)) for _ in range(30)]
+    a, b = setsketch_dedup.full_links(sets)
+    want = [(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def parts(pairs):
+        name = list(range(30))
+        for i, j in pairs:
+            name = [name[j] if n == name[i] else n for n in name]
+        return [[k for k in range(30) if name[k] == name[i]] for i in range(30)]
+
+    assert parts(zip(a.tolist(), b.tolist())) == parts(want) and len(a) < 30
