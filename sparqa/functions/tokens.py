@@ -112,3 +112,41 @@ def log_softmax_at(logits: Column, target: Column) -> Column:
             return F.when(target >= 0, F.try_element_at(v, target + 1)) - (m + F.log(total))
         return let(F.array_max(v), with_max)
     return let(F.transform(col(logits), lambda x: x.cast("double")), at)
+
+
+def sequence_logprob(rows: Column | str, targets: Column | str) -> Column:
+    """K5 + K6: the summed log-probability of ``targets`` (array<int>) under one logit vector each (array<array<double>>).
+
+    Minus infinity without targets, or with more or fewer vectors than targets; a
+    null array counts as empty. Null for a target outside its vector.
+    """
+    def total(v: Column, t: Column) -> Column:
+        logprobs = F.zip_with(v, t, log_softmax_at)
+        return F.when((F.size(t) == 0) | (F.size(v) != F.size(t)), F.lit(float("-inf"))).otherwise(
+            F.aggregate(logprobs, F.lit(0.0), lambda a, b: a + b))
+    empty = lambda c, kind: F.coalesce(col(c), F.array().cast(kind))
+    return let(F.struct(empty(rows, "array<array<double>>").alias("v"), empty(targets, "array<int>").alias("t")),
+               lambda s: total(s["v"], s["t"]))
+
+
+def shifted_rows(logits: Column | str, ids: Column | str, prompt_len: Column | str) -> Column:
+    """The logit vectors that predict the ids after the prompt: the vector of a position predicts the id after it.
+
+    ``logits`` has a vector for every id. Without prompt nothing predicts the first id, so there are no rows.
+    """
+    n = F.greatest(F.size(col(ids)) - col(prompt_len), F.lit(0))
+    return F.when(col(prompt_len) > 0, F.slice(col(logits), F.greatest(col(prompt_len), F.lit(1)), n)).otherwise(
+        F.array().cast("array<array<double>>"))
+
+
+def settled_pieces(piece_list: Column, text: Column | str, eos: str = EOS) -> Column:
+    """How many of a text's pieces stay as they are whatever is appended.
+
+    A piece is decided by its own characters, the one after it, and where the
+    end-of-sequence text may begin by as many characters as that has.
+    """
+    return F.aggregate(
+        piece_list, F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("cnt")),
+        lambda acc, p: F.struct((acc["pos"] + F.length(p)).alias("pos"),
+                                (acc["cnt"] + F.when(acc["pos"] + F.length(p) + len(eos) <= F.length(col(text)), 1).otherwise(0)).alias("cnt")),
+        lambda acc: acc["cnt"])

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..functions import tokens as tk
-from ..functions.text import letter, strip
+from ..functions.text import bind_column, letter, strip
 
 NEG_INF = float("-inf")
 NO_PREDICTION = "NONE"
+MAX_LEN = 1024           # fixed value: longest sequence in ids
 
 
 def choice_scores(token_logprobs: DataFrame, choices: DataFrame | None = None,
@@ -26,13 +27,14 @@ def choice_scores(token_logprobs: DataFrame, choices: DataFrame | None = None,
     """A1 (+K6): summed log-probability per (example, choice).
 
     ``choices`` (example, choice) lists every choice that was asked; a choice
-    with no scored tokens gets ``-inf``. ``normalise="avg"`` divides by the
-    token count (the reference sums).
+    with no scored tokens gets ``-inf``, and so does one that has a row without
+    a log-probability. ``normalise="avg"`` divides by the token count (the reference sums).
     """
     agg = F.sum(logprob) if normalise == "sum" else F.avg(logprob)
     if normalise not in ("sum", "avg"):
         raise ValueError("normalise must be 'sum' or 'avg'")
-    s = token_logprobs.groupBy(example, choice).agg(agg.alias("score"))
+    whole = F.count(logprob) == F.count(F.lit(1))
+    s = token_logprobs.groupBy(example, choice).agg(F.when(whole, agg).otherwise(F.lit(NEG_INF)).alias("score"))
     if choices is not None:
         s = (choices.select(example, choice).join(s, [example, choice], "left")
              .select(example, choice, F.coalesce("score", F.lit(NEG_INF)).alias("score")))
@@ -75,6 +77,61 @@ def token_logprob(df: DataFrame, logits: str, target: str, out: str = "logprob")
     return df.withColumn(out, tk.log_softmax_at(F.col(logits), F.col(target)))
 
 
+def choice_requests(items: DataFrame, prompt: str = "prompt", continuations: str = "continuations",
+                    example: str = "example_id", max_len: int = MAX_LEN, eos: str = fmt.EOS) -> DataFrame:
+    """K1 + K4: one row per example and choice: ``(example, choice_idx, input_ids, prompt_len)``.
+
+    ``input_ids`` are the ids of prompt + continuation, cut to ``max_len``;
+    ``prompt_len`` is the number of ids of the prompt alone, cut alike, so the
+    choice's ids are those after it. The end of the prompt may fall inside a
+    token of the whole (a continuation without blank grows into the last word), and
+    then a choice can have no ids at all. The prompt is tokenised once per
+    example: its settled pieces serve every choice, and only the
+    rest is tokenised with each continuation. A null prompt or list gives no
+    rows, a null continuation counts as empty.
+    """
+    d = items.select(F.col(example), F.col(prompt).alias("__text"), F.col(continuations).alias("__conts"))
+    d = bind_column(d.where(F.col("__text").isNotNull()), tk.pieces("__text", eos), "__p")
+    d = bind_column(d, tk.settled_pieces(F.col("__p"), "__text", eos), "__n")
+    settled = F.slice("__p", F.lit(1), F.col("__n"))
+    chars = F.aggregate(settled, F.lit(0).cast("long"), lambda a, p: a + F.length(p)).cast("int")
+    d = d.select(example, "__conts", F.least(F.size("__p"), F.lit(max_len)).alias("prompt_len"),
+                 F.col("__text").substr(chars + 1, F.length("__text")).alias("__rest"),
+                 tk.ids_of(F.slice(settled, 1, max_len), eos).alias("__ids"))
+    d = d.select(example, "prompt_len", "__rest", "__ids", F.posexplode("__conts").alias("choice_idx", "__cont"))
+    rest = tk.pieces(F.concat("__rest", F.coalesce("__cont", F.lit(""))), eos)
+    ids = F.slice(F.concat("__ids", tk.ids_of(F.slice(rest, 1, max_len), eos)), 1, max_len)
+    return d.select(example, "choice_idx", ids.alias("input_ids"), "prompt_len")
+
+
+def scored_positions(requests: DataFrame, example: str = "example_id") -> DataFrame:
+    """One row per id to be scored: ``(example, choice_idx, token_pos, target, context)``.
+
+    ``context`` holds the ids before the target. A choice without ids has one
+    row without position, so that it keeps its place and scores ``-inf``.
+    """
+    choice = tk.choice_slice(F.col("input_ids"), F.col("prompt_len"))
+    d = requests.select(example, "choice_idx", "input_ids", "prompt_len", F.posexplode_outer(choice).alias("token_pos", "target"))
+    return d.select(example, "choice_idx", "token_pos", "target", F.slice("input_ids", 1, F.col("prompt_len") + F.col("token_pos")).alias("context"))
+
+
+def choice_loglik(requests: DataFrame, positions: DataFrame, logits: str = "logits", example: str = "example_id") -> DataFrame:
+    """K4-K6 in sequence form: the log-likelihood of each choice from the logit vectors of its positions.
+
+    ``positions`` has (example, choice_idx, token_pos, ``logits``), at most one
+    row per id of a choice, in any order. They are put together again by
+    example and choice, in order, and held against the choice's ids: without ids, or with more
+    or fewer vectors than ids, the score is minus infinity.
+    """
+    rows = positions.where(F.col("token_pos").isNotNull()).groupBy(example, "choice_idx").agg(
+        F.array_sort(F.collect_list(F.struct("token_pos", F.col(logits).cast("array<double>").alias("v")))).alias("__rows"))
+    targets = tk.choice_slice(F.col("input_ids"), F.col("prompt_len"))
+    vectors = F.transform("__rows", lambda r: r["v"])
+    return requests.join(rows, [example, "choice_idx"], "left").select(
+        example, "choice_idx", F.size(targets).alias("n_targets"), F.coalesce(F.size(vectors), F.lit(0)).alias("n_rows"),
+        tk.sequence_logprob(vectors, targets).alias("loglik"))
+
+
 # ----------------------------------------------------------- preference
 
 REWARD_MODES = ("none", "sum", "avg")

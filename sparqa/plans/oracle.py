@@ -370,6 +370,51 @@ SELECT vec_id, label,
 FROM e"""
 
 
+def _ids(text: str) -> str:
+    return (f"list_transform(regexp_extract_all({text}, '{_piece_re2()}'), lambda p: CASE WHEN p = '{EOS}' THEN 1 "
+            "ELSE CAST(('0x' || substr(md5(p), 1, 7)) AS INT) + 2 END)")
+
+
+#: Prompt and prompt + continuation are tokenised each for itself; logits as in ``fixtures.with_logits``.
+def _scored_ctes(items: str) -> str:
+    return f"""it AS ({items}),
+ch AS (SELECT example_id, prompt, unnest(continuations) AS cont, unnest(range(len(continuations))) AS choice_idx FROM it),
+rq AS (SELECT example_id, CAST(choice_idx AS INT) AS choice_idx, {_ids('prompt || cont')}[1:1024] AS ids,
+              least(len({_ids('prompt')}), 1024) AS prompt_len FROM ch),
+sz AS (SELECT count(*) AS n, max(len(embedding)) AS w FROM embeddings),
+ps AS (SELECT example_id, choice_idx, ids, prompt_len, unnest(range(prompt_len, len(ids))) AS i FROM rq),
+lg AS (SELECT example_id, choice_idx, i - prompt_len AS token_pos, ids[i + 1] % w AS target,
+              CAST(list_sum(list_transform(ids[1:i], lambda x, k: CAST(x AS BIGINT) * k)) AS BIGINT) % n AS vec_id FROM ps, sz),
+lm AS (SELECT example_id, choice_idx, token_pos, target, embedding, CAST(list_max(embedding) AS DOUBLE) AS m
+       FROM lg JOIN embeddings USING (vec_id)),
+lp AS (SELECT example_id, choice_idx, token_pos, CAST(embedding[target + 1] AS DOUBLE)
+         - (m + ln(list_sum(list_transform(embedding, lambda q: exp(CAST(q AS DOUBLE) - m))))) AS logprob FROM lm)"""
+
+
+def choice_loglik() -> str:
+    items = f"""SELECT doc_id AS example_id, coalesce(text, '') || {NL} || 'Source:' AS prompt,
+  [' ' || source || ' in ' || lang, '', '-' || source, {NL} || lang || ' <' || source || '>'] AS continuations FROM documents"""
+    return f"""WITH {_scored_ctes(items)},
+k AS (SELECT example_id, choice_idx, count(*) AS n, sum(logprob) AS s FROM lp WHERE example_id % 11 <> 0 OR token_pos <> 0 GROUP BY ALL)
+SELECT example_id, choice_idx, CAST(greatest(len(ids) - prompt_len, 0) AS INT) AS n_targets, CAST(coalesce(n, 0) AS INT) AS n_rows,
+  CASE WHEN n = len(ids) - prompt_len THEN round(s, 6) ELSE CAST('-inf' AS DOUBLE) END AS loglik
+FROM rq LEFT JOIN k USING (example_id, choice_idx)"""
+
+
+def mcq_eval() -> str:
+    items = f"SELECT example_id, prompt, continuations FROM ({eval_prompt()})"
+    return f"""WITH {_scored_ctes(items)},
+k AS (SELECT example_id, choice_idx, sum(logprob) AS s FROM lp GROUP BY ALL),
+b AS (SELECT example_id, chr(CAST(65 + arg_max(choice_idx, (s, -choice_idx)) AS INT)) AS pred FROM
+        (SELECT example_id, choice_idx, coalesce(s, CAST('-inf' AS DOUBLE)) AS s FROM rq LEFT JOIN k USING (example_id, choice_idx)) GROUP BY example_id),
+p AS (SELECT coalesce(pred, 'NONE') AS pred, gold FROM ({eval_prompt()}) LEFT JOIN b USING (example_id)),
+f AS (SELECT pred = gold AS correct, {strip('pred')} = {strip('gold')} AS correct_norm FROM p)
+SELECT count(*) AS total, CAST(coalesce(sum(CAST(correct AS BIGINT)), 0) AS BIGINT) AS correct,
+       CAST(coalesce(sum(CAST(correct_norm AS BIGINT)), 0) AS BIGINT) AS correct_norm,
+       coalesce(sum(CAST(correct AS BIGINT)) / count(*), 0.0) AS accuracy,
+       coalesce(sum(CAST(correct_norm AS BIGINT)) / count(*), 0.0) AS accuracy_norm FROM f"""
+
+
 def preference_accuracy() -> str:
     return f"""WITH p AS ({FX_PAIRS}), m AS (SELECT unnest(['none', 'sum', 'avg']) AS mode)
 SELECT mode, source, count(*) AS pairs,

@@ -19,6 +19,7 @@ from ..operators import curate, evaluation, profile, retrieval, sampling, tokeni
 from ..sources import fixtures
 from ..sources.tables import spread, table
 from . import curation, training
+from . import evaluation as evaluation_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +159,26 @@ def token_logprob_gather(spark: SparkSession, root: str) -> DataFrame:
     return d.select("vec_id", "label", F.round("logprob", 6).alias("logprob"))
 
 
+def choice_loglik(spark: SparkSession, root: str) -> DataFrame:
+    """K1, K4-K6: every document as a prompt with four continuations, scored from sequences of logit vectors.
+    Of every eleventh document the last vector is missing."""
+    req = evaluation.choice_requests(fixtures.passage_questions(spark, root))
+    rows = fixtures.with_logits(evaluation.scored_positions(req), spark, root)
+    rows = rows.where((F.col("example_id") % 11 != 0) | (F.col("token_pos") != 0))
+    width = F.lit(fixtures.vector_size(spark, root))
+    req = req.withColumn("input_ids", F.transform("input_ids", lambda x: x % width))
+    scored = evaluation.choice_loglik(req, rows)
+    return scored.select("example_id", "choice_idx", "n_targets", "n_rows", F.round("loglik", 6).alias("loglik"))
+
+
+def mcq_eval(spark: SparkSession, root: str) -> DataFrame:
+    """Entry point C from question texts to accuracy, the log-probabilities from a stand-in model."""
+    def score(positions: DataFrame) -> DataFrame:
+        rows = fixtures.with_logits(positions, spark, root)
+        return evaluation.token_logprob(rows, "logits", "target").select("example_id", "choice_idx", "token_pos", "logprob")
+    return evaluation_plan.mcq_eval(fixtures.eval_questions(spark, root), score)
+
+
 def preference_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return evaluation.preference_accuracy(fixtures.preference_pairs(spark, root))
 
@@ -232,6 +253,8 @@ QUERIES: dict[str, Query] = {
     "mcq_predict": mcq_predict,
     "mcq_accuracy": mcq_accuracy,
     "token_logprob_gather": token_logprob_gather,
+    "choice_loglik": choice_loglik,
+    "mcq_eval": mcq_eval,
     "preference_accuracy": preference_accuracy,
     "chunk_documents": chunk_documents,
     "retrieve_cosine": retrieve_cosine,

@@ -155,3 +155,34 @@ def eval_questions(spark: SparkSession, root: str) -> DataFrame:
                     F.transform("options", lambda x: x.substr(F.position(F.lit(")"), x) + 1,
                                                               F.lit(2**31 - 1))).alias("choices"),
                     F.col("correct").alias("answer"))
+
+
+def passage_questions(spark: SparkSession, root: str) -> DataFrame:
+    """Evaluation items over whole documents: (example_id, prompt, continuations).
+
+    Long texts pass the longest sequence; of the continuations one is empty and
+    one grows into the prompt's last word.
+    """
+    d = spread(table(spark, root, "documents").select("doc_id", "text", "lang", "source"))
+    conts = F.array(F.concat(F.lit(" "), F.col("source"), F.lit(" in "), F.col("lang")), F.lit(""),
+                    F.concat(F.lit("-"), F.col("source")), F.concat(F.lit("\n"), F.col("lang"), F.lit(" <"), F.col("source"), F.lit(">")))
+    return d.select(F.col("doc_id").alias("example_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\nSource:")).alias("prompt"),
+                    conts.alias("continuations"))
+
+
+def vector_size(spark: SparkSession, root: str) -> int:
+    return table(spark, root, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+
+
+def with_logits(positions: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """``scored_positions`` with the logits of a stand-in model: a vector of ``embeddings``.
+
+    The ids before a target, each times its place, add up to the vector's
+    number, so the logits depend on the whole context; ids count modulo the vector's size.
+    """
+    e = spread(table(spark, root, "embeddings").select("vec_id", "embedding"))
+    n, size = e.count(), vector_size(spark, root)
+    place = F.aggregate(F.transform("context", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    p = positions.select("example_id", "choice_idx", "token_pos", (F.col("target") % F.lit(size)).alias("target"),
+                         (place % F.lit(n)).alias("vec_id"))
+    return p.join(e, "vec_id", "left").select("example_id", "choice_idx", "token_pos", "target", F.col("embedding").alias("logits"))
