@@ -1,23 +1,18 @@
 """Chunking and similarity top-k retrieval.
 
-Exact top-k over all (query, candidate) pairs costs O(queries x corpus)
-arithmetic whatever the engine; what must not happen is materialising those
-pairs or passing one side through the driver. Both sides are cut by hash into
-blocks of a bounded size; every pair of a query block and a corpus block meets
-in one task (co-grouped, so both sides are shuffled and nothing is broadcast),
-which scores it with NumPy and emits only its own top-k per query. A final
-``row_number() <= k`` window merges them.
+The searches themselves are in ``set_search`` (token sets over an inverted
+index) and ``vector_search`` (blocks with centre and radius); both are exact
+and leave out what a bound rules out before it is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_J, bind_column, col, let, strip
+from .set_search import top_k_sets
+from .vector_search import top_k_vectors
 
 # Retrieval defaults of the reference configuration.
 TOP_K = 2
@@ -25,9 +20,6 @@ CHUNK_TOKENS = 512
 SIMILARITIES = ("cosine", "dot_product", "max_inner_product", "jaccard")
 
 WORD = r"[\p{L}\p{Nd}_]+"             # token of a set-similarity bag (same in Java and RE2)
-BLOCK_BYTES = 16 * 1024 * 1024         # aim for one block of either side
-PAIR_BLOCK = 4_000_000                 # scored cells per NumPy step (memory bound per task)
-ROUND = 6                              # similarities are rounded before ranking
 
 
 # --------------------------------------------------------------- J5, J6
@@ -94,133 +86,25 @@ def token_hashes(text: Column | str) -> Column:
     return F.transform(token_set(text), lambda t: F.xxhash64(t))
 
 
-# ------------------------------------------------------------ kernels
-
-def _score_dense(qv: np.ndarray, cv: np.ndarray, sim: str) -> np.ndarray:
-    if sim == "cosine":
-        qn = np.linalg.norm(qv, axis=1)
-        cn = np.linalg.norm(cv, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return (qv @ cv.T) / np.outer(qn, cn)
-    return qv @ cv.T          # dot_product / max_inner_product rank identically
-
-
-class _Postings:
-    """Token -> queries of one block, as two arrays sorted by token."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(x) for x in sets], np.float64)
-        tokens = np.concatenate([*sets, np.zeros(0, np.int64)])
-        order = np.argsort(tokens, kind="stable")
-        self.tokens = tokens[order]
-        self.query = np.repeat(np.arange(len(sets)), self.sizes.astype(np.int64))[order]
-
-    def jaccard(self, sets: list[np.ndarray]):
-        """Blocks ``(start, scores)``: the Jaccard similarity of every query (rows) with the candidates from
-        ``start`` on, 0 where disjoint. A block has at most ``PAIR_BLOCK`` cells and shared tokens, or one candidate."""
-        nq, size = len(self.sizes), np.array([len(x) for x in sets], np.int64)
-        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        left = np.searchsorted(self.tokens, flat, "left")
-        hits = np.searchsorted(self.tokens, flat, "right") - left
-        ends = np.cumsum(size)
-        shared = np.concatenate([[0], np.cumsum(hits)])[np.concatenate([[0], ends])]  # up to each candidate
-        start = 0
-        while start < len(sets):
-            stop = int(np.searchsorted(shared, shared[start] + PAIR_BLOCK, "right")) - 1
-            stop = max(start + 1, min(stop, start + PAIR_BLOCK // max(nq, 1), len(sets)))
-            words = slice(ends[start] - size[start], ends[stop - 1])
-            n = hits[words]
-            places = np.repeat(left[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            cand = np.repeat(np.repeat(np.arange(stop - start), size[start:stop]), n)
-            inter = np.bincount(self.query[places] * (stop - start) + cand, minlength=nq * (stop - start)).reshape(nq, stop - start)
-            union = self.sizes[:, None] + size[None, start:stop] - inter
-            yield start, np.divide(inter, union, out=np.zeros(inter.shape), where=inter > 0)
-            start = stop
-
-
 # ------------------------------------------------------------------ J1, R7
 
-def _topk_block(queries: pd.DataFrame, corpus: pd.DataFrame, sim: str, k: int, cid_cols: list[str],
-                exclude_self: bool) -> pd.DataFrame | None:
-    """The k best candidates of the corpus block for every query of the query block."""
-    q_ids = queries["query_id"].to_numpy()
-    if sim == "jaccard":
-        as_sets = lambda values: [np.unique(np.asarray(v, dtype=np.int64)) for v in values]
-        steps = _Postings(as_sets(queries["__qv"])).jaccard(as_sets(corpus["__cv"]))
-    else:
-        qv = np.stack([np.asarray(v, dtype=np.float64) for v in queries["__qv"]])
-        cv = np.stack([np.asarray(v, dtype=np.float64) for v in corpus["__cv"]])
-        step = max(1, PAIR_BLOCK // len(qv))
-        steps = ((at, _score_dense(qv, cv[at:at + step], sim)) for at in range(0, len(cv), step))
-    best = None  # running per-query winners: DataFrame(query_id, cid..., similarity)
-    for start, s in steps:
-        part = corpus.iloc[start:start + s.shape[1]]
-        s = np.round(s, ROUND)
-        valid = np.isfinite(s)
-        if exclude_self:
-            valid &= q_ids[:, None] != part[cid_cols[0]].to_numpy()[None, :]
-        scored = np.where(valid, s, -np.inf)
-        m = scored.shape[1]
-        if m > k:  # k-th best per query; everything tied with it stays a candidate
-            kth = np.partition(scored, m - k, axis=1)[:, m - k]
-            valid &= scored >= kth[:, None]
-        qi, cj = np.nonzero(valid)
-        if not len(qi):
-            continue
-        cand = pd.DataFrame({"query_id": q_ids[qi], "similarity": s[qi, cj]})
-        for c in cid_cols:
-            cand[c] = part[c].to_numpy()[cj]
-        if best is not None:
-            cand = pd.concat([best, cand], ignore_index=True)
-        cand = cand.sort_values(["query_id", "similarity", *cid_cols],
-                                ascending=[True, False] + [True] * len(cid_cols), kind="mergesort")
-        best = cand.groupby("query_id", sort=False).head(k)
-    return None if best is None else best[["query_id", *cid_cols, "similarity"]]
-
-
-def _blocks(side: DataFrame, value: str, block_bytes: int) -> int:
-    """How many blocks the side needs, by its measured payload (an id and 8 bytes an element)."""
-    rows, elements = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(value)), F.lit(0))).first()
-    return max(1, math.ceil(8 * (rows + elements) / block_bytes))
-
-
 def top_k(queries: DataFrame, corpus: DataFrame, q_id: str, q_value: Column,
           c_ids: list[str], c_value: Column, sim: str = "cosine", k: int = TOP_K,
-          exclude_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          exclude_self: bool = False, **options: int) -> DataFrame:
     """J1 + R7: for every query, the ``k`` most similar corpus rows.
 
     Output ``(query_id, rank, c_ids..., similarity)``; similarity is rounded
     to 6 places before ranking, ties go to the smaller corpus id. Query ids
-    must be unique, of any orderable type. The sizes of both sides are measured
-    once; a block pair's scores are cut into steps of ``PAIR_BLOCK`` cells.
+    must be unique, of any orderable type. Rows without a value have no
+    similarity to anything. Sets go to ``set_search``, vectors to ``vector_search`` (which takes ``options``).
     """
     if sim not in SIMILARITIES:
         raise ValueError(f"similarity must be one of {SIMILARITIES}")
-    spark = corpus.sparkSession
-    from ..session import ship_package
-    ship_package(spark)
-    # rows without a vector / text have no similarity to anything
     c = corpus.select(*c_ids, c_value.alias("__cv")).where(F.col("__cv").isNotNull())
     q = queries.select(F.col(q_id).alias("query_id"), q_value.alias("__qv")).where(F.col("__qv").isNotNull())
-    q_blocks = _blocks(q, "__qv", block_bytes)
-    # at least a block pair per task slot, so that small sides use all cores too
-    c_blocks = max(_blocks(c, "__cv", block_bytes), math.ceil(spark.sparkContext.defaultParallelism / q_blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    q = q.withColumn("__q", dealt(["query_id"], q_blocks)).withColumn("__c", every(c_blocks))
-    c = c.withColumn("__c", dealt(c_ids, c_blocks)).withColumn("__q", every(q_blocks))
-    types = {f.name: f.dataType.simpleString() for f in [*c.schema.fields, *q.schema.fields]}
-    schema = ", ".join([*(f"`{n}` {types[n]}" for n in ("query_id", *c_ids)), "similarity double"])
-    names = ["query_id", *c_ids, "similarity"]
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _topk_block(left, right, sim, k, c_ids, exclude_self) if len(left) and len(right) else None
-        return pd.DataFrame(columns=names) if found is None else found
-
-    cand = q.groupBy("__q", "__c").cogroup(c.groupBy("__q", "__c")).applyInPandas(best, schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), *[F.col(x) for x in c_ids])
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", *c_ids, "similarity")
+    if sim == "jaccard":
+        return top_k_sets(q, c, c_ids, k, exclude_self)
+    return top_k_vectors(q, c, c_ids, sim, k, exclude_self, **options)
 
 
 def retrieve_vectors(queries: DataFrame, corpus: DataFrame, q_id: str = "vec_id",

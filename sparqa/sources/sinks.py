@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import uuid
@@ -20,6 +21,34 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back, for plans that need it more than once.
+
+    Cuts the lineage without RDDs: later steps depend on files that every
+    executor sees. The files are removed when the driver exits.
+    """
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{name}-{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(_remove_stored)
+    _STORED.append((spark, path))
+    write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_stored() -> None:
+    for spark, path in _STORED:
+        if spark.sparkContext._jsc is not None:
+            fs, p = _place(spark, path)
+            fs.delete(p, True)
+    _STORED.clear()
+
+
 def _place(spark: SparkSession, path: str):
     """The file system of a path, and the path for it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,10 @@
+import re
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from sparqa.operators import retrieval
+from sparqa.operators import retrieval, set_search, vector_search
 
 
 def test_vector_topk_matches_brute_force(spark):
@@ -17,14 +21,64 @@ def test_vector_topk_matches_brute_force(spark):
             assert got[(q, rank)] == (c, -neg)
 
 
-def test_query_blocks_give_same_result(spark):
-    rng = np.random.default_rng(5)
-    vecs = rng.normal(size=(60, 4))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
-    one = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3)
-    many = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, "dot_product", 3,
-                           block_bytes=8 * 5 * 7)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+def _top(ids, scores, k):
+    return [(c, s) for s, c in sorted(((-s, c) for c, s in zip(ids, scores)))[:k]]
+
+
+def _brute(vecs, queries, sim, k, own=True):
+    v, q = np.array(vecs, float), np.array(queries, float)
+    s = q @ v.T
+    if sim == "cosine":
+        s = s / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+    s = np.round(s, 6)
+    return {(i, r): (c, -neg) for i in range(len(q)) for r, (c, neg) in enumerate(_top(
+        [c for c in range(len(v)) if own or c != i], [s[i, c] for c in range(len(v)) if own or c != i], k), 1)}
+
+
+def _clustered(rng, n=400, d=6, groups=12):
+    centres = rng.normal(size=(groups, d)) * 20
+    return (centres[np.arange(n) % groups] + rng.normal(size=(n, d)) * .3).round(3).tolist()
+
+
+def _pairs(index, queries, k):
+    first = vector_search.stored(index.meet(index._placed(queries, True), k, True), "t")
+    return queries.count() + vector_search.rest(index, queries, first, k).count()
+
+
+@pytest.mark.parametrize("sim", ["cosine", "dot_product"])
+def test_blocks_below_the_floor_are_not_met(spark, sim):
+    """Clustered vectors: nearly all (query, block) pairs fall away, and the result is that of brute force."""
+    vecs = _clustered(np.random.default_rng(5))
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, sim, 3, exclude_self=True,
+                          centres=24, block_bytes=56 * 10, direct_cells=0)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in got.collect()} == _brute(vecs, vecs, sim, 3, own=False)
+    q, c = df.selectExpr("vec_id AS query_id", "embedding AS __qv"), df.selectExpr("vec_id", "embedding AS __cv")
+    index = vector_search.VectorIndex(c, ["vec_id"], sim, 24, 56 * 10)
+    every = len(vecs) * len(index.block_ids)
+    assert len(index.block_ids) > 30 and _pairs(index, q, 3) < every * .35
+
+
+@pytest.mark.parametrize("sim", ["cosine", "dot_product"])
+def test_adversarial_vectors_lose_nothing(spark, sim):
+    """Vectors without clusters, many ties, one far longer than all: the bounds may prune nothing, the result holds."""
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(150, 12)).round(1).tolist() + [[1.0] * 12] * 30 + [[1e6] * 12] + [[-1e-9] * 12]
+    odd = [None, [float("nan")] * 12, [float("inf")] + [0.0] * 11] + ([[0.0] * 12] if sim == "cosine" else [])
+    df = spark.createDataFrame(list(enumerate([*vecs, *odd])), "vec_id long, embedding array<double>")
+    got = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, sim, 4, centres=16, block_bytes=104 * 7, direct_cells=0)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in got.collect()} == _brute(vecs, vecs, sim, 4)
+    direct = retrieval.top_k(df, df, "vec_id", df.embedding, ["vec_id"], df.embedding, sim, 4)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_vector_search_of_little(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    for part, rows in ((df, 2), (df.where("vec_id = 1"), 1), (df.where("false"), 0)):
+        for cells in (0, 1 << 26):
+            got = retrieval.top_k(df, part, "vec_id", df.embedding, ["vec_id"], df.embedding, "cosine", 5, direct_cells=cells)
+            assert got.count() == 2 * rows
+            assert retrieval.top_k(df.where("false"), part, "vec_id", df.embedding, ["vec_id"], df.embedding, direct_cells=cells).count() == 0
 
 
 def test_jaccard_and_chunks(spark):
@@ -41,22 +95,54 @@ def test_jaccard_and_chunks(spark):
     assert got == [(10, 1, 1, 0, 1.0), (10, 2, 4, 0, 1.0), (11, 1, 1, 0, 0.0), (11, 2, 1, 1, 0.0)]
 
 
-def test_string_ids_and_small_jaccard_blocks(spark, monkeypatch):
+def _jaccard(queries, sets, k):
+    out = {}
+    for i, q in enumerate(queries):
+        scores = [round(len(q & s) / len(q | s), 6) if q & s else 0.0 for s in sets]
+        for r, (c, neg) in enumerate(_top(range(len(sets)), scores, k), 1):
+            out[f"q{i}", r] = (c, -neg)
+    return out
+
+
+@pytest.mark.parametrize("head,near", [(1, 0), (64, 1 << 19)])
+def test_set_search_is_exact(spark, monkeypatch, head, near):
+    """Common and rare tokens, ties, empty sets, queries that share nothing; with hardly any seeds and with many."""
+    monkeypatch.setattr(set_search, "HEAD", head)
+    monkeypatch.setattr(set_search, "NEAR_ROWS", near)
     rng = np.random.default_rng(11)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, 1 + i % 9)) for i in range(50)]
-    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts[:20])], "item_id string, text string")
-    c = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in retrieval.top_k(
-        q, c, "item_id", retrieval.token_hashes("text"), ["doc_id"], retrieval.token_hashes("text"), "jaccard", 3, block_bytes=400).collect()}
-    sets = [set(t.split()) for t in texts]
-    for i in range(20):
-        order = sorted((-round(len(sets[i] & s) / len(sets[i] | s), 6), j) for j, s in enumerate(sets))[:3]
-        assert [got[f"q{i}", rank] for rank in (1, 2, 3)] == [(j, -neg) for neg, j in order]
-    monkeypatch.setattr(retrieval, "PAIR_BLOCK", 7)
-    arrays = [np.unique(rng.integers(0, 30, n)) for n in (0, 3, 8, 1, 12, 5)]
-    found = np.concatenate([s for _, s in retrieval._Postings(arrays[:4]).jaccard(arrays)], axis=1)
-    want = [[len({*a} & {*b}) / len({*a} | {*b}) if {*a} & {*b} else 0.0 for b in arrays] for a in arrays[:4]]
-    assert np.allclose(found, want)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 1 + i % 23) % 60) for i in range(160)] + ["", "!", "w1 w1 W1", "w1"]
+    asked = texts[:25] + ["", "only new words here", "w1", "w2 brandnew", texts[40] + " w999"]
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)] + [("null", None)], "item_id string, text string")
+    c = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")
+    for k in (1, 3, 200):
+        got = retrieval.retrieve_text(q, c, "item_id", "text", ["doc_id"], "text", k=k).collect()
+        tokens = lambda t: set(re.findall(r"\w+", t.lower()))
+        assert {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in got} == _jaccard([*map(tokens, asked)], [*map(tokens, texts)], k)
+
+
+def test_few_candidate_pairs_are_compared(spark):
+    """Every query has near copies in the corpus and all sets share common tokens: pairs are far fewer than queries x corpus."""
+    rng = np.random.default_rng(6)
+    base = [[f"t{i}_{j}" for j in range(20)] + [f"common{j}" for j in range(15)] for i in range(60)]
+    corpus = [" ".join([*rng.permutation(b)[:30], f"x{i}_{k}"]) for i, b in enumerate(base) for k in range(8)]
+    q = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(base)], "query_id long, text string").select("query_id", retrieval.token_hashes("text").alias("__qv"))
+    c = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string").select("doc_id", retrieval.token_hashes("text").alias("__cv"))
+    index = set_search.SetIndex(q, c, ["doc_id"])
+    seeds = index.compared(index.seeds())
+    floors = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list("similarity"), asc=False)[1].alias("floor"))
+    met = index.seeds().unionByName(index.candidates(floors)).distinct().count()
+    assert met <= 60 * 8 * 1.2 < 60 * len(corpus) / 20
+
+
+def test_compound_ids_and_no_corpus(spark):
+    q = spark.createDataFrame([(1, [7, 8]), (2, [])], "query_id long, __qv array<long>")
+    c = spark.createDataFrame([("b", 2, [7]), ("a", 9, [7]), ("b", 1, [5])], "doc string, part int, __cv array<long>")
+    got = sorted(map(tuple, set_search.top_k_sets(q, c, ["doc", "part"], 2).collect()))
+    assert got == [(1, 1, "a", 9, .5), (1, 2, "b", 2, .5), (2, 1, "a", 9, 0.0), (2, 2, "b", 1, 0.0)]
+    assert set_search.top_k_sets(q, c.where("false"), ["doc", "part"], 2).count() == 0
+    own = spark.createDataFrame([(1, [7]), (2, [7]), (3, [9])], "id long, __cv array<long>")
+    pairs = set_search.top_k_sets(own.selectExpr("id AS query_id", "__cv AS __qv"), own, ["id"], 1, exclude_self=True)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1, 2, 1.0), (2, 1, 1, 1.0), (3, 1, 1, 0.0)]
 
 
 def test_no_query_row_reaches_the_driver(spark, monkeypatch):
@@ -67,7 +153,7 @@ def test_no_query_row_reaches_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(df), "toPandas", lambda self: seen.append(out := collect(self)) or out)
     plan = retrieval.retrieve_vectors(df, df)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "CartesianProduct" not in plan
-    assert all(len(rows) == 1 and "vec_id" not in rows[0] for rows in seen)  # only the measured sizes
+    assert not seen  # the sides are only counted
 
 
 def test_pair_similarity_functions(spark):
