@@ -140,13 +140,15 @@ def shifted_rows(logits: Column | str, ids: Column | str, prompt_len: Column | s
 
 
 def settled_pieces(piece_list: Column, text: Column | str, eos: str = EOS) -> Column:
-    """How many of a text's pieces stay as they are whatever is appended.
+    """struct(pos, cnt, chars): all characters, and how many pieces and characters stay as they are whatever is appended.
 
     A piece is decided by its own characters, the one after it, and where the
     end-of-sequence text may begin by as many characters as that has.
     """
-    return F.aggregate(
-        piece_list, F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("cnt")),
-        lambda acc, p: F.struct((acc["pos"] + F.length(p)).alias("pos"),
-                                (acc["cnt"] + F.when(acc["pos"] + F.length(p) + len(eos) <= F.length(col(text)), 1).otherwise(0)).alias("cnt")),
-        lambda acc: acc["cnt"])
+    def walk(limit: Column) -> Column:
+        return F.aggregate(
+            piece_list, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("cnt"), F.lit(0).alias("chars")),
+            lambda acc, p: let(acc["pos"] + F.length(p), lambda end: F.struct(
+                end.alias("pos"), F.when(end <= limit, acc["cnt"] + 1).otherwise(acc["cnt"]).alias("cnt"),
+                F.when(end <= limit, end).otherwise(acc["chars"]).alias("chars"))))
+    return let(F.length(col(text)) - len(eos), walk)  # the text is measured once, not at every piece

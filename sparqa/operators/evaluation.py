@@ -93,26 +93,24 @@ def choice_requests(items: DataFrame, prompt: str = "prompt", continuations: str
     d = items.select(F.col(example), F.col(prompt).alias("__text"), F.col(continuations).alias("__conts"))
     d = bind_column(d.where(F.col("__text").isNotNull()), tk.pieces("__text", eos), "__p")
     d = bind_column(d, tk.settled_pieces(F.col("__p"), "__text", eos), "__n")
-    settled = F.slice("__p", F.lit(1), F.col("__n"))
-    chars = F.aggregate(settled, F.lit(0).cast("long"), lambda a, p: a + F.length(p)).cast("int")
+    settled = F.slice("__p", F.lit(1), F.least(F.col("__n.cnt"), F.lit(max_len)))
     d = d.select(example, "__conts", F.least(F.size("__p"), F.lit(max_len)).alias("prompt_len"),
-                 F.col("__text").substr(chars + 1, F.length("__text")).alias("__rest"),
-                 tk.ids_of(F.slice(settled, 1, max_len), eos).alias("__ids"))
+                 F.col("__text").substr(F.col("__n.chars") + 1, F.length("__text")).alias("__rest"),
+                 tk.ids_of(settled, eos).alias("__ids"))
     d = d.select(example, "prompt_len", "__rest", "__ids", F.posexplode("__conts").alias("choice_idx", "__cont"))
     rest = tk.pieces(F.concat("__rest", F.coalesce("__cont", F.lit(""))), eos)
     ids = F.slice(F.concat("__ids", tk.ids_of(F.slice(rest, 1, max_len), eos)), 1, max_len)
     return d.select(example, "choice_idx", ids.alias("input_ids"), "prompt_len")
 
 
-def scored_positions(requests: DataFrame, example: str = "example_id") -> DataFrame:
-    """One row per id to be scored: ``(example, choice_idx, token_pos, target, context)``.
+def scored_positions(requests: DataFrame, example: str = "example_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per id to be scored: ``(example, choice_idx, token_pos, target)`` and the columns ``carry``.
 
-    ``context`` holds the ids before the target. A choice without ids has one
-    row without position, so that it keeps its place and scores ``-inf``.
+    A choice without ids has one row without position, so that it keeps its place and scores ``-inf``.
     """
     choice = tk.choice_slice(F.col("input_ids"), F.col("prompt_len"))
-    d = requests.select(example, "choice_idx", "input_ids", "prompt_len", F.posexplode_outer(choice).alias("token_pos", "target"))
-    return d.select(example, "choice_idx", "token_pos", "target", F.slice("input_ids", 1, F.col("prompt_len") + F.col("token_pos")).alias("context"))
+    return requests.select(example, "choice_idx", *carry, F.posexplode_outer(choice).alias("token_pos", "target")).select(
+        example, "choice_idx", "token_pos", "target", *carry)
 
 
 def choice_loglik(requests: DataFrame, positions: DataFrame, logits: str = "logits", example: str = "example_id") -> DataFrame:

@@ -31,12 +31,12 @@ def mcq_eval(items: DataFrame, score: Callable[[DataFrame], DataFrame], example:
              max_len: int = ev.MAX_LEN, gold_mode: str = "text", normalise: str = "sum") -> DataFrame:
     """Entry point C as one plan, from (example, question, choices, answer) to accuracy.
 
-    Prompts and continuations (G9), token ids of every choice (K1, K4), one row
-    per id to be scored, ``score`` (a model: ``scored_positions`` in, the same rows with
-    ``logprob`` out), sums per choice (A1, K6), the best choice (A2) and the accuracy (A3).
+    Prompts and continuations (G9), token ids of every choice (K1, K4), ``score``
+    (a model: ``choice_requests`` in, a ``logprob`` for each of ``scored_positions`` out),
+    sums per choice (A1, K6), the best choice (A2) and the accuracy (A3).
     """
     texts = items.select(example, fmt.eval_prompt("question", "choices", topic).alias("prompt"),
                          fmt.eval_continuations("choices").alias("continuations"))
-    logprobs = score(ev.scored_positions(ev.choice_requests(texts, example=example, max_len=max_len), example))
+    logprobs = score(ev.choice_requests(texts, example=example, max_len=max_len))
     gold = items.select(example, "answer")
     return ev.accuracy(ev.predictions(ev.choice_scores(logprobs, example=example, normalise=normalise), gold, example, gold_mode=gold_mode))

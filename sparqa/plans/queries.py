@@ -17,6 +17,7 @@ from ..functions import formatting as fmt
 from ..functions.text import bind_column, strip
 from ..operators import curate, evaluation, profile, retrieval, sampling, tokenise
 from ..sources import fixtures
+from ..sources.sinks import stored
 from ..sources.tables import spread, table
 from . import curation, training
 from . import evaluation as evaluation_plan
@@ -162,8 +163,8 @@ def token_logprob_gather(spark: SparkSession, root: str) -> DataFrame:
 def choice_loglik(spark: SparkSession, root: str) -> DataFrame:
     """K1, K4-K6: every document as a prompt with four continuations, scored from sequences of logit vectors.
     Of every eleventh document the last vector is missing."""
-    req = evaluation.choice_requests(fixtures.passage_questions(spark, root))
-    rows = fixtures.with_logits(evaluation.scored_positions(req), spark, root)
+    req = stored(evaluation.choice_requests(fixtures.passage_questions(spark, root)), "requests")  # read twice
+    rows = fixtures.with_logits(req, spark, root)
     rows = rows.where((F.col("example_id") % 11 != 0) | (F.col("token_pos") != 0))
     width = F.lit(fixtures.vector_size(spark, root))
     req = req.withColumn("input_ids", F.transform("input_ids", lambda x: x % width))
@@ -173,8 +174,8 @@ def choice_loglik(spark: SparkSession, root: str) -> DataFrame:
 
 def mcq_eval(spark: SparkSession, root: str) -> DataFrame:
     """Entry point C from question texts to accuracy, the log-probabilities from a stand-in model."""
-    def score(positions: DataFrame) -> DataFrame:
-        rows = fixtures.with_logits(positions, spark, root)
+    def score(requests: DataFrame) -> DataFrame:
+        rows = fixtures.with_logits(requests, spark, root)
         return evaluation.token_logprob(rows, "logits", "target").select("example_id", "choice_idx", "token_pos", "logprob")
     return evaluation_plan.mcq_eval(fixtures.eval_questions(spark, root), score)
 

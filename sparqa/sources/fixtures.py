@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokens as tk
+from ..operators.evaluation import scored_positions
 from .tables import spread, table
 
 BS = "\\"  # a single backslash
@@ -174,15 +176,20 @@ def vector_size(spark: SparkSession, root: str) -> int:
     return table(spark, root, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
 
 
-def with_logits(positions: DataFrame, spark: SparkSession, root: str) -> DataFrame:
-    """``scored_positions`` with the logits of a stand-in model: a vector of ``embeddings``.
+def with_logits(requests: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """The positions of ``choice_requests`` with the logits of a stand-in model: a vector of ``embeddings``.
 
     The ids before a target, each times its place, add up to the vector's
-    number, so the logits depend on the whole context; ids count modulo the vector's size.
+    number, so the logits depend on the whole context; ids count modulo the
+    vector's size. The sum over the prompt is made once per choice.
     """
     e = spread(table(spark, root, "embeddings").select("vec_id", "embedding"))
     n, size = e.count(), vector_size(spark, root)
-    place = F.aggregate(F.transform("context", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
-    p = positions.select("example_id", "choice_idx", "token_pos", (F.col("target") % F.lit(size)).alias("target"),
-                         (place % F.lit(n)).alias("vec_id"))
+    places = lambda ids, before: F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * (i + before + 1)),
+                                             F.lit(0).cast("long"), lambda a, b: a + b)
+    p = requests.withColumn("base", places(F.slice("input_ids", F.lit(1), F.col("prompt_len")), F.lit(0))) \
+        .withColumn("own", tk.choice_slice(F.col("input_ids"), F.col("prompt_len")))
+    p = scored_positions(p, carry=("base", "own", "prompt_len"))
+    place = F.col("base") + places(F.slice("own", F.lit(1), F.col("token_pos")), F.col("prompt_len"))
+    p = p.select("example_id", "choice_idx", "token_pos", (F.col("target") % F.lit(size)).alias("target"), (place % F.lit(n)).alias("vec_id"))
     return p.join(e, "vec_id", "left").select("example_id", "choice_idx", "token_pos", "target", F.col("embedding").alias("logits"))

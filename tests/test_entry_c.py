@@ -84,7 +84,7 @@ def test_loglik_is_put_together_in_order(spark):
     req = spark.createDataFrame([(1, 0, [4, 0, 1, 1], 1), (1, 1, [4], 1), (2, 0, [4, 0, 1], 1)], "example_id long, choice_idx int, input_ids array<int>, prompt_len int")
     pos = ev.scored_positions(req)
     assert [tuple(r) for r in pos.where("example_id = 1").orderBy("choice_idx", "token_pos").collect()] == [
-        (1, 0, 0, 0, [4]), (1, 0, 1, 1, [4, 0]), (1, 0, 2, 1, [4, 0, 1]), (1, 1, None, None, None)]
+        (1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 1), (1, 1, None, None)]
     vectors = {0: [1.0, 0.0], 1: [0.5, 2.0], 2: [0.0, 3.0]}
     rows = spark.createDataFrame([(1, 0, k, vectors[k]) for k in (2, 0, 1)] + [(2, 0, 1, vectors[1])], "example_id long, choice_idx int, token_pos int, logits array<double>")
     got = {(r.example_id, r.choice_idx): (r.n_targets, r.n_rows, r.loglik) for r in ev.choice_loglik(req, rows).collect()}
@@ -107,13 +107,13 @@ def test_from_text_to_accuracy(spark, max_len, want):
     items = spark.createDataFrame(ITEMS, "example_id long, question string, choices array<string>, answer string")
     order = {_ids(f" {c}")[0]: k for k, c in enumerate("ABC")}
     mapping = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
-    got = plan.mcq_eval(items, lambda p: p.withColumn("logprob", mapping[F.col("target")].cast("double")), max_len=max_len).first()
+    got = plan.mcq_eval(items, lambda r: ev.scored_positions(r).withColumn("logprob", mapping[F.col("target")].cast("double")), max_len=max_len).first()
     assert (got.total, got.correct, got.correct_norm) == want
 
 
 def test_eval_of_no_items(spark):
     items = spark.createDataFrame([], "example_id long, question string, choices array<string>, answer string")
-    got = plan.mcq_eval(items, lambda p: p.withColumn("logprob", F.lit(0.0))).first()
+    got = plan.mcq_eval(items, lambda r: ev.scored_positions(r).withColumn("logprob", F.lit(0.0))).first()
     assert (got.total, got.accuracy) == (0, 0.0)
 
 
