@@ -1,36 +1,36 @@
 """Deterministic positions, sampling, shuffling, splitting and sharding.
 
-Exact global positions are computed without a one-partition window:
-
-1. every row gets a *bucket* that is monotone in the requested order (the
-   first hex digits of a seeded md5 for a random order, quantile bounds of the
-   key for the natural order);
-2. per-bucket counts (at most ``16**digits`` rows, a size that does not grow
-   with the data) give each bucket its first position; that small table is
-   broadcast;
-3. a row's position is its bucket's first position plus its rank inside the
-   bucket.
-
-Sampling, splitting and sharding only need to know on which side of a few cut
-points a row falls. Buckets entirely on one side are assigned without any
-shuffle; only the (at most one per cut point) buckets that straddle a cut are
-ranked with a window. So a 95/5 split of N rows shuffles about N/65536 rows.
+Two mechanisms, neither with a one-partition window or a table that grows on the driver:
+
+* **Positions** (R1, R3). Rows are range-partitioned by (stratum, order) from
+  sampled splitters and sorted; their number inside the partition is kept with
+  them. A two-level prefix sum, over the partitions of each stratum, adds what comes before.
+* **Cuts** (R2, R4, R5). Sampling, splitting and sharding only ask on which side
+  of a few cut positions a row falls. The row at a cut is selected by narrowing
+  over the key column alone: counts per range, then per range of the one that
+  holds the cut, until few rows are left. The wide rows are then
+  compared with the cut keys, in one scan without join, window or shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Callable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 DEFAULT_SEED = 42
-HASH_DIGITS = 4            # finest seeded bucket: 16**4 = 65 536 md5 prefixes
-BUCKET_ROWS = 250_000      # target rows per bucket (bounds a straddling bucket's rank)
-KEY_BUCKETS_MIN, KEY_BUCKETS_MAX = 16, 65536
+BUCKET_ROWS = 250_000      # target rows of a range partition
+HASH_DIGITS = 3            # md5 digits by which one step narrows: 4096 counts
+RANGES = 256               # ranges by which one step narrows a natural order
+FEW_ROWS = 4096            # rows around a cut that are looked at one by one
+NEAR_ROWS = 1 << 17        # strata whose cuts go to all tasks; more are shuffled
+PARTITION_BITS = 33        # ``monotonically_increasing_id``: partition above, row number below
 
-_B, _LO, _CNT, _N, _POS, _H = "__b", "__lo", "__cnt", "__n", "__pos", "__h"
+_H, _M, _POS = "__h", "__m", "__pos"
 
 
 # ---------------------------------------------------------------- order keys
@@ -42,115 +42,12 @@ def seeded_hash(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(k.cast("string"), F.lit(""))))
 
 
-def _local_stats(spark, pdf, schema: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., bucket, count, first position, total) from per-bucket counts, as
-    a local relation (at most one row per stratum and bucket). Positions and
-    totals restart in every stratum."""
-    import pandas as pd
-
-    keys = [*by, _B]
-    pdf = pdf.sort_values(keys, kind="mergesort").reset_index(drop=True)
-    cnt = pdf[_CNT].astype("int64")
-    if by:
-        grp = pdf.groupby(list(by), sort=False, dropna=False)[_CNT]
-        lo = grp.cumsum().astype("int64") - cnt
-        n = grp.transform("sum").astype("int64")
-    else:
-        lo = cnt.cumsum() - cnt
-        n = pd.Series([int(cnt.sum())] * len(pdf), dtype="int64")
-    out = pdf[keys].assign(**{_CNT: cnt, _LO: lo, _N: n})
-    return spark.createDataFrame(out, schema)
-
-
-def _stats_schema(df: DataFrame, by: tuple[str, ...], bucket_type: str) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cols = [f"{c} {types[c]}" for c in by] + [f"{_B} {bucket_type}", f"{_CNT} long", f"{_LO} long",
-                                               f"{_N} long"]
-    return ", ".join(cols)
-
-
-def _hash_counts(frames: list[DataFrame], digits: int, by: tuple[str, ...] = ()) -> list:
-    """Per-prefix counts of several hashed inputs in ONE job: the small
-    per-input aggregations are tagged and unioned before collecting (at most
-    ``16**digits`` rows per input and stratum)."""
-    parts = [f.groupBy(*by, F.substring(_H, 1, digits).alias(_B))
-              .agg(F.count(F.lit(1)).alias(_CNT)).withColumn("__item", F.lit(i))
-             for i, f in enumerate(frames)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    pdf = union.toPandas()
-    return [pdf[pdf["__item"] == i].drop(columns="__item").reset_index(drop=True)
-            for i in range(len(frames))]
-
-
-def _hash_finish(df: DataFrame, d: DataFrame, key: str, fine, fine_digits: int,
-                 by: tuple[str, ...] = ()):
-    """Pick the shortest md5 prefix whose largest bucket stays under
-    ``BUCKET_ROWS`` (refining to 4 digits when a 2-digit bucket is too big)."""
-    def level(counts, dd: int):
-        return (counts.assign(**{_B: counts[_B].str[:dd]})
-                      .groupby([*by, _B], as_index=False, dropna=False)[_CNT].sum())
-
-    if len(fine) and fine[_CNT].max() > BUCKET_ROWS and fine_digits < HASH_DIGITS:
-        fine, fine_digits = _hash_counts([d], HASH_DIGITS, by)[0], HASH_DIGITS
-    digits = fine_digits
-    for dd in range(1, fine_digits):
-        if len(fine) == 0 or level(fine, dd)[_CNT].max() <= BUCKET_ROWS:
-            digits = dd
-            break
-    stats = _local_stats(df.sparkSession, level(fine, digits), _stats_schema(df, by, "string"), by)
-    return d.withColumn(_B, F.substring(_H, 1, digits)), [F.col(_H), F.col(key)], stats
-
-
-def _hash_ordered(df: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()):
-    """Seeded order ``(md5(seed|key), key)``; buckets are md5 prefixes.
-
-    Counts are first taken per 2-hex-digit prefix (at most 256 result rows per
-    stratum, distributed with partial aggregation). Only when one of those
-    buckets holds more than ``BUCKET_ROWS`` rows (inputs beyond ~64 M rows) are
-    they recounted per 4-digit prefix. The driver then picks the shortest
-    prefix whose largest bucket stays under ``BUCKET_ROWS``.
-    """
-    d = df.withColumn(_H, seeded_hash(key, seed))
-    return _hash_finish(df, d, key, _hash_counts([d], 2, by)[0], 2, by)
-
-
-def _key_ordered(df: DataFrame, key: str, by: tuple[str, ...] = ()):
-    """Natural order of ``key``; buckets from approximate quantiles (exactness
-    comes from the in-bucket rank, the quantiles only balance the buckets).
-
-    The bucket count follows the row count (about ``BUCKET_ROWS`` rows per
-    bucket), so a straddling bucket stays bounded at any scale; the driver
-    receives only the bounds and the per-bucket counts.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    def quantiles(buckets: int) -> Column:
-        probs = [i / buckets for i in range(1, buckets)]
-        return F.percentile_approx(F.col(key).cast("double"), probs, 10 * buckets).alias("q")
-
-    # one pass gives the row count and the coarsest bounds; finer bounds only
-    # when the input is larger than KEY_BUCKETS_MIN full buckets
-    row = df.select(F.count(F.lit(1)).alias("n"), quantiles(KEY_BUCKETS_MIN)).first()
-    buckets = int(min(KEY_BUCKETS_MAX, max(KEY_BUCKETS_MIN, math.ceil(row["n"] / BUCKET_ROWS))))
-    if buckets > KEY_BUCKETS_MIN:
-        row = df.select(quantiles(buckets)).first()
-    bounds = sorted(set(v for v in (row["q"] or []) if v is not None))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    d = df.withColumn("__kd", F.col(key).cast("double"))
-    d = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd").transform(d)
-    # a null key gets bucket -1, ahead of every other bucket (nulls sort first)
-    d = d.withColumn(_B, F.coalesce(F.col("__bd").cast("int"), F.lit(-1))).drop("__kd", "__bd")
-    counts = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias(_CNT)).toPandas()
-    return d, [F.col(key)], _local_stats(df.sparkSession, counts, _stats_schema(df, by, "int"), by)
-
-
-def _ordered(df: DataFrame, key: str, order: str, seed: int, by: tuple[str, ...] = ()):
+def _order(df: DataFrame, key: str, order: str, seed: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with what it is ordered by, and those columns."""
     if order == "hash":
-        return _hash_ordered(df, key, seed, by)
+        return df.withColumn(_H, seeded_hash(key, seed)), [_H, key]
     if order == "key":
-        return _key_ordered(df, key, by)
+        return df, [key]
     raise ValueError(f"order must be 'hash' or 'key', not {order!r}")
 
 
@@ -159,60 +56,144 @@ def _ordered(df: DataFrame, key: str, order: str, seed: int, by: tuple[str, ...]
 def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash",
                   seed: int = DEFAULT_SEED, by: tuple[str, ...] = ()) -> DataFrame:
     """Add the exact 0-based position of every row (within its ``by``
-    stratum, if given; strata must not be null).
+    stratum, if given; null is a stratum like others).
 
     ``order="hash"`` is the seeded random order ``(md5(seed|key), key)`` (a full
-    shuffle, R3); ``order="key"`` is the natural order of ``key``. ``key`` must
-    be unique.
+    shuffle, R3); ``order="key"`` is the natural order of ``key``, nulls first.
+    ``key`` must be unique, of any orderable type.
     """
-    by = tuple(by)
-    d, order_cols, stats = _ordered(df, key, order, seed, by)
-    w = Window.partitionBy(*by, _B).orderBy(*order_cols)
-    return (_join_stats(d, stats.select(*by, _B, _LO), by)
-             .withColumn(out, F.col(_LO) + F.row_number().over(w) - 1)
-             .drop(_B, _LO, _H))
-
-
-def _join_stats(d: DataFrame, stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Broadcast join of rows to their bucket statistics; strata compare
-    null-safely so rows with a null stratum are kept."""
-    if not by:
-        return d.join(F.broadcast(stats), _B)
-    renamed = stats.select(*[F.col(c).alias(f"__s_{c}") for c in by],
-                           *[c for c in stats.columns if c not in by])
-    cond = [d[c].eqNullSafe(renamed[f"__s_{c}"]) for c in by]
-    return d.join(F.broadcast(renamed), [*cond, d[_B] == renamed[_B]]) \
-            .drop(renamed[_B]).drop(*[f"__s_{c}" for c in by])
-
-
-def assign_by_position(df: DataFrame, key: str, segment: Callable[[Column, Column], Column],
-                       out: str, order: str = "hash", seed: int = DEFAULT_SEED,
-                       by: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``out = segment(position, n_rows)`` for a non-decreasing step function
-    (positions and row counts per ``by`` stratum when given).
-
-    Buckets whose first and last positions fall in the same segment are
-    assigned directly; only straddling buckets are ranked.
+    d, columns = _order(df, key, order, seed)
+    return _positions(d, tuple(by), columns, out).drop(_H)
+
+
+def _positions(d: DataFrame, by: tuple[str, ...], columns: list[str], out: str) -> DataFrame:
+    spark = d.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(d.count() / BUCKET_ROWS))
+    placed = stored(d.repartitionByRange(parts, *by, *columns).sortWithinPartitions(*by, *columns)
+                    .withColumn(_M, F.monotonically_increasing_id()), "positions")
+    part, number = F.shiftright(_M, PARTITION_BITS), F.col(_M).bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
+    runs = placed.groupBy(part.alias("__part"), *by).agg(F.count(F.lit(1)).alias("__cnt"), F.min(number).alias("__first"))
+    before = F.coalesce(F.sum("__cnt").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if by:
+        starts = runs.select("__part", *(F.col(c).alias(f"__s_{c}") for c in by), (before - F.col("__first")).alias("__start"))
+    else:  # a row per partition
+        rows, total = [], 0
+        for r in sorted(runs.collect()):
+            rows.append((r["__part"], total - r["__first"]))
+            total += r["__cnt"]
+        starts = F.broadcast(spark.createDataFrame(rows, "__part long, __start long"))
+    same = [part == starts["__part"], *(placed[c].eqNullSafe(starts[f"__s_{c}"]) for c in by)]
+    return placed.join(starts, same).withColumn(out, F.col("__start") + number).select(*(c for c in d.columns), out)
+
+
+# ------------------------------------------------------------- cuts by key
+
+Cuts = Callable[[int], list[int]]  # the positions at which a new segment begins, of a number of rows
+
+
+def _hash_cuts(narrow: DataFrame, key: str, cuts: Cuts) -> list[tuple | None]:
+    """(hash, key) of the row at each cut position, in the order of (hash, key); None past the last row."""
+    def counted(df: DataFrame, digits: int) -> list[tuple[str, int]]:
+        return sorted(map(tuple, df.groupBy(F.substring(_H, 1, digits).alias("b")).agg(F.count(F.lit(1))).collect()))
+
+    digits = HASH_DIGITS
+    counts = counted(narrow, digits)
+    want = {i: ("", p) for i, p in enumerate(cuts(sum(n for _, n in counts)))}  # cut -> prefix, rank below it
+    held: dict[str, int] = {}
+    while True:
+        for i, (prefix, rank) in want.items():
+            for b, n in counts:
+                if b.startswith(prefix) and len(b) > len(prefix):
+                    if rank < n:
+                        want[i] = (b, rank)
+                        held[b] = n
+                        break
+                    rank -= n
+        wide = sorted({b for b, _ in want.values() if b and held[b] > FEW_ROWS and len(b) < 32 and len(b) == digits})
+        if not wide:
+            break
+        digits = min(32, digits + HASH_DIGITS)
+        counts = counted(narrow.where(F.substring(_H, 1, len(wide[0])).isin(wide)), digits)
+    found: list[tuple | None] = [None] * len(want)
+    ends = sorted({b for b, _ in want.values() if b})
+    if ends:
+        hit = [F.col(_H).startswith(b) for b in ends]
+        rows = [(r[_H], r[key]) for r in narrow.where(_any(hit)).select(_H, key).collect()]
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]) if r[1] is not None else (r[0], False))
+        for i, (prefix, rank) in want.items():
+            inside = [r for r in rows if prefix and r[0].startswith(prefix)]
+            found[i] = inside[rank] if rank < len(inside) else None
+    return found
+
+
+def _key_cuts(narrow: DataFrame, key: str, cuts: Cuts) -> list[tuple | None]:
+    """(key,) of the row at each cut position in the natural order, nulls first; None past the last row."""
+    nulls, total = narrow.select(F.count_if(F.col(key).isNull()), F.count(F.lit(1))).first()
+    kind = narrow.schema[key].dataType
+    ranks = {i: max(p - nulls, 0) for i, p in enumerate(cuts(total))}
+    found: list[tuple | None] = [None] * len(ranks)
+    left = {i: r for i, r in ranks.items() if r < total - nulls}
+    where: dict[int, tuple | None] = dict.fromkeys(left)  # the range that holds the cut
+    rows, size = narrow.where(F.col(key).isNotNull()).select(key), total - nulls
+    while left:
+        spans = sorted({s for s in where.values() if s is not None})
+        span = F.lit(0)
+        for k, (low, high) in enumerate(spans):
+            span = F.when((F.col(key) >= F.lit(low).cast(kind)) & (F.col(key) <= F.lit(high).cast(kind)), F.lit(k)).otherwise(span)
+        inside = rows if not spans else rows.where(_any([(F.col(key) >= F.lit(a).cast(kind)) & (F.col(key) <= F.lit(b).cast(kind)) for a, b in spans]))
+        ranges = min(RANGES, max(2, math.ceil(4 * size / FEW_ROWS)))
+        ranged = inside.repartitionByRange(ranges, key).select(key, F.spark_partition_id().alias("__part"), span.alias("__span"))
+        counts = ranged.groupBy("__span", "__part").agg(F.count(F.lit(1)), F.min(key), F.max(key)).collect()
+        few: dict[int, tuple] = {}
+        size = 0
+        for i, rank in list(left.items()):
+            own = 0 if where[i] is None else spans.index(where[i])
+            for s, _, n, low, high in sorted(counts, key=lambda r: (r[0], r[1])):
+                if s != own:
+                    continue
+                if rank < n:
+                    left[i], where[i], size = rank, (low, high), size + n
+                    if n <= FEW_ROWS or low == high:
+                        few[i] = (low, high)
+                    break
+                rank -= n
+        if few:
+            spans = sorted(set(few.values()))
+            near = rows.where(_any([(F.col(key) >= F.lit(a).cast(kind)) & (F.col(key) <= F.lit(b).cast(kind)) for a, b in spans if a != b] or [F.lit(False)]))
+            keys = sorted(r[0] for r in near.collect())
+            for i, (low, high) in few.items():
+                found[i] = (low,) if low == high else ([x for x in keys if low <= x <= high][left[i]],)
+                del left[i], where[i]
+    return found
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def _reached(columns: list[str], cut: tuple, kinds: dict) -> Column:
+    """Whether a row stands at the cut or behind it (nulls come first)."""
+    column, value = F.col(columns[0]), cut[0]
+    behind = F.lit(True) if value is None else F.coalesce(column >= F.lit(value).cast(kinds[columns[0]]), F.lit(False))
+    if len(columns) == 1:
+        return behind
+    level = column == F.lit(value)
+    return (column > F.lit(value)) | (level & _reached(columns[1:], cut[1:], kinds))
+
+
+def assign_by_cuts(df: DataFrame, key: str, cuts: Cuts, out: str, order: str = "hash", seed: int = DEFAULT_SEED) -> DataFrame:
+    """Add ``out``, how many of the cut positions a row has reached (0 before the first).
+
+    ``key`` must be unique; rows of equal key would all go to one side.
     """
-    by = tuple(by)
-    d, order_cols, stats = _ordered(df, key, order, seed, by)
-    return _assign(d, order_cols, stats, segment, out, by)
-
-
-def _assign(d: DataFrame, order_cols: list[Column], stats: DataFrame,
-            segment: Callable[[Column, Column], Column], out: str,
-            by: tuple[str, ...]) -> DataFrame:
-    lo, n = F.col(_LO), F.col(_N)
-    stats = stats.select(*by, _B, _LO, _N, segment(lo, n).alias("__seg"),
-                         (segment(lo, n) == segment(lo + F.col(_CNT) - 1, n)).alias("__pure"))
-    j = _join_stats(d, stats, by)
-    pure = j.where(F.col("__pure")).withColumn(out, F.col("__seg"))
-    w = Window.partitionBy(*by, _B).orderBy(*order_cols)
-    mixed = (j.where(~F.col("__pure"))
-              .withColumn(_POS, lo + F.row_number().over(w) - 1)
-              .withColumn(out, segment(F.col(_POS), n))
-              .drop(_POS))
-    return pure.unionByName(mixed).drop(_B, _LO, _N, _H, "__pure", "__seg")
+    d, columns = _order(df, key, order, seed)
+    found = _hash_cuts(d.select(_H, key), key, cuts) if order == "hash" else _key_cuts(d.select(key), key, cuts)
+    kinds = {f.name: f.dataType for f in d.schema.fields}
+    reached = [_reached(columns, c, kinds).cast("int") for c in found if c is not None]
+    return d.withColumn(out, sum(reached[1:], reached[0]) if reached else F.lit(0)).drop(_H)
 
 
 # ------------------------------------------------------------------- R2, R4
@@ -227,60 +208,58 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED,
         total = df.count()
         if n > total:
             raise ValueError(f"cannot sample {n} rows from {total}")
-    kept = assign_by_position(df, key, lambda p, _n: p < F.lit(n), "__keep", "hash", seed)
-    return kept.where("__keep").drop("__keep")
+    return assign_by_cuts(df, key, lambda _: [n], "__side", "hash", seed).where("__side = 0").drop("__side")
 
 
 def sample_exact_many(items: list[tuple[DataFrame, str, int]], seed: int = DEFAULT_SEED) -> list[DataFrame]:
-    """R2 for several inputs at once: ``[(df, key, n), ...]`` -> samples, with
-    the bucket counts of all inputs gathered by a single job."""
-    hashed = [df.withColumn(_H, seeded_hash(key, seed)) for df, key, _ in items]
-    fines = _hash_counts(hashed, 2)
-    out = []
-    for (df, key, n), d, fine in zip(items, hashed, fines):
-        d2, order_cols, stats = _hash_finish(df, d, key, fine, 2)
-        kept = _assign(d2, order_cols, stats, lambda p, _n, n=n: p < F.lit(n), "__keep", ())
-        out.append(kept.where("__keep").drop("__keep"))
-    return out
+    """R2 for several inputs at once: ``[(df, key, n), ...]`` -> samples."""
+    return [sample_exact(df, key, n, seed) for df, key, n in items]
 
 
 def split_train_test(df: DataFrame, key: str, train_fraction: float = 0.95,
                      seed: int = DEFAULT_SEED, order: str = "hash",
                      out: str = "split", stratify: tuple[str, ...] = ()) -> DataFrame:
-    """The first ``int(train_fraction * N)`` positions are ``train``, the rest ``test``.
+    """The first ``int(train_fraction * N)`` positions are ``train``, the rest ``test``
+    (of every stratum by itself, if ``stratify`` names columns).
 
-    The cut is the same IEEE double product as Python's ``int(fraction * N)``
-    (so e.g. ``int(0.29 * 100) == 28`` here too); for 0.95 it equals the exact
-    ``N * 19 div 20`` for every N below two million.
+    The cut is Python's ``int(fraction * N)``, the product of two doubles (so
+    e.g. ``int(0.29 * 100) == 28`` here too).
     """
-    def seg(p: Column, n: Column) -> Column:
-        cut = F.floor(n.cast("double") * F.lit(float(train_fraction))).cast("long")
-        return F.when(p < cut, F.lit("train")).otherwise(F.lit("test"))
-
-    return assign_by_position(df, key, seg, out, order, seed, tuple(stratify))
-
-
-def _idiv(x: Column, y: Column) -> Column:
-    """Exact integer division of non-negative longs."""
-    return ((x - F.pmod(x, y)) / y).cast("long")
+    if stratify:
+        return _split_strata(df, key, train_fraction, seed, order, out, tuple(stratify))
+    sides = assign_by_cuts(df, key, lambda n: [int(train_fraction * n)], "__side", order, seed)
+    return sides.withColumn(out, F.when(F.col("__side") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("__side")
+
+
+def _split_strata(df: DataFrame, key: str, fraction: float, seed: int, order: str, out: str, by: tuple[str, ...]) -> DataFrame:
+    """The cut of every stratum is the row at its position, found over the strata and order columns alone."""
+    d, columns = _order(df, key, order, seed)
+    placed = _positions(d.select(*dict.fromkeys([*by, *columns])), by, columns, _POS)
+    cut = F.floor(F.count(F.lit(1)).cast("double") * F.lit(float(fraction))).cast("long").alias("__cut")
+    totals = placed.groupBy(*by).agg(cut).select(*(F.col(c).alias(f"__t_{c}") for c in by), "__cut")
+    at = [placed[_POS] == totals["__cut"], *(placed[c].eqNullSafe(totals[f"__t_{c}"]) for c in by)]
+    cuts = stored(placed.join(totals, at).select(*(F.col(c).alias(f"__s_{c}") for c in by),
+                                                 *(F.col(c).alias(f"__c_{c}") for c in columns)), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= NEAR_ROWS else cuts
+    first, last = columns[0], columns[-1]
+    reached = F.coalesce(F.col(last) >= F.col(f"__c_{last}"), F.col(f"__c_{last}").isNull())
+    if len(columns) > 1:
+        reached = (F.col(first) > F.col(f"__c_{first}")) | ((F.col(first) == F.col(f"__c_{first}")) & reached)
+    met = d.join(cuts.withColumn("__hit", F.lit(True)), [d[c].eqNullSafe(F.col(f"__s_{c}")) for c in by], "left")
+    # a stratum whose cut lies past its last row is train as a whole
+    return met.withColumn(out, F.when(F.col("__hit") & reached, F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, out)
 
 
 # ----------------------------------------------------------------------- R5
 
-def _shard_segment(k: int) -> Callable[[Column, Column], Column]:
-    """Contiguous shards: sizes ``N div k``, one more for the first ``N mod k``."""
-    def seg(p: Column, n: Column) -> Column:
-        q = _idiv(n, F.lit(k))
-        r = F.pmod(n, F.lit(k))
-        big = r * (q + 1)
-        return F.when(p < big, _idiv(p, q + 1)).otherwise(r + _idiv(p - big, F.greatest(q, F.lit(1))))
-    return seg
-
-
 def shard_index(df: DataFrame, key: str, num_shards: int, order: str = "key",
                 seed: int = DEFAULT_SEED, out: str = "shard") -> DataFrame:
-    """Contiguous shard number of every row (``Dataset.shard(contiguous=True)``)."""
-    return assign_by_position(df, key, _shard_segment(num_shards), out, order, seed)
+    """Contiguous shard number of every row (``Dataset.shard(contiguous=True)``):
+    sizes ``N div k``, one more for the first ``N mod k``."""
+    def cuts(n: int) -> list[int]:
+        size, more = divmod(n, num_shards)
+        return [i * size + min(i, more) for i in range(1, num_shards)]
+    return assign_by_cuts(df, key, cuts, "__shard", order, seed).withColumn(out, F.col("__shard").cast("long")).drop("__shard")
 
 
 def shard(df: DataFrame, key: str, num_shards: int, index: int, order: str = "key",

@@ -212,7 +212,7 @@ def split_95() -> str:
     return f"""WITH p AS (SELECT o_orderkey,
     row_number() OVER (ORDER BY {md5_order('o_orderkey')}, o_orderkey) - 1 AS pos,
     count(*) OVER () AS n FROM orders)
-SELECT o_orderkey, CASE WHEN pos < (n * 19) // 20 THEN 'train' ELSE 'test' END AS split FROM p"""
+SELECT o_orderkey, CASE WHEN pos < CAST(floor(CAST(n AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p"""
 
 
 def shard_contiguous() -> str:
@@ -223,6 +223,18 @@ SELECT o_orderkey, CASE WHEN pos < r * (q + 1) THEN pos // (q + 1)
                         ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END AS shard FROM s"""
 
 
+def shard_exclude() -> str:
+    return f"""SELECT o.o_orderkey, o_custkey, o_totalprice FROM orders o JOIN ({shard_contiguous()}) s ON o.o_orderkey = s.o_orderkey
+WHERE shard <> 0"""
+
+
+def split_stratified() -> str:
+    return f"""WITH p AS (SELECT o_orderkey, o_custkey,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY {md5_order('o_orderkey')}, o_orderkey) - 1 AS pos,
+    count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_orderkey, o_custkey, CASE WHEN pos < CAST(floor(CAST(n AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p"""
+
+
 # --------------------------------------------------------------- formatting
 
 EOS = "<|endoftext|>"
@@ -475,7 +487,7 @@ def write_read_roundtrip() -> str:
 p AS (SELECT *, row_number() OVER (ORDER BY {md5_order('row_id')}, row_id) - 1 AS pos,
              count(*) OVER () AS n FROM u)
 SELECT row_id, question, reasoning, answer, source,
-       CASE WHEN pos < (n * 19) // 20 THEN 'train' ELSE 'test' END AS split FROM p"""
+       CASE WHEN pos < CAST(floor(CAST(n AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM p"""
 
 
 def source_counts() -> str:

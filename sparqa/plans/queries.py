@@ -83,6 +83,17 @@ def shard_contiguous(spark: SparkSession, root: str) -> DataFrame:
                                 NUM_SHARDS, order="key")
 
 
+def shard_exclude(spark: SparkSession, root: str) -> DataFrame:
+    """Every row outside the first of ten contiguous shards."""
+    return sampling.shard(_orders(spark, root), "o_orderkey", NUM_SHARDS, 0, exclude=True)
+
+
+def split_stratified(spark: SparkSession, root: str) -> DataFrame:
+    """R4 within every customer: strata by the thousand, most of a few rows."""
+    return sampling.split_train_test(_orders(spark, root).select("o_orderkey", "o_custkey"), "o_orderkey",
+                                     curation.TRAIN_FRACTION, seed=curation.SEED, stratify=("o_custkey",))
+
+
 # ------------------------------------------------------- formatting
 
 def format_answer_only(spark: SparkSession, root: str) -> DataFrame:
@@ -241,6 +252,8 @@ QUERIES: dict[str, Query] = {
     "shuffle_rank": shuffle_rank,
     "split_95": split_95,
     "shard_contiguous": shard_contiguous,
+    "shard_exclude": shard_exclude,
+    "split_stratified": split_stratified,
     "format_answer_only": format_answer_only,
     "parse_choices": parse_choices,
     "format_rationale": format_rationale,
