@@ -14,19 +14,19 @@ Only lengths and numbers are moved; texts are tokenised where they are read.
 from __future__ import annotations
 
 import math
-import threading
-import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparqa.session import ship_package
 
-from .common import arrow_map, saved
+from .common import saved, text_slices
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 4096
@@ -36,9 +36,9 @@ PARTITION_PIECES = 50_000
 FAN = 8
 CARRY = 4096
 SLACK = 32
-#: Distinct words whose ids a task keeps, and seconds without use after which a worker gives them up.
-WORDS_KEPT = 700_000
-IDLE_S = 5.0
+#: Distinct words whose ids a task keeps, and words encoded in one call.
+WORDS_KEPT = 400_000
+WORDS_A_CALL = 2000
 #: A special token of the vocabulary; put between words that are encoded in one call.
 DIVIDER = "<|startoftext|>"
 
@@ -48,79 +48,90 @@ class WordIds:
 
     Its normaliser and its split see one word at a time (white space is dropped
     before the merges), so the ids of a text are those of its words in order.
-    Words that are new are encoded in one call, divided by a special token.
+    Arrow cuts texts into words and numbers the distinct ones; only these are
+    looked up in a table of places in one flat array of ids. Words that are new
+    are encoded in one call, divided by a special token.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
+        self.coder = _coder(path)
         self.divider = self.coder.token_to_id(DIVIDER)
-        self.known: dict[bytes, bytes] = {}
-        self.used = time.monotonic()
-        threading.Thread(target=self._release, daemon=True).start()
-
-    def _release(self) -> None:
-        """Give the words up while the worker waits for another stage; a call under way keeps its own hold of them."""
-        while True:
-            time.sleep(IDLE_S / 2)
-            if self.known and time.monotonic() - self.used > IDLE_S:
-                self.known = {}
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if DIVIDER.encode() not in w]
-        out = {w: self._ids(w) for w in words if DIVIDER.encode() in w}
-        ids = np.array(self.coder.encode(DIVIDER.join(w.decode() for w in plain), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.divider)
-        starts = np.concatenate([[0], cuts + 1]).tolist()
-        ends = [*cuts.tolist(), len(ids)]
-        raw = ids.tobytes()
-        out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(plain, starts, ends))
-        return out
-
-    def _ids(self, word: bytes) -> bytes:
-        return np.array(self.coder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        split = [(t or b"").split() for t in texts]
-        known, self.used = self.known, time.monotonic()
-        new = list(set().union(*split).difference(known))
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 2000):
-            fresh.update(self._encode(new[at:at + 2000]))
-        if len(known) + len(new) <= WORDS_KEPT:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        look = known.get
-        return [b"".join([look(w) or fresh.get(w, b"") for w in words]) for words in split]
-
-
-_CODERS: dict[str, WordIds] = {}
-
-
-def _coder(path: str) -> WordIds:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # of slot k: ids[start[k]:start[k + 1]]
+
+    def _learn(self, words: list[str]) -> None:
+        parts, sizes = [self.ids], []
+        for at in range(0, len(words), WORDS_A_CALL):
+            part = words[at:at + WORDS_A_CALL]
+            if any(DIVIDER in w for w in part):
+                lists = [np.array(self.coder.encode(w, add_special_tokens=False).ids, "<u4") for w in part]
+                parts += lists
+                sizes += map(len, lists)
+                continue
+            ids = np.array(self.coder.encode(DIVIDER.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.divider)
+            sizes += (np.diff([-1, *cuts, len(ids)]) - 1).tolist()
+            parts.append(ids[ids != self.divider])
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+        self.ids = np.concatenate(parts)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The little-endian unsigned 32-bit ids of all texts, and where those of each begin and end; null counts as empty."""
+        if len(self.slot) > WORDS_KEPT:
+            self._clear()
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self._learn([w for w in distinct if w not in self.slot])
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        n = self.start[slots + 1] - self.start[slots]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(self.start[slots] - ends[:-1], n) + np.arange(int(ends[-1]))
+        offsets = lists.offsets.to_numpy()
+        return self.ids[places], ends[offsets - offsets[0]]
+
+
+_CODERS: dict[str, object] = {}
+
+
+def _coder(path: str):
+    """The tokenizer of a file; of fixed size, so a worker keeps it."""
     if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
+        from tokenizers import Tokenizer
+
+        _CODERS[path] = Tokenizer.from_file(path)
     return _CODERS[path]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's token pieces."""
+    ship_package(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
+    held: list[WordIds] = []  # filled in the task, so its words end with it
 
-    def kernel(ids: list, texts: list) -> dict:
-        out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for i, raw in zip(ids, _coder(vocabulary).encode(texts)):
-            raw += end
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        flat, ends = held[0].encode(part.column(1))
+        rows: list[tuple] = []
+        for i, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+            raw = flat[a:b].tobytes() + end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at:at + 4 * capacity]
-                for name, x in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                    out[name].append(x)
-        return out
-
-    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return arrow_map(body, kernel, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", ["doc_id", "text"])
+                piece = raw[at:at + 4 * capacity]
+                rows.append((i, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.append(WordIds(vocabulary))
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                yield cut(part)
+
+    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return body.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
