@@ -39,10 +39,34 @@ SLACK = 32
 #: Distinct words whose ids a task keeps, and words encoded in one call.
 WORDS_KEPT = 400_000
 WORDS_A_CALL = 2000
+#: Signs at the end of words that are encoded apart; none is a letter, a digit or an apostrophe.
+SIGNS = ".,;:!?%&#*$|"
 #: A special token of the vocabulary; put between words that are encoded in one call.
 DIVIDER = "<|startoftext|>"
 
 
+class _Table:
+    """Ids of strings: a place for each, and at place k ``ids[start[k]:start[k + 1]]``."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(strings, range(len(self.place), len(self.place) + len(strings))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at ``places`` one after the other, and where each begins and the last ends."""
+        n = self.start[places + 1] - self.start[places]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(self.start[places] - ends[:-1], n) + np.arange(int(ends[-1]))], ends
+
+
 class WordIds:
     """Token ids of texts by a word-level vocabulary file.
 
@@ -59,40 +83,51 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # of slot k: ids[start[k]:start[k + 1]]
+        self.words, self.halves = _Table(), _Table()
 
     def _learn(self, words: list[str]) -> None:
-        parts, sizes = [self.ids], []
-        for at in range(0, len(words), WORDS_A_CALL):
-            part = words[at:at + WORDS_A_CALL]
+        """Add words that are new: encode their new halves and put the ids of both together."""
+        pairs = [half for w in words for half in _halves(w)]
+        new = list(set(pairs).difference(self.halves.place))
+        found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(new), WORDS_A_CALL):
+            part = new[at:at + WORDS_A_CALL]
             if any(DIVIDER in w for w in part):
-                lists = [np.array(self.coder.encode(w, add_special_tokens=False).ids, "<u4") for w in part]
-                parts += lists
-                sizes += map(len, lists)
+                lists = [np.array(e.ids, "<u4") for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
+                found += lists
+                sizes.append(np.array([*map(len, lists)], np.int64))
                 continue
-            ids = np.array(self.coder.encode(DIVIDER.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.coder.encode_batch_fast([DIVIDER.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.divider)
-            sizes += (np.diff([-1, *cuts, len(ids)]) - 1).tolist()
-            parts.append(ids[ids != self.divider])
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
-        self.ids = np.concatenate(parts)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))])
+            found.append(ids[ids != self.divider])
+            sizes.append(np.diff([-1, *cuts, len(ids)]) - 1)
+        self.halves.add(new, np.concatenate(found), np.concatenate(sizes))
+        ids, ends = self.halves.gather(self.halves.places(pairs))
+        self.words.add(words, ids, np.diff(ends[::2]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The little-endian unsigned 32-bit ids of all texts, and where those of each begin and end; null counts as empty."""
-        if len(self.slot) > WORDS_KEPT:
+        if len(self.words.place) > WORDS_KEPT:
             self._clear()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.slot])
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        n = self.start[slots + 1] - self.start[slots]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        places = np.repeat(self.start[slots] - ends[:-1], n) + np.arange(int(ends[-1]))
+        self._learn([w for w in distinct if w not in self.words.place])
+        ids, ends = self.words.gather(self.words.places(distinct)[words.indices.to_numpy()])
         offsets = lists.offsets.to_numpy()
-        return self.ids[places], ends[offsets - offsets[0]]
+        return ids, ends[offsets - offsets[0]]
+
+
+def _halves(word: str) -> tuple[str, str]:
+    """A word up to its last letter, and the signs behind it, which are split from a letter and so merged by themselves.
+
+    Only an ASCII letter is sure to stay one when the vocabulary composes and
+    drops case; so case is dropped here where all is ASCII, too.
+    """
+    core = word.rstrip(SIGNS)
+    if not (core[-1:].isalpha() and core[-1:].isascii()):
+        core = word
+    return (core.lower() if core.isascii() else core), word[len(core):]
 
 
 _CODERS: dict[str, object] = {}

@@ -224,8 +224,16 @@ def test_word_ids_of_odd_words():
 
     path = vocabulary("word_bpe_49k.json")
     coder, own = Tokenizer.from_file(path), best_fit_packing.WordIds(path)
-    for t in ["a<|startoftext|>b c", "x <|endoftext|> y", "É́ ΑΣ ﬁ", "a b c", "", "d'll 12 +-"]:
-        assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids
+    texts = ["a<|startoftext|>b c", "x <|endoftext|> y", "E\u0301 \u0391\u03a3 \ufb01", "a b c", "", None, "d'll 12 +-", " \t\x0b\x0c\r\n ", "a\u3000b\x1cc\x85d a\x00b", "new " * 9,
+             "It's. IT'S! it'. ''s, 12.5% a). (b).* H\u0331. A\u030a; \u0130. \u1e9e! e\u0301?? ?e \u00e9.\u0301 \u00b2. \u4e00, #$% |<|endoftext|>|"]
+    rng = np.random.default_rng(3)
+    signs = list("aBs'.,;:!?%&#*$| 7(\u00e9\u0301\u4e00-")
+    texts += ["".join(rng.choice(signs, 30)) for _ in range(300)]
+    for step in (1, 50, len(texts)):  # words are learnt at once or bit by bit, and from a slice of a longer array
+        for at in range(0, len(texts), step):
+            ids, ends = own.encode(pa.array(texts).slice(at, step))
+            for k, t in enumerate(texts[at:at + step]):
+                assert ids[ends[k]:ends[k + 1]].tolist() == (coder.encode(t, add_special_tokens=False).ids if t else [])
 
 
 def test_dual_tree(spark):
