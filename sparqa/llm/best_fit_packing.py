@@ -164,6 +164,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             for part in text_slices(batch, "text"):
                 yield cut(part)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker may go on to a stage that needs none of it
 
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return body.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
