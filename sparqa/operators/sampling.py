@@ -30,7 +30,7 @@ FEW_ROWS = 4096            # rows around a cut that are looked at one by one
 NEAR_ROWS = 1 << 17        # strata whose cuts go to all tasks; more are shuffled
 PARTITION_BITS = 33        # ``monotonically_increasing_id``: partition above, row number below
 
-_H, _M, _POS = "__h", "__m", "__pos"
+_H, ROW, _POS = "__h", "__m", "__pos"
 
 
 # ---------------------------------------------------------------- order keys
@@ -66,12 +66,22 @@ def with_position(df: DataFrame, key: str, out: str = "pos", order: str = "hash"
     return _positions(d, tuple(by), columns, out).drop(_H)
 
 
+def in_order(d: DataFrame, by: tuple[str, ...], columns: list[str], name: str) -> DataFrame:
+    """``d`` range-partitioned and sorted by (by, columns), stored with ``ROW``: range partition and number inside it."""
+    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(d.count() / BUCKET_ROWS))
+    return stored(d.repartitionByRange(parts, *by, *columns).sortWithinPartitions(*by, *columns)
+                  .withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def partition_of() -> Column:
+    """The range partition of a row of ``in_order``."""
+    return F.shiftright(ROW, PARTITION_BITS)
+
+
 def _positions(d: DataFrame, by: tuple[str, ...], columns: list[str], out: str) -> DataFrame:
     spark = d.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(d.count() / BUCKET_ROWS))
-    placed = stored(d.repartitionByRange(parts, *by, *columns).sortWithinPartitions(*by, *columns)
-                    .withColumn(_M, F.monotonically_increasing_id()), "positions")
-    part, number = F.shiftright(_M, PARTITION_BITS), F.col(_M).bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
+    placed = in_order(d, by, columns, "positions")
+    part, number = partition_of(), F.col(ROW).bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
     runs = placed.groupBy(part.alias("__part"), *by).agg(F.count(F.lit(1)).alias("__cnt"), F.min(number).alias("__first"))
     before = F.coalesce(F.sum("__cnt").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if by:

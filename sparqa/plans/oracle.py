@@ -325,6 +325,19 @@ def chat_render() -> str:
 FROM ({FX_SFT})"""
 
 
+def chat_conversations() -> str:
+    """Turns of one role after another are one message, joined by an empty line."""
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS f FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)),
+b AS (SELECT *, p IS NULL OR p <> role AS opens, f IS NULL OR f <> role AS closes FROM n),
+r AS (SELECT *, CASE WHEN opens THEN '<|im_start|>' || role || {NL} ELSE {NL} || {NL} END || text
+               || CASE WHEN closes THEN '<|im_end|>' || {NL} ELSE '' END AS fragment FROM b)
+SELECT conv_id, turn, role, CAST(sum(CAST(opens AS INT)) OVER w - 1 AS BIGINT) AS message,
+       CAST(sum(length(fragment)) OVER w - length(fragment) AS BIGINT) AS char_start,
+       CAST(length(fragment) AS BIGINT) AS n_chars, fragment
+FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)"""
+
+
 # --------------------------------------------------------------- evaluation
 
 EVAL_TOPIC = "knowledge and skills in advanced master-level STEM courses"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..functions.text import bind_column, strip
-from ..operators import curate, evaluation, profile, retrieval, sampling, tokenise
+from ..operators import chat, curate, evaluation, profile, retrieval, sampling, tokenise
 from ..sources import fixtures
 from ..sources.sinks import stored
 from ..sources.tables import spread, table
@@ -141,6 +141,11 @@ def chat_render(spark: SparkSession, root: str) -> DataFrame:
     return sft.select("conv_id", "turn", text.alias("text"))
 
 
+def chat_conversations(spark: SparkSession, root: str) -> DataFrame:
+    """G8 over whole conversations: every turn of every role as a fragment of the rendered text."""
+    return chat.conversation_fragments(spread(table(spark, root, "conversations")))
+
+
 # ------------------------------------------------- evaluation
 
 def eval_prompt(spark: SparkSession, root: str) -> DataFrame:
@@ -262,6 +267,7 @@ QUERIES: dict[str, Query] = {
     "mask_labels": mask_labels,
     "label_filter": label_filter,
     "chat_render": chat_render,
+    "chat_conversations": chat_conversations,
     "eval_prompt": eval_prompt,
     "choice_scores": choice_scores,
     "mcq_predict": mcq_predict,
