@@ -44,6 +44,44 @@ def _canonical(question: Column, reasoning: Column, answer: Column, source: Colu
             answer.alias("answer"), source.alias("source")]
 
 
+# ---------------------------------------------- why a row is left out (null: it is kept)
+
+def boxed_fault(answer: Column, problem: str = "problem", solution: str = "solution") -> Column:
+    return (F.when(F.col(problem).isNull() | F.col(solution).isNull(), "null_input")
+             .when(answer.isNull(), "no_answer"))
+
+
+def distractor_fault(question: str = "question", correct: str = "correct_answer") -> Column:
+    return F.when(F.col(question).isNull() | F.col(correct).isNull(), "null_input")
+
+
+def optlist_fault(question: str = "question", options: str = "options", correct: str = "correct") -> Column:
+    return (F.when(F.col(question).isNull() | F.col(options).isNull() | F.col(correct).isNull(), "null_input")
+             .when(~F.coalesce(opt.options_well_formed(options), F.lit(False)), "malformed_options"))
+
+
+def fourcol_fault(question: str = "question", cols: tuple[str, str, str, str] = ("opa", "opb", "opc", "opd"),
+                  answer_index: str = "cop", explanation: str = "exp", choice_type: str = "choice_type") -> Column:
+    answer = opt.answer_by_index(F.col(answer_index), *(F.col(c) for c in cols))
+    return (F.when(F.col(explanation).isNull(), "no_explanation")
+             .when(~F.col(choice_type).eqNullSafe("single"), "not_single")
+             .when(F.col(question).isNull(), "null_input")
+             .when(answer.isNull(), "no_answer"))
+
+
+def outcome(df: DataFrame, kind: str) -> DataFrame:
+    """``(source, outcome)`` of every row of a question source; the outcome is ``kept`` or why it is left out."""
+    if kind == "boxed":
+        d = bind_column(df, extract_answer("solution", "problem"), "__ans")
+        fault, source = boxed_fault(F.col("__ans")), F.col("source")
+    else:
+        d = df
+        fault, tag = {"distractor": (distractor_fault, TAG_DISTRACTOR), "optlist": (optlist_fault, TAG_OPTLIST),
+                      "fourcol": (fourcol_fault, TAG_FOURCOL)}[kind]
+        fault, source = fault(), F.lit(tag)
+    return d.select(source.alias("source"), F.coalesce(fault, F.lit("kept")).alias("outcome"))
+
+
 def curate_boxed(df: DataFrame, key: str = "doc_id", problem: str = "problem",
                  solution: str = "solution", source: str = "source",
                  observation: Observation | None = None, strict_letter: bool = False) -> DataFrame:
@@ -60,7 +98,7 @@ def curate_distractor(df: DataFrame, key: str = "p_partkey", question: str = "qu
                       correct: str = "correct_answer", support: str = "support",
                       seed: int = 42, observation: Observation | None = None) -> DataFrame:
     """Answer + three distractors: seeded shuffle, lettered options."""
-    bad = F.col(question).isNull() | F.col(correct).isNull()
+    bad = distractor_fault(question, correct).isNotNull()
     d = _observe(df, observation, bad).where(~bad)
     text, answer = opt.shuffle_options([F.col(c) for c in distractors] + [F.col(correct)],
                                        F.col(correct), seed, F.col(key))
@@ -72,8 +110,7 @@ def curate_optlist(df: DataFrame, key: str = "o_orderkey", question: str = "ques
                    options: str = "options", rationale: str = "rationale", correct: str = "correct",
                    observation: Observation | None = None) -> DataFrame:
     """``"A)21"`` option lists reformatted to ``"A: 21"`` lines."""
-    bad = (F.col(question).isNull() | F.col(options).isNull() | F.col(correct).isNull()
-           | ~F.coalesce(opt.options_well_formed(options), F.lit(False)))
+    bad = optlist_fault(question, options, correct).isNotNull()
     d = _observe(df, observation, bad).where(~bad)
     text, answer = opt.format_option_list(options, correct)
     return d.select(*_canonical(opt.with_options(question, text), F.col(rationale), answer,

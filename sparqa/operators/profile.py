@@ -32,6 +32,28 @@ def length_profile(df: DataFrame, text: str = "text", by: str | None = "source",
     return df.rollup(by).agg(*aggs)
 
 
+# Levels of ``stage_counts``, coarse to fine.
+STAGE_LEVELS = (("stage",), ("stage", "split"), ("stage", "split", "source"), ("stage", "split", "source", "outcome"))
+
+
+def stage_counts(tagged: DataFrame) -> DataFrame:
+    """Rows in, kept and removed by stage, split, source and outcome, in one pass.
+
+    ``tagged`` has ``(stage, split, source, outcome)`` for every row that enters a
+    stage, the outcome being ``kept`` or why it was removed. ``level`` names the
+    columns a row counts by (1: stage, ... 4: all); columns beyond it are null.
+    One aggregate with grouping sets: counts are made before the shuffle, so a
+    source with a third of all rows is no hot key.
+    """
+    columns = ("stage", "split", "source", "outcome")
+    kept = F.sum((F.col("__kept")).cast("bigint"))
+    level = F.lit(4) - F.grouping("split") - F.grouping("source") - F.grouping("outcome")
+    return tagged.select(*columns, F.col("outcome").eqNullSafe("kept").alias("__kept")) \
+        .groupingSets([[F.col(c) for c in s] for s in STAGE_LEVELS], *columns) \
+        .agg(level.cast("int").alias("level"), F.count(F.lit(1)).alias("rows_in"),
+             kept.alias("rows_kept"), (F.count(F.lit(1)) - kept).alias("rows_removed"))
+
+
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
     """Row counts per group."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))

@@ -507,7 +507,51 @@ def source_counts() -> str:
     return f"SELECT source, count(*) AS rows FROM ({curate_union()}) GROUP BY source"
 
 
-def training_rows() -> str:
-    train = f"SELECT row_id, question, reasoning, answer, source FROM ({write_read_roundtrip()}) WHERE split = 'train'"
-    return (f"WITH {_tokenised_ctes(train)}\nSELECT row_id, input_ids, labels, n_tokens FROM tk "
+def _training_rows(split: str) -> str:
+    rows = f"SELECT row_id, question, reasoning, answer, source FROM ({write_read_roundtrip()}) WHERE split = '{split}'"
+    return (f"WITH {_tokenised_ctes(rows)}\nSELECT row_id, input_ids, labels, n_tokens FROM tk "
             "WHERE len(list_filter(labels, lambda x: x <> -100)) > 0")
+
+
+def training_rows() -> str:
+    return _training_rows("train")
+
+
+def training_rows_test() -> str:
+    return _training_rows("test")
+
+
+def tokenise_padded(n: int = 1024) -> str:
+    """Ids and labels of texts cut to n tokens and padded: 1 is the padding id, -100 its label."""
+    return f"""WITH {_tokenised_ctes()},
+cut AS (SELECT row_id, input_ids[1:{n}] AS ids, n_prompt FROM tk2),
+lab AS (SELECT row_id, ids, CAST(len(ids) AS INT) AS n, CASE WHEN n_prompt < len(ids) THEN n_prompt ELSE 0 END AS rs FROM cut),
+pad AS (SELECT row_id, n, list_concat(ids, list_transform(range({n} - n), lambda i: 1)) AS input_ids,
+               list_concat(list_transform(range(n), lambda i: 1), list_transform(range({n} - n), lambda i: 0)) AS mask,
+               list_concat(list_transform(ids, lambda x, i: CASE WHEN i - 1 < rs OR x = 1 THEN -100 ELSE x END),
+                           list_transform(range({n} - n), lambda i: -100)) AS labels FROM lab)
+SELECT row_id, n AS n_tokens, CAST(len(input_ids) AS INT) AS width, md5(array_to_string(input_ids, ',')) AS input_ids,
+       md5(array_to_string(mask, ',')) AS attention_mask, md5(array_to_string(labels, ',')) AS labels FROM pad"""
+
+
+def stage_counts() -> str:
+    answer = ("CASE cop WHEN 0 THEN opa WHEN 1 THEN opb WHEN 2 THEN opc WHEN 3 THEN opd END")
+    return f"""WITH {_boxed_pipeline(FX_BOXED)},
+data AS (SELECT * FROM ({write_read_roundtrip()})),
+kept_rows AS (SELECT row_id FROM ({label_filter()})),
+tagged AS (
+  SELECT 'curate' AS stage, '' AS split, source, CASE WHEN problem IS NULL OR solution IS NULL THEN 'null_input'
+    WHEN answer IS NULL THEN 'no_answer' ELSE 'kept' END AS outcome FROM bx6
+  UNION ALL SELECT 'curate', '', '{TAG_DISTRACTOR}', CASE WHEN question IS NULL OR correct_answer IS NULL THEN 'null_input'
+    ELSE 'kept' END FROM ({FX_DISTRACTOR})
+  UNION ALL SELECT 'curate', '', '{TAG_OPTLIST}', CASE WHEN question IS NULL OR options IS NULL OR correct IS NULL THEN 'null_input'
+    WHEN NOT list_bool_and(list_transform(options, lambda o: coalesce(instr(o, ')'), 0) > 0)) THEN 'malformed_options'
+    ELSE 'kept' END FROM ({FX_OPTLIST})
+  UNION ALL SELECT 'curate', '', '{TAG_FOURCOL}', CASE WHEN exp IS NULL THEN 'no_explanation'
+    WHEN choice_type IS DISTINCT FROM 'single' THEN 'not_single' WHEN question IS NULL THEN 'null_input'
+    WHEN {answer} IS NULL THEN 'no_answer' ELSE 'kept' END FROM ({FX_FOURCOL})
+  UNION ALL SELECT 'split', split, source, 'kept' FROM data
+  UNION ALL SELECT 'label', split, source, CASE WHEN row_id IN (SELECT row_id FROM kept_rows) THEN 'kept' ELSE 'no_target' END FROM data)
+SELECT stage, split, source, outcome, CAST(4 - grouping(split) - grouping(source) - grouping(outcome) AS INT) AS level,
+       count(*) AS rows_in, count(*) FILTER (outcome = 'kept') AS rows_kept, count(*) FILTER (outcome <> 'kept') AS rows_removed
+FROM tagged GROUP BY GROUPING SETS ((stage), (stage, split), (stage, split, source), (stage, split, source, outcome))"""

@@ -125,6 +125,14 @@ def tokenise_default(spark: SparkSession, root: str) -> DataFrame:
     return _tokenised(spark, root).select("row_id", "input_ids", "n_tokens")
 
 
+def tokenise_padded(spark: SparkSession, root: str) -> DataFrame:
+    """K1 at the training length: ids, attention mask and labels cut or padded to 1024, as checksums of their lists."""
+    t = tokenise.tokenise(format_rationale(spark, root), tokenise.MAX_LEN_RATIONALE, pad=True)
+    check = lambda c: F.md5(F.array_join(c, ","))
+    return t.select("row_id", "n_tokens", F.size("input_ids").alias("width"), check("input_ids").alias("input_ids"),
+                    check("attention_mask").alias("attention_mask"), check("labels").alias("labels"))
+
+
 def mask_labels(spark: SparkSession, root: str) -> DataFrame:
     return _tokenised(spark, root).select("row_id", "response_start", "labels", "boundary_lost")
 
@@ -246,6 +254,17 @@ def training_rows(spark: SparkSession, root: str) -> DataFrame:
         "row_id", "input_ids", "labels", "n_tokens")
 
 
+def training_rows_test(spark: SparkSession, root: str) -> DataFrame:
+    """Entry point B for the test split."""
+    return training.training_rows(spark, root, "test", "rationale").select(
+        "row_id", "input_ids", "labels", "n_tokens")
+
+
+def stage_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows in, kept and removed by stage, split, source and reason."""
+    return profile.stage_counts(training.stage_rows(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "curate_boxed": curate_boxed,
     "curate_distractor": curate_distractor,
@@ -264,6 +283,7 @@ QUERIES: dict[str, Query] = {
     "format_rationale": format_rationale,
     "length_profile": length_profile,
     "tokenise_default": tokenise_default,
+    "tokenise_padded": tokenise_padded,
     "mask_labels": mask_labels,
     "label_filter": label_filter,
     "chat_render": chat_render,
@@ -282,6 +302,8 @@ QUERIES: dict[str, Query] = {
     "retrieve_jaccard": retrieve_jaccard,
     "write_read_roundtrip": write_read_roundtrip,
     "training_rows": training_rows,
+    "training_rows_test": training_rows_test,
+    "stage_counts": stage_counts,
 }
 
 
