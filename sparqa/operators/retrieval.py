@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_J, bind_column, col, let, strip
+from .sampling import ROW, head, in_order, partition_of
 from .set_search import top_k_sets
 from .vector_search import top_k_vectors
 
@@ -34,39 +35,24 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     chunk_tokens: int = CHUNK_TOKENS, max_chunks: int | None = None) -> DataFrame:
     """J5 + J6: consecutive chunks of ``chunk_tokens`` words per document,
     ``(doc_id, chunk_idx, n_words, text)``. All chunks by default (a pure map);
-    with ``max_chunks`` only the first ones in (doc_id, chunk_idx) order.
-
-    Every non-empty document yields at least one chunk, so only the first
-    ``max_chunks`` non-empty doc ids can contribute. Those ids (a top-n of at
-    most ``max_chunks`` longs, found with a cheap emptiness test) are the only
-    documents whose words are counted; the resulting allow-list is a
-    size-bounded broadcast, and its largest id becomes a ``doc_id <= bound``
-    filter that Parquet can apply with row-group statistics.
+    with ``max_chunks`` only the first ones in (doc_id, chunk_idx) order (see
+    ``_first_chunks``; ids must then be unique, a null id comes first).
     """
     docs = docs.select(doc_id, text)
-    if max_chunks is not None:
-        first_ids = (docs.where(strip(text) != "").select(doc_id)
-                         .orderBy(doc_id).limit(max_chunks))
-        counts = (docs.join(F.broadcast(first_ids), doc_id)
-                      .select(doc_id, F.ceil(F.size(words(text)) / F.lit(chunk_tokens)).alias("__n")))
-        before = F.coalesce(F.sum("__n").over(
-            Window.orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        allow = (counts.select(doc_id, F.least(F.col("__n"), F.lit(max_chunks) - before).alias("__keep"))
-                       .where(F.col("__keep") > 0))
-        # at most max_chunks (id, count) pairs: fetched once, reused as a local relation
-        spark = docs.sparkSession
-        allow_pdf = allow.toPandas()
-        allow = spark.createDataFrame(allow_pdf, allow.schema)
-        bound = None if allow_pdf.empty else allow_pdf[doc_id].max().item()
-        if bound is None:
-            docs = docs.where(F.lit(False))
-        else:
-            docs = docs.where(F.col(doc_id) <= F.lit(bound))
-        docs = docs.join(F.broadcast(allow), doc_id)
+    if max_chunks is None:
+        return _chunks(docs, doc_id, text, chunk_tokens)
+    return _first_chunks(docs, doc_id, text, chunk_tokens, max_chunks)
+
+
+def _n_chunks(text: Column | str, chunk_tokens: int) -> Column:
+    return F.ceil(F.size(words(text)) / F.lit(chunk_tokens)).cast("int")
+
+
+def _chunks(docs: DataFrame, doc_id: str, text: str, chunk_tokens: int, keep: Column | None = None) -> DataFrame:
+    """Chunks of every document, of each only the first ``keep`` if given."""
     d = bind_column(docs, words(text), "__w")
     n = F.ceil(F.size("__w") / F.lit(chunk_tokens)).cast("int")
-    if max_chunks is not None:
-        n = F.least(n, F.col("__keep").cast("int"))
+    n = n if keep is None else F.least(n, keep)
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     chunks = F.transform(idx, lambda i: F.struct(
         i.alias("chunk_idx"),
@@ -76,6 +62,42 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       F.array_join("__cw", " ").alias("text"))
 
 
+def _first_chunks(docs: DataFrame, doc_id: str, text: str, chunk_tokens: int, max_chunks: int) -> DataFrame:
+    """The chunks before the cut, which is one (document, chunk) pair.
+
+    Only documents up to some id can hold the first ``max_chunks`` chunks. That
+    id is found on the id column alone; beginning with as many ids as chunks
+    are wanted and widened while empty texts leave too few. Chunk counts of
+    these documents are range-partitioned by id, and a two-level prefix sum
+    (over partitions, then inside the one that holds the cut) finds the cut.
+    To the driver come a count per partition and the row at the cut; the
+    chunks are then made in one map behind a filter on the id that Parquet sees.
+    """
+    ahead, part = max_chunks, partition_of()
+    while True:
+        near = head(docs, doc_id, ahead)
+        counts = in_order(near.select(doc_id, _n_chunks(text, chunk_tokens).cast("bigint").alias("__n")).where("__n > 0"),
+                          (), [doc_id], "chunk_counts")
+        totals = sorted(map(tuple, counts.groupBy(part.alias("p")).agg(F.sum("__n")).collect()))
+        if near is docs or sum(n for _, n in totals) >= max_chunks:
+            break
+        ahead *= 4
+    left = max_chunks
+    for p, n in totals:
+        if n > left:
+            break
+        left -= n
+    else:  # all chunks of these documents are among the first
+        return _chunks(near, doc_id, text, chunk_tokens)
+    inside = Window.partitionBy(part).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    row = counts.where(part == p).withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))) \
+        .where((F.col("__before") <= left) & (F.col("__before") + F.col("__n") > left)).first()
+    at = F.lit(row[doc_id]).cast(docs.schema[doc_id].dataType)
+    keep = F.when(F.col(doc_id).eqNullSafe(at), int(left - row["__before"]))  # null, thus all, before the cut
+    upto = F.col(doc_id).isNull() if row[doc_id] is None else F.col(doc_id).isNull() | (F.col(doc_id) <= at)
+    return _chunks(docs.where(upto), doc_id, text, chunk_tokens, keep)
+
+
 def token_set(text: Column | str) -> Column:
     """Distinct lower-cased word tokens."""
     return F.array_distinct(F.regexp_extract_all(F.lower(col(text)), F.lit(WORD), 0))

@@ -282,6 +282,15 @@ def shard(df: DataFrame, key: str, num_shards: int, index: int, order: str = "ke
 
 # ----------------------------------------------------------------------- U1
 
+def head(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``key`` (nulls first; rows of the last one's key as well), ``df`` itself if it has no more."""
+    found = _key_cuts(df.select(key), key, lambda _: [n - 1])[0]
+    if found is None:
+        return df
+    last = F.lit(found[0]).cast(df.schema[key].dataType)
+    return df.where(F.col(key).isNull() | (F.col(key) <= last))
+
+
 def concat_tables(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name, duplicates kept."""
     out = frames[0]

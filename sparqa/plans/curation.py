@@ -93,11 +93,11 @@ def materialised_dataset(spark: SparkSession, root: str) -> DataFrame:
 
     The cache path is keyed by the input files, the parameters and the code, so
     changed data, a changed option or library version never picks up an old build; readers
-    only see it after ``_SUCCESS`` exists. Reading it back cuts the lineage of
+    only see a published build. Reading it back cuts the lineage of
     the curation plan.
     """
     from ..session import checkpoint_dir
-    from ..sources.sinks import input_fingerprint, materialise_once, options_key
+    from ..sources.sinks import input_fingerprint, materialise_once, options_key, published
     from ..sources.tables import load_split
 
     opts = {"root": root, "seed": SEED, "train_fraction": TRAIN_FRACTION,
@@ -108,6 +108,5 @@ def materialised_dataset(spark: SparkSession, root: str) -> DataFrame:
     def build() -> DataFrame:
         return shuffled_split(curated_union(spark, root))
 
-    path = f"{base}/{options_key(opts)}"
     materialise_once(spark, base, build, opts, partition_by=["split"])
-    return load_split(spark, path, None)
+    return load_split(spark, published(spark, f"{base}/{options_key(opts)}"), None)

@@ -282,6 +282,17 @@ SELECT source, count(*) AS rows,
 FROM fr GROUP BY ROLLUP (source)"""
 
 
+def length_profile_merge() -> str:
+    """Percentiles of all lengths at once, each length cut to its first eight bits."""
+    bits = "CAST(len(bin(length(text))) - 8 AS INT)"
+    return f"""WITH {_formatted_ctes(curate_union())},
+b AS (SELECT source, length(text) AS n, CASE WHEN length(text) < 256 THEN length(text)
+        ELSE (length(text) >> {bits}) << {bits} END AS bucket FROM fr)
+SELECT source, count(*) AS rows, CAST(quantile_disc(bucket, 0.5) AS INT) AS median_len,
+       CAST(floor(quantile_cont(bucket, 0.9)) AS INT) AS p90_len, CAST(max(n) AS INT) AS max_len
+FROM b GROUP BY source"""
+
+
 # ------------------------------------------------------------------- tokens
 
 def _piece_re2() -> str:
@@ -465,6 +476,10 @@ SELECT doc_id, CAST(i AS INT) AS chunk_idx,
 FROM c"""
 
 
+def chunk_first_n(n: int = 500) -> str:
+    return f"SELECT * FROM ({chunk_documents()}) ORDER BY doc_id, chunk_idx LIMIT {n}"
+
+
 def _vector_topk(fn: str) -> str:
     return f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
     round({fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity

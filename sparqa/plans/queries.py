@@ -115,6 +115,16 @@ def length_profile(spark: SparkSession, root: str) -> DataFrame:
     return profile.length_profile(format_rationale(spark, root), "text", by="source")
 
 
+def length_profile_merge(spark: SparkSession, root: str) -> DataFrame:
+    """A4-A6 from stored states, one for each split of the dataset, merged per source."""
+    data = curation.materialised_dataset(spark, root)
+    states = []
+    for split in ("train", "test"):
+        rows = tokenise.format_rows(data.where(F.col("split") == split), keep=("row_id", "source", "split"))
+        states.append(stored(profile.length_state(rows), f"lengths-{split}"))
+    return profile.profile_of_state(profile.merge_states(*states), "source")
+
+
 # ------------------------------------------------------------ tokens
 
 def _tokenised(spark: SparkSession, root: str) -> DataFrame:
@@ -214,6 +224,15 @@ def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.chunk_documents(spread(table(spark, root, "documents")))
 
 
+# The cap of the capped form, which is its feature; small enough to cut at the test sizes.
+FIRST_CHUNKS = 500
+
+
+def chunk_first_n(spark: SparkSession, root: str) -> DataFrame:
+    """The first chunks of all documents in order of document and chunk."""
+    return retrieval.chunk_documents(spread(table(spark, root, "documents")), max_chunks=FIRST_CHUNKS)
+
+
 def _embeddings(spark: SparkSession, root: str) -> DataFrame:
     return spread(table(spark, root, "embeddings").select("vec_id", "embedding"))
 
@@ -282,6 +301,7 @@ QUERIES: dict[str, Query] = {
     "parse_choices": parse_choices,
     "format_rationale": format_rationale,
     "length_profile": length_profile,
+    "length_profile_merge": length_profile_merge,
     "tokenise_default": tokenise_default,
     "tokenise_padded": tokenise_padded,
     "mask_labels": mask_labels,
@@ -297,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "mcq_eval": mcq_eval,
     "preference_accuracy": preference_accuracy,
     "chunk_documents": chunk_documents,
+    "chunk_first_n": chunk_first_n,
     "retrieve_cosine": retrieve_cosine,
     "retrieve_dot": retrieve_dot,
     "retrieve_jaccard": retrieve_jaccard,

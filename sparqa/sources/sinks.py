@@ -55,11 +55,6 @@ def _place(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _place(spark, path)
-    return fs.exists(p)
-
-
 def input_fingerprint(spark: SparkSession, root: str) -> str:
     """A hash over names, lengths and times of change of all files below ``root``."""
     fs, p = _place(spark, root)
@@ -79,25 +74,39 @@ def options_key(options: dict) -> str:
 def materialise_once(spark: SparkSession, base: str, build: Callable[[], DataFrame],
                      options: dict | None = None,
                      partition_by: list[str] | None = None) -> DataFrame:
-    """Read ``base/<options-hash>`` if it was completely written, else build,
-    write and read it back.
-
-    The path includes a hash of the options so a changed option never reuses a
-    stale cache; it is written beside its place and renamed when complete, so
-    nobody sees half of it and two builders do not overwrite each other.
+    """The table published under ``base/<options-hash>``, built and published first if there is none.
+
+    The path includes a hash of the options, so a changed option never reuses a
+    stale build. A build is written to a folder of its own, then published by
+    one empty file whose name holds the folder's; nothing is renamed or written
+    over, so this holds on object stores too. Readers follow the oldest such
+    file and see whole builds only. A builder that dies leaves a folder that no
+    file names. Of two builders at a time both finish and publish; readers agree on one.
     The result is read from storage, so later stages do not recompute (and do
     not depend on) the build's lineage.
     """
-    path = f"{base.rstrip('/')}/{options_key(options or {})}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        part = f"{path}.{uuid.uuid4().hex}"
-        write_table(build(), part, partition_by=partition_by)
-        fs, at = _place(spark, path)
-        _, new = _place(spark, part)
-        # whoever is first wins; a second builder drops its own copy
-        if fs.exists(at) or not fs.rename(new, at):
-            fs.delete(new, True)
-    return spark.read.parquet(path)
+    place = f"{base.rstrip('/')}/{options_key(options or {})}"
+    at = published(spark, place)
+    if at is None:
+        name = f"build-{uuid.uuid4().hex}"
+        write_table(build(), f"{place}/{name}", partition_by=partition_by)
+        fs, pointer = _place(spark, f"{place}/{POINTER}{name}")
+        fs.create(pointer, False).close()
+        at = published(spark, place)
+    return spark.read.parquet(at)
+
+
+# Begins the name of the empty file that publishes a build; the build's name follows.
+POINTER = "_CURRENT."
+
+
+def published(spark: SparkSession, place: str) -> str | None:
+    """The folder of the build published at ``place``, if any: the one whose file is the oldest."""
+    fs, p = _place(spark, place)
+    if not fs.exists(p):
+        return None
+    found = [(f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().startswith(POINTER)]
+    return f"{place}/{min(found)[1][len(POINTER):]}" if found else None
 
 
 def preview(df: DataFrame, n: int = 1, order_by: str | None = "row_id") -> DataFrame:
