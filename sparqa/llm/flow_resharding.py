@@ -1,8 +1,9 @@
 """Resharding by minimum-cost flow.
 
-Rows belong to blocks (hash of their text; a block with far more than its
-share of the bytes or of the rows, such as one large group of copies, is cut
-again by doc_id). From the
+Rows belong to blocks by a hash of their text; a block with far more than its
+share of the bytes or of the rows is cut again by the rest of that hash, so
+equal texts stay together. Only a text whose copies alone hold more than a
+quarter of a shard is cut by row. From the
 block sizes, which are few, come the old shard sizes. A flow from old shards to
 new capacities, where a byte costs nothing if it stays and one if it moves,
 gives the bytes each pair of shards has to transfer. Whole blocks are chosen to
@@ -24,6 +25,9 @@ from .common import saved
 BLOCKS = 8192
 SHARDS = 8
 CUT_SHARE = 1 / 64
+#: Share of a shard, in bytes or rows, above which the copies of one text are parted; so few rows never are for their number.
+TEXT_SHARE = 1 / 4
+FEW_COPIES = 64
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -93,24 +97,32 @@ def near_equal(total: int, shards: int) -> list[int]:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus one; null: 1), text_crc32, and the hash bucket of the text."""
+    """doc_id, size (UTF-8 bytes plus one; null: 1), text_crc32, the text's hash, its bucket, and a number of the row (to be stored)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"),
-                       F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int").alias("bucket"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+                       F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int").alias("bucket"), F.monotonically_increasing_id().alias("row"))
 
 
 def _blocked(rows: DataFrame, total: int, count: int, shards: int) -> DataFrame:
-    """``rows`` plus ``block``: the bucket, cut by doc_id into near equal parts where it is large."""
-    share = CUT_SHARE / shards
+    """``rows`` plus ``block``: the bucket, or a part of one that is large.
+
+    A large bucket is cut by text, and a text with more than ``TEXT_SHARE`` of a shard by row.
+    """
+    share, most = CUT_SHARE / shards, TEXT_SHARE / shards
     fine, few = max(total / BLOCKS, 1.0), max(count / BLOCKS, 1.0)
-    large = rows.groupBy("bucket").agg(F.sum("size").alias("all"), F.count("*").alias("n")) \
-        .where((F.col("all") > total * share) | (F.col("n") > count * share)) \
-        .select(F.col("bucket").alias("_b"), F.greatest(F.ceil(F.col("all") / fine), F.ceil(F.col("n") / few)).cast("int").alias("parts"))
-    # at most 2 * shards / CUT_SHARE buckets are that large
-    met = rows.join(F.broadcast(large), F.col("bucket") == F.col("_b"), "left")
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")), F.lit(0))
-    return met.withColumn("block", F.col("bucket") + BLOCKS * part.cast("bigint")).drop("_b", "parts", "bucket")
+    sums = [F.sum("size").alias("all"), F.count("*").alias("n")]
+    parts = F.greatest(F.ceil(F.col("all") / fine), F.ceil(F.col("n") / few)).cast("int")
+    # at most 2 * shards / CUT_SHARE buckets are that large, and 2 * shards / TEXT_SHARE texts
+    large = rows.groupBy("bucket").agg(*sums).where((F.col("all") > total * share) | (F.col("n") > count * share)).select("bucket")
+    texts = saved(rows.join(F.broadcast(large), "bucket").groupBy("bucket", "text_hash").agg(*sums), "texts")
+    heavy = (F.col("all") > total * most) & (F.col("n") > 1) | (F.col("n") > max(count * most, FEW_COPIES))
+    by_row = texts.where(heavy).select(F.col("text_hash").alias("_t"), parts.alias("_rows"))
+    by_text = texts.where(~heavy).groupBy("bucket").agg(F.sum("all").alias("all"), F.sum("n").alias("n")) \
+        .select(F.col("bucket").alias("_b"), parts.alias("_texts"))
+    met = rows.join(F.broadcast(by_text), F.col("bucket") == F.col("_b"), "left").join(F.broadcast(by_row), F.col("text_hash") == F.col("_t"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("row", "doc_id"), F.col("_rows")), F.pmod(F.xxhash64("text_hash"), F.col("_texts")), F.lit(0))
+    return met.withColumn("block", F.col("bucket") + BLOCKS * part.cast("bigint")).drop("_b", "_t", "_rows", "_texts", "bucket", "text_hash", "row")
 
 
 def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS) -> DataFrame:
@@ -118,8 +130,9 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS) ->
 
     The old layout is ``block mod old_shards``; new capacities are near equal
     in bytes, so shards end within about one block of each other. Equal texts
-    stay together unless their block had to be cut. A null text is empty and
-    counts one byte. Repeated rows each get a slot; an empty table gives no
+    stay together unless they alone hold more than a quarter of a shard's bytes
+    or rows (and more than 64 rows, as to these). A null text is empty and
+    counts one byte. Repeated rows each get a slot, those of a hot doc_id in many blocks; an empty table gives no
     rows. Other columns are not looked at.
     """
     spark = docs.sparkSession

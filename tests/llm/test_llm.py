@@ -403,6 +403,32 @@ def test_a_block_of_many_small_rows_is_cut(spark):
     assert flow_resharding.reshard(df).count() == 3000
 
 
+def test_equal_texts_stay_together_at_any_size(spark):
+    for n in (40, 300, 1500):
+        # every text twice, one of them thirty times (more rows or bytes than a quarter of a shard only among 40)
+        df = spark.range(n).selectExpr("id AS doc_id", f"concat('t', if(id < 30, 0, id % {n // 2}), repeat(' w', cast(id % {n // 2} % 13 AS int))) AS text") \
+            .selectExpr("doc_id", "if(doc_id < 30, 'hot', text) AS text")
+        rows = flow_resharding.reshard(df).join(df, "doc_id").collect()
+        assert len(rows) == n
+        shards, sizes = collections.defaultdict(set), collections.Counter()
+        for r in rows:
+            shards[r["text"]].add(r["shard"])
+            sizes[r["shard"]] += r["size"]
+        assert all(len(v) == 1 for t, v in shards.items() if t != "hot" or n > 40)
+        if n == 1500:
+            assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8
+
+
+def test_copies_of_one_id_are_cut(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, NULL, id) AS doc_id", "if(id % 3 = 0, 'same', concat('t', id)) AS text")
+    rows = flow_resharding.saved(flow_resharding._sized(df), "test")
+    total, count = rows.selectExpr("sum(size)", "count(*)").first()
+    most = flow_resharding._blocked(rows, total, count, 8).groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert most < 50
+    got = flow_resharding.reshard(df).collect()
+    assert len(got) == 4000 and len({(r["shard"], r["slot"]) for r in got}) == 4000
+
+
 def test_flow_moves_the_fewest_bytes():
     assert flow_resharding.min_cost_flow([10, 2], [6, 6], [[0, 1], [1, 0]]) == [[6, 4], [0, 2]]
     blocks = [(b, b % 2 if b < 10 else 0, 100 + b) for b in range(40)]
