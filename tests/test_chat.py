@@ -63,5 +63,14 @@ def test_no_turns_and_plan(spark):
     out = chat.conversation_fragments(df)
     assert out.count() == 0
     assert out.columns == ["conv_id", "turn", "role", "message", "char_start", "n_chars", "fragment"]
+    # texts move twice at any size: into ranges before, then once for all windows and joins
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = chat.conversation_fragments(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, scan, _ = wide.partition("FileScan")   # the first scan is the one that reads texts
+    assert "text#" in wide[len(above):].splitlines()[0] and scan
+    assert above.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in above
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "BroadcastNestedLoop" not in plan
