@@ -283,6 +283,47 @@ def test_pages_lose_no_article_text():
     assert line_blocks.main_text(f"<main>{long}{reader}</main>") == text
 
 
+def test_pages_by_structure():
+    long = "<p>A paragraph of the article that is long enough.</p>"
+    text = "A paragraph of the article that is long enough."
+    read = line_blocks.main_text
+    assert read(f"<article><header><h1>A title</h1></header>{long}<figure><img src=x><figcaption>What it shows</figcaption></figure>"
+                f"<aside>Set beside it</aside></article>") == f"A title\n{text}\nWhat it shows\nSet beside it"
+    assert read(f"<h1>Short</h1><nav><ul><li>one</li><li>two</li><li>three</li></ul></nav>{long}") == f"Short\n{text}"
+    for mark in ("class=user-comments", "class=commentlist", "class=gdpr-bar", "class=ad-300x250", "class=adsbygoogle", "id=page-footer"):
+        assert read(f"{long}{long}<div {mark}><p>Words that are no part of the article.</p></div>") == f"{text}\n{text}"
+    assert read(f"<p class=\"x>{text}</p><p><a href=\"y\">A link</a> and words after it.</p>") == f"{text}\nA link and words after it."
+    assert read(f"<p title='a > b' id=\"c>d\">{text}</p>") == text
+    assert read("<p>one line<br>and<br/>the same block of it</p>") == "one line and the same block of it"
+    links = "".join(f"<div><a href=/{i}>An unmarked entry of a menu, number {i}</a></div>" for i in range(6))
+    assert read(f"{links}{long}<p><a href=z>A line of its own in a link</a></p>{long}{links}") == f"{text}\nA line of its own in a link\n{text}"
+    assert read(f"<div>A banner without a name.</div><article>{long}{long}</article><div>Words after it.</div>") == f"{text}\n{text}"
+    assert read(f"<ul><li><a href=a>Nothing but</a></li><li><a href=b>links, all of it</a></li></ul>") == "Nothing but\nlinks, all of it"
+    whole = " ".join(f"word{i}" for i in range(200_000))
+    assert read(f"<nav>entry</nav><article><p>{whole}</p><p>{whole}</p></article>") == f"{whole}\n{whole}"
+
+
+def test_surges_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = [int(x) for x in rng.choice([0, 0, 0, 3, 12, 40], rng.integers(0, 25))]
+        runs, open_ = [], []
+        for i, n in enumerate([*lengths, *[0] * line_blocks.WINDOW]):  # a run ends where WINDOW lines have no text
+            if n:
+                open_.append(i)
+            elif open_ and i - open_[-1] == line_blocks.WINDOW:
+                runs.append(open_)
+                open_ = []
+        best = lambda r: max(sum(lengths[i:i + line_blocks.WINDOW]) for i in range(max(0, r[0] - line_blocks.WINDOW + 1), r[-1] + 1))
+        most = min(line_blocks.SURGE, max(map(best, runs), default=0))
+        assert list(line_blocks.surges(lengths)) == [(r[0], r[-1]) for r in runs if best(r) >= most]
+
+
+def test_pages_repeated(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a row of its own")] * 2, "page_id bigint, url string, html string")
+    assert [r["text"] for r in line_blocks.extract(df).collect()] == ["a row of its own"] * 2
+
+
 def test_licences(spark):
     plain = [(i, f"some line number {i} of words\nanother one follows here {i}") for i in range(60)]
     named = [(100, "intro\nLicensed under the Apache License, Version 2.0."), (101, "Released under the MIT License.\nmore"),
