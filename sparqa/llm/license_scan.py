@@ -1,18 +1,25 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Native: DataFrame and ML functions only. Paragraphs are the lines of a text.
-A multinomial logistic regression with an L1 part over word 1- to 3-grams is
-fitted on notices of each family, cut and varied by rule, and on a bounded
-sample of the corpus' own paragraphs as the class ``none``. The vocabulary
-holds the n-grams of the notices. Paragraphs that lack too many words to be
-confirmed are left out before they are scored, which changes no result. The probability below which a paragraph counts as
-unknown is calibrated on a held-out part of the sample. A predicted family is
-confirmed if the paragraph holds enough of the words of one of its templates.
+Native: DataFrame and ML functions only. Paragraphs are the lines of a text,
+and its blocks of two or more lines between blank ones, in which a notice may
+be wrapped. A multinomial logistic regression with an L1 part over word 1- to
+3-grams is fitted on notices of each family, cut and varied by rule, and on a
+bounded sample of the corpus' own paragraphs as the class ``none``. The
+vocabulary holds the n-grams of the notices. Paragraphs that lack too many
+words to be confirmed are left out before they are scored, which changes no
+result. The probability of any licence below which a paragraph counts as
+unknown is calibrated on a held-out part of the sample. The family is the most
+probable one that the telling words agree with (version, affero, lesser,
+sharealike and the like); it is confirmed if the paragraph holds enough of the
+words of one of its templates, and enough of its pairs of neighbours in order.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
@@ -20,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparqa.functions.text import let
+from sparqa.functions.text import bind_column, let
 
 from .common import saved
 
@@ -32,8 +39,28 @@ FALSE_KNOWN = 0.001
 LEAST_PROBABILITY = 0.5
 #: Share of a template's words that a paragraph must hold.
 CONFIRM = 0.8
+#: Share of its pairs of neighbouring words.
+ORDER = 0.5
 GRAMS = 3
 
+def _gnu(name: str, short: str, version: str) -> list[str]:
+    return [
+        f"This work is licensed under the GNU {name}, version {version}.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the"
+        f" GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        f"GNU {name}, version {version}",
+        f"Licensed under the {short} version {version} or later.",
+        f"Licensed under the {short}v{version}.",
+    ]
+
+
+def _creative_commons(short: str, long: str) -> list[str]:
+    return [
+        f"Licensed under CC {short} 4.0.",
+        f"This work is licensed under a Creative Commons {long} 4.0 International License.",
+    ]
+
+
 #: Short notices of each family (texts in common use).
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
@@ -46,27 +73,96 @@ TEMPLATES: dict[str, list[str]] = {
         "This software is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-        "Licensed under the GPL version 3 or later.",
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ],
-    "cc-by-nc-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "gpl": [
+        "This work is licensed under the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "Licensed under the GPL.",
     ],
-    "cc-by-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "gpl-2.0": _gnu("General Public License", "GPL", "2"),
+    "gpl-3.0": _gnu("General Public License", "GPL", "3"),
+    "agpl-3.0": _gnu("Affero General Public License", "AGPL", "3"),
+    "lgpl-2.1": _gnu("Lesser General Public License", "LGPL", "2.1"),
+    "lgpl-3.0": _gnu("Lesser General Public License", "LGPL", "3"),
+    "cc-by-4.0": _creative_commons("BY", "Attribution"),
+    "cc-by-sa-4.0": _creative_commons("BY-SA", "Attribution-ShareAlike"),
+    "cc-by-nc-4.0": _creative_commons("BY-NC", "Attribution-NonCommercial"),
+    "cc-by-nd-4.0": _creative_commons("BY-ND", "Attribution-NoDerivatives"),
+    "cc-by-nc-sa-4.0": _creative_commons("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "cc-by-nc-nd-4.0": _creative_commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "cc0-1.0": [
+        "Released under CC0 1.0 Universal.",
+        "To the extent possible under law, the authors have waived all copyright and related or neighboring rights to this work.",
     ],
-    "bsd-3-clause": [
-        "Released under the BSD 3-Clause License.",
+    "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "bsd-2-clause": ["Released under the BSD 2-Clause License."],
+    "bsd-3-clause": ["Released under the BSD 3-Clause License."],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+
+
+def _version(n: str) -> str:
+    """Pattern of a version, in a text of ``tokens`` joined by spaces."""
+    n = re.escape(n.removesuffix(".0"))
+    return rf"\b(?:version|v|license) ?{n}(?:\.0)?(?![.\d])|\b[al]?gpl(?:[ -]?v| |-)?{n}(?:\.0)?(?![.\d])"
+
+
+_AFFERO, _LESSER, _GNU = r"\baffero\b|\bagpl", r"\blesser\b|\blibrary general\b|\blgpl", r"\bgnu\b|\b[al]?gpl"
+_NC, _SA, _ND = r"\bby[ -]nc\b|non-?commercial", r"\bby[ -](?:nc[ -])?sa\b|share-?alike", r"\bby[ -](?:nc[ -])?nd\b|no-?deriv"
+_CC = r"\bcc\b|\bcreative commons\b"
+_BSD = r"\bbsd\b|\bredistribution and use\b"
+#: What speaks against any licence.
+DENIED = (r"\b(?:not|never|isn t|aren t|no longer) (?:[a-z]+ )?"
+          r"(?:licen[sc]ed|released|(?:available|distributed|covered) (?:[a-z]+ )?under|under)\b")
+
+
+def _gnu_tells(version: str | None, kind: str | None) -> tuple[list[str], list[str]]:
+    versions = ["1", "2", "2.1", "3"]
+    return ([_GNU, *([_version(version)] if version else []), *([kind] if kind else [])],
+            [*(_version(v) for v in versions if v != version), *(k for k in (_AFFERO, _LESSER) if k != kind)])
+
+
+def _cc_tells(*parts: str) -> tuple[list[str], list[str]]:
+    return [_CC, r"\b4\.0\b", *parts], [r"\b[123]\.[05]\b", *(p for p in (_NC, _SA, _ND) if p not in parts)]
+
+
+#: Patterns that a paragraph of a family must all have, and patterns of which it may have none.
+TELLS: dict[str, tuple[list[str], list[str]]] = {
+    "apache-2.0": ([r"\bapache\b", r"\bv?2(?:\.0)?\b"], [r"\bapache (?:software )?license (?:version |v )?1\.[01]\b"]),
+    "mit": ([r"\bmit\b|\bpermission is hereby granted\b"], []),
+    "isc": ([r"\bisc\b|\bpermission to use\b"], []),
+    "gpl": _gnu_tells(None, None),
+    "gpl-2.0": _gnu_tells("2", None),
+    "gpl-3.0": _gnu_tells("3", None),
+    "agpl-3.0": _gnu_tells("3", _AFFERO),
+    "lgpl-2.1": _gnu_tells("2.1", _LESSER),
+    "lgpl-3.0": _gnu_tells("3", _LESSER),
+    "cc-by-4.0": _cc_tells(),
+    "cc-by-sa-4.0": _cc_tells(_SA),
+    "cc-by-nc-4.0": _cc_tells(_NC),
+    "cc-by-nd-4.0": _cc_tells(_ND),
+    "cc-by-nc-sa-4.0": _cc_tells(_NC, _SA),
+    "cc-by-nc-nd-4.0": _cc_tells(_NC, _ND),
+    "cc0-1.0": ([r"\bcc0\b|\bwaived all copyright\b"], []),
+    "bsd": ([_BSD], [r"\b[234]-clause\b"]),
+    "bsd-2-clause": ([_BSD, r"\b2-clause\b"], [r"\b[34]-clause\b"]),
+    "bsd-3-clause": ([_BSD, r"\b3-clause\b"], [r"\b[24]-clause\b"]),
+    "mpl-2.0": ([r"\bmozilla\b|\bmpl\b", r"\b2\.0\b"], [r"\b1\.[01]\b"]),
+    "epl-2.0": ([r"\beclipse\b|\bepl\b", r"\b2\.0\b"], [r"\b1\.0\b"]),
+    "unlicense": ([r"\bunencumbered\b|\bunlicense\b"], []),
 }
 #: Sentences with words of notices that name no licence.
 OTHERS = [
@@ -94,11 +190,28 @@ def grams(words: Column) -> Column:
     return let(words, lambda w: F.concat(w, *(of_size(w, k) for k in range(2, GRAMS + 1))))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text): the lines of each text that aren't blank, counted from 0 over all lines."""
+def _has_text(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r")) != ""
+
+
+def paragraphs(docs: DataFrame, blocks: bool = False) -> DataFrame:
+    """(doc_id, paragraph, n_lines, text): the lines of each text that aren't blank, counted from 0 over all lines.
+
+    With ``blocks`` also the runs of two or more such lines, by the number of their first line.
+    """
+    def units(lines: Column) -> Column:
+        some = lambda i: F.coalesce(_has_text(F.get(lines, i)), F.lit(False))
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        unit = lambda at, n, text: F.struct(at.alias("paragraph"), n.alias("n_lines"), text.alias("text"))
+        single = F.transform(F.filter(every, some), lambda i: unit(i, F.lit(1), F.get(lines, i)))
+        if not blocks:
+            return single
+        first = F.filter(every, lambda i: some(i) & some(i + 1) & ~some(i - 1))
+        last = F.filter(every, lambda i: some(i) & some(i - 1) & ~some(i + 1))
+        return F.concat(single, F.zip_with(first, last, lambda i, j: unit(i, j - i + 1, F.array_join(F.slice(lines, i + 1, j - i + 1), "\n"))))
+
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(lines).alias("paragraph", "text")) \
-        .where(F.trim("text") != "")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.inline(let(lines, units)))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -119,16 +232,12 @@ class LicenceModel:
         self.vocabulary, self.regression, self.families, self.least = vocabulary, regression, families, least
 
     def score(self, texts: DataFrame) -> DataFrame:
-        """``texts`` plus family (``none`` where unknown) and probability of its most probable licence family."""
+        """``texts`` with ``_words``, ``known`` (the probability of any licence) and ``by_family`` (those of the families)."""
         words = texts.withColumn("_words", tokens(F.col("text")))
         counted = self.vocabulary.transform(words.withColumn("_grams", grams(F.col("_words"))))
-        out = self.regression.transform(counted)
-        p = F.slice(vector_to_array("_p"), 2, len(self.families) - 1)  # class 0 is none
-        best = F.array_max(p)
-        at = F.array_position(p, best).cast("int")
-        names = F.array(*(F.lit(f) for f in self.families[1:]))
-        return out.withColumn("probability", best).withColumn(
-            "family", F.when(F.col("probability") >= self.least, F.element_at(names, at)).otherwise(NONE)).drop("_grams", "_counts", "_raw", "_p", "_class")
+        out = self.regression.transform(counted).withColumn("_all", vector_to_array("_p"))  # class 0 is none
+        return out.select(*texts.columns, "_words", (1 - F.get("_all", F.lit(0))).alias("known"),
+                          F.slice("_all", 2, len(self.families) - 1).alias("by_family"))
 
 
 def fit(docs: DataFrame) -> LicenceModel:
@@ -149,20 +258,10 @@ def fit(docs: DataFrame) -> LicenceModel:
                                     elasticNetParam=0.3, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_class") \
         .fit(vocabulary.transform(train))
     held = regression.transform(vocabulary.transform(sample.where(F.pmod("h", F.lit(HELD_OUT)) == 0)))
-    top = F.array_max(F.slice(vector_to_array("_p"), 2, len(families) - 1))
-    cut = held.select(top.alias("p")).agg(F.percentile_approx("p", 1 - FALSE_KNOWN)).first()[0] or 0.0
+    cut = held.select((1 - F.get(vector_to_array("_p"), F.lit(0))).alias("p")).agg(F.percentile_approx("p", 1 - FALSE_KNOWN)).first()[0] or 0.0
     return LicenceModel(vocabulary, regression, families, max(LEAST_PROBABILITY, min(cut, 0.95)))
 
 
-def _template_share(words: Column, family: Column) -> Column:
-    """Largest share of a template's distinct words that the paragraph has, among the family's templates."""
-    def share(text: str) -> Column:
-        own = F.array_distinct(tokens(F.lit(text)))
-        return F.size(F.array_intersect(words, own)) / F.size(own)
-
-    return F.coalesce(*(F.when(family == f, F.greatest(*(share(t) for t in texts), F.lit(0.0))) for f, texts in TEMPLATES.items()), F.lit(0.0))
-
-
 def _template_tokens(text: str) -> list[str]:
     """The distinct ``tokens`` of a template, in Python."""
     plain = re.sub(r"[.]+(?=[^a-z0-9]|$)", " ", text.lower())
@@ -177,32 +276,77 @@ def _may_lack(words: int) -> int:
 def _needed_words() -> list[str]:
     """Words of which every paragraph that can be confirmed has one.
 
-    Of each template one word more than a paragraph may lack; the longest
-    that aren't common are taken.
+    Of each template one word more than a paragraph may lack: of those that
+    aren't common the ones that most templates have, the longest first.
     """
+    own = [_template_tokens(t) for texts in TEMPLATES.values() for t in texts]
+    held = Counter(w for words in own for w in words)
     out = set()
-    for texts in TEMPLATES.values():
-        for t in texts:
-            own = sorted(_template_tokens(t), key=lambda w: (w in COMMON, -len(w), w))
-            out.update(own[: _may_lack(len(own)) + 1])
+    for words in own:
+        out.update(sorted(words, key=lambda w: (w in COMMON, -held[w], -len(w), w))[: _may_lack(len(words)) + 1])
     return sorted(out)
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a lower-case text has one of the needed words anywhere, also inside longer words."""
+    words = _needed_words()
+    short = [w for w in words if not any(x in w for x in words if x != w)]
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in short))
+
+
 def _needed_re() -> str:
     """Pattern of the needed words in a lower-case text. What ends a token is no letter or digit, but may be ``_``."""
     return "(?<![a-z0-9])(?:" + "|".join(map(re.escape, _needed_words())) + ")(?![a-z0-9])"
 
 
-def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, template_share of every paragraph that names a licence, confirmed.
+def _families(names: list[str]) -> Column:
+    """The families as an array of (name, must, never, templates), each template with its words and pairs."""
+    text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+
+    def template(t: str) -> Column:
+        own = _template_tokens(t)
+        every = [w for w in re.split(r"[^a-z0-9.\-]+", re.sub(r"[.]+(?=[^a-z0-9]|$)", " ", t.lower())) if w]
+        pairs = list(dict.fromkeys(map(" ".join, zip(every, every[1:]))))
+        return F.struct(text(own).alias("words"), text(pairs).alias("pairs"))
+
+    return F.array(*(F.struct(F.lit(n).alias("name"), text(TELLS[n][0]).alias("must"), text(TELLS[n][1]).alias("never"),
+                              F.array(*map(template, TEMPLATES[n])).alias("templates")) for n in names))
+
 
-    A null or empty text has no paragraphs. Repeated rows are reported each.
-    An empty table gives no rows (and a model of the notices alone). Columns
-    other than doc_id and text are not looked at.
+def _share(words: Column, templates: Column) -> Column:
+    """Largest share of a template's distinct words in ``words``, among the templates of which enough pairs are there in order."""
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    part = lambda has, of: F.size(F.array_intersect(has, of)) / F.size(of)
+    return let(pairs, lambda p: F.array_max(F.transform(
+        templates, lambda t: F.when(part(p, t["pairs"]) >= ORDER, part(words, t["words"])).otherwise(0.0))))
+
+
+def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
+    """doc_id, paragraph, n_lines, family, probability, template_share of every paragraph that names a licence, confirmed.
+
+    ``paragraph`` is the number of its first line. A block of lines is
+    reported only if none of its lines is confirmed for its family. Of equally
+    probable families the last name is taken. A null or empty text has no
+    paragraphs; texts of any length are read whole. Repeated rows are reported
+    each. An empty table gives no rows (and a model of the notices alone).
+    Columns other than doc_id and text are not looked at.
     """
     fitted = model or fit(docs.select("doc_id", "text"))
-    may = F.lower("text").rlike(_needed_re())
-    scored = fitted.score(paragraphs(docs.select("doc_id", "text")).where(may)).where(F.col("family") != NONE)
-    return scored.withColumn("template_share", _template_share(F.col("_words"), F.col("family"))) \
-        .where(F.col("template_share") >= CONFIRM) \
-        .select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))
+    held = docs.select("doc_id", "text").where(let(F.lower("text"), _may_hold))
+    may = paragraphs(held, blocks=True).where(let(F.lower("text"), lambda t: _may_hold(t) & t.rlike(_needed_re())))
+    known = fitted.score(may).where(F.col("known") >= fitted.least)
+
+    def agreeing(row_text: Column) -> Column:
+        scored = F.zip_with(_families(fitted.families[1:]), F.col("by_family"), lambda f, p: F.struct(p.alias("p"), f.alias("f")))
+        return F.filter(scored, lambda x: ~row_text.rlike(DENIED) & F.forall(x["f"]["must"], lambda m: F.regexp_like(row_text, m))
+                        & ~F.exists(x["f"]["never"], lambda m: F.regexp_like(row_text, m)))
+
+    most = lambda found: F.reduce(found, F.get(found, F.lit(0)), lambda a, b: F.when(b["p"] >= a["p"], b).otherwise(a))
+    best = let(let(F.array_join("_words", " "), agreeing), most)
+    named = bind_column(known, best, "best").where(F.col("best").isNotNull()) \
+        .withColumn("template_share", _share(F.col("_words"), F.col("best.f.templates"))).where(F.col("template_share") >= CONFIRM)
+    own_line = F.exists(F.split("text", "\n"), lambda t: let(tokens(t), lambda w: _share(w, F.col("best.f.templates"))) >= CONFIRM)
+    return named.where((F.col("n_lines") == 1) | ~own_line).select(
+        "doc_id", "paragraph", "n_lines", F.col("best.f.name").alias("family"), F.round("known", 6).alias("probability"),
+        F.round("template_share", 6).alias("template_share"))

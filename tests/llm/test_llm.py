@@ -351,9 +351,80 @@ def test_licence_prefilter_loses_no_confirmed_paragraph(spark, monkeypatch):
     model = license_scan.fit(docs.limit(0))
     got = {tuple(r) for r in license_scan.scan(docs, model).collect()}
     monkeypatch.setattr(license_scan, "_needed_re", lambda: "")
+    monkeypatch.setattr(license_scan, "_may_hold", lambda text: F.lit(True))
     assert got == {tuple(r) for r in license_scan.scan(docs, model).collect()} and {0, 1, 2} & {r[0] for r in got}
 
 
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    plain = spark.createDataFrame([(i, f"some line number {i} of words\nanother one follows here {i}") for i in range(60)], "doc_id bigint, text string")
+    return license_scan.fit(plain)
+
+
+def test_licence_families(spark, licence_model):
+    grant = license_scan.TEMPLATES["mit"][2]
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
+    gpl = license_scan.TEMPLATES["gpl-3.0"][1]
+    cases = [
+        ("Licensed under the GNU Affero General Public License, version 3.", "agpl-3.0"), ("GNU Affero General Public License, version 3", "agpl-3.0"),
+        ("GNU General Public License, version 2", "gpl-2.0"), ("Licensed under the GPLv2.", "gpl-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "lgpl-2.1"),
+        ("This work is licensed under the GNU General Public License.", "gpl"), ("This is not licensed under the MIT License", None),
+        ("This software is not released under the MIT License.", None), ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd-4.0"), ("Licensed under CC BY 3.0.", None), ("Licensed under the Apache License, Version 1.1.", None),
+        ("Released under the BSD 2-Clause License.", "bsd-2-clause"), (license_scan.TEMPLATES["bsd"][0], "bsd"),
+        (f"intro\n\n{wrapped(grant, 12)}\n\nend", "mit"), (wrapped(gpl, 11), "gpl-3.0"),
+        ("License the under released MIT. Work this general the under GNU of license version public.", None),
+        ("a\n \nReleased under the MIT License.\nwith more words\n", "mit"), ("word " * 200_000 + "\nReleased under the MIT License.", "mit"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = [(r["doc_id"], r["family"], r["paragraph"], r["n_lines"]) for r in license_scan.scan(docs, licence_model).collect()]
+    assert sorted(g[:2] for g in got) == [(i, f) for i, (_, f) in enumerate(cases) if f]
+    at = {g[0]: g[2:] for g in got}
+    assert (at[14], at[15], at[17], at[18]) == ((2, 2), (0, len(wrapped(gpl, 11).split("\n"))), (2, 1), (1, 1))
+    twice = license_scan.scan(docs.where("doc_id = 0").unionAll(docs.where("doc_id = 0")), licence_model)
+    assert twice.count() == 2 and license_scan.scan(docs.limit(0), licence_model).count() == 0
+
+
+def test_licence_confirmation_against_brute_force(spark, licence_model):
+    rng = np.random.default_rng(5)
+    every = [(f, t) for f, texts in license_scan.TEMPLATES.items() for t in texts]
+    texts = []
+    for _, t in every:
+        for gone in (0.0, 0.1, 0.25):
+            words = [w for w in t.split() if rng.random() >= gone]
+            if rng.random() < 0.2:
+                rng.shuffle(words)
+            texts.append(" ".join([*rng.choice(["see", "some", "other"], rng.integers(0, 3)), *words]))
+
+    def split(t):
+        return [w for w in re.split(r"[^a-z0-9.\-]+", re.sub(r"[.]+(?=[^a-z0-9]|$)", " ", t.lower())) if w]
+
+    def share(words, family):
+        pairs, best = set(zip(words, words[1:])), 0.0
+        for t in license_scan.TEMPLATES[family]:
+            own = split(t)
+            if len(pairs & set(zip(own, own[1:]))) >= license_scan.ORDER * len(set(zip(own, own[1:]))):
+                best = max(best, len(set(words) & set(own)) / len(set(own)))
+        return best
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scored = licence_model.score(license_scan.paragraphs(docs)).select("doc_id", "known", "by_family").collect()
+    want = set()
+    for row in scored:
+        words = split(texts[row["doc_id"]])
+        line = " ".join(words)
+        agree = [(p, f) for f, p in zip(licence_model.families[1:], row["by_family"])
+                 if not re.search(license_scan.DENIED, line) and all(re.search(m, line) for m in license_scan.TELLS[f][0])
+                 and not any(re.search(m, line) for m in license_scan.TELLS[f][1])]
+        if row["known"] >= licence_model.least and agree and share(words, max(agree)[1]) >= license_scan.CONFIRM:
+            want.add((row["doc_id"], max(agree)[1], round(share(words, max(agree)[1]), 6)))
+    got = {(r["doc_id"], r["family"], r["template_share"]) for r in license_scan.scan(docs, licence_model).collect()}
+    assert got == want
+    known = {i for i, _, _ in want}
+    assert all(3 * k in known for k in range(len(every)) if texts[3 * k].endswith(every[k][1]))  # whole notices
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> how   are you?\nFine."),
             (1, 2, "user", "On Monday X wrote:\n> Fine.\n>> How are you?\nGood\n\n> nothing known\nok"), (1, 3, "user", None),
