@@ -9,29 +9,33 @@ lines or blocks; only references to earlier turns count. Runs are as long as
 the passages of the same conversation, in lines or in blocks, so a quote may
 be wrapped anew as long as one of the two counts stays. A message
 answers the latest message that its level-one passages refer to, else the
-message before it. Conversations come out without quotes, every message after
+turn before its own. Lines that all begin with ``>>>`` alone are input of an
+interpreter, no quotes. Conversations come out without quotes, every message after
 the one it answers.
 
 Originals are reduced to one row per conversation and hash before they are
-joined, so each passage meets one row. Long conversations are cut into spans
-of turns, so none is ordered in one task.
+joined, so each passage meets one row. Places come from range partitions over
+(conversation, turn, row), so no conversation or turn is ordered in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import groupby
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, saved
+from sparqa.operators.sampling import with_position
 
-#: Turns of a span.
-SPAN = 1024
+from .common import arrow_map, met_by_key, saved
+
+#: Modulus of the hashes, a prime.
+PRIME = (1 << 128) - 159
 #: Parts into which a conversation's messages are dealt to have their runs hashed.
 SALTS = 64
 
+_PROMPT = re.compile(r"^[ \t]*>>>(?:[ \t]|$)")
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _INTRO = re.compile(r"^\s*(?:on|am|le|el|il)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\b[^:\n]{0,80}:\s*$", re.I)
 _SPACE = re.compile(r"\s+")
@@ -41,8 +45,18 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text).strip().lower()
 
 
+def _value(words: str) -> tuple[int, int]:
+    """A normalised text and the space before it as a number modulo ``PRIME``, and how many bytes these are."""
+    plain = b" " + words.encode("utf-8", "surrogatepass")
+    return int.from_bytes(plain) % PRIME, len(plain)
+
+
+def _name(value: int, size: int) -> str:
+    return f"{value:032x}-{size}"
+
+
 def digest(text: str) -> str:
-    return hashlib.blake2b(normal(text).encode(), digest_size=16).hexdigest()
+    return _name(*_value(normal(text)))
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -52,25 +66,27 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
-    level = 0
-    for line in (text or "").split("\n"):
-        m = _MARKS.match(line)
-        if not m:
-            level = 0
-            own.append(line)
+    quoted = False
+    for marked, group in groupby((text or "").split("\n"), lambda line: bool(_MARKS.match(line))):
+        some = list(group)
+        before = next((line for line in reversed(own) if line.strip()), "")
+        if not marked or (all(map(_PROMPT.match, some)) and not _INTRO.match(before)):
+            own += some
             continue
-        depth = m[1].count(">")
-        if level == 0:
-            while own and not own[-1].strip():
-                own.pop()
-            if own and _INTRO.match(own[-1]):
-                own.pop()
-        rest = line[m.end():]
-        if depth != level:
-            passages.append((depth, []))
-            level = depth
-        passages[-1][1].append(rest)
-    body = "\n".join(own).strip("\n") if passages else (text or "")
+        quoted = True
+        while own and not own[-1].strip():
+            own.pop()
+        if own and _INTRO.match(own[-1]):
+            own.pop()
+        level = 0
+        for line in some:
+            m = _MARKS.match(line)
+            depth = m[1].count(">")
+            if depth != level:
+                passages.append((depth, []))
+                level = depth
+            passages[-1][1].append(line[m.end():])
+    body = "\n".join(own).strip("\n") if quoted else (text or "")
     return body, [(d, "\n".join(p)) for d, p in passages if normal("\n".join(p))]
 
 
@@ -97,12 +113,18 @@ def originals(text: str) -> list[str]:
 
 
 def runs(text: str, lengths: list[int]) -> list[str]:
-    """Hashes of the runs of consecutive lines and of consecutive blocks of the given lengths."""
+    """Hashes of the runs of consecutive lines and of consecutive blocks of the given lengths, each from the sums up to its ends."""
     found: dict[str, None] = {}
     for unit in units(text):
+        sums, ends = [0], [0]
+        for part in unit:
+            value, size = _value(normal(part))
+            sums.append((sums[-1] * pow(256, size, PRIME) + value) % PRIME)
+            ends.append(ends[-1] + size)
         for n in lengths:
             for i in range(len(unit) - n + 1):
-                found[digest("\n".join(unit[i:i + n]))] = None
+                size = ends[i + n] - ends[i]
+                found[_name((sums[i + n] - sums[i] * pow(256, size, PRIME)) % PRIME, size)] = None
     return list(found)
 
 
@@ -110,10 +132,12 @@ def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), position, parent_turn, n_quotes, quoted_turns of every message.
 
     ``quoted_turns`` lists the turns that the passages refer to, -1 for one
-    that is not found. Null and empty texts are messages without words.
-    Messages without conv_id form one conversation, those without turn come
-    first in theirs. Repeated rows each keep a place. An empty table gives no
-    rows. Other columns are not looked at.
+    that is not found. ``parent_turn`` is always an earlier turn (null for the
+    first one). Null and empty texts are messages without words; texts of any
+    length are read whole. Messages without conv_id form one conversation,
+    those without turn come first in theirs. Messages of one turn are placed by
+    role and text; repeated rows each keep a place and have the same parent.
+    An empty table gives no rows. Other columns are not looked at.
     """
     def kernel(convs: list, turns: list, roles: list, texts: list) -> dict:
         out: dict[str, list] = {n: [] for n in ("conv_id", "turn", "role", "text", "levels", "hashes", "own", "sizes")}
@@ -130,9 +154,10 @@ def link(messages: DataFrame) -> DataFrame:
     parsed = arrow_map(base, kernel, "conv_id bigint, turn bigint, role string, text string, levels array<int>, hashes array<string>, own array<string>, sizes array<int>",
                        ["conv_id", "turn", "role", "text"])
     rows = saved(parsed.withColumn("key", F.coalesce("conv_id", F.lit(-1 << 62))).withColumn("at", F.coalesce("turn", F.lit(-1 << 62)))
-                 .withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", "hashes")), "parsed")
-    quoted = rows.where(F.size("hashes") > 0).select("key", "at", "mid", F.posexplode(F.arrays_zip("levels", "hashes")).alias("no", "q")) \
-        .select("key", "at", "mid", "no", F.col("q.levels").alias("level"), F.col("q.hashes").alias("hash")).distinct()
+                 .withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", "hashes")).withColumn("uid", F.monotonically_increasing_id())
+                 .withColumn("place", F.concat_ws("|", "key", "at")).withColumn("message", F.concat_ws("|", "key", "at", "mid")), "parsed")
+    quoted = rows.where(F.size("hashes") > 0).select("key", "at", "message", F.posexplode(F.arrays_zip("levels", "hashes")).alias("no", "q")) \
+        .select("key", "at", "message", "no", F.col("q.levels").alias("level"), F.col("q.hashes").alias("hash")).distinct()
     asked = quoted.select(F.col("key").alias("k"), F.col("hash").alias("x")).distinct()
     held = rows.select("key", "at", F.explode("own").alias("hash"))
     lengths = rows.select(F.col("key").alias("k"), F.explode("sizes").alias("size")).groupBy("k").agg(F.collect_set("size").alias("lengths"))
@@ -145,17 +170,18 @@ def link(messages: DataFrame) -> DataFrame:
     known = held.groupBy("key", "hash").agg(F.min("at").alias("source")) \
         .join(asked, (F.col("key") == F.col("k")) & (F.col("hash") == F.col("x")), "left_semi")
     met = quoted.join(known, ["key", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("at"), F.col("source")))
-    links = met.groupBy("key", "at", "mid").agg(
+    links = met.groupBy("message").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("no", F.coalesce("source", F.lit(-1)).alias("s")))), lambda x: x["s"]).alias("quoted_turns"),
         F.max(F.when(F.col("level") == 1, F.col("source"))).alias("answered"))
-    whole = rows.withColumn("span", F.floor(F.col("at") / SPAN)).join(links, ["key", "at", "mid"], "left")
-    spans = whole.groupBy("key", "span").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
-    before = Window.partitionBy("key").orderBy("span")
-    spans = spans.select("key", "span", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
-                         F.lag("last").over(before).alias("earlier"))
-    order = Window.partitionBy("key", "span").orderBy("at", "role", "mid")
-    placed = whole.withColumn("no", F.row_number().over(order)).withColumn("prior", F.lag("turn").over(order)).join(spans, ["key", "span"])
-    return placed.select(
-        "conv_id", "turn", "role", "text", (F.col("ahead") + F.col("no") - 1).cast("bigint").alias("position"),
-        F.coalesce("answered", F.when(F.col("no") > 1, F.col("prior")).otherwise(F.col("earlier"))).alias("parent_turn"),
-        F.size("hashes").alias("n_quotes"), F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"))
+    times = rows.where(F.size("hashes") > 0).groupBy("message").agg(F.count("*").alias("times"))
+    plain = rows.where(F.size("hashes") == 0).withColumn("quoted_turns", F.array().cast("array<bigint>")).withColumn("answered", F.lit(None).cast("bigint"))
+    linked = met_by_key(rows.where(F.size("hashes") > 0), saved(links.join(times, "message"), "links"), "message", "times")
+    whole = linked.select(plain.columns).unionByName(plain)
+    turns = saved(with_position(rows.groupBy("key", "at", "turn", "place").agg(F.count("*").alias("times")), "at", "no", order="key", by=("key",)), "turns")
+    last = turns.select("key", (F.col("no") + 1).alias("no"), F.col("turn").alias("earlier"))
+    earlier = saved(turns.join(last, ["key", "no"], "left").select("place", "times", "earlier"), "earlier")
+    ordered = met_by_key(whole, earlier, "place", "times").withColumn("row", F.struct("at", "role", "mid", "uid")) \
+        .select("conv_id", "turn", "role", "text", "key", "row", "answered", "earlier", F.size("hashes").alias("n_quotes"), "quoted_turns")
+    return with_position(ordered, "row", "position", order="key", by=("key",)).select(
+        "conv_id", "turn", "role", "text", F.col("position").cast("bigint").alias("position"),
+        F.coalesce("answered", "earlier").alias("parent_turn"), "n_quotes", "quoted_turns")

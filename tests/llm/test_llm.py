@@ -435,7 +435,7 @@ def test_quotes(spark):
     assert got == collections.Counter([
         (1, 0, "Hello there.\nHow are you?", 0, None, ()), (1, 1, "Fine.", 1, 0, (0,)), (1, 2, "Good\nok", 2, 1, (1, 0, -1)),
         (1, 3, "", 3, 2, ()), (1, 4, "yes", 4, 0, (0,)), (None, None, "", 0, None, ()),
-        (2, 1, "b", 0, None, ()), (2, 1, "b", 1, 1, ()), (2, 5000, "a", 2, 1, ())])
+        (2, 1, "b", 0, None, ()), (2, 1, "b", 1, None, ()), (2, 5000, "a", 2, 1, ())])
     assert quotation_linking.link(df.limit(0)).count() == 0
 
 
@@ -449,6 +449,32 @@ def test_quotes_of_several_lines(spark):
     assert [got[1, 2 + i] for i in range(len(quotes))] == [*[(0, [0])] * 4, (5, [-1])] and len(got) == len(rows)
 
 
+def test_quotes_are_no_prompts():
+    assert quotation_linking.parse("See\n>>> x = 1\n>>>\nso") == ("See\n>>> x = 1\n>>>\nso", [])
+    assert quotation_linking.parse("On Monday X wrote:\n>>> old\nnew") == ("new", [(3, "old")])
+    assert quotation_linking.parse(">>> old\n> newer\nnew") == ("new", [(3, "old"), (1, "newer")])
+
+
+def test_runs_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        text = "\n".join(" ".join(rng.choice(["Ab", "c", "\u00c9t\u00e9", ""], rng.integers(0, 4))) for _ in range(rng.integers(1, 14)))
+        want = {quotation_linking.digest("\n".join(u[i:i + n])) for u in quotation_linking.units(text) for n in (2, 3, 5) for i in range(len(u) - n + 1)}
+        assert set(quotation_linking.runs(text, [2, 3, 5])) == want
+    long = "\n".join(f"line {i} of it" for i in range(8000))
+    assert quotation_linking.digest("\n".join(long.split("\n")[17:1017])) in quotation_linking.runs(long, [1000])
+
+
+def test_quotes_of_one_hot_turn(spark):
+    rows = [(None, None, "user", f"text {i % 50}") for i in range(1500)] + [(1, 7, "user", "same")] * 500 + [(1, 8, "user", "> same\nyes")] * 300 + [(1, 3, "user", "same")]
+    got = quotation_linking.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["conv_id"]].append(r["position"])
+        assert r["parent_turn"] == {(None, None): None, (1, 3): None, (1, 7): 3, (1, 8): 3}[r["conv_id"], r["turn"]]
+    assert sorted(places[None]) == list(range(1500)) and sorted(places[1]) == list(range(801))
+
+
 def _segmentations(coder, text):
     text = piece_nbest.escaped(text)
     into = coder.edges(text)
