@@ -24,6 +24,8 @@ from sparqa.session import ship_package
 
 from .common import arrow_map, saved
 
+#: Bits of each of the three parts that a score is ranked by.
+LIMB = 60
 #: Neighbours, scale of the components, and the divisor of a query's vec_id.
 K = 5
 SCALE = 256
@@ -105,7 +107,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ro
             found = [(int(scores[a, b]), int(ids[b])) for b in np.flatnonzero(hit[a] & (ids != query_ids[i])).tolist()]
             best[i] = heapq.nsmallest(k, best[i] + found, key=lambda x: (-x[0], x[1]))
             if len(best[i]) == k:
-                worst[i] = best[i][-1][0]
+                worst[i] = np.nextafter(float(best[i][-1][0]), -np.inf)  # a score past 2^53 may be rounded up
 
     a, b = cover_tree(qf), cover_tree(rf)
     count = 0
@@ -175,7 +177,9 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, block_rows: int = BL
 
     Rows with a null vec_id, vector or component, or one that isn't finite,
     take no part; shorter vectors count as ending in zeros. Equal rows count
-    once. A query with fewer than k other rows gets them all. An empty table
+    once; of equal scores the smaller vec_id comes first. Different vectors
+    with one vec_id share its ranking. A score past 64 bits is null, its rank
+    exact. A query with fewer than k other rows gets them all. An empty table
     gives no rows. Columns other than vec_id and embedding are not looked at.
     """
     ship_package(table.sparkSession)
@@ -210,9 +214,11 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, block_rows: int = BL
             width = max(map(len, [*refs["q"], *queries["q"]]))
             ids = queries["vec_id"].to_numpy(np.int64)
             found = dual_search(_matrix(list(queries["q"]), width), ids, _matrix(list(refs["q"]), width), refs["vec_id"].to_numpy(np.int64), k)
-            out = [(int(q), v, s) for q, best in zip(ids, found) for s, v in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            out = [(int(q), v, *(s >> b if b == 2 * LIMB else s >> b & (1 << LIMB) - 1 for b in (2 * LIMB, LIMB, 0)), s if abs(s) < 1 << 63 else None)
+                   for q, best in zip(ids, found) for s, v in best]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "high", "middle", "low", "score"]).astype("Int64")
 
-    part = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    part = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
+        search, "query_id bigint, vec_id bigint, high bigint, middle bigint, low bigint, score bigint")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -255,6 +255,20 @@ def test_dual_tree(spark):
     assert dual_tree_search.top_k(few.limit(0)).count() == 0
 
 
+def test_dual_tree_of_large_values(spark):
+    rng = np.random.default_rng(4)
+    scale = [float(1 << 24), float(1 << 50), 1.0]
+    vectors = [[float(x) * s for x in rng.integers(-3, 4, 3)] for s in scale for _ in range(20)] + [[float((1 << 53) - 1)] * 3, [-float((1 << 53) - 1)] * 3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    whole = [[int(256 * x) for x in v] for v in vectors]
+    want = set()
+    for q in range(0, len(whole), 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:5]
+        want |= {(q, k + 1, i, -s if abs(s) < 1 << 63 else None) for k, (s, i) in enumerate(scores)}
+    assert any(w[3] is None for w in want)
+    assert {tuple(r) for r in dual_tree_search.top_k(df, block_rows=16).collect()} == want
+
+
 def test_pages(spark):
     page = ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>menu entry one</a></li></ul></nav>"
             "<div class='cookie-notice'>We use cookies, a long notice of words</div><article><h1>Head &amp; title</h1><p>First  block\nof some text"
