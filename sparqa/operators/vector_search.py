@@ -25,7 +25,8 @@ from ..sources.sinks import stored
 
 BLOCK_BYTES = 16 * 1024 * 1024         # of one block of corpus vectors, and of the queries that meet it in one task
 CENTRES = 512                          # vectors sampled as centres, at most
-PAIR_BLOCK = 4_000_000                 # scored cells per NumPy step (memory bound per task)
+PAIR_BLOCK = 1_000_000                 # scored cells per NumPy step (memory bound per task)
+QUERY_STEP = 256                       # queries of one such step
 DIRECT_CELLS = 1 << 26                 # up to so many pairs, bounds cost more than they save: every block is met at once
 ROUND = 6                              # similarities are rounded before ranking
 
@@ -57,26 +58,47 @@ def bounds(qv: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarra
 
 
 def _best(queries: pd.DataFrame, corpus: pd.DataFrame, sim: str, k: int, c_ids: list[str], exclude_self: bool) -> pd.DataFrame | None:
-    """The k best rows of a block for each of its queries; everything tied with the k-th stays a candidate."""
-    q_ids, qv, cv, best = queries["query_id"].to_numpy(), _matrix(queries["__qv"]), _matrix(corpus["__cv"]), None
-    step = max(1, PAIR_BLOCK // len(qv))
-    for at in range(0, len(cv), step):
-        part = corpus.iloc[at:at + step]
-        s = np.round(scores(qv, cv[at:at + step], sim), ROUND)
-        valid = np.isfinite(s)
-        if exclude_self:
-            valid &= q_ids[:, None] != part[c_ids[0]].to_numpy()[None, :]
-        scored = np.where(valid, s, -np.inf)
-        if len(part) > k:
-            valid &= scored >= np.partition(scored, len(part) - k, axis=1)[:, len(part) - k, None]
-        qi, cj = np.nonzero(valid)
-        if not len(qi):
-            continue
-        found = pd.DataFrame({"query_id": q_ids[qi], "similarity": s[qi, cj]} | {c: part[c].to_numpy()[cj] for c in c_ids})
-        best = found if best is None else pd.concat([best, found], ignore_index=True)
-        best = best.sort_values(["query_id", "similarity", *c_ids], ascending=[True, False] + [True] * len(c_ids), kind="mergesort")
-        best = best.groupby("query_id", sort=False).head(k)
-    return None if best is None else best[["query_id", *c_ids, "similarity"]]
+    """The k best rows of a block for each of its queries, ties to the smaller ids.
+
+    The corpus is scored in order of its ids, so once a query has k rows, only a higher
+    score than the k-th replaces one: cells below it are passed over, and ties pile up nowhere.
+    """
+    corpus = corpus.sort_values(c_ids, kind="mergesort")
+    q_ids, own, cv = queries["query_id"].to_numpy(), corpus[c_ids[0]].to_numpy(), _matrix(corpus["__cv"])
+    rows, at_once, parts = queries["__qv"].to_numpy(), min(len(queries), QUERY_STEP), []
+    step = max(1, PAIR_BLOCK // at_once)
+    for start in range(0, len(queries), at_once):
+        ids, qv = q_ids[start:start + at_once], _matrix(rows[start:start + at_once])
+        kth = np.full(len(ids), -np.inf)
+        q, c, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, len(cv), step):
+            s = scores(qv, cv[at:at + step], sim)
+            if len(s[0]) > k and not np.isfinite(kth).any():  # nothing to hold against yet: the k best of this step
+                s = np.where(np.isfinite(s), np.round(s, ROUND), -np.inf)
+                if exclude_self:
+                    s[ids[:, None] == own[None, at:at + step]] = -np.inf
+                low = np.partition(s, len(s[0]) - k, axis=1)[:, len(s[0]) - k]
+            else:
+                with np.errstate(invalid="ignore"):
+                    low = np.where(np.isfinite(kth), kth - 10.0 ** -ROUND - 1e-12 * np.abs(kth), -np.inf)
+            qi, cj = np.nonzero(s >= low[:, None])
+            v = np.round(s[qi, cj], ROUND)
+            new = np.isfinite(v) & (v > kth[qi])
+            if exclude_self:
+                new &= ids[qi] != own[at + cj]
+            if not new.any():
+                continue
+            q, c, best = np.concatenate([q, qi[new]]), np.concatenate([c, at + cj[new]]), np.concatenate([best, v[new]])
+            order = np.lexsort((c, -best, q))
+            q, c, best = q[order], c[order], best[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, c, best, place = q[place < k], c[place < k], best[place < k], place[place < k]
+            kth[q[place == k - 1]] = best[place == k - 1]
+        parts.append((ids[q], c, best))
+    found = [np.concatenate(x) for x in zip(*parts)]
+    if not len(found[0]):
+        return None
+    return pd.DataFrame({"query_id": found[0]} | {c: corpus[c].to_numpy()[found[1]] for c in c_ids} | {"similarity": found[2]})
 
 
 class VectorIndex:
@@ -119,7 +141,7 @@ class VectorIndex:
         return held.withColumn("block", F.shiftleft("centre", 32) + part).drop("centre")
 
     def _placed(self, queries: DataFrame, first: bool) -> DataFrame:
-        """One row per query and block to be met: (query_id, __qv, block).
+        """One row per query that has blocks to be met: (query_id, __qv, blocks); a vector is not copied in Python.
 
         ``first``: the block that promises most; else the others that reach the query's ``floor`` (null: all).
         """
@@ -139,13 +161,15 @@ class VectorIndex:
                     met[np.arange(len(part)), most] = first
                     if not first:
                         met &= ~(reach < part["floor"].to_numpy(np.float64, na_value=-np.inf)[:, None])
-                    q, b = np.nonzero(met)
-                    yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "__qv": part["__qv"].to_numpy()[q], "block": ids[b]})
+                    some = met.any(axis=1)
+                    if some.any():
+                        yield part.loc[some, ["query_id", "__qv"]].assign(blocks=[ids[m] for m in met[some]])
 
-        return queries.mapInPandas(place, f"query_id {kinds['query_id']}, __qv array<double>, block bigint")
+        return queries.mapInPandas(place, f"query_id {kinds['query_id']}, __qv array<double>, blocks array<bigint>")
 
     def meet(self, placed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
         """The k best of each (query, block) pair: (query_id, corpus ids, similarity)."""
+        placed = pairs(placed)
         each = max(1, int(self.block_bytes / self.row_bytes))
         tasks = max(1, self.slots // max(len(self.block_ids), 1))  # small inputs use all cores too
         parts = placed.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(each)), F.lit(tasks)).cast("int").alias("parts"))
@@ -197,13 +221,25 @@ def top_k_vectors(queries: DataFrame, corpus: DataFrame, c_ids: list[str], sim:
 
 
 def pruned(index: VectorIndex, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Candidates of every query from the block that promises most, and from those whose bound reaches the k-th best there."""
+    """Candidates of every query from the block that promises most, and from those whose bound reaches the k-th best there.
+
+    What is stored has a query once, with its blocks; pairs are only made where they are shuffled.
+    """
     first = stored(index.meet(stored(index._placed(queries, True), "first"), k, exclude_self), "found")
-    return first.unionByName(index.meet(stored(rest(index, queries, first, k), "rest"), k, exclude_self))
+    return first.unionByName(index.meet(stored(_left(index, queries, first, k), "rest"), k, exclude_self))
+
+
+def pairs(placed: DataFrame) -> DataFrame:
+    """A row per query and block."""
+    return placed.select("query_id", "__qv", F.explode("blocks").alias("block"))
 
 
 def rest(index: VectorIndex, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """The (query, block) pairs that are left after the first block."""
+    return pairs(_left(index, queries, first, k))
+
+
+def _left(index: VectorIndex, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
     floors = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"))))
     floors = floors.where(F.col("n") == k).select("query_id", F.col("similarity").alias("floor"))
     return index._placed(queries.join(floors, "query_id", "left"), False)

@@ -72,6 +72,35 @@ def test_adversarial_vectors_lose_nothing(spark, sim):
     assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_a_step_of_the_search_holds_no_vector_twice(spark):
+    """A query that meets every block leaves Python once, with its blocks."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)], "id long, __cv array<double>")
+    index = vector_search.VectorIndex(df, ["id"], "dot_product", centres=8, block_bytes=100)
+    queries = df.selectExpr("id AS query_id", "__cv AS __qv")
+    left = index._placed(queries.selectExpr("*", "cast(null AS double) AS floor"), False)
+    rows = left.collect()
+    assert len(rows) == 90 and {len(r.blocks) for r in rows} == {len(index.block_ids) - 1} and len(index.block_ids) > 4  # all but the first
+
+
+@pytest.mark.parametrize("sim", ["cosine", "dot_product"])
+@pytest.mark.parametrize("cells,queries", [(1, 1), (40, 8), (1 << 20, 256)])
+def test_block_search_with_ties_and_small_steps(monkeypatch, sim, cells, queries):
+    """Copies of a vector pile up in no step: k rows a query, ties to the smaller id, in steps of any size."""
+    import pandas as pd
+    monkeypatch.setattr(vector_search, "PAIR_BLOCK", cells)
+    monkeypatch.setattr(vector_search, "QUERY_STEP", queries)
+    rng = np.random.default_rng(3)
+    vecs = [[1.0, 2.0]] * 40 + rng.normal(size=(25, 2)).round(1).tolist() + [[-3.0, -1.0]] * 9
+    at = rng.permutation(len(vecs))
+    corpus = pd.DataFrame({"vec_id": at, "__cv": [np.array(vecs[i]) for i in at]})
+    asked = corpus.rename(columns={"vec_id": "query_id", "__cv": "__qv"})
+    got = vector_search._best(asked, corpus, sim, 3, ["vec_id"], True)
+    assert len(got) == 3 * len(vecs)
+    got = got.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True])
+    got["rank"] = got.groupby("query_id").cumcount() + 1
+    assert {(r.query_id, r.rank): (r.vec_id, r.similarity) for r in got.itertuples()} == _brute(vecs, vecs, sim, 3, own=False)
+
+
 def test_vector_search_of_little(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     for part, rows in ((df, 2), (df.where("vec_id = 1"), 1), (df.where("false"), 0)):
