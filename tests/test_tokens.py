@@ -132,3 +132,15 @@ def test_hf_tokenizer_path(spark):
     assert r.input_ids == [2, 3, 4, 5, 6] and r.response_start == 4
     assert r.labels == [-100, -100, -100, -100, 6] and not r.boundary_lost
     assert rows["Q zzz"].input_ids == [2, 1] and rows["Q zzz"].response_start == 1
+
+
+def test_padded_checksums_are_those_of_the_joined_lists(spark):
+    """Lists reach the checksum without a string for each of their numbers."""
+    from conftest import SF_SMALL
+    from sparqa.operators import tokenise
+    from sparqa.plans import queries
+    got = queries.tokenise_padded(spark, SF_SMALL)
+    assert got._jdf.queryExecution().analyzed().toString().count("to_json") == 3
+    lists = tokenise.tokenise(queries.format_rationale(spark, SF_SMALL), tokenise.MAX_LEN_RATIONALE, pad=True)
+    joined = lists.selectExpr("row_id", *(f"md5(array_join({c}, ',')) AS {c}" for c in ("input_ids", "attention_mask", "labels")))
+    assert got.select(joined.columns).exceptAll(joined).count() == 0
