@@ -91,12 +91,12 @@ def choice_requests(items: DataFrame, prompt: str = "prompt", continuations: str
     rows, a null continuation counts as empty.
     """
     d = items.select(F.col(example), F.col(prompt).alias("__text"), F.col(continuations).alias("__conts"))
-    d = bind_column(d.where(F.col("__text").isNotNull()), tk.pieces("__text", eos), "__p")
-    d = bind_column(d, tk.settled_pieces(F.col("__p"), "__text", eos), "__n")
-    settled = F.slice("__p", F.lit(1), F.least(F.col("__n.cnt"), F.lit(max_len)))
-    d = d.select(example, "__conts", F.least(F.size("__p"), F.lit(max_len)).alias("prompt_len"),
-                 F.col("__text").substr(F.col("__n.chars") + 1, F.length("__text")).alias("__rest"),
-                 tk.ids_of(settled, eos).alias("__ids"))
+    # a null text has no pieces; asked of the text itself, the prompt would be made twice, once for the filter
+    d = bind_column(d, tk.settled_pieces("__text", eos), "__n").where(F.col("__n.pieces").isNotNull())
+    d = d.select(example, "__conts", "__n", F.col("__text").substr(F.col("__n.chars") + 1, F.length("__text")).alias("__rest"))
+    n_prompt = F.size("__n.pieces") + F.size(tk.pieces("__rest", eos))
+    d = d.select(example, "__conts", F.least(n_prompt, F.lit(max_len)).alias("prompt_len"), "__rest",
+                 tk.ids_of(F.slice("__n.pieces", 1, max_len), eos).alias("__ids"))
     d = d.select(example, "prompt_len", "__rest", "__ids", F.posexplode("__conts").alias("choice_idx", "__cont"))
     rest = tk.pieces(F.concat("__rest", F.coalesce("__cont", F.lit(""))), eos)
     ids = F.slice(F.concat("__ids", tk.ids_of(F.slice(rest, 1, max_len), eos)), 1, max_len)
