@@ -39,6 +39,8 @@ SLACK = 32
 #: Distinct words whose ids a task keeps, and words encoded in one call.
 WORDS_KEPT = 400_000
 WORDS_A_CALL = 2000
+#: Rows that are cut into words at a time; the more, the fewer words are numbered and looked up again.
+ROWS_A_CALL = 2048
 #: Signs at the end of words that are encoded apart; none is a letter, a digit or an apostrophe.
 SIGNS = ".,;:!?%&#*$|"
 #: A special token of the vocabulary; put between words that are encoded in one call.
@@ -124,6 +126,8 @@ def _halves(word: str) -> tuple[str, str]:
     Only an ASCII letter is sure to stay one when the vocabulary composes and
     drops case; so case is dropped here where all is ASCII, too.
     """
+    if word.isascii() and word[-1:].isalpha():  # most words
+        return word.lower(), ""
     core = word.rstrip(SIGNS)
     if not (core[-1:].isalpha() and core[-1:].isascii()):
         core = word
@@ -162,7 +166,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(WordIds(vocabulary))
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", ROWS_A_CALL):
                 yield cut(part)
         held.clear()
         pa.default_memory_pool().release_unused()  # the worker may go on to a stage that needs none of it

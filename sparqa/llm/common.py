@@ -83,14 +83,14 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batch`` in order, cut after ``SLICE_ROWS`` rows or ``SLICE_BYTES`` of ``column`` (one row at least)."""
+def text_slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in order, cut after ``rows`` rows or ``SLICE_BYTES`` of ``column`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
     ends = sizes.astype("int64").cumsum()
     at = 0
     while at < batch.num_rows:
         done = int(ends[at - 1]) if at else 0
-        stop = min(max(int(ends.searchsorted(done + SLICE_BYTES, "right")), at + 1), at + SLICE_ROWS)
+        stop = min(max(int(ends.searchsorted(done + SLICE_BYTES, "right")), at + 1), at + rows)
         yield batch.slice(at, stop - at)
         at = stop
 

@@ -265,3 +265,22 @@ def test_full_links(monkeypatch, columns):
         return [[k for k in range(30) if name[k] == name[i]] for i in range(30)]
 
     assert parts(zip(a.tolist(), b.tolist())) == parts(want) and len(a) < 30
+
+
+def test_word_ids_of_many_rows_at_once(spark):
+    """op7: slices as wide as the packing takes them give the ids of the whole texts; odd words, no words and nulls included."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparqa.llm import best_fit_packing as packing
+    from sparqa.llm.common import text_slices
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Word WORD. word,, İx It's a1", "  lead\ttail \n", "", None, "...", "été! café x#$ |y|"] * 250
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(text_slices(batch, "text", packing.ROWS_A_CALL))
+    assert [p.num_rows for p in parts] == [1500]  # one call where three were made
+    ids, ends = packing.WordIds(path).encode(parts[0].column(0))
+    coder = Tokenizer.from_file(path)
+    for k in range(6):
+        assert ids[ends[k]:ends[k + 1]].tolist() == coder.encode(texts[k] or "", add_special_tokens=False).ids
