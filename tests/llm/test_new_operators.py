@@ -284,3 +284,40 @@ def test_word_ids_of_many_rows_at_once(spark):
     coder = Tokenizer.from_file(path)
     for k in range(6):
         assert ids[ends[k]:ends[k + 1]].tolist() == coder.encode(texts[k] or "", add_special_tokens=False).ids
+
+
+def test_searches_of_sketches_take_few_likelihoods(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, size=size, dtype=np.uint64) for size in (40, 200, 210, 500)]
+    sets = [np.unique(b[rng.random(len(b)) < share]) for b in base for share in (.6, .8, .88, .9, .93, .97, 1.) for _ in range(10)]
+    sketch, size = setsketch_dedup.sketches(sets), np.array([*map(len, sets)])
+    a, b = np.triu_indices(len(sets), 1)
+    x, y, n, m = sketch[a], sketch[b], size[a].astype(float), size[b].astype(float)
+    counts = (x > y).sum(axis=1), (x < y).sum(axis=1), n, m
+    best, bound = setsketch_dedup.most_likely(*counts), setsketch_dedup.PERCENT / 100
+    loss = setsketch_dedup.log_likelihood(best, *counts) - setsketch_dedup.log_likelihood(np.full(len(a), bound), *counts)
+    fits = 100 * np.minimum(n, m) >= setsketch_dedup.PERCENT * np.maximum(n, m)
+    sure = abs(best - bound) > .001  # the search for the best ends somewhere near it
+    assert (setsketch_dedup.likely_links(x, y, size[a], size[b]) == fits & (best >= bound))[sure].all()
+    open_ = setsketch_dedup.open_links(x, y, size[a], size[b])
+    assert (open_ == fits & ((best >= bound) | (loss <= setsketch_dedup.MARGIN))).all() and 0 < open_.sum() < len(a)
+
+    calls = []
+    monkeypatch.setattr(setsketch_dedup, "log_likelihood", lambda *x, f=setsketch_dedup.log_likelihood: calls.append(len(x[0])) or f(*x))
+    one = np.zeros(len(sets), np.int64)
+    got = setsketch_dedup.open_rows(one, one, np.arange(len(sets)), sketch, size)
+    assert (got == np.isin(np.arange(len(sets)), [*a[open_], *b[open_]])).all()
+    assert len(calls) < 2 * len(sets)  # a round of likelihoods for each row would be 50 times their number
+
+
+def test_components_write_two_tables_a_round(spark, monkeypatch):
+    from sparqa.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "saved", lambda df, name, f=components.saved: made.append(name) or f(df, name))
+    links = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45), (60, 60)] + [(70, i) for i in range(71, 90)]
+    got = {tuple(r) for r in components.connected_components(spark.createDataFrame(links, "x bigint, y bigint")).collect()}
+    assert got == {*((i, 0) for i in range(21)), (40, 40), (45, 40), (50, 40), *((i, 70) for i in range(70, 90))}
+    rounds = sum(name.startswith("star-s") for name in made)
+    assert len(made) == 1 + 2 * rounds  # and no other pass over the links: their marks are taken as they are written
+    assert components.connected_components(spark.createDataFrame([], "x bigint, y bigint")).collect() == []
