@@ -14,8 +14,10 @@ Only lengths and numbers are moved; texts are tokenised where they are read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,9 @@ ROWS_A_CALL = 2048
 SIGNS = ".,;:!?%&#*$|"
 #: A special token of the vocabulary; put between words that are encoded in one call.
 DIVIDER = "<|startoftext|>"
+#: End of the tokens that end a word, and words that are letters before and after the vocabulary composes and drops case.
+WORD_END = "</w>"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 
 
 class _Table:
@@ -76,12 +81,16 @@ class WordIds:
     before the merges), so the ids of a text are those of its words in order.
     Arrow cuts texts into words and numbers the distinct ones; only these are
     looked up in a table of places in one flat array of ids. Words that are new
-    are encoded in one call, divided by a special token.
+    are encoded in one call: words of letters divided by blanks, as each ends in
+    one token that ends words, others by a special token.
     """
 
     def __init__(self, path: str) -> None:
         self.coder = _coder(path)
         self.divider = self.coder.token_to_id(DIVIDER)
+        vocabulary = self.coder.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(self.coder.get_vocab_size(), bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -91,9 +100,20 @@ class WordIds:
         """Add words that are new: encode their new halves and put the ids of both together."""
         pairs = [half for w in words for half in _halves(w)]
         new = list(set(pairs).difference(self.halves.place))
+        plain, other, order = [w for w in new if _LETTERS(w)], [w for w in new if not _LETTERS(w)], []
         found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for at in range(0, len(new), WORDS_A_CALL):
-            part = new[at:at + WORDS_A_CALL]
+        for at in range(0, len(plain), WORDS_A_CALL):
+            part = plain[at:at + WORDS_A_CALL]
+            ids = np.array(self.coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends_word[ids])
+            if len(cuts) != len(part):  # a vocabulary that ends its words otherwise
+                other += part
+                continue
+            order += part
+            found.append(ids)
+            sizes.append(np.diff(cuts, prepend=-1))
+        for at in range(0, len(other), WORDS_A_CALL):
+            part = other[at:at + WORDS_A_CALL]
             if any(DIVIDER in w for w in part):
                 lists = [np.array(e.ids, "<u4") for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
                 found += lists
@@ -103,7 +123,7 @@ class WordIds:
             cuts = np.flatnonzero(ids == self.divider)
             found.append(ids[ids != self.divider])
             sizes.append(np.diff([-1, *cuts, len(ids)]) - 1)
-        self.halves.add(new, np.concatenate(found), np.concatenate(sizes))
+        self.halves.add(order + other, np.concatenate(found), np.concatenate(sizes))
         ids, ends = self.halves.gather(self.halves.places(pairs))
         self.words.add(words, ids, np.diff(ends[::2]))
 
@@ -114,8 +134,11 @@ class WordIds:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.words.place])
-        ids, ends = self.words.gather(self.words.places(distinct)[words.indices.to_numpy()])
+        places = np.fromiter(map(self.words.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self.words.place) + np.arange(len(new))
+        self._learn([distinct[k] for k in new.tolist()])
+        ids, ends = self.words.gather(places[words.indices.to_numpy()])
         offsets = lists.offsets.to_numpy()
         return ids, ends[offsets - offsets[0]]
 

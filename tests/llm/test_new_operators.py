@@ -321,3 +321,57 @@ def test_components_write_two_tables_a_round(spark, monkeypatch):
     rounds = sum(name.startswith("star-s") for name in made)
     assert len(made) == 1 + 2 * rounds  # and no other pass over the links: their marks are taken as they are written
     assert components.connected_components(spark.createDataFrame([], "x bigint, y bigint")).collect() == []
+
+
+def test_words_of_letters_are_encoded_without_a_special_token():
+    import pyarrow as pa
+
+    from sparqa.llm import best_fit_packing as packing
+
+    path = vocabulary("word_bpe_49k.json")
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = ["The", "word", "naïveté", "ünter", "don't", "I\u0307x", "e\u0301a", "İstan", "x1", "a|b", "end.", *letters, *(f"a{x}b" for x in letters)]
+    direct = packing._coder(path).encode_batch(words, add_special_tokens=False)
+
+    class Seen:
+        def __init__(self, coder):
+            self.coder, self.said = coder, []
+
+        def __getattr__(self, name):
+            return getattr(self.coder, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.said += texts
+            return self.coder.encode_batch_fast(texts, **more)
+
+    for ends_known in (True, False):  # without tokens known to end words, the special token divides all
+        own = packing.WordIds(path)
+        own.coder = seen = Seen(own.coder)
+        own.ends_word &= ends_known
+        ids, ends = own.encode(pa.array(words))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in direct]
+        divided = [w for line in seen.said if packing.DIVIDER in line for w in line.split(packing.DIVIDER)]
+        assert any(w.isascii() and w.isalpha() for w in divided) is not ends_known and "x1" in divided
+
+
+def test_trees_hold_few_words(monkeypatch):
+    """op4 and pipeline: groups come to the trees as bytes, some ``TASK_WORDS`` words at a time, and no group is cut."""
+    import pyarrow as pa
+
+    from sparqa.llm import substring_dedup
+
+    class Grouped:
+        def mapInArrow(self, run, schema):
+            return run
+
+    sizes, find = [], substring_dedup.deep_windows
+    monkeypatch.setattr(substring_dedup, "deep_windows", lambda segments, window: sizes.append(sum(map(len, segments))) or find(segments, window))
+    # 4 groups of 2500 segments of 60 words, equal within a group
+    rows = [(g, b"%d" % k, 7, b" ".join(b"w%d" % (60 * g + i) for i in range(60))) for g in range(4) for k in range(2500)]
+    names, kinds = ("gram", "h", "first", "words"), (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 3000]), kinds)], names=list(names)) for at in range(0, len(rows), 3000)]
+    substring_dedup.anchors([b"%d" % k for k in range(100)])
+    got = [r for b in substring_dedup._trees(Grouped(), 35)(iter(batches)) for r in b.to_pylist()]
+    assert got == [{"h": h, "first": 7, "last": 33} for _, h, _, _ in rows]
+    assert max(sizes) < 450_000 and sum(sizes) == 60 * len(rows)
+    assert not substring_dedup._HASHES  # the words of an earlier stage are not kept meanwhile
