@@ -31,21 +31,21 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparqa.session import ship_package
 
-from .common import arrow_map, saved
+from .common import arrow_map, saved, text_slices
 
 #: Words of a window, and of the shortest prefix.
 WINDOW = 35
 PREFIX = 8
 #: Most suffixes in one group, and words that a task gathers from several groups before it builds their trees.
 GROUP = 4000
-TASK_WORDS = 1_000_000
+TASK_WORDS = 250_000
 #: Odd multiplier of the rolling hash, and distinct words whose hash a task keeps.
 STEP = 0x9E3779B97F4A7C15
 WORDS_KEPT = 200_000
@@ -65,6 +65,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _forget() -> None:
+    """Drop the hashes that this worker keeps; later stages need none."""
+    _HASHES.clear()
+
+
 def _rolling(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` words, from the hashes of runs of powers of two."""
     n = len(h) - length + 1
@@ -274,26 +279,30 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 
 def _trees(grouped: DataFrame, window: int) -> DataFrame:
     """Runs (first, last + 1) of repeated windows in the groups of each partition, which is sorted by prefix."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+    def build(rows: list[tuple]) -> pa.RecordBatch:
+        marks = deep_windows([r[3].split() for r in rows], window)
+        made = [(r[1], r[2] + a, r[2] + b) for r, m in zip(rows, marks) for a, b in _runs(m)]
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32()))],
+                                          names=["h", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        held: list[tuple] = []  # segments as they are; words become objects only while their trees are built
         words = 0
-
-        def build(rows: list[tuple]) -> pd.DataFrame:
-            marks = deep_windows([r[3] for r in rows], window)
-            made = [(r[1], r[2] + a, r[2] + b) for r, m in zip(rows, marks) for a, b in _runs(m)]
-            return pd.DataFrame(made, columns=["h", "first", "last"])
-
-        for frame in frames:
-            for g, h, first, text in zip(frame["gram"], frame["h"], frame["first"], frame["words"]):
-                if words >= TASK_WORDS and held[-1][0] != g:
-                    yield build(held)
-                    held, words = [], 0
-                held.append((g, h, first, text.split()))
-                words += len(held[-1][3])
+        for batch in batches:
+            for part in text_slices(batch, "words"):
+                for row in zip(*(part.column(c).to_pylist() for c in ("gram", "h", "first", "words"))):
+                    if words >= TASK_WORDS and held[-1][0] != row[0]:
+                        yield build(held)
+                        held, words = [], 0
+                    held.append(row)
+                    words += row[3].count(b" ") + 1
         if held:
             yield build(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker may go on to a stage that needs none of it
 
-    return grouped.mapInPandas(run, "h binary, first int, last int")
+    return grouped.mapInArrow(run, "h binary, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
