@@ -528,6 +528,49 @@ def test_pieces_are_those_of_the_model(spark):
     assert got["ids"] == model.encode(texts[0]) and got["n_pieces"] == 6
 
 
+def _odd_texts(coder):
+    rng = np.random.default_rng(5)
+    signs, pieces = list("aabberthing  ..,▁é梦😀\nxIN012--==ɏɐ×"), [p.replace("▁", " ") for p in coder.id]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(0, 90, 150)] + ["".join(rng.choice(pieces, int(n))) for n in rng.integers(0, 30, 150)]
+    return [None, "", " ", "▁", "erererer thth", "ab" * 90 + " x", "-" * 64 + "a" * 65 + "-" * 130, " " * 70, *texts, None]
+
+
+def test_chunks_searched_together_are_as_searched_alone():
+    coder = piece_nbest.Pieces(vocabulary("piece_bpe_32k.model"))
+    texts = _odd_texts(coder)
+    own, ends, every, fits = coder.encode_all(pa.array(texts, pa.string()))
+    fine = re.compile("▁*[A-Za-zÀ-ɏ]+|▁*[^A-Za-zÀ-ɏ▁]+|▁+")
+    for t, a, b, ways, fit in zip(texts, ends, ends[1:], every, fits):
+        parts = fine.findall(piece_nbest.escaped(t or ""))
+        assert own[a:b].tobytes() == b"".join(map(coder.merge, parts)) and fit
+        found = [coder.chunk(c) for c in parts]
+        assert ways[0] == (sum(f[0][0] for f in found), b"".join(f[0][1] for f in found))
+        losses = sorted(f[0][0] - f[1][0] for f in found if len(f) > 1)
+        assert len(ways) == 1 if not losses else ways[1][0] == ways[0][0] - losses[0]
+        for score, raw in ways:
+            assert coder.decode(np.frombuffer(raw, "<u4").tolist()) == (t or "")
+
+
+def test_chunks_are_cut_as_by_pattern():
+    coder = piece_nbest.Pieces(vocabulary("piece_bpe_32k.model"))
+    texts = [" " + t if t else "" for t in _odd_texts(coder)]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    for pattern in ("\x20*[A-Za-zÀ-ɏ]+|\x20*[^A-Za-zÀ-ɏ\x20]+|\x20+", "\x20*[^\x20]+|\x20+"):
+        want = [c for t in texts for c in re.findall(pattern, t)]
+        begins = [*coder._cut(data, offsets), len(data)]
+        assert [data[a:b].tobytes().decode() for a, b in zip(begins, begins[1:])] == want
+        coder.kind[coder.kind == piece_nbest._WORD] = piece_nbest._OTHER  # as with pieces of letters and other signs
+
+
+def test_few_chunks_are_searched_alone():
+    coder, rng = piece_nbest.Pieces(vocabulary("piece_bpe_32k.model")), np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("aehinorst"), 9)) for _ in range(200)) for _ in range(20)]
+    for t in texts:
+        assert len(coder.encode(t)) == 3
+    assert len(coder.known) <= 2 * len(texts)
+
+
 def test_pieces_of_every_document(spark):
     folder = "/root/testdata/sf0.001"
     got = queries.op8_piece_nbest(spark, folder).select("doc_id", "round_trip").collect()
